@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,5 +67,18 @@ def unit_hash(key: Column, seed: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.limit(0)
+def map_texts(df: DataFrame, keep: list[str], fn: Callable[[pa.RecordBatch], dict], out: str, rows: int = 1024) -> DataFrame:
+    """Adds to the columns `keep` those that fn makes of each Arrow batch of at most `rows` rows. Ids pass unchanged, nulls and all."""
+    made = T.StructType.fromDDL(out)
+    schema = T.StructType([*(df.schema[c] for c in keep), *made])
+    kinds = [to_arrow_type(f.dataType) for f in made]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                part = whole.slice(at, rows)
+                got = fn(part)
+                cols = [got[f.name] if isinstance(got[f.name], pa.Array) else pa.array(got[f.name], kind) for f, kind in zip(made, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *cols], names=schema.names)
+
+    return df.mapInArrow(run, schema)

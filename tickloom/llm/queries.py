@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_digest, line_spread, source_mix, token_counts
+from . import license_digest, line_spread, ordinal_quality, page_diff, source_mix, spaced_seeds, token_counts, warc
 from .common import table
 
 
@@ -16,6 +16,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal_quality.rate_quality(docs, ordinal_quality.fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens_of(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -28,9 +37,19 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seeds.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_token_counts, op4_line_spread, op5_source_mix, op8_license_digest)}
-SQL: dict[str, str] = {"op4_line_spread": line_spread.SQL, "op5_source_mix": source_mix.SQL, "op8_license_digest": license_digest.sql()}
+def op9_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (op1_ordinal_quality, op2_warc_chain, op3_token_counts, op4_line_spread, op5_source_mix, op6_spaced_seeds, op8_license_digest, op9_page_diff)
+}
+SQL: dict[str, str] = {"op2_warc_chain": warc.SQL, "op4_line_spread": line_spread.SQL, "op5_source_mix": source_mix.SQL, "op8_license_digest": license_digest.sql()}
