@@ -15,19 +15,8 @@ def line_form(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
-def drop_shared_lines(docs: DataFrame, *, min_sites: int = 3, min_chars: int = 20, lg_k: int = 10) -> DataFrame:
-    """(doc_id, text, n_lines, n_removed) for every row of docs (doc_id, text, source, ...).
-
-    A line of min_chars characters or more that stands on min_sites distinct sources or more is boilerplate. It stays in the
-    document with the smallest doc_id that has it, so that one of a group of copies stays whole, and goes from all others.
-
-    Line hashes are summed before they are shuffled. Those on one source only need no sketch; the others get a HyperLogLog
-    sketch of their sources, merged by aggregation. Where the estimate is within three standard errors and 1 of
-    min_sites, distinct sources are counted exactly, so the result is exact. The last join is by doc_id.
-
-    Defined results: null text stays null with 0 lines; a null source is a source of its own; lines end at \\n; a text of
-    which all lines go is empty; repeated rows are treated alike; an empty table gives no rows; other columns are ignored.
-    """
+def _shared_lines(docs: DataFrame, min_sites: int, min_chars: int, lg_k: int) -> DataFrame:
+    """(__of, __keys): for each document that loses lines, their hashes."""
     scratch = Scratch(docs.sparkSession)
     d = docs.select(docs["doc_id"], docs["text"], F.coalesce(docs["source"].cast("string"), F.lit(NO_SITE)).alias("site"))
     each = d.select("doc_id", "site", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", line_form(F.col("line")))
@@ -45,16 +34,47 @@ def drop_shared_lines(docs: DataFrame, *, min_sites: int = 3, min_chars: int = 2
     shared = scratch.write(shared, "shared")
 
     gone = several.join(shared, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first")))
-    gone = gone.groupBy(F.col("doc_id").alias("of")).agg(F.collect_set("key").alias("keys"))  # a document's own lines
-    goes = lambda x: (F.length(F.trim(x)) >= min_chars) & F.array_contains("keys", F.xxhash64(line_form(x)))
-    text = d.select("doc_id", "text")
-    out = text.join(gone, same(text, gone, {"doc_id": "of"}), "left")
-    lines, left = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)), F.filter(F.split("text", "\n"), lambda x: ~goes(x))
-    out = out.withColumn("left", F.when(F.col("keys").isNotNull(), left)).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long"))
+    return gone.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("key").alias("__keys"))  # a document's own lines
+
+
+def _left(text: Column, min_chars: int) -> Column:
+    """The lines that stay; null where the document loses none."""
+    goes = lambda x: (F.length(F.trim(x)) >= min_chars) & F.array_contains("__keys", F.xxhash64(line_form(x)))
+    return F.when(F.col("__keys").isNotNull(), F.filter(F.split(text, "\n"), lambda x: ~goes(x)))
+
+
+def drop_shared_lines(docs: DataFrame, *, min_sites: int = 3, min_chars: int = 20, lg_k: int = 10) -> DataFrame:
+    """(doc_id, text, n_lines, n_removed) for every row of docs (doc_id, text, source, ...).
+
+    A line of min_chars characters or more that stands on min_sites distinct sources or more is boilerplate. It stays in the
+    document with the smallest doc_id that has it, so that one of a group of copies stays whole, and goes from all others.
+
+    Line hashes are summed before they are shuffled. Those on one source only need no sketch; the others get a HyperLogLog
+    sketch of their sources, merged by aggregation. Where the estimate is within three standard errors and 1 of
+    min_sites, distinct sources are counted exactly, so the result is exact. The last join is by doc_id.
+
+    Defined results: null text stays null with 0 lines; a null source is a source of its own; lines end at \\n; a text of
+    which all lines go is empty; repeated rows are treated alike; an empty table gives no rows; other columns are ignored.
+    """
+    d, gone = docs.select(docs["doc_id"], docs["text"]), _shared_lines(docs, min_sites, min_chars, lg_k)
+    out = d.join(gone, same(d, gone, {"doc_id": "__of"}), "left").withColumn("left", _left(F.col("text"), min_chars))
+    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
     n_left = F.when(F.col("left").isNull(), F.col("n_lines")).otherwise(F.size("left"))
     return out.select("doc_id", F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join("left", "\n")).alias("text"), "n_lines", (F.col("n_lines") - n_left).cast("long").alias("n_removed"))
 
 
+def without_shared_lines(docs: DataFrame, *, min_sites: int = 3, min_chars: int = 20, lg_k: int = 10) -> DataFrame:
+    """The rows of docs with all their columns, text without the lines that drop_shared_lines removes, n_chars (if there is
+    such a column) its length. Documents of which no line but blank ones is left go."""
+    gone = _shared_lines(docs, min_sites, min_chars, lg_k)
+    out = docs.join(gone, same(docs, gone, {"doc_id": "__of"}), "left").withColumn("__left", _left(F.col("text"), min_chars))
+    out = out.where(F.col("__left").isNull() | F.exists("__left", lambda x: F.trim(x) != ""))
+    out = out.withColumn("text", F.when(F.col("__left").isNull(), F.col("text")).otherwise(F.array_join("__left", "\n")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__left").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
+
+
 #: The same, for DuckDB.
 SQL = r"""
 WITH lines AS (SELECT doc_id, coalesce(source, chr(1)) AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),

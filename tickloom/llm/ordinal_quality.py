@@ -158,8 +158,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 12000, bits
     return fit_ordinal(got["grade"].to_numpy("int64"), [np.frombuffer(x, "int32") for x in got["ids"]], bits=bits)
 
 
-def rate_quality(docs: DataFrame, model: OrdinalModel, *, min_tail: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """(doc_id, expected_grade, tail_probability, keep) for every row of docs (doc_id, text, ...); with the columns `keep` instead of doc_id, if given.
+def _rater(model: OrdinalModel, min_tail: float) -> Callable[[pa.RecordBatch], dict]:
+    made: list[Callable[[str], float]] = []
+
+    def rated(batch: pa.RecordBatch) -> dict:
+        if not made:
+            made.append(model.scorer())
+        tails = [model.tails(made[0](x or "")) for x in batch.column("text").to_pylist()]
+        last = [x[-1] if x else 1.0 for x in tails]
+        return {"expected_grade": [float(sum(x)) for x in tails], "tail_probability": last, "keep": [x >= min_tail for x in last]}
+
+    return rated
+
+
+def rate_quality(docs: DataFrame, model: OrdinalModel, *, min_tail: float = 0.5) -> DataFrame:
+    """(doc_id, expected_grade, tail_probability, keep) for every row of docs (doc_id, text, ...).
 
     tail_probability is that of the highest grade, expected_grade the sum of all tails. keep: the tail is min_tail or more.
     The model, of at most as many weights as features of its bounded sample, goes to the tasks with the function.
@@ -167,14 +180,10 @@ def rate_quality(docs: DataFrame, model: OrdinalModel, *, min_tail: float = 0.5,
     Defined results: null, empty and blank texts are rated as empty ones; equal texts get equal ratings; repeated rows are
     kept; an empty table gives no rows; other columns are ignored; a model without cuts keeps everything.
     """
+    return map_texts(docs.select(docs["doc_id"], docs["text"]), ["doc_id"], _rater(model, min_tail), "expected_grade double, tail_probability double, keep boolean")
 
-    made = []
-
-    def rated(batch: pa.RecordBatch) -> dict:
-        if not made:
-            made.append(model.scorer())
-        tails = [model.tails(made[0](x or "")) for x in batch.column("text").to_pylist()]
-        last = [x[-1] if x else 1.0 for x in tails]
-        return {"expected_grade": [float(sum(x)) for x in tails], "tail_probability": last, "keep": [x >= min_tail for x in last]}
 
-    return map_texts(docs.select(*(docs[c] for c in dict.fromkeys([*keep, "text"]))), list(keep), rated, "expected_grade double, tail_probability double, keep boolean")
+def keep_good(docs: DataFrame, model: OrdinalModel, *, min_tail: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, that rate_quality would keep."""
+    rated, flag = _rater(model, min_tail), "__keep"
+    return map_texts(docs, docs.columns, lambda batch: {flag: rated(batch)["keep"]}, f"{flag} boolean").where(flag).drop(flag)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_digest, line_spread, ordinal_quality, page_diff, source_mix, spaced_seeds, token_counts, warc
+from . import license_digest, line_spread, ngram_join, ordinal_quality, page_diff, pivot_topk, source_mix, spaced_seeds, token_counts, warc
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,11 @@ def op9_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_diff.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ordinal_quality, op2_warc_chain, op3_token_counts, op4_line_spread, op5_source_mix, op6_spaced_seeds, op8_license_digest, op9_page_diff)
+    f.__name__: f for f in (op1_ordinal_quality, op2_warc_chain, op3_token_counts, op4_line_spread, op5_source_mix, op6_spaced_seeds, op7_pivot_topk, op8_license_digest, op9_page_diff, op10_ngram_join)
 }
-SQL: dict[str, str] = {"op2_warc_chain": warc.SQL, "op4_line_spread": line_spread.SQL, "op5_source_mix": source_mix.SQL, "op8_license_digest": license_digest.sql()}
+SQL: dict[str, str] = {"op2_warc_chain": warc.SQL, "op4_line_spread": line_spread.SQL, "op5_source_mix": source_mix.SQL, "op7_pivot_topk": pivot_topk.SQL, "op8_license_digest": license_digest.sql()}
