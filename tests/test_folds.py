@@ -70,7 +70,7 @@ def test_fills():
 
 
 def test_cash_is_kept_without_costs(spark):
-    b = bars(spark, [10.0, 11, 12, 13, 12, 11, 10, 11, 12, 13, 14, 15, 13, 11, 9] * 4)
+    b = bars(spark, [float(x) for x in (10, 11, 12, 13, 12, 11, 10, 11, 12, 13, 14, 15, 13, 11, 9)] * 4)
     signals = strategies.EmaCrossover(2, 4).signals(b)
     config = backtest.Config(segment=None, slippage_pct=0, allow_short=True, stop=Stop(), fixed_quantity=10)
     result = backtest.simulate(signals, config).orderBy("ts").collect()

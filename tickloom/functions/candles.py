@@ -62,7 +62,7 @@ def with_candles(bars: DataFrame, *patterns: str, signed: bool = False) -> DataF
     """Adds a code for each pattern (all, if none is named). signed: bearish patterns are -1 throughout."""
     names = patterns or tuple(PATTERNS)
     now = bars.select("*", F.struct(*(F.expr(x).alias(n) for n, x in FEATURES.items())).alias("_0"))
-    seen = now.withColumn("_1", F.lag("_0", 1).over(W)).withColumn("_2", F.lag("_0", 2).over(W))
+    seen = now.withColumn("_1", F.lag("_0", 1).over(W())).withColumn("_2", F.lag("_0", 2).over(W()))
     wide = seen.select(*bars.columns, *(F.col(f"_{k}.{n}").alias(f"{n}{k or ''}") for k in range(3) for n in FEATURES))
     sign = lambda p: -1 if signed and p in BEARISH_ONES else 1
     return wide.select(*bars.columns, *((sign(p) * F.expr(code_sql(p))).cast("int").alias(p) for p in names))

@@ -19,7 +19,7 @@ def sma(x: Column, n: int) -> Column:
 
 def wma(x: Column, n: int) -> Column:
     """Mean of the last n with weights 1 to n, the newest heaviest."""
-    parts = reduce(lambda a, b: a + b, ((n - k) * (F.lag(x, k).over(W) if k else x) for k in range(n)))
+    parts = reduce(lambda a, b: a + b, ((n - k) * (F.lag(x, k).over(W()) if k else x) for k in range(n)))
     return parts / F.lit(n * (n + 1) / 2)
 
 
@@ -34,7 +34,7 @@ def true_range() -> Column:
 
 def vwap() -> Column:
     """Mean price of a day so far, by volume."""
-    upto = DAY.rowsBetween(Window.unboundedPreceding, 0)
+    upto = DAY().rowsBetween(Window.unboundedPreceding, 0)
     typical = (C("high") + C("low") + C("close")) / 3
     return ratio(F.sum(typical * C("volume")).over(upto), F.sum("volume").over(upto))
 
@@ -106,7 +106,7 @@ def with_bollinger(df: DataFrame, n: int = 20, k: float = 2.0, x: str = "close",
 
 def with_obv(df: DataFrame, name: str = "obv") -> DataFrame:
     move = F.coalesce(F.signum(C("close") - lag("close")) * C("volume"), F.lit(0.0))
-    return df.withColumn("_m", move).withColumn(name, F.sum("_m").over(W.rowsBetween(Window.unboundedPreceding, 0))).drop("_m")
+    return df.withColumn("_m", move).withColumn(name, F.sum("_m").over(W().rowsBetween(Window.unboundedPreceding, 0))).drop("_m")
 
 
 def with_mansfield(df: DataFrame, base: str = "benchmark_close", n: int = 55, name: str = "mansfield") -> DataFrame:

@@ -16,7 +16,7 @@ C = F.col
 
 def swing(x: str, w: int = 5, high: bool = True) -> Column:
     """The value where it is the extreme of w bars to both sides. Known only w bars later; see known()."""
-    around = W.rowsBetween(-w, w)
+    around = W().rowsBetween(-w, w)
     top = F.max(x) if high else F.min(x)
     return F.when((F.count(x).over(around) == 2 * w + 1) & (C(x) == top.over(around)), C(x))
 
@@ -37,7 +37,7 @@ def with_trend_structure(bars: DataFrame, w: int = 5, as_known: bool = False) ->
     as_known: swings count from when they could be told, as screens need it.
     """
     d, tail = with_swings(bars, w), "_known" if as_known else ""
-    ahead, upto = W.rowsBetween(Window.unboundedPreceding, -1), W.rowsBetween(Window.unboundedPreceding, 0)
+    ahead, upto = W().rowsBetween(Window.unboundedPreceding, -1), W().rowsBetween(Window.unboundedPreceding, 0)
     for x in ("high", "low"):
         s, before = C(f"swing_{x}{tail}"), F.last(f"swing_{x}{tail}", ignorenulls=True).over(ahead)
         d = d.withColumn(f"higher_{x}", flag(s > before)).withColumn(f"lower_{x}", flag(s < before))

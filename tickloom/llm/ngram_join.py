@@ -6,6 +6,7 @@ shingles bound their overlap from above by bit counts; what is left is checked b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 from hashlib import blake2b
 from math import log
@@ -79,10 +80,19 @@ def _bitmap(hashes: np.ndarray) -> list[int]:
     return np.packbits(bits).view("int64").tolist()
 
 
-def _overlap_bound(n: Column, bits: Column, other: Column) -> Column:
-    """Each bit that only one set has is an element that the other lacks."""
-    alone = F.aggregate(F.zip_with(bits, other, lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))), F.lit(0), lambda s, x: s + x)
-    return n - alone
+def bound_pairs(n: np.ndarray, bits: np.ndarray, labels: np.ndarray, own: np.ndarray, crossing: bool, bands: np.ndarray, tile: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of positions of different labels that bit counts don't rule out. crossing: of different blocks only, else of one.
+
+    Each bit that only one of two sets has is an element that the other lacks. A pair is looked at in the tile of its larger
+    band only.
+    """
+    out = []
+    for i in range(len(n)):
+        j = np.flatnonzero((labels != labels[i]) & (np.maximum(bands, bands[i]) == tile) & (own > own[i] if crossing else np.arange(len(n)) > i))
+        if len(j):
+            most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
+            out += [(i, int(x)) for x in j[most * 100 >= (n[i] + n[j] - most) * percent]]
+    return out
 
 
 def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85) -> DataFrame:
@@ -97,8 +107,8 @@ def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85) -> Data
        A document whose candidates are nearly all its own is done. Pairs also share a tile of two size bands.
     3. In each tile of a candidate, members are checked against one centre; each member takes the centre that it shares
        most tiles with. Copies by the thousand thus make as many checks, not all pairs.
-    4. In tiles that still hold several components, each member outside the largest is checked against all of the others.
-       Bit counts of bitmaps bound the overlap first.
+    4. In tiles that still hold several components, blocks of members are compared by bitmaps of their shingles within a
+       task: bit counts bound the overlap from above, and only pairs that may link are checked by their sets.
 
     Defined results: null and blank texts have 0 shingles and are linked with nothing; null doc_ids take no part in links
     and have a null component; one doc_id with several texts is one node, linked by any of them; repeated rows are kept; an
@@ -145,7 +155,7 @@ def _tiles(reps: DataFrame, percent: int) -> DataFrame:
     spare = F.least(F.lit(1 + EXTRA), least(least(n))) - 1
     # Candidates that no other set has come first in the order, and are left out here.
     needed = several.withColumn("few", F.expr("greatest(size(several), 0)") - spare).where("few > 0").select("node", "n", F.slice("several", 1, F.col("few").cast("int")).alias("few"))
-    band = F.floor(F.log(n.cast("double")) / (log(100 / percent) * 1.0001))
+    band = _band(n, percent)
     return needed.withColumn("tile", F.explode(F.array(band, band + 1))).select("node", "tile", F.explode("few.hash").alias("hash"))
 
 
@@ -156,20 +166,60 @@ def _stars(tiles: DataFrame) -> DataFrame:
     return near.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct(F.col("count"), -F.col("b"))).alias("b"))
 
 
-def _rest(scratch: Scratch, tiles: DataFrame, labels: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of different components in one tile that bit counts don't rule out."""
+def _band(n: Column, percent: int) -> Column:
+    """Sets that link are in one band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / (log(100 / percent) * 1.0001))
+
+
+def _rest(scratch: Scratch, tiles: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """(a, b): pairs of different components in one tile that bit counts don't rule out.
+
+    Members of a tile are dealt to blocks of about `block`, and each two blocks are compared within one task; only pairs that
+    may link leave it.
+    """
     lab = labels.withColumnRenamed("node", "_node")
     named = tiles.join(lab, tiles["node"] == lab["_node"], "left").select("hash", "tile", "node", F.coalesce("label", "node").alias("label"))
-    parts = named.groupBy("hash", "tile", "label").count()
-    mixed = parts.groupBy("hash", "tile").agg(F.count("*").alias("labels"), F.max_by("label", F.struct("count", "label")).alias("main")).where("labels > 1").drop("labels")
-    open_tiles = scratch.write(named.join(mixed, ["hash", "tile"]), "open")
-    a = open_tiles.where("label <> main").select("hash", "tile", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    b = open_tiles.select("hash", "tile", F.col("node").alias("b"), F.col("label").alias("label_b"), (F.col("label") == F.col("main")).alias("in_main"))
-    pairs = a.join(b, ["hash", "tile"]).where("label_a <> label_b and (in_main or a < b)").select("a", "b").distinct()
-    n, other = (reps.select(F.col("node").alias(f"_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
-    pairs = pairs.join(n, F.col("a") == F.col("_a")).join(other, F.col("b") == F.col("_b"))
-    most = F.least(_overlap_bound(F.col("n_a"), F.col("bits_a"), F.col("bits_b")), _overlap_bound(F.col("n_b"), F.col("bits_b"), F.col("bits_a")))
-    return pairs.where(most * 100 >= (F.col("n_a") + F.col("n_b") - most) * percent).select("a", "b")
+    mixed = named.groupBy("hash", "tile").agg(F.count("*").alias("members"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").drop("_a", "_b")
+    open_tiles = named.join(mixed, ["hash", "tile"])
+    sets = reps.select(F.col("node").alias("_node"), "n", "bits", _band(F.col("n"), percent).alias("band"))
+    d = open_tiles.join(sets, F.col("node") == F.col("_node")).drop("_node").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    d = d.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    d = d.withColumn("i", F.least("own", "_j")).withColumn("j", F.greatest("own", "_j"))
+    keys = ["hash", "tile", "i", "j"]
+    d = d.select(*keys, "own", "node", "label", "n", "band", "bits").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+
+        def compared(t: pa.Table) -> pa.RecordBatch:
+            key = np.stack([t.column(c).to_numpy() for c in keys], 1)
+            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
+            own, node, label, n, band = (t.column(c).to_numpy() for c in ("own", "node", "label", "n", "band"))
+            bits = t.column("bits").combine_chunks().flatten().to_numpy().view("uint64").reshape(-1, _WORDS)
+            found = []
+            for x, y in zip(cut, cut[1:], strict=False):
+                pairs = bound_pairs(n[x:y], bits[x:y], label[x:y], own[x:y], key[x, 2] != key[x, 3], band[x:y], key[x, 1], percent)
+                found += [(min(node[x + p], node[x + q]), max(node[x + p], node[x + q])) for p, q in pairs]
+            found = sorted(set(found))
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], "int64"), pa.array([q for _, q in found], "int64")], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append(batch)
+            t = pa.Table.from_batches(waiting)
+            last = np.ones(t.num_rows, bool)  # rows of the last group, which may go on in the next batch
+            for c in keys:
+                v = t.column(c).to_numpy()
+                last &= v == v[-1]
+            done = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if done:
+                yield compared(t.slice(0, done))
+            waiting = t.slice(done).to_batches()
+        if waiting:
+            yield compared(pa.Table.from_batches(waiting))
+
+    return d.mapInArrow(run, "a long, b long").distinct()
 
 
 def verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, percent: int, name: str) -> DataFrame:

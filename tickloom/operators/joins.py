@@ -18,9 +18,9 @@ def with_benchmark(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
 def with_daily_benchmark(bars: DataFrame, daily: DataFrame, allow_backfill: bool = False) -> DataFrame:
     """The day's benchmark_close on each bar, else the last one before. allow_backfill: leading bars get the first one after."""
     d = bars.withColumn("_day", F.to_date("ts")).join(daily.select(F.to_date("ts").alias("_day"), "benchmark_close"), "_day", "left").drop("_day")
-    filled = F.last("benchmark_close", ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    filled = F.last("benchmark_close", ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0))
     if allow_backfill:
-        filled = F.coalesce(filled, F.first("benchmark_close", ignorenulls=True).over(W.rowsBetween(0, Window.unboundedFollowing)))
+        filled = F.coalesce(filled, F.first("benchmark_close", ignorenulls=True).over(W().rowsBetween(0, Window.unboundedFollowing)))
     return d.withColumn("benchmark_close", filled)
 
 

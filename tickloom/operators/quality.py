@@ -76,7 +76,7 @@ def prefilter(bars: DataFrame, min_bars: int = 0, min_price: float = 0, max_pric
     """Symbols whose last bar passes; 0 turns a bound off. The average range is a simple mean of 14 true ranges."""
     before = F.coalesce(lag("close"), C("close"))
     tr = F.greatest(C("high") - C("low"), F.abs(C("high") - before), F.abs(C("low") - before))
-    d = bars.withColumn("_tr", tr).withColumn("_atr", F.avg("_tr").over(W.rowsBetween(-13, 0))).withColumn("_k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).withColumn("_n", F.count("*").over(Window.partitionBy("symbol")))
+    d = bars.withColumn("_tr", tr).withColumn("_atr", F.avg("_tr").over(W().rowsBetween(-13, 0))).withColumn("_k", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("ts")))).withColumn("_n", F.count("*").over(Window.partitionBy("symbol")))
     ok = C("_n") >= min_bars
     for bound, test in ((min_price, C("close") >= min_price), (max_price, C("close") <= max_price), (min_volume, C("volume") >= min_volume), (min_atr_pct, F.try_divide(C("_atr") * 100, C("close")) >= min_atr_pct)):
         ok = ok & flag(test) if bound else ok

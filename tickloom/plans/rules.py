@@ -129,7 +129,7 @@ def _leaf(rule: dict, needs: _Needs) -> Compiled:
         w, x = p.get("window", 5), "high" if kind == "higher_high" else "low"
         needs.stage(f"structure_{w}", lambda d: swings.with_trend_structure(d, w, as_known=True))
         told = f"higher_{x}" if x == "high" else f"lower_{x}"
-        at = F.last(F.when(C(f"swing_{x}_known").isNotNull(), C(told)), ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0))
+        at = F.last(F.when(C(f"swing_{x}_known").isNotNull(), C(told)), ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0))
         passed, value, least = at, C(f"swing_{x}_known"), p.get("lookback", 20)
     elif kind in ("volume_breakout", "volume_ratio", "volume_decline"):
         n, m = p.get("period", 20), p.get("multiplier", 0.5 if kind == "volume_decline" else 1.5 if kind == "volume_ratio" else 2.0)

@@ -188,7 +188,7 @@ class OpeningRangeBreakout(Strategy):
         high = (C("close") > C("or_high")) & ((C("close") > C("_v")) if self.use_vwap else F.lit(True))
         low = (C("close") < C("or_low")) & ((C("close") < C("_v")) if self.use_vwap else F.lit(True))
         d = d.withColumn("_l", flag(ok & high)).withColumn("_s", flag(ok & low & ~flag(high)))
-        upto = DAY.rowsBetween(Window.unboundedPreceding, -1)
+        upto = DAY().rowsBetween(Window.unboundedPreceding, -1)
         first = lambda c: C(c) & (F.coalesce(F.sum(C(c).cast("int")).over(upto), F.lit(0)) == 0)
         d = d.withColumn("signal", F.when(first("_l"), 1).when(first("_s"), -1).otherwise(0))
         return finish(d, bars.columns, 0, tag_long="ORB_LONG", tag_short="ORB_SHORT", stop=C("open"), target_pct=self.target_pct)
@@ -196,7 +196,7 @@ class OpeningRangeBreakout(Strategy):
 
 def first_signal_per_session(d: DataFrame, column: str = "signal") -> DataFrame:
     """Signals other than the first of a symbol's day are cleared."""
-    seen = F.coalesce(F.sum((C(column) != 0).cast("int")).over(DAY.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seen = F.coalesce(F.sum((C(column) != 0).cast("int")).over(DAY().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return d.withColumn("_seen", seen).withColumn(column, F.when(C("_seen") == 0, C(column)).otherwise(0)).drop("_seen")
 
 

@@ -57,15 +57,15 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
-def on_bars(name: str, made: dict[str, Column] | Callable[[DataFrame], DataFrame], sql: dict[str, str] | None = None, *, before: str = "", out: tuple[str, ...] = (), source: Callable[[SparkSession, str], DataFrame] = tables.bars_hourly, bars: str = HOURLY, plain: tuple[str, ...] = ()) -> None:
-    """Registers columns over bars: (symbol, ts, columns), doubles rounded to 6 places."""
+def on_bars(name: str, made: Callable[[], dict[str, Column]] | Callable[[DataFrame], DataFrame], sql: dict[str, str] | None = None, *, before: str = "", out: tuple[str, ...] = (), source: Callable[[SparkSession, str], DataFrame] = tables.bars_hourly, bars: str = HOURLY, plain: tuple[str, ...] = ()) -> None:
+    """Registers columns over bars: (symbol, ts, columns), doubles rounded to 6 places. made gives columns, or bars with the columns `out`."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = source(spark, sf_dir)
-        if callable(made):
+        if out:
             d = made(d).select("symbol", "ts", *out)
         else:
-            d = d.select("symbol", "ts", *(x.alias(k) for k, x in made.items()))
+            d = d.select("symbol", "ts", *(x.alias(k) for k, x in made().items()))
         return rounded(d)
 
     text = None
@@ -97,19 +97,18 @@ register("date_range", lambda s, d: between_dates(tables.bars_hourly(s, d), "202
 
 # --- window indicators ---------------------------------------------------------------------------------------------------
 
-cl = C("close")
-on_bars("sma", {"sma": ind.sma(cl, 20)}, {"sma": full(20, "avg(close)")})
-on_bars("wma", {"wma": ind.wma(cl, 10)}, {"wma": "(" + " + ".join(f"{10 - k} * {'close' if not k else f'lag(close, {k}) OVER {W}'}" for k in range(10)) + ") / 55.0"})
-on_bars("roc", {"roc": ind.roc(cl, 12)}, {"roc": f"100 * (close / nullif(lag(close, 12) OVER {W}, 0) - 1)"})
-on_bars("true_range", {"tr": ind.true_range()}, {"tr": f"greatest(high - low, abs(high - lag(close) OVER {W}), abs(low - lag(close) OVER {W}))"})
+on_bars("sma", lambda: {"sma": ind.sma(C("close"), 20)}, {"sma": full(20, "avg(close)")})
+on_bars("wma", lambda: {"wma": ind.wma(C("close"), 10)}, {"wma": "(" + " + ".join(f"{10 - k} * {'close' if not k else f'lag(close, {k}) OVER {W}'}" for k in range(10)) + ") / 55.0"})
+on_bars("roc", lambda: {"roc": ind.roc(C("close"), 12)}, {"roc": f"100 * (close / nullif(lag(close, 12) OVER {W}, 0) - 1)"})
+on_bars("true_range", lambda: {"tr": ind.true_range()}, {"tr": f"greatest(high - low, abs(high - lag(close) OVER {W}), abs(low - lag(close) OVER {W}))"})
 DAY = "(PARTITION BY symbol, ts::DATE ORDER BY ts)"
-on_bars("vwap", {"vwap": ind.vwap()}, {"vwap": f"sum((high + low + close) / 3 * volume) OVER {DAY} / nullif(sum(volume) OVER {DAY}, 0)"})
-on_bars("zscore", {"z": ind.zscore(cl, 20)}, {"z": f"(close - {full(20, 'avg(close)')}) / nullif({full(20, 'stddev_samp(close)')}, 0)"})
-on_bars("rolling_correlation", {"corr": ind.rolling_correlation(cl, C("volume").cast("double"), 20)}, {"corr": f"CASE WHEN var_samp(close) OVER {w(20)} > 0 AND var_samp(volume) OVER {w(20)} > 0 THEN {full(20, 'corr(close, volume)')} END"})
-on_bars("rolling_beta", {"beta": ind.rolling_beta(cl, C("open"), 20)}, {"beta": f"{full(20, 'covar_samp(close, open)')} / nullif({full(20, 'var_samp(open)')}, 0)"})
-on_bars("spread", {"spread": ind.spread(cl, C("open"), 1.5)}, {"spread": "close - 1.5 * open"})
-on_bars("crossovers", {
-    "over": ind.crossover(cl, C("open")), "under": ind.crossunder(cl, C("open")), "above": ind.above_threshold(cl, 50.0), "below": ind.below_threshold(cl, 50.0)},
+on_bars("vwap", lambda: {"vwap": ind.vwap()}, {"vwap": f"sum((high + low + close) / 3 * volume) OVER {DAY} / nullif(sum(volume) OVER {DAY}, 0)"})
+on_bars("zscore", lambda: {"z": ind.zscore(C("close"), 20)}, {"z": f"(close - {full(20, 'avg(close)')}) / nullif({full(20, 'stddev_samp(close)')}, 0)"})
+on_bars("rolling_correlation", lambda: {"corr": ind.rolling_correlation(C("close"), C("volume").cast("double"), 20)}, {"corr": f"CASE WHEN var_samp(close) OVER {w(20)} > 0 AND var_samp(volume) OVER {w(20)} > 0 THEN {full(20, 'corr(close, volume)')} END"})
+on_bars("rolling_beta", lambda: {"beta": ind.rolling_beta(C("close"), C("open"), 20)}, {"beta": f"{full(20, 'covar_samp(close, open)')} / nullif({full(20, 'var_samp(open)')}, 0)"})
+on_bars("spread", lambda: {"spread": ind.spread(C("close"), C("open"), 1.5)}, {"spread": "close - 1.5 * open"})
+on_bars("crossovers", lambda: {
+    "over": ind.crossover(C("close"), C("open")), "under": ind.crossunder(C("close"), C("open")), "above": ind.above_threshold(C("close"), 50.0), "below": ind.below_threshold(C("close"), 50.0)},
     {"over": f"coalesce(close > open AND lag(close) OVER {W} <= lag(open) OVER {W}, false)", "under": f"coalesce(close < open AND lag(close) OVER {W} >= lag(open) OVER {W}, false)",
      "above": f"coalesce(close > 50 AND lag(close) OVER {W} <= 50, false)", "below": f"coalesce(close < 50 AND lag(close) OVER {W} >= 50, false)"}, plain=("over", "under", "above", "below"))
 on_bars("bollinger", ind.with_bollinger, {"bb_mid": "mid", "bb_upper": "mid + 2 * sd", "bb_lower": "mid - 2 * sd", "bb_percent_b": "(close - (mid - 2 * sd)) / nullif(4 * sd, 0)", "bb_bandwidth": "4 * sd / nullif(mid, 0)"},
@@ -122,8 +121,8 @@ on_bars("atr_simple", ind.with_atr_simple, {"atr_simple": full(14, "avg(tr)", "t
 _with_bench = lambda d: joins.with_benchmark(d, tables.benchmark(d))
 _JOINED = f"{BENCH}, j AS (SELECT bars.*, benchmark_close FROM bars JOIN bench USING (ts))"
 on_bars("mansfield", lambda d: ind.with_mansfield(_with_bench(d)), {"mansfield": f"100 * (r / nullif({full(55, 'avg(r)', 'r')}, 0) - 1)"}, before=f"{_JOINED}, src AS (SELECT *, close / nullif(benchmark_close, 0) AS r FROM j)", out=("mansfield",))
-on_bars("relative_strength", lambda d: _with_bench(d).withColumn("rs", ind.relative_strength(cl, C("benchmark_close"), 55)), {"rs": f"(close / nullif(lag(close, 55) OVER {W}, 0)) / nullif(benchmark_close / nullif(lag(benchmark_close, 55) OVER {W}, 0), 0) - 1"}, before=f"{_JOINED}, src AS (SELECT * FROM j)", out=("rs",))
-on_bars("run_length", lambda d: with_run_length(d, cl > C("open"), "run"), {"run": f"(rn - coalesce(max(CASE WHEN NOT close > open THEN rn END) OVER {W}, 0))::INTEGER"}, before=f"{NUMBERED}, src AS (SELECT * FROM b)", out=("run",), plain=("run",))
+on_bars("relative_strength", lambda d: _with_bench(d).withColumn("rs", ind.relative_strength(C("close"), C("benchmark_close"), 55)), {"rs": f"(close / nullif(lag(close, 55) OVER {W}, 0)) / nullif(benchmark_close / nullif(lag(benchmark_close, 55) OVER {W}, 0), 0) - 1"}, before=f"{_JOINED}, src AS (SELECT * FROM j)", out=("rs",))
+on_bars("run_length", lambda d: with_run_length(d, C("close") > C("open"), "run"), {"run": f"(rn - coalesce(max(CASE WHEN NOT close > open THEN rn END) OVER {W}, 0))::INTEGER"}, before=f"{NUMBERED}, src AS (SELECT * FROM b)", out=("run",), plain=("run",))
 register("half_life", lambda s, d: rounded(ind.half_life(tables.bars_hourly(s, d), "close")), f"""WITH {HOURLY}, l AS (SELECT symbol, close - lag(close) OVER {W} AS d, lag(close) OVER {W} AS x FROM bars),
 g AS (SELECT symbol, regr_slope(d, x) AS k, count(*) AS n FROM l WHERE d IS NOT NULL GROUP BY symbol) SELECT symbol, CASE WHEN n < 30 OR k IS NULL OR k >= 0 THEN 'inf'::DOUBLE ELSE round(-ln(2.0::DOUBLE) / k, 6) END AS half_life FROM g""")
 
@@ -247,7 +246,7 @@ register("universe_changes", lambda s, d: joins.changes(_universe(s, "click", "v
 
 
 def _returns(s: SparkSession, d: str) -> DataFrame:
-    return tables.bars_daily(s, d).select("symbol", "ts", ind.roc(cl, 1).alias("r")).where("r is not null")
+    return tables.bars_daily(s, d).select("symbol", "ts", ind.roc(C("close"), 1).alias("r")).where("r is not null")
 
 
 register("correlation_matrix", lambda s, d: rounded(joins.correlation_matrix(_returns(s, d))), f"""WITH {DAILY}, q AS (SELECT symbol, ts, 100 * (close / nullif(lag(close) OVER {W}, 0) - 1) AS r FROM bars), n AS (SELECT * FROM q WHERE r IS NOT NULL)
@@ -278,14 +277,14 @@ def _orders(s: SparkSession, d: str) -> DataFrame:
 
 
 register("charges", lambda s, d: _orders(s, d).groupBy("segment", "side").agg(F.count("*").alias("orders"), F.round(F.sum("total"), 1).alias("total"), F.round(F.sum("brokerage"), 1).alias("brokerage")))
-register("position_size", lambda s, d: tables.bars_hourly(s, d).select("symbol", "ts", pricing.quantity_column(F.lit(100000.0), cl, C("low") - 1).alias("quantity")), f"""WITH {HOURLY} SELECT symbol, ts, greatest(least(floor(100000.0::DOUBLE * 0.01::DOUBLE / abs(close - (low - 1))), floor(100000.0::DOUBLE / close)), 0)::BIGINT AS quantity FROM bars""")
+register("position_size", lambda s, d: tables.bars_hourly(s, d).select("symbol", "ts", pricing.quantity_column(F.lit(100000.0), C("close"), C("low") - 1).alias("quantity")), f"""WITH {HOURLY} SELECT symbol, ts, greatest(least(floor(100000.0::DOUBLE * 0.01::DOUBLE / abs(close - (low - 1))), floor(100000.0::DOUBLE / close)), 0)::BIGINT AS quantity FROM bars""")
 
 # --- screens ---------------------------------------------------------------------------------------------------------------
 
 def screen_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last bar of each symbol whose close is above its 20-bar mean on a volume above 3."""
     d = tables.bars_hourly(spark, sf_dir)
-    d = d.withColumn("sma", ind.sma(cl, 20))
+    d = d.withColumn("sma", ind.sma(C("close"), 20))
     return rounded(latest(d).where("close > sma and volume > 3").select("symbol", "ts", "close", "sma", "volume"))
 
 
@@ -374,7 +373,7 @@ def _curve(s: SparkSession, d: str) -> DataFrame:
     """A fixed curve: 20,000,000 and the running sum of each day's close less open."""
     from .operators.windows import W as ordered
 
-    return tables.bars_daily(s, d).select("symbol", "ts", F.round(20_000_000 + F.sum(cl - C("open")).over(ordered), 2).alias("equity"))
+    return tables.bars_daily(s, d).select("symbol", "ts", F.round(20_000_000 + F.sum(C("close") - C("open")).over(ordered()), 2).alias("equity"))
 
 
 _CURVE = f"{DAILY}, eq AS (SELECT symbol, ts, round(20000000 + sum(close - open) OVER {W}, 2) AS equity FROM bars)"

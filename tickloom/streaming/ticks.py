@@ -104,7 +104,7 @@ class CandleProcessor(StatefulProcessor):
 
 def stream_candles(ticks: DataFrame, late: str = "drop") -> DataFrame:
     """The stream's candles; needs the RocksDB state store."""
-    return ticks.groupBy("symbol").transformWithStateInPandas(CandleProcessor(late), CandleProcessor.SCHEMA, "Append", "None")
+    return ticks.groupBy("symbol").transformWithStateInPandas(CandleProcessor(late), CandleProcessor.SCHEMA, "Append", "ProcessingTime")
 
 
 def write_stream(d: DataFrame, path: str, checkpoint: str, kind: str = "parquet", every: str = "5 seconds"):
