@@ -247,6 +247,15 @@ def test_pages(spark):
     assert page_diff.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def page_texts(spark, rows):
+    return {r.page_id: r.text for r in page_diff.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_pages_with_marks_are_compared_too(spark):
+    page = "<body><div>Site name</div><p>Lead {0}</p><article><p>Text {0}</p><p>Said twice</p></article><div>Bye all</div></body>"
+    assert page_texts(spark, [(i, f"http://h/{i}", page.format(i)) for i in range(4)]) == {i: f"Lead {i}\nText {i}\nSaid twice" for i in range(4)}
+
+
 def test_common_lines_are_a_longest_subsequence():
     r = random.Random(8)
     for _ in range(200):

@@ -135,12 +135,13 @@ def shared_lines(own: list[int], neighbours: list[list[int] | None], copy: float
 
 
 def main_text(page: str | None, shared: list[int] | None) -> str:
-    """Lines marked as main text where there are any; else unmarked lines that are not shared."""
-    lines = page_lines(page or "")
-    if any(k == 1 for _, k in lines):
-        return "\n".join(x for x, k in lines if k == 1)
-    gone = set(shared or ())
-    return "\n".join(x for n, (x, k) in enumerate(lines) if k == 0 and n not in gone)
+    """Lines marked as main text, and unmarked lines that are not shared; shared: positions among the unmarked lines."""
+    gone, out, n = set(shared or ()), [], -1
+    for line, kind in page_lines(page or ""):
+        n += kind == 0
+        if kind == 1 or kind == 0 and n not in gone:
+            out.append(line)
+    return "\n".join(out)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -148,9 +149,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Pages are put in order of host, path and page_id over all tasks, which gives each its rank; a page is paired with the
     ranks before and after, where those are of its host, by equality joins of line hashes. Lines in the longest common
-    subsequence are shared and go, unless markup (article, main and the like) says that they are main text. Markup of
-    menus, footers, forms, adverts, comments and so on also takes lines out. Only pages that lose lines to a neighbour are
-    joined back to their html.
+    subsequence of the unmarked lines of both are shared and go, on every page. Markup is a guard on top: lines in article,
+    main and the like stay, lines in menus, footers, forms, adverts, comments and so on go, whatever a neighbour shares.
+    Only pages that lose lines to a neighbour are joined back to their html.
 
     Defined results: null or empty html gives the empty text; a null url is a host of its own; pages alone on their host
     have no pair; of equal rows each gets the same text; an empty table gives no rows; other columns are ignored.
@@ -160,13 +161,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def hashes(batch: pa.RecordBatch) -> dict:
         lines = [page_lines(x or "") for x in batch.column("html").to_pylist()]
-        marked = [any(k == 1 for _, k in x) for x in lines]
-        return {"lines": [[x for x, _ in y] for y in lines], "marked": marked}
+        return {"lines": [[x for x, k in y if k == 0] for y in lines]}
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^#]*)", 1)
     keyed = p.withColumn("host", F.when(F.col("url").isNull(), F.lit("\x00")).otherwise(host)).withColumn("path", path).withColumn("content", F.xxhash64("html"))
-    slim = map_texts(keyed, ["page_id", "url", "host", "path", "content"], hashes, "lines array<string>, marked boolean").withColumn("lines", F.transform("lines", lambda x: F.xxhash64(x)))
+    slim = map_texts(keyed, ["page_id", "url", "host", "path", "content"], hashes, "lines array<string>").withColumn("lines", F.transform("lines", lambda x: F.xxhash64(x)))
     placed = scratch.write(slim.orderBy("host", "path", "page_id", "content").withColumn("place", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("place", 33)
     counts = placed.groupBy(part.alias("part")).agg(F.max("place").alias("most"))  # a row per partition of the sort
@@ -175,7 +175,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     ranked = scratch.write(ranked, "ranked")
 
     near = lambda step, name: ranked.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("lines").alias(name))
-    pairs = ranked.filter("not marked").join(near(1, "before"), "rank", "left").join(near(-1, "after"), "rank", "left")
+    pairs = ranked.join(near(1, "before"), "rank", "left").join(near(-1, "after"), "rank", "left")
     pairs = pairs.select("page_id", "url", "content", "lines", *(F.when(F.col(f"{x}_host") == F.col("host"), F.col(x)).alias(x) for x in ("before", "after")))
 
     def shared(batch: pa.RecordBatch) -> dict:
