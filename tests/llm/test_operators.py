@@ -256,6 +256,21 @@ def test_pages_with_marks_are_compared_too(spark):
     assert page_texts(spark, [(i, f"http://h/{i}", page.format(i)) for i in range(4)]) == {i: f"Lead {i}\nText {i}\nSaid twice" for i in range(4)}
 
 
+def test_short_articles_in_a_long_template(spark):
+    page = "<nav>" + "<p>menu</p>" * 30 + "</nav>" + "".join(f"<p>Template {i}</p>" for i in range(20)) + "<p>Text {0}</p><p>More {0}</p>"
+    assert page_texts(spark, [(i, f"http://h/{i}", page.replace("{0}", str(i))) for i in range(3)]) == {i: f"Text {i}\nMore {i}" for i in range(3)}
+
+
+def test_copies_side_by_side_are_compared_with_other_pages(spark):
+    page = "<p>Site name</p><div class=ad>{1}</div><p>Text {0}</p><article>Article {2}</article><p>Bye all</p>"
+    rows = [(i, f"http://{h}/{i:05}", page.format(h if 2 <= i < 700 else i, i, h)) for h in ("h", "k") for i in range(900)]
+    rows = [(i if h == "h" else i + 1000, u, p) for (i, u, p), h in zip(rows, ["h"] * 900 + ["k"] * 900)] + [(5000, "http://h/00005x", ""), (5001, "http://h/00699x", "<nav>menu</nav>")]
+    want = {i + n: f"Text {h if 2 <= i < 700 else i}\nArticle {h}" for h, n in (("h", 0), ("k", 1000)) for i in range(900)} | {5000: "", 5001: ""}
+    assert page_texts(spark, rows) == want
+    only = [(i, f"http://o/{i}", "<p>Site name</p><p>Text</p>") for i in range(3)]
+    assert page_texts(spark, only) == {i: "Site name\nText" for i in range(3)}
+
+
 def test_common_lines_are_a_longest_subsequence():
     r = random.Random(8)
     for _ in range(200):

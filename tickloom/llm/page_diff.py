@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -123,15 +124,9 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shared_lines(own: list[int], neighbours: list[list[int] | None], copy: float = 0.8) -> list[int]:
-    """Positions of own lines that are shared with a neighbour. One with nearly the same lines is a copy of the page and tells nothing."""
-    out: set[int] = set()
-    for other in neighbours:
-        if other:
-            both = common_lines(own, other)
-            if len(both) < copy * max(len(own), len(other)):
-                out.update(both)
-    return sorted(out)
+def shared_lines(own: list[int], neighbours: list[list[int] | None]) -> list[int]:
+    """Positions of own lines that are shared with a neighbour."""
+    return sorted({k for other in neighbours if other for k in common_lines(own, other)})
 
 
 def main_text(page: str | None, shared: list[int] | None) -> str:
@@ -147,8 +142,10 @@ def main_text(page: str | None, shared: list[int] | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages (page_id, url, html, ...).
 
-    Pages are put in order of host, path and page_id over all tasks, which gives each its rank; a page is paired with the
-    ranks before and after, where those are of its host, by equality joins of line hashes. Lines in the longest common
+    Pages are put in order of host, path and page_id over all tasks, which gives each its rank. Pages with the same lines
+    that follow each other are a run, so that a page's neighbours are the nearest ones before and after of its host that say
+    something else; lines marked as off don't count, pages without others have no rank. Runs are paired by equality joins;
+    what they lose goes back to their pages by blocks of ranks, so that a run may have any size. Lines in the longest common
     subsequence of the unmarked lines of both are shared and go, on every page. Markup is a guard on top: lines in article,
     main and the like stay, lines in menus, footers, forms, adverts, comments and so on go, whatever a neighbour shares.
     Only pages that lose lines to a neighbour are joined back to their html.
@@ -160,29 +157,44 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     p = pages.select(pages["page_id"], pages["url"], pages["html"])
 
     def hashes(batch: pa.RecordBatch) -> dict:
-        lines = [page_lines(x or "") for x in batch.column("html").to_pylist()]
-        return {"lines": [[x for x, k in y if k == 0] for y in lines]}
+        lines = [[x for x in page_lines(page or "") if x[1] >= 0] for page in batch.column("html").to_pylist()]
+        said = ["".join(f"{x}\n{k}\n" for x, k in y) if y else None for y in lines]
+        return {"lines": [[x for x, k in y if k == 0] for y in lines], "said": [x and blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in said]}
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^#]*)", 1)
     keyed = p.withColumn("host", F.when(F.col("url").isNull(), F.lit("\x00")).otherwise(host)).withColumn("path", path).withColumn("content", F.xxhash64("html"))
-    slim = map_texts(keyed, ["page_id", "url", "host", "path", "content"], hashes, "lines array<string>").withColumn("lines", F.transform("lines", lambda x: F.xxhash64(x)))
+    slim = map_texts(keyed, ["page_id", "url", "host", "path", "content"], hashes, "lines array<string>, said binary").filter("said is not null").withColumn("lines", F.transform("lines", lambda x: F.xxhash64(x)))
     placed = scratch.write(slim.orderBy("host", "path", "page_id", "content").withColumn("place", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("place", 33)
     counts = placed.groupBy(part.alias("part")).agg(F.max("place").alias("most"))  # a row per partition of the sort
     start = counts.select(F.col("part").alias("_part"), F.coalesce(F.sum(F.col("most") - F.shiftleft(F.col("part"), 33) + 1).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    ranked = placed.join(start, part == start["_part"]).withColumn("rank", F.col("start") + F.col("place") - F.shiftleft(part, 33)).drop("_part", "start", "place")
-    ranked = scratch.write(ranked, "ranked")
-
-    near = lambda step, name: ranked.select((F.col("rank") + step).alias("rank"), F.col("host").alias(f"{name}_host"), F.col("lines").alias(name))
-    pairs = ranked.join(near(1, "before"), "rank", "left").join(near(-1, "after"), "rank", "left")
-    pairs = pairs.select("page_id", "url", "content", "lines", *(F.when(F.col(f"{x}_host") == F.col("host"), F.col(x)).alias(x) for x in ("before", "after")))
+    ranked = placed.join(start, part == start["_part"]).withColumn("rank", F.col("start") + F.col("place") - F.shiftleft(part, 33)).drop("_part", "start")
+    ranked = scratch.write(ranked.withColumn("part", part).drop("place"), "ranked")
+
+    before = ranked.select((F.col("rank") + 1).alias("rank"), F.col("host").alias("_host"), F.col("said").alias("_said"))
+    slim = ranked.select("rank", "part", "host", "said").join(before, "rank", "left")
+    slim = scratch.write(slim.select("rank", "part", F.coalesce((F.col("_host") != F.col("host")) | (F.col("_said") != F.col("said")), F.lit(True)).alias("first")), "firsts")
+    counts = slim.groupBy("part").agg(F.count_if("first").alias("n"))
+    start = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    within = Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    runs = slim.withColumn("run", F.sum(F.col("first").cast("long")).over(within)).join(start, "part").select("rank", (F.col("start") + F.col("run")).alias("run"), "first")
+    runs = scratch.write(runs.filter("first").select("rank", "run").join(ranked.select("rank", "host", "lines"), "rank"), "runs")
+
+    near = lambda step, name: runs.select((F.col("run") + step).alias("run"), F.col("host").alias(f"{name}_host"), F.col("lines").alias(name), F.col("rank").alias(f"{name}_rank"))
+    pairs = runs.join(near(1, "before"), "run", "left").join(near(-1, "after"), "run", "left")
+    pairs = pairs.select("rank", F.col("after_rank").alias("stop"), "lines", *(F.when(F.col(f"{x}_host") == F.col("host"), F.col(x)).alias(x) for x in ("before", "after")))
 
     def shared(batch: pa.RecordBatch) -> dict:
         own, before, after = (batch.column(x).to_pylist() for x in ("lines", "before", "after"))
         return {"shared": [shared_lines(a, [b, c]) for a, b, c in zip(own, before, after, strict=True)]}
 
-    lost = map_texts(pairs, ["page_id", "url", "content"], shared, "shared array<int>").filter(F.size("shared") > 0)
+    lost = map_texts(pairs, ["rank", "stop"], shared, "shared array<int>").filter(F.size("shared") > 0)
+    n_ranks = ranked.agg(F.max("rank")).first()[0] or 0
+    lost = lost.select(F.col("rank").alias("from"), F.coalesce("stop", F.lit(n_ranks + 1)).alias("stop"), "shared")
+    lost = lost.withColumn("block", F.explode(F.sequence(F.shiftright("from", 6), F.shiftright(F.col("stop") - 1, 6))))
+    pages_of = ranked.select("page_id", "url", "content", "rank", F.shiftright("rank", 6).alias("block"))
+    lost = pages_of.join(lost, "block").filter("rank >= `from` and rank < stop")
     lost = lost.groupBy(*(F.col(x).alias(f"_{x}") for x in ("page_id", "url", "content"))).agg(F.min("shared").alias("shared"))
     lost = scratch.write(lost, "lost")
     own = p.withColumn("content", F.xxhash64("html"))
