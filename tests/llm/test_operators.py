@@ -271,6 +271,17 @@ def test_copies_side_by_side_are_compared_with_other_pages(spark):
     assert page_texts(spark, only) == {i: "Site name\nText" for i in range(3)}
 
 
+@pytest.mark.parametrize("around", ["body class='no-sidebar'", "body class='has-sidebar'", "body class='logged-in search-results'", "body class=sidebar", "section class='related-work'", "div class='legal social'", "div id=search", "form", "main class=widget"])
+def test_layout_classes_leave_the_article(around):
+    page = f"<html><{around}><div class=ad-slot>Buy</div><article class='post tag-legal'><p>Text</p><div class=social>Share</div></article></{around.split()[0]}>"
+    assert page_diff.main_text(page, None) == "Text"
+
+
+def test_off_elements_stay_off():
+    page = "<body><section class=comments><article class=comment>Hi</article></section><aside><article>Teaser</article></aside><div class=cookie-banner>Yes</div><div class=sidebar>Side</div><form>f</form><p class='related-work'>Text</p>"
+    assert page_diff.main_text(page, None) == "Text"
+
+
 def test_common_lines_are_a_longest_subsequence():
     r = random.Random(8)
     for _ in range(200):

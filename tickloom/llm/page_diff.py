@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
+from collections.abc import Callable
 from hashlib import blake2b
 
 import pyarrow as pa
@@ -19,32 +20,71 @@ _CONTAINER = frozenset("article main nav header footer aside form section div ul
 _BLOCK = _CONTAINER | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption thead tbody tfoot blockquote pre hr address summary figcaption legend option center html".split())
 _OFF = frozenset("nav footer aside form menu dialog button".split())
 _ON = frozenset("article main".split())
-# Words in class, id and role that mark what is not, or is, the main text.
+# Names in class, id and role that mark what is not, or is, the main text: whole ones, without hyphens and underscores.
 _OFF_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adslot banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notification alert newsletter subscribe subscription signup "
     "login sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs footer masthead toolbar topbar comment comments commentlist respond reply replies disqus share sharing social related "
-    "recommended recommendations popup modal overlay pagination pager skip copyright disclaimer legal search searchbox form contentinfo complementary tags tagcloud".split()
+    "recommended recommendations popup modal overlay pagination pager skip copyright disclaimer legal search searchbox form contentinfo complementary tags tagcloud "
+    "adbox adcontainer adunit adwrapper sitefooter pagefooter mainfooter footerwidgets footernav footermenu footerlinks copyrightnotice mainnav mainmenu sitenav sitenavigation mainnavigation sitemenu primarynav primarymenu primarynavigation topnav topmenu subnav submenu navmenu navlinks "
+    "postnavigation postnav pagenav pagenavigation leftsidebar rightsidebar sidebarleft sidebarright primarysidebar mainsidebar sidebarwidget widgetarea "
+    "cookiebanner cookiebar cookieconsent cookienotice cookiepolicy gdprbanner consentbanner newslettersignup newsletterform emailsignup signupform subscribeform loginform searchform searchbar commentlist commentform commentsarea commentbody commentrespond "
+    "socialshare socialsharing sociallinks socialmedia socialicons socialbuttons sharebuttons sharebar sharelinks relatedposts relatedarticles relatedcontent relatedlinks relatedstories recommendedposts recommendedarticles taglist taglinks skiplink skiplinks skiptocontent".split()
 )
 _HEAD_WORDS = frozenset("header topheader pageheader siteheader".split())
-_ON_WORDS = frozenset("article articlebody main maincontent post postcontent postbody entry entrycontent story storybody".split())
+_ON_WORDS = frozenset("article articlebody articlecontent articletext main maincontent post postcontent postbody entry entrycontent story storybody".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _MARKS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
 
-def _kind(tag: str, attributes: str, around: int) -> int:
-    """Of what stands in an element: 1 main text, -1 not, 0 unmarked; around: that of the element around it."""
-    if around < 0 or tag in _OFF or attributes and _HIDDEN.search(attributes):
+# Elements that are not switched off at all, and those that are even where they hold an article.
+_NEVER_OFF = frozenset("html body main".split())
+_OFF_ANYWAY = _OFF - {"form"}
+
+
+def _kind(tag: str, attributes: str, around: int, holds: Callable[[], bool] = lambda: False) -> int:
+    """Of what stands in an element: 1 main text, -1 not, 0 unmarked; around: that of the element around it; holds: whether it holds an article or main."""
+    if around < 0 or tag in _OFF_ANYWAY or attributes and tag not in ("html", "body") and _HIDDEN.search(attributes):
         return -1
     words: set[str] = set()
     for name, value in _MARKS.findall(attributes) if attributes else ():
-        for x in value.strip("\"'").lower().split():
-            words.add(re.sub(r"[-_]", "", x))
-            words.update(re.split(r"[-_]+", x))
-    if words & _OFF_WORDS or around == 0 and (tag == "header" or words & _HEAD_WORDS):
+        words.update(re.sub(r"[-_]", "", x) for x in html.unescape(value.strip("\"'")).lower().split())
+    off = tag in _OFF or words & _OFF_WORDS or around == 0 and (tag == "header" or words & _HEAD_WORDS)
+    if off and tag not in _NEVER_OFF and not holds():
         return -1
-    return 1 if around == 1 or tag in _ON or words & _ON_WORDS else 0
+    return 1 if around == 1 or tag in _ON or tag not in ("html", "body") and not off and words & _ON_WORDS else 0
+
+
+def _holders(page: str) -> set[int]:
+    """Where the tags end that open elements with an article or main somewhere in them, other than articles that are switched off themselves (comments)."""
+    out: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    at, end = 0, len(page)
+    while at < end and (m := _TAG.search(page, at)):
+        at, tag = m.end(), (m[2] or "").lower()
+        if tag in _RAW and not m[1]:
+            at = _raw_end(page, m)
+        elif tag in _CONTAINER or tag == "button":
+            if not m[1]:
+                if tag in _ON and _kind(tag, m[3], 0) > 0:
+                    for _, k in reversed(stack):
+                        if k in out:
+                            break
+                        out.add(k)
+                stack.append((tag, at))
+            elif any(t == tag for t, _ in stack):
+                while stack.pop()[0] != tag:
+                    pass
+    return out
+
+
+def _raw_end(page: str, m: re.Match) -> int:
+    """Where a raw element ends that the tag m opens."""
+    if m[3].endswith("/"):
+        return m.end()
+    close = re.compile(rf"</{re.escape(m[2])}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, m.end())
+    return close.end() if close else len(page)
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
@@ -52,6 +92,12 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     lines: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []
     kind, text, at, end = 0, [], 0, len(page)
+    holders: list[set[int]] = []
+
+    def holds() -> bool:
+        if not holders:
+            holders.append(_holders(page))
+        return at in holders[0]
 
     def flush() -> None:
         line = " ".join(html.unescape("".join(text)).split()) if text else ""
@@ -70,16 +116,14 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             continue
         if tag in _RAW and not m[1]:
             flush()
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = close.end() if close else end
+            at = _raw_end(page, m)
         elif tag in _BLOCK:
             flush()
             if tag not in _CONTAINER:
                 continue
             if not m[1]:
                 stack.append((tag, kind))
-                kind = _kind(tag, m[3], kind)
+                kind = _kind(tag, m[3], kind, holds)
             elif any(t == tag for t, _ in stack):
                 while stack:
                     t, kind = stack.pop()
@@ -148,6 +192,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     what they lose goes back to their pages by blocks of ranks, so that a run may have any size. Lines in the longest common
     subsequence of the unmarked lines of both are shared and go, on every page. Markup is a guard on top: lines in article,
     main and the like stay, lines in menus, footers, forms, adverts, comments and so on go, whatever a neighbour shares.
+    Classes, ids and roles count as whole names. They and form switch nothing off at html, body and main, nor at an element
+    that holds an article or main; nav, footer, aside, menu, dialog, button and hidden elements are off with all they hold.
     Only pages that lose lines to a neighbour are joined back to their html.
 
     Defined results: null or empty html gives the empty text; a null url is a host of its own; pages alone on their host
