@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -190,6 +191,38 @@ def test_leaks_with_substitutions(spark, odd, nothing):
     assert spaced_seeds.find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def most_equal(masks, n):
+    """For each length up to n, the most equal words of a stretch in which no mask fits, over all stretches."""
+    keep, best, out = (1 << max(map(len, masks)) - 1) - 1, {0: 0}, [0]
+    for i in range(1, n + 1):
+        new = {}
+        for state, count in best.items():
+            for bit in (0, 1):
+                s = state << 1 | bit
+                if not any(i >= len(m) and s & int(m, 2) == int(m, 2) for m in masks):
+                    new[s & keep] = max(new.get(s & keep, 0), count + bit)
+        best = new
+        out.append(max(best.values()))
+    return out
+
+
+def test_masks_fit_every_overlap():
+    assert [n for n, most in enumerate(most_equal(spaced_seeds.MASKS, 300)) if n >= 10 and most >= 0.75 * n] == []
+    assert [n for n, most in enumerate(most_equal(spaced_seeds.SHORT, 9)) if n >= 3 and most >= 0.75 * n] == []
+
+
+def test_leaks_wherever_words_are_substituted(spark):
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in (1, 2, 3, 4, 5, 8, 9, 12, 13, 40)}
+    places = [(n, x) for n in items if n <= 13 for k in range(n // 4 + 2) for x in itertools.combinations(range(n), k)]
+    places += [(40, tuple(range(k, 40, 4))) for k in range(4)] + [(40, tuple(k for k in range(40) if k % 3 == 0))]
+    rows = [(i, " ".join(f"d{i}{w}" if k in gone else w for k, w in enumerate(items[n])), "s") for i, (n, gone) in enumerate(places)]
+    rows = [(i, f"a{i} b{i} {t} c{i}", s) for i, t, s in rows]
+    want = {(i, n, n, n - len(gone)) for i, (n, gone) in enumerate(places) if n - len(gone) >= 0.75 * n}
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    for limit in (4_000_000, 0):
+        assert {tuple(x) for x in spaced_seeds.find_leaks(docs(spark, rows), bench, most_filter=limit).collect()} == want
+
+
 def test_best_overlap_is_the_longest():
     r = random.Random(4)
     for _ in range(300):

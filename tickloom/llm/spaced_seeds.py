@@ -15,7 +15,14 @@ from .common import Scratch, map_texts
 
 _WORD = re.compile(r"[^\W_]+")
 # 1 is a position that a seed compares, 0 one that it ignores.
-MASKS = ("110110111", "111001011", "101111101")
+# Whatever places of 10 words or more are substituted, one of MASKS fits while 0.75 or more are equal; one of SHORT of 3 to 9 words.
+MASKS = ("1111", "11011")
+SHORT = ("111", "1101", "1011")
+
+
+def masks_for(n: int, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
+    """The masks that seed an item of n words."""
+    return masks if n >= 10 else SHORT if n >= 3 else ("1" * n,) if n else ()
 
 
 class _Ids(dict):
@@ -77,31 +84,34 @@ def _bench_rows(bench: DataFrame, masks: tuple[str, ...]) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> dict:
         ids = [word_ids(x) for x in batch.column("text").to_pylist()]
-        seeds = [[{"hash": h, "at": at} for m in masks for at, h in enumerate(seed_hashes(x, m).view("int64").tolist())] for x in ids]
-        return {"item": [x.tobytes() for x in ids], "seeds": seeds}
+        seeds = [[{"hash": h, "at": at} for m in masks_for(len(x), masks) for at, h in enumerate(seed_hashes(x, m).view("int64").tolist())] for x in ids]
+        return {"item": [x.tobytes() for x in ids], "seeds": seeds, "n_item": [len(x) for x in ids]}
 
-    return map_texts(bench.select(bench["item_id"], bench["text"]).where("item_id is not null and text is not null"), ["item_id"], rows, "item binary, seeds array<struct<hash:long,at:int>>")
+    return map_texts(bench.select(bench["item_id"], bench["text"]).where("item_id is not null and text is not null"), ["item_id"], rows, "item binary, seeds array<struct<hash:long,at:int>>, n_item int")
 
 
 def find_leaks(docs: DataFrame, bench: DataFrame, *, masks: tuple[str, ...] = MASKS, min_words: int = 13, share: float = 0.75, around: int = 64, filter_bits: int = 24, most_filter: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, n_words, n_equal): documents (doc_id, text, ...) and benchmark items (item_id, text, ...) that overlap.
 
-    An overlap is a stretch of min_words words or more (or of a whole shorter item) of which a part of `share` or more is
-    equal, word by word; n_words is the longest one's length. It is found where some mask fits, that is, where an overlap has
-    enough equal words close to each other; verified around the hit, up to `around` words to each side.
+    An overlap is a stretch of min_words words or more with equal words at both ends, or a whole item of any length with any
+    ends, of which a part of `share` or more is equal, word by word; n_words is the longest one's length. It is found where
+    some mask fits; with the default masks, a share of 0.75 or more and min_words of 10 or more, that is every overlap.
+    Verified around the hit, up to `around` words to each side. Items of one or two words are found wherever they stand.
 
     Tasks hash each document's words under each mask. While the benchmark has at most most_filter seeds, a bitmap of
     2**filter_bits bits of their hashes, of that fixed size, is sent to the tasks and lets hits through only; for larger
     benchmarks all seeds go to the join. A document's hits come with the words around them, each word once. Hits and seeds
     are joined by hash, then segments and items by their ids, and aligned word by word.
 
-    Defined results: texts that are null or shorter than the masks have no leaks; equal documents have equal leaks, repeated
+    Defined results: texts that are null or without words have no leaks; equal documents have equal leaks, repeated
     rows (equal doc_id) give one; null ids take no part; empty tables give no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     items = scratch.write(_bench_rows(bench, masks), "items")
     seeds = items.select("item_id", F.explode("seeds").alias("seed")).select("item_id", "seed.hash", F.col("seed.at").alias("item_at"))
-    n_seeds = items.agg(F.sum(F.size("seeds"))).first()[0] or 0
+    n_seeds, *kinds = items.agg(F.sum(F.size("seeds")), *(F.max(F.col("n_item").between(a, b)) for a, b in ((1, 1), (2, 2), (3, 9), (10, 2**31 - 1)))).first()
+    n_seeds = n_seeds or 0
+    used = [m for n, some in zip((1, 2, 3, 10), kinds, strict=True) if some for m in masks_for(n, masks)]
     bitmap = None
     if n_seeds <= most_filter:
         low = seeds.select(F.col("hash").bitwiseAND(F.lit((1 << filter_bits) - 1)).alias("low")).distinct().toPandas()  # most_filter numbers at most
@@ -117,7 +127,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, masks: tuple[str, ...] = MA
         out = []
         for text in batch.column("text").to_pylist():
             ids, found = word_ids(text), []
-            for m in masks:
+            for m in used:
                 h = seed_hashes(ids, m)
                 places = np.flatnonzero(opened[0][(h & np.uint64((1 << filter_bits) - 1)).astype("int64")]) if opened else np.arange(len(h))
                 found += zip(places.tolist(), h[places].view("int64").tolist(), strict=True)
@@ -147,7 +157,12 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, masks: tuple[str, ...] = MA
             a, b = np.frombuffer(w, "uint64"), np.frombuffer(i, "uint64")
             start, stop = max(0, shift), min(len(a), shift + len(b))
             n, equal = best_overlap(a[start:stop], b[start - shift : stop - shift], share)
-            got.append((n, equal, n >= min(min_words, len(b))))
+            leak = n >= min_words
+            if stop - start == len(b):
+                same = int((a[start:stop] == b).sum())
+                if same >= share * len(b) - 1e-9:
+                    n, equal, leak = len(b), same, True
+            got.append((n, equal, leak))
         return {"n_words": [x[0] for x in got], "n_equal": [x[1] for x in got], "leak": [x[2] for x in got]}
 
     checked = map_texts(pairs.select("doc_id", "item_id", "words", "item", "shift"), ["doc_id", "item_id"], verify, "n_words int, n_equal int, leak boolean").where("leak")
