@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import itertools
+import pathlib
 import random
 
 import numpy as np
@@ -266,6 +267,16 @@ def test_licences(spark, odd, nothing):
     assert license_digest.scan_licenses(odd).count() == odd.count() and license_digest.scan_licenses(nothing).count() == 0
 
 
+def test_whole_licence_texts(spark):
+    folder = pathlib.Path(license_digest.__file__).parent / "licenses"
+    texts = [(x.stem, x.read_text()) for x in sorted(folder.glob("*.txt"))]
+    short = {x: y for x, y in license_digest.LICENSES if len(y) > 500}
+    texts += [("GPL-3.0", (folder / "GPL-3.0.txt").read_text().split("END OF TERMS")[0]), ("MIT", short["MIT"].split("\n", 2)[2])]
+    texts += [("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, A\n" + short["BSD-3-Clause"]), ("0BSD", "BSD Zero Clause License\n" + short["0BSD"]), ("Apache-2.0", (folder / "Apache-2.0.txt").read_text().replace("\n", "\r\n"))]
+    got = {r.doc_id: r.license_id for r in license_digest.scan_licenses(docs(spark, [(i, y, "a") for i, (_, y) in enumerate(texts)])).collect()}
+    assert len(texts) == 19 and [got[i] for i in range(19)] == [x for x, _ in texts]
+
+
 # --- pages
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +40,32 @@ LICENSES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 
+# Titles that stand, or don't, above the short licences.
+TITLES = {
+    "MIT": ("", "MIT License", "The MIT License", "The MIT License (MIT)"),
+    "BSD-2-Clause": ("", "BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("", "BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "ISC": ("", "ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("", "BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero-Clause License", "Zero Clause BSD License"),
+}
+
+
+def all_texts() -> list[tuple[str, str]]:
+    """LICENSES, the short ones under each title, and the files of licenses/: whole, without title, and without what follows the terms."""
+    out = list(LICENSES)
+    for name, text in LICENSES:
+        if name in TITLES and len(text) > 500:
+            body = text.split("\n", 2)[2] if name in ("MIT", "ISC") else text
+            out += [(name, f"{title}\n{body}") for title in TITLES[name]]
+    for file in sorted(resources.files(__package__).joinpath("licenses").iterdir(), key=lambda x: x.name):
+        if file.name.endswith(".txt"):
+            text = file.read_text(encoding="utf-8").strip()
+            head, mark, _ = text.partition("END OF TERMS AND CONDITIONS")
+            for x in {text, head, head + mark}:
+                out += [(file.name[:-4], x), (file.name[:-4], re.split(r"\n\s*\n", x, maxsplit=1)[1])]
+    return out
+
+
 #: Lines that hold nothing but a copyright statement.
 COPYRIGHT = r"^(copyright|c copyright|c [0-9]{4}|all rights reserved)( |$)"
 SOME_SPELLING = r"\b(" + "|".join(a for a, _ in SPELLINGS) + r")\b"
@@ -53,8 +82,8 @@ def canonical_lines(text: Column) -> Column:
 
 
 def license_table(spark: SparkSession) -> DataFrame:
-    """(known_digest, license_id): one row per digest. Its size is that of LICENSES, whatever the input."""
-    known = spark.createDataFrame(list(LICENSES), "license_id string, license_text string")
+    """(known_digest, license_id): one row per digest. Its size is that of all_texts(), whatever the input."""
+    known = spark.createDataFrame(all_texts(), "license_id string, license_text string")
     digest = F.sha2(F.array_join(canonical_lines(F.col("license_text")), " "), 256)
     return known.select("license_id", digest.alias("known_digest")).groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
