@@ -95,6 +95,31 @@ def test_warc_round_trip_with_magic_inside(spark, split):
     assert by[5].record_type == "revisit" and by[5].refers_to == 6 and by[6].record_type == "response" and by[None].record_type == "response"
 
 
+def test_warc_read_with_other_splits_the_second_time(spark, monkeypatch):
+    rows = [(i, f"http://h/{i}", f"page {i} {INNER if i % 2 else ''} end" * 9) for i in range(40)] + [(41, "u", "long " * 100_000 + INNER)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    read, before, splits = warc._segments, spark.conf.get("spark.sql.files.maxPartitionBytes"), iter(["999b", "4000b", "211b"])
+
+    def other(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(splits))
+        return read(*args)
+
+    monkeypatch.setattr(warc, "_segments", other)
+    try:
+        got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {i: got[i].payload_digest for i in got} == {i: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for i, _, h in rows}
+
+
+def test_warc_headers(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "a"), (1, "u", "a")], "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(pages, f"file://{tmp_path}/w")
+    text = "".join(x.read_bytes().decode() for x in (tmp_path / "w").glob("part-*"))
+    ids = [x for x in text.split("\r\n") if x.startswith("WARC-Record-ID: ")]
+    assert len(set(ids)) == 2 and text.count("\r\nWARC-Date: 20") == 2 and text.count("\r\nContent-Length: 1\r\n\r\na\r\n\r\n") == 2
+
+
 def test_warc_of_nothing(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 

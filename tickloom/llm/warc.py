@@ -7,6 +7,8 @@ reaches; magic inside payloads is not reached, and what follows it is given back
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,15 +27,17 @@ def sha1_base32(data: Column) -> Column:
     return F.translate(F.concat(*[F.lpad(F.conv(F.substring(digest, 5 * k + 1, 5), 16, 32), 4, "0") for k in range(8)]), _DIGITS, _RFC4648)
 
 
-def write_warc(pages: DataFrame, path: str) -> None:
+def write_warc(pages: DataFrame, path: str, at: dt.datetime | None = None) -> None:
     """One record per row of pages (page_id, url, html, ...), payload the html in UTF-8 (null: empty), in files below path.
 
     Records are the lines of a text file whose line end is that of a WARC record, so that Spark's own writer makes the
     archives on any file system. White space and control characters in urls are escaped, as a header ends at a line's end.
+    Record ids hold the page_id and the row's number, so that none occurs twice; WARC-Date is `at`, by default now.
     """
     payload = F.coalesce(pages["html"], F.lit(""))
+    date = (at or dt.datetime.now(dt.UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
     header = F.concat(
-        F.lit(MAGIC + "WARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(pages["page_id"].cast("string"), F.lit("")),
+        F.lit(MAGIC + f"WARC-Type: resource\r\nWARC-Date: {date}\r\nWARC-Record-ID: <urn:page:"), F.coalesce(pages["page_id"].cast("string"), F.lit("")), F.lit(":"), F.monotonically_increasing_id().cast("string"),
         F.lit(">\r\nWARC-Target-URI: "), F.regexp_replace(F.coalesce(pages["url"], F.lit("")), r"[\x00-\x20\x7F]", "%20"),
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nWARC-Payload-Digest: sha1:"), sha1_base32(payload.cast("binary")),
         F.lit("\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"),
@@ -66,25 +70,34 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     segs = segs.select("file", "block", "seq", F.octet_length("value").cast("long").alias("n"), F.col("skip").cast("long").alias("skip"), "length", _field(F.col("head"), "warc-record-id").alias("record_id"), _field(F.col("head"), "warc-target-uri").alias("url"), F.when(whole, sha1_base32(body)).alias("payload_digest"))
     segs = scratch.write(segs, "segments")
 
-    # Offsets: lengths before in the block, and of the blocks before. A segment starts after its magic, the file's first has none.
-    block = segs.groupBy("file", "block").agg((F.sum("n") + F.count("n") * len(MAGIC)).alias("size"))
-    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    block = block.select("file", "block", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("base"))
-    within = Window.partitionBy("file", "block").orderBy("seq")
-    at = F.col("base") + F.coalesce(F.sum(F.col("n") + len(MAGIC)).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - len(MAGIC)
-    c = segs.join(block, ["file", "block"]).withColumn("at", at).withColumn("next", F.col("at") + len(MAGIC) + F.col("skip") + F.col("length") + len(END))
+    c = _placed(segs).withColumn("next", F.col("at") + len(MAGIC) + F.col("skip") + F.col("length") + len(END))
 
     # Candidates that follow each other without a gap are a run: whoever reaches one of them reaches all that come after it in the run.
     real = c.filter("at >= 0 and length is not null")
+    within = Window.partitionBy("file", "block").orderBy("seq")
     broken = F.coalesce(F.lag("next").over(within) != F.col("at"), F.lit(True))
-    c = real.withColumn("first", F.when(broken, F.col("at"))).withColumn("run", F.last("first", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))).drop("first", "base")
+    c = real.withColumn("first", F.when(broken, F.col("at"))).withColumn("run", F.last("first", ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, 0))).drop("first")
     c = scratch.write(c, "candidates")
     entries = _reached(scratch, c)
     found = c.join(entries, ["file", "run"]).filter("at >= entry").drop("entry")
     found = scratch.write(found, "found")
 
     one = found.filter("payload_digest is not null").select("file", "at", "record_id", "url", F.col("length").alias("payload_bytes"), "payload_digest", F.lit(None).cast("binary").alias("payload"))
-    return one.unionByName(_assembled(spark, scratch, path, segs.join(block, ["file", "block"]).withColumn("at", at), found.filter("payload_digest is null")))
+    return one.unionByName(_assembled(spark, scratch, path, found.filter("payload_digest is null")))
+
+
+def _placed(segs: DataFrame) -> DataFrame:
+    """Segments (file, block, seq, n, ...) with `at`, the offset in the file at which their magic starts.
+
+    It is the lengths before in the block, and of the blocks before. A segment starts after its magic, the file's first has
+    none. Offsets depend on the file alone, block and seq on how Spark split it when it read.
+    """
+    block = segs.groupBy("file", "block").agg((F.sum("n") + F.count("n") * len(MAGIC)).alias("size"))
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    block = block.select("file", "block", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("_base"))
+    before = Window.partitionBy("file", "block").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_base") + F.coalesce(F.sum(F.col("n") + len(MAGIC)).over(before), F.lit(0)) - len(MAGIC)
+    return segs.join(block, ["file", "block"]).withColumn("at", at).drop("_base")
 
 
 def _reached(scratch: Scratch, c: DataFrame) -> DataFrame:
@@ -107,17 +120,22 @@ def _reached(scratch: Scratch, c: DataFrame) -> DataFrame:
     return reached
 
 
-def _assembled(spark: SparkSession, scratch: Scratch, path: str, segs: DataFrame, cut: DataFrame) -> DataFrame:
-    """Records whose payload holds the magic string: their segments are read again and joined. A payload is put together in one row."""
-    cut = cut.select("file", F.col("at").alias("start"), F.col("next").alias("stop"), "record_id", "url", "skip", "length")
-    # Each segment belongs to the last record that starts at or before it; only files with such records are looked at.
+def _assembled(spark: SparkSession, scratch: Scratch, path: str, cut: DataFrame) -> DataFrame:
+    """Records whose payload holds the magic string, put together from segments. A payload is put together in one row.
+
+    Files with such records are read again, and what is read is written with its own blocks and numbers, as Spark may split
+    files differently than at the first reading. Segments and records meet by offsets in the file.
+    """
+    cut = scratch.write(cut.select("file", F.col("at").alias("start"), F.col("next").alias("stop"), "record_id", "url", "skip", "length"), "cut")
     files = cut.select("file").distinct()
-    spans = segs.join(files, "file", "left_semi").select("file", "block", "seq", "at", "n", F.lit(None).cast("long").alias("start"))
-    marks = cut.select("file", F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("seq"), F.col("start").alias("at"), F.lit(None).cast("long").alias("n"), "start")
+    texts = scratch.write(_segments(spark, path).join(files, "file", "left_semi").withColumn("n", F.octet_length("value").cast("long")), "texts")
+    # Each segment belongs to the last record that starts at or before it.
+    spans = _placed(texts.select("file", "block", "seq", "n")).select("file", "block", "seq", "at", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("stop"))
+    marks = cut.select("file", F.lit(None).cast("long").alias("block"), F.lit(None).cast("long").alias("seq"), F.col("start").alias("at"), "start", "stop")
     order = Window.partitionBy("file").orderBy("at", F.col("start").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    own = spans.unionByName(marks).withColumn("start", F.last("start", ignorenulls=True).over(order)).filter("seq is not null and start is not null")
-    own = scratch.write(own.join(cut.select("file", "start", "stop"), ["file", "start"]).filter("at < stop").drop("stop"), "own")
-    parts = _segments(spark, path).join(own, ["file", "block", "seq"]).groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("binary").alias("part")))).alias("parts"))
+    own = spans.unionByName(marks).select("file", "block", "seq", "at", F.last(F.when(F.col("start").isNotNull(), F.struct("start", "stop")), ignorenulls=True).over(order).alias("of"))
+    own = scratch.write(own.filter("seq is not null and at < of.stop").select("file", "block", "seq", "at", "of.start"), "own")
+    parts = texts.join(own, ["file", "block", "seq"]).groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("at", F.col("value").cast("binary").alias("part")))).alias("parts"))
     full = F.aggregate(F.transform("parts", lambda x: x["part"]), F.lit(None).cast("binary"), lambda a, x: F.when(a.isNull(), x).otherwise(F.concat(a, F.lit(MAGIC).cast("binary"), x)))
     got = parts.withColumn("full", full).join(cut, ["file", "start"]).filter(F.octet_length("full") >= F.col("skip") + F.col("length"))
     got = got.withColumn("payload", F.substring(F.col("full"), (F.col("skip") + 1).cast("int"), F.col("length").cast("int")))
@@ -141,6 +159,8 @@ def mark_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url): pages written as WARC archives in the shared folder and read back.
 
+    Fails where another number of records is read than rows were written.
+
     Defined results: null html is an empty payload, null urls are empty; null page_ids come back as null and, as they have
     no order, are responses; rows repeated with the same page_id are all responses where it is the largest; an empty table
     gives no rows; other columns are ignored.
@@ -148,9 +168,12 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     spark, scratch = pages.sparkSession, Scratch(pages.sparkSession)
     write_warc(pages, scratch.path("archive"))
     records = read_warc(spark, scratch.path("archive"))
-    page_id = F.regexp_extract("record_id", r"^<urn:page:(.*)>$", 1)
+    page_id = F.regexp_extract("record_id", r"^<urn:page:(.*):[0-9]+>$", 1)
     records = records.withColumn("page_id", F.when(page_id != "", page_id).cast(pages.schema["page_id"].dataType))
     records = scratch.write(records.select("page_id", "payload_bytes", "payload_digest", "url"), "records")
+    written, read = pages.count(), records.count()
+    if written != read:
+        raise RuntimeError(f"{written} records were written and {read} read")
     return mark_revisits(records, min_bytes).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
