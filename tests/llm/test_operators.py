@@ -183,7 +183,7 @@ def test_mix(spark, odd, nothing):
     r = random.Random(9)
     rows = [(i, " ".join("w" for _ in range(r.randint(1, 60))), r.choice(["a"] * 6 + ["b", "c", None])) for i in range(3000)]
     got = source_mix.mix_sources(docs(spark, rows)).collect()
-    assert got == source_mix.mix_sources(docs(spark, rows).repartition(7)).sort("doc_id").collect() or sorted(got) == sorted(source_mix.mix_sources(docs(spark, rows).repartition(7)).collect())
+    assert sorted(got) == sorted(source_mix.mix_sources(docs(spark, rows).repartition(7)).collect())
     of = {i: s for i, _, s in rows}
     for s in {of[x.doc_id] for x in got}:
         mine = [x for x in got if of[x.doc_id] == s]
@@ -192,6 +192,34 @@ def test_mix(spark, odd, nothing):
     assert source_mix.mix_sources(odd).count() == odd.count() and source_mix.mix_sources(nothing).count() == 0
 
 
+def test_mix_takes_short_documents_more_often(spark):
+    r = random.Random(12)
+    sizes = {i: r.choice([3, 20, 150, 1200]) for i in range(4000)}
+    d = docs(spark, [(i, " ".join(["w"] * n), "a" if i % 2 else "b") for i, n in sizes.items()])
+    copies = {}
+    for power in (0.0, 0.25, 1.0):
+        got = source_mix.mix_sources(d, length_power=power).collect()
+        for s in (0, 1):
+            mine = [x for x in got if x.doc_id % 2 == s]
+            assert abs(sum(x.taken for x in mine) - mine[0].target) <= 1200 and all(x.taken <= 3 * x.size for x in mine)
+            for n in (3, 20, 150, 1200):
+                part = [x.taken / n for x in mine if x.size == n]
+                copies[power, s, n] = sum(part) / len(part)
+    for s in (0, 1):
+        means = [copies[0.25, s, n] for n in (3, 20, 150, 1200)]
+        assert means == sorted(means, reverse=True) and means[0] > 1.1 * means[-1]
+        # Copies of classes that aren't capped are in proportion to their odds, within what chance allows.
+        assert abs(copies[0.25, s, 150] / copies[0.25, s, 1200] - 2 ** (3 * 0.25)) < 0.2
+        assert max(copies[0.0, s, n] for n in (3, 20, 150, 1200)) - min(copies[0.0, s, n] for n in (3, 20, 150, 1200)) < 0.1
+
+
+def test_mix_of_one_source_with_texts_that_take_nothing(spark):
+    got = source_mix.mix_sources(docs(spark, [(1, "", None), (2, None, None), (3, "", "a")])).collect()
+    assert sorted((x.doc_id, x.size, x.taken) for x in got) == [(1, 0, 0), (2, 0, 0), (3, 0, 0)]
+    got = source_mix.mix_sources(docs(spark, [(1, "one two", "a"), (2, "", "a"), (3, "a b c " * 99, "a")])).collect()
+    assert sum(x.taken for x in got) > 0 and all(x.taken <= 3 * x.size for x in got)
+
+
 # --- leaks
 
 
