@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import pathlib
 import random
 
@@ -295,7 +296,7 @@ def test_top_k_is_exact(spark, shape):
     r = np.random.default_rng(6)
     base = r.normal(size=(300, 8)) * 0.3
     base[50:150] = base[50]  # many equal vectors
-    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(400, None), (401, [1.0, None] * 4), (402, [float("nan")] * 8), (500, [0.5] * 3), (None, [0.5] * 8), (7, [float(x) for x in base[7]])]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)] + [(400, None), (401, [1.0, None] * 4), (402, [float("nan")] * 8), (503, [0.5] * 3), (None, [0.5] * 8), (7, [float(x) for x in base[7]])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(0))
     got = [tuple(x) for x in pivot_topk.top_k(d, every=10, k=5, **shape).orderBy("query_id", "rank").collect()]
     v = np.floor(base * 1024).astype("int64")
@@ -308,6 +309,29 @@ def test_top_k_is_exact(spark, shape):
     assert [tuple(x) for x in pivot_topk.top_k(d.where("vec_id in (0, 3)")).collect()] == [(0, 1, 3, int(v[0] @ v[3]))]
 
 
+def brute_top(rows, every, k):
+    """Exact integers, by length; all vectors given take part."""
+    v = {i: [math.floor(1024 * x) for x in e] for i, e in rows}
+    out = []
+    for q in sorted(v):
+        if q % every == 0:
+            scores = sorted((-sum(a * b for a, b in zip(v[q], v[j])), j) for j in v if j != q and len(v[j]) == len(v[q]))[:k]
+            out += [(q, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
+    return out
+
+
+def test_top_k_of_several_lengths_and_large_components(spark):
+    r = random.Random(1)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(2 if i % 3 else 3)]) for i in range(240)] + [(1000, []), (1001, []), (1100, [7.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [tuple(x) for x in pivot_topk.top_k(d, every=10, k=4).orderBy("query_id", "rank").collect()] == brute_top(rows, 10, 4)
+    for size in (1e4, 1e6):  # products beyond 2**53
+        large = [(i, [r.uniform(-size, size) for _ in range(3)]) for i in range(100)]
+        d = spark.createDataFrame([*large, (200, [1e300, 0.0, 0.0]), (300, [-1e17, 0.0, 0.0])], "vec_id long, embedding array<double>")
+        for shape in ({}, {"rows": 8, "pivots": 3, "first": 1}):
+            assert [tuple(x) for x in pivot_topk.top_k(d, every=10, k=4, **shape).orderBy("query_id", "rank").collect()] == brute_top(large, 10, 4)
+
+
 # --- licences
 
 

@@ -7,6 +7,8 @@ annulus. The triangle inequality bounds the score that any row of an annulus can
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,13 +17,23 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, map_texts, same
 
+NONE = -(1 << 63)  # no score yet
+
+
+#: Integer squared lengths up to this have scores that fit a long: |q . c| <= |q| |c|.
+LONGEST = 1 << 62
+
 
 def whole_numbers(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, v): components times scale, rounded down, of vectors without null or non-finite components."""
+    """(vec_id, v): components times scale, rounded down, of vectors without null or non-finite components.
+
+    Vectors whose squared length is more than LONGEST are left out, as a long can't hold their scores.
+    """
     x = F.transform("embedding", lambda c: c.cast("double"))
     good = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     v = vectors.select(vectors["vec_id"], vectors["embedding"]).where("vec_id is not null and embedding is not null").where(good)
-    return v.select("vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v")).dropDuplicates()
+    square = F.aggregate(x, F.lit(0.0), lambda a, c: a + F.floor(F.greatest(F.least(c, F.lit(1e9)), F.lit(-1e9)) * scale).cast("double") * F.floor(F.greatest(F.least(c, F.lit(1e9)), F.lit(-1e9)) * scale))
+    return v.where(square <= float(LONGEST)).select("vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v")).dropDuplicates()
 
 
 def _farthest(sample: np.ndarray, n: int) -> np.ndarray:
@@ -38,39 +50,45 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
-def _stack(column: pa.Array, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "int64").reshape(-1, n).astype("float64")
+def _stack(column: list[bytes], n: int, kind: str = "float64") -> np.ndarray:
+    return np.frombuffer(b"".join(column), "int64").reshape(-1, n).astype(kind)
 
 
-def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, pivots: int = 32, sample: int = 4096, rows: int = 4096, bins: int = 256, first: int = 6) -> DataFrame:
+def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, pivots: int = 32, most_pivots: int = 512, sample: int = 4096, rows: int = 4096, bins: int = 256, first: int = 6) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding, ...) whose vec_id is divisible by `every`, the k
     other rows with the largest integer inner products, ties to the smaller vec_id.
 
-    The pivots come from at most `sample` rows, picked by a hash; all rows are indexed. There are at most pivots * bins annuli,
-    whatever the number of rows; annuli of more than `rows` rows, equal vectors included, are dealt to several groups by a
-    hash of vec_id, and queries to blocks. The search goes out in three turns: one group of the nearest annulus gives a
-    lowest score worth finding, then the `first` annuli with the best bounds, then all others whose bound is not below the
-    k-th score found. Within a group, rows sorted by distance are looked at only as far as the bound allows.
-
-    Defined results: vectors that are null, hold null or non-finite components, have a null vec_id or another length than most
-    (of two, the longer) take no part; equal rows are one row, and rows with the query's vec_id are not its candidates; empty
+    Vectors of each length are indexed on their own, as only they have products with each other. The pivots come from at
+    most `sample` rows, those with the smallest hashes; all rows are indexed. There are `pivots` pivots, more as the square
+    root of the number of rows grows, up to most_pivots, and at most bins annuli for each; annuli of more than `rows` rows,
+    equal vectors included, are dealt to several groups by a hash of vec_id, and queries to blocks. The search goes out in
+    three turns: one group of the nearest annulus gives a lowest score worth finding, then the `first` annuli with the best
+    bounds, then all others whose bound is not below the k-th score found. Within a group, rows sorted by distance are
+    looked at only as far as the bound allows. Products are exact: in double precision where squared lengths are below
+    2**52, else of 64-bit integers.
+
+    Defined results: vectors that are null, hold null or non-finite components, have a null vec_id or an integer squared
+    length above 2**62 take no part; equal rows are one row, and rows with the query's vec_id are not its candidates; empty
     tables give no rows; other columns are ignored.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
-    v = scratch.write(whole_numbers(vectors), "whole")
-    lengths = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    out = "query_id long, rank int, vec_id long, score long"
-    if lengths is None or lengths["n"] == 0:
-        return spark.createDataFrame([], out)
-    n, count = lengths["n"], lengths["count"]
-    v = v.where(F.size("v") == n)
+    whole = scratch.write(whole_numbers(vectors).withColumn("n", F.size("v")), "whole")
+    whole = whole.withColumn("v", F.when(F.col("n") > 0, F.col("v")).otherwise(F.array(F.lit(0).cast("long"))))  # all scores of empty vectors are 0
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
-    most = v.agg(F.max(square)).first()[0]
-    if most >= 1 << 52:
-        raise ValueError("components are too large for exact products in double precision")
-    part = min(1.0, sample / count)
-    picked = v.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) <= int(part * (1 << 20))).select("vec_id", "v").toPandas().sort_values("vec_id")
-    chosen = np.stack(picked["v"].to_numpy()).astype("float64") if len(picked) else np.zeros((1, n))
+    lengths = whole.groupBy("n").agg(F.count("*").alias("count"), F.max(square).alias("most"), F.count_if(F.col("vec_id") % every == 0).alias("asked")).where("asked > 0").collect()  # a row per length
+    out = None
+    for x in lengths:
+        made = _top_k_of(scratch, whole.where(F.col("n") == x["n"]).drop("n"), max(x["n"], 1), x["count"], x["most"], k=k, every=every, pivots=max(pivots, min(most_pivots, isqrt(x["count"] // rows))), sample=sample, rows=rows, bins=bins, first=first)
+        out = made if out is None else out.unionByName(made)
+    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if out is None else out
+
+
+def _top_k_of(scratch: Scratch, v: DataFrame, n: int, count: int, most: int, *, k: int, every: int, pivots: int, sample: int, rows: int, bins: int, first: int) -> DataFrame:
+    """top_k() of `count` vectors (vec_id, v), all of length n and of squared lengths up to most."""
+    kind, slack = ("float64" if most < 1 << 52 else "int64"), 0.5 + 4e-12 * most
+    scratch = Scratch(scratch.spark)
+    picked = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas().sort_values("vec_id")
+    chosen = np.stack(picked["v"].to_numpy()).astype("float64")
 
     def longer(a: np.ndarray) -> np.ndarray:
         return np.concatenate([a, np.sqrt(np.maximum(most - (a**2).sum(1), 0))[:, None]], 1)
@@ -101,11 +119,11 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, pivots: int = 32
 
     def planned(turn: int):
         def plan(batch: pa.RecordBatch) -> dict:
-            q = _stack(batch.column("x"), n)
+            q = _stack(batch.column("x").to_pylist(), n)
             d = _distances(np.concatenate([q, np.zeros((len(q), 1))], 1), centres)
             to = d[:, pivot]
             near = np.maximum(np.maximum(to - high, low - to), np.maximum((to - d.min(1)[:, None]) / 2, 0))
-            top = ((q**2).sum(1)[:, None] + most - near**2) / 2 + 0.5  # scores are whole; half covers rounding
+            top = ((q**2).sum(1)[:, None] + most - near**2) / 2 + slack  # covers rounding
             found = batch.column("least").to_pylist()
             got = []
             for i in range(len(q)):
@@ -125,22 +143,22 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, pivots: int = 32
         if not len(own) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         own = own.sort_values("d", kind="stable")
-        a, ids, d = (np.frombuffer(b"".join(own["x"]), "int64").reshape(-1, n).astype("float64"), own["vec_id"].to_numpy(), own["d"].to_numpy())
-        q = np.frombuffer(b"".join(asked["x"]), "int64").reshape(-1, n).astype("float64")
-        least = asked["least"].astype("float64").fillna(-np.inf).to_numpy()
-        reach = np.sqrt(np.maximum((q**2).sum(1) + most - 2 * (least - 0.5), 0))
+        a, ids, d = _stack(own["x"].tolist(), n, kind), own["vec_id"].to_numpy(), own["d"].to_numpy()
+        q = _stack(asked["x"].tolist(), n, kind)
+        least = np.array([NONE if x is None or x != x else int(x) for x in asked["least"].tolist()], "int64")
+        reach = np.where(least == NONE, np.inf, np.sqrt(np.maximum((q.astype("float64") ** 2).sum(1) + most - 2 * (least - slack), 0)))
         to = asked["to"].to_numpy()
         starts, stops = np.searchsorted(d, to - reach, "left"), np.searchsorted(d, to + reach, "right")
         out = []
         for at in range(0, len(q), 256):
             s, e = int(starts[at : at + 256].min()), int(stops[at : at + 256].max())
-            scores = q[at : at + 256] @ a[s:e].T
+            scores = (q[at : at + 256] @ a[s:e].T).astype("int64")
             for i, row in enumerate(scores, at):
                 ok = np.flatnonzero((row >= least[i]) & (ids[s:e] != asked["query_id"].iat[i]))
                 if len(ok) > k:
                     ok = ok[row[ok] >= np.partition(row[ok], len(ok) - k)[len(ok) - k]]
                 best = ok[np.lexsort((ids[s:e][ok], -row[ok]))][:k]
-                out.append(pd.DataFrame({"query_id": asked["query_id"].iat[i], "vec_id": ids[s:e][best], "score": row[best].astype("int64")}))
+                out.append(pd.DataFrame({"query_id": asked["query_id"].iat[i], "vec_id": ids[s:e][best], "score": row[best]}))
         return pd.concat(out).astype("int64")
 
     queries = scratch.write(index.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "x"), "queries")
@@ -166,7 +184,8 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, pivots: int = 32
 #: The same, for DuckDB.
 SQL = """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  AND coalesce(list_sum(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE) ** 2)), 0) <= 4611686018427387904),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
