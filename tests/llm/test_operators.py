@@ -4,6 +4,7 @@ import itertools
 import math
 import pathlib
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -325,11 +326,10 @@ def test_top_k_of_several_lengths_and_large_components(spark):
     rows = [(i, [r.uniform(-1, 1) for _ in range(2 if i % 3 else 3)]) for i in range(240)] + [(1000, []), (1001, []), (1100, [7.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert [tuple(x) for x in pivot_topk.top_k(d, every=10, k=4).orderBy("query_id", "rank").collect()] == brute_top(rows, 10, 4)
-    for size in (1e4, 1e6):  # products beyond 2**53
+    for size, shape in ((1e4, {"rows": 8, "pivots": 3, "first": 1}), (1e6, {})):  # products beyond 2**53
         large = [(i, [r.uniform(-size, size) for _ in range(3)]) for i in range(100)]
         d = spark.createDataFrame([*large, (200, [1e300, 0.0, 0.0]), (300, [-1e17, 0.0, 0.0])], "vec_id long, embedding array<double>")
-        for shape in ({}, {"rows": 8, "pivots": 3, "first": 1}):
-            assert [tuple(x) for x in pivot_topk.top_k(d, every=10, k=4, **shape).orderBy("query_id", "rank").collect()] == brute_top(large, 10, 4)
+        assert [tuple(x) for x in pivot_topk.top_k(d, every=10, k=4, **shape).orderBy("query_id", "rank").collect()] == brute_top(large, 10, 4)
 
 
 # --- licences
@@ -354,6 +354,32 @@ def test_whole_licence_texts(spark):
     assert len(texts) == 19 and [got[i] for i in range(19)] == [x for x, _ in texts]
 
 
+def test_copyright_statements_go_and_terms_stay(spark):
+    short = {x: y for x, y in license_digest.LICENSES if len(y) > 500}
+    isc = short["ISC"].split("\n", 2)[2]
+    wrapped = next(x for w in range(60, 90) if "\ncopyright notice" in (x := textwrap.fill(isc.replace("\n", " "), w)))
+    rows = [f"ISC License\n\nCopyright (c) 2004 A\nCopyright 2010-2020 B Inc.\n© 2021 C\nCopyright Jane Doe\nAll rights reserved.\n\n{wrapped}"]
+    for name in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "Unlicense", "0BSD"):
+        body = short[name].split("\n", 2)[2] if name == "MIT" else short[name]
+        rows += [textwrap.fill(body.replace("\n", " "), width) for width in (40, 60, 72, 90)]
+    rows.append("\n".join(x.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ") for x in short["BSD-3-Clause"].split("\n")))
+    got = {r.doc_id: r.license_id for r in license_digest.scan_licenses(docs(spark, [(i, x, "a") for i, x in enumerate(rows)])).collect()}
+    assert [got[i] for i in range(len(rows))] == ["ISC", *(x for x in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "Unlicense", "0BSD") for _ in range(4)), "BSD-3-Clause"]
+
+
+def test_licence_sql_knows_whole_texts(spark):
+    import duckdb
+
+    texts = [x for _, x in license_digest.all_texts()] + ["A favour\nCopyright (c) 2001 X\nSub-licence, non-infringement; behaviour whilst HTTPS://a.b", "", None]
+    d = docs(spark, [(i, x, "a") for i, x in enumerate(texts)])
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = con.execute(f"SELECT doc_id, digest, license_id, notices FROM ({license_digest.sql()})").fetchall()
+    got = [tuple(r) for r in license_digest.scan_licenses(d).collect()]
+    assert sorted(got) == sorted(want) and sum(x[2] is not None for x in got) == len(texts) - 3
+
+
 # --- pages
 
 

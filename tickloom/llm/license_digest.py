@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from hashlib import sha256
 from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +12,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, same
 
-# Spellings that mean the same in licence texts, as (from, to) whole words, after lower-casing.
+# Spellings that mean the same in licence texts, as (from, to) whole words, after lower-casing. What may break at
+# a line's end becomes two words.
 SPELLINGS = (
-    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("sub license", "sublicense"),
+    ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sublicence", "sub license"), ("sublicense", "sub license"),
     ("organisation", "organization"), ("organisations", "organizations"), ("favour", "favor"), ("honour", "honor"), ("behaviour", "behavior"),
-    ("programme", "program"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("non infringement", "noninfringement"),
-    ("per cent", "percent"), ("whilst", "while"), ("analyse", "analyze"), ("recognise", "recognize"), ("utilisation", "utilization"), ("https", "http"),
+    ("programme", "program"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("noninfringement", "non infringement"),
+    ("percent", "per cent"), ("whilst", "while"), ("analyse", "analyze"), ("recognise", "recognize"), ("utilisation", "utilization"), ("https", "http"),
 )
 
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
@@ -38,6 +41,9 @@ LICENSES = (
     ("MIT", "Released under the MIT License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n" + _AS_IS + "IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\nFor more information, please refer to <http://unlicense.org/>"),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n3. This notice may not be removed or altered from any source distribution."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n" + _AS_IS.replace("PURPOSE AND NONINFRINGEMENT", "PURPOSE, TITLE AND NON-INFRINGEMENT") + "IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
 )
 
 # Titles that stand, or don't, above the short licences.
@@ -47,16 +53,20 @@ TITLES = {
     "BSD-3-Clause": ("", "BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'),
     "ISC": ("", "ISC License", "The ISC License", "ISC License (ISC)"),
     "0BSD": ("", "BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero-Clause License", "Zero Clause BSD License"),
+    "Unlicense": ("", "The Unlicense"),
+    "Zlib": ("", "zlib License", "The zlib License", "The zlib/libpng License"),
+    "BSL-1.0": ("", "Boost Software License - Version 1.0 - August 17th, 2003", "Boost Software License 1.0"),
 }
 
 
 def all_texts() -> list[tuple[str, str]]:
-    """LICENSES, the short ones under each title, and the files of licenses/: whole, without title, and without what follows the terms."""
+    """LICENSES, the short ones under each title and with numbers or bullets, and the files of licenses/: whole, without title, and without what follows the terms."""
     out = list(LICENSES)
     for name, text in LICENSES:
         if name in TITLES and len(text) > 500:
             body = text.split("\n", 2)[2] if name in ("MIT", "ISC") else text
-            out += [(name, f"{title}\n{body}") for title in TITLES[name]]
+            plain = re.sub(r"(?m)^\d\. ", "", body)  # its items under bullets
+            out += [(name, f"{title}\n{x}") for title in TITLES[name] for x in {body, plain}]
     for file in sorted(resources.files(__package__).joinpath("licenses").iterdir(), key=lambda x: x.name):
         if file.name.endswith(".txt"):
             text = file.read_text(encoding="utf-8").strip()
@@ -66,19 +76,21 @@ def all_texts() -> list[tuple[str, str]]:
     return out
 
 
-#: Lines that hold nothing but a copyright statement.
-COPYRIGHT = r"^(copyright|c copyright|c [0-9]{4}|all rights reserved)( |$)"
+#: Lines that are copyright statements: the word with a year or (c), or with a few other words none of which is of the terms.
+STATEMENT = r"^(portions )?(c )?copyright( [^ ]+){0,8}? ([0-9]{4}|yyyy|year|c)( |$)|^c ([0-9]{4}|year)( |$)|^all rights reserved$|^(c )?copyright$"
+SHORT_STATEMENT = r"^copyright( [^ ]+){1,5}$"
+TERMS = r"\b(notices?|holders?|owners?|laws?|licen[sc]ed?|statement|the|and|or|in|on|to|is|this|that|for|all|any|if|as|you|interest|permission|disclaimer|software|works?|protection|infringement|act)\b"
 SOME_SPELLING = r"\b(" + "|".join(a for a, _ in SPELLINGS) + r")\b"
 
 
 def canonical_lines(text: Column) -> Column:
-    """Lines of the text as words in lower case, with equivalent spellings made one, without punctuation, empty lines and copyright lines."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(text), r"\r\n?", "\n"), r"[^\p{L}\p{N}\n]+", " ")
+    """Lines of the text as words in lower case, with equivalent spellings made one, without punctuation, empty lines and copyright statements."""
+    t = F.regexp_replace(F.regexp_replace(F.replace(F.lower(text), F.lit("©"), F.lit(" c ")), r"\r\n?", "\n"), r"[^\p{L}\p{N}\n]+", " ")
     one = t
     for a, b in SPELLINGS:
         one = F.regexp_replace(one, rf"\b{a}\b", b)
     t = F.when(t.rlike(SOME_SPELLING), one).otherwise(t)
-    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(COPYRIGHT))
+    return F.filter(F.transform(F.split(t, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(STATEMENT) & ~(x.rlike(SHORT_STATEMENT) & ~x.rlike(TERMS)))
 
 
 def license_table(spark: SparkSession) -> DataFrame:
@@ -110,20 +122,41 @@ def scan_licenses(docs: DataFrame, licenses: DataFrame | None = None) -> DataFra
     return out.select("doc_id", "digest", "license_id", F.coalesce("_n", F.lit(0)).cast("long").alias("notices"))
 
 
-def sql() -> str:
-    """The same, for DuckDB."""
-    quote = lambda s: s.replace("'", "''")
-
-    def lines(text: str) -> str:
-        t = f"regexp_replace(regexp_replace(lower({text}), '\\r\\n?', chr(10), 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+def _plain_digest(text: str) -> str:
+    """The digest of a text's canonical form, made without Spark."""
+    out = []
+    for line in re.split(r"\r\n?|\n", text.lower().replace("©", " c ")):
+        line = " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in line).split())
         for a, b in SPELLINGS:
-            t = f"regexp_replace({t}, '\\b{a}\\b', '{b}', 'g')"
-        return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '{COPYRIGHT}'))"
+            line = " ".join(f" {line} ".replace(f" {a} ", f" {b} ").replace(f" {a} ", f" {b} ").split())
+        words = line.split()
+        stated = re.search(STATEMENT, line) or len(words) in range(2, 7) and words[0] == "copyright" and not re.search(TERMS, line)
+        if line and not stated:
+            out.append(line)
+    return sha256(" ".join(out).encode()).hexdigest()
 
-    rows = ", ".join(f"('{quote(a)}', '{quote(b)}')" for a, b in LICENSES)
-    return f"""
-WITH known AS (SELECT min(license_id) AS license_id, known_digest FROM (SELECT license_id, sha256(array_to_string({lines("license_text")}, ' ')) AS known_digest FROM (VALUES {rows}) v(license_id, license_text)) GROUP BY known_digest),
-canon AS (SELECT doc_id, {lines("coalesce(text, '')")} AS lines FROM documents),
+
+def sql() -> str:
+    """The same, for DuckDB: it knows the digests, and makes texts canonical by itself."""
+    known: dict[str, str] = {}
+    for name, text in all_texts():
+        digest = _plain_digest(text)
+        known[digest] = min(name, known.get(digest, name))
+    rows = ", ".join(f"('{k}', '{v}')" for k, v in sorted(known.items()))
+    return _SQL.replace("{rows}", rows)
+
+
+_SQL = r"""
+WITH known(known_digest, license_id) AS (VALUES {rows}),
+words AS (SELECT doc_id, regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), '©', ' c '), '\r\n?', chr(10), 'g'), '[^\p{L}\p{N}\n]+', ' ', 'g') AS t FROM documents),
+one AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+  '\blicence(s|d)?\b', 'license\1', 'g'), '\bsublicen[cs]e\b', 'sub license', 'g'), '\borganisation(s?)\b', 'organization\1', 'g'), '\b(fav|hon|behavi)our\b', '\1or', 'g'), '\bprogramme\b', 'program', 'g'),
+  '\backnowledgement\b', 'acknowledgment', 'g'), '\bmerchantibility\b', 'merchantability', 'g') AS t FROM words),
+two AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t,
+  '\bnoninfringement\b', 'non infringement', 'g'), '\bpercent\b', 'per cent', 'g'), '\bwhilst\b', 'while', 'g'), '\banalyse\b', 'analyze', 'g'), '\brecognise\b', 'recognize', 'g'), '\butilisation\b', 'utilization', 'g'), '\bhttps\b', 'http', 'g') AS t FROM one),
+canon AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> ''
+  AND NOT regexp_matches(x, '^(portions )?(c )?copyright( [^ ]+){0,8}? ([0-9]{4}|yyyy|year|c)( |$)') AND NOT regexp_matches(x, '^c ([0-9]{4}|year)( |$)') AND x NOT IN ('all rights reserved', 'copyright', 'c copyright')
+  AND NOT (x LIKE 'copyright %' AND len(string_split(x, ' ')) <= 6 AND NOT regexp_matches(x, '\b(notices?|holders?|owners?|laws?|licen[sc]ed?|statement|the|and|or|in|on|to|is|this|that|for|all|any|if|as|you|interest|permission|disclaimer|software|works?|protection|infringement|act)\b'))) AS lines FROM two),
 digests AS (SELECT doc_id, lines, sha256(array_to_string(lines, ' ')) AS digest FROM canon),
 found AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(lines) AS line FROM canon) JOIN known ON sha256(line) = known_digest GROUP BY doc_id)
 SELECT d.doc_id, d.digest, k.license_id, coalesce(f.n, 0)::BIGINT AS notices FROM digests d
