@@ -53,6 +53,28 @@ class Scratch:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+SALTS, HOT_PART = 64, 1000
+
+
+def _hot_size(sizes: DataFrame) -> float:
+    return max((sizes.agg(F.sum("size")).first()[0] or 0) / HOT_PART, 1)
+
+
+def with_salt(rows: DataFrame, sizes: DataFrame, key: str, spread: Column, salts: int = SALTS) -> DataFrame:
+    """rows with `salt`: 0, but 0 ... salts - 1 by `spread` for hot keys, those of more than a 1/HOT_PART of all rows in `sizes` (key, size).
+
+    Fewer than HOT_PART keys can be that large, whatever the input, so they are broadcast.
+    """
+    hot = sizes.where(F.col("size") > _hot_size(sizes)).select(F.col(key).alias("_hot"))
+    return rows.join(F.broadcast(hot), rows[key] == hot["_hot"], "left").withColumn("salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts))).cast("int")).drop("_hot")
+
+
+def salts_of(sizes: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
+    """sizes with `salt`, once for each salt that rows of their key may have."""
+    several = F.when(F.col("size") > _hot_size(sizes), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return sizes.withColumn("salt", F.explode(several)).drop("size")
+
+
 def same(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
     """Equality of left's and right's columns, null equal to null."""
     return reduce(lambda a, b: a & b, (left[a].eqNullSafe(right[b]) for a, b in keys.items()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, same
+from .common import Scratch, salts_of, same, with_salt
 
 NO_SITE = "\x00"
 
@@ -16,25 +16,35 @@ def line_form(line: Column) -> Column:
 
 
 def _shared_lines(docs: DataFrame, min_sites: int, min_chars: int, lg_k: int) -> DataFrame:
-    """(__of, __keys): for each document that loses lines, their hashes."""
-    scratch = Scratch(docs.sparkSession)
-    d = docs.select(docs["doc_id"], docs["text"], F.coalesce(docs["source"].cast("string"), F.lit(NO_SITE)).alias("site"))
-    each = d.select("doc_id", "site", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", line_form(F.col("line")))
-    each = each.filter(F.length("line") >= min_chars).select("doc_id", "site", F.xxhash64("line").alias("key"))
+    """(__of, __text, __keys): for each document that loses lines, told by doc_id and text, their hashes.
 
-    several = each.groupBy("key").agg(F.min("site").alias("a"), F.max("site").alias("b")).filter("a <> b").select("key")
-    several = scratch.write(each.join(several, "key", "left_semi"), "several")
+    Lines that stand in a large part of all documents are hot: their rows are dealt to several tasks by a salt.
+    """
+    scratch = Scratch(docs.sparkSession)
+    d = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("content"), F.coalesce(docs["source"].cast("string"), F.lit(NO_SITE)).alias("site"))
+    each = d.select("doc_id", "content", "site", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", line_form(F.col("line")))
+    each = each.filter(F.length("line") >= min_chars).select("doc_id", "content", "site", F.xxhash64("line").alias("key"))
+
+    keys = each.groupBy("key").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.count("*").alias("size")).filter("a <> b").select("key", "size")
+    keys = scratch.write(keys, "keys")
+    salted = with_salt(each, keys, "key", F.struct("doc_id", "content"))
+    several = scratch.write(salted.join(salts_of(keys, "key"), ["key", "salt"], "left_semi"), "several")
     error = 3 * 1.04 / 2 ** (lg_k / 2)
-    sketches = several.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), F.min("doc_id").alias("first"))
+    sketches = several.groupBy("key").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"), F.min("doc_id").alias("first"), F.max("salt").alias("salts"))
     likely = scratch.write(sketches.filter(F.col("sites") >= min_sites * (1 - error) - 1), "likely")
     sure = F.col("sites") > min_sites * (1 + error) + 1
-    near = several.join(likely.filter(~sure).select("key"), "key", "left_semi")
+    near = several.join(_every_salt(likely.filter(~sure)).select("key", "salt"), ["key", "salt"], "left_semi")
     exact = near.select("key", "site").distinct().groupBy("key").count().filter(F.col("count") >= min_sites).select("key")
-    shared = likely.filter(sure).select("key", "first").unionByName(likely.filter(~sure).join(exact, "key", "left_semi").select("key", "first"))
+    shared = likely.filter(sure).select("key", "first", "salts").unionByName(likely.filter(~sure).join(exact, "key", "left_semi").select("key", "first", "salts"))
     shared = scratch.write(shared, "shared")
 
-    gone = several.join(shared, "key").filter(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return gone.groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("key").alias("__keys"))  # a document's own lines
+    gone = several.join(_every_salt(shared), ["key", "salt"]).filter(~F.col("doc_id").eqNullSafe(F.col("first")))
+    return gone.groupBy(F.col("doc_id").alias("__of"), F.col("content").alias("__text")).agg(F.collect_set("key").alias("__keys"))  # a document's own lines
+
+
+def _every_salt(keys: DataFrame) -> DataFrame:
+    """keys (key, salts, ...) once for each salt that their rows have: all but hot ones have salt 0 only."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), "salts"))).drop("salts")
 
 
 def _left(text: Column, min_chars: int) -> Column:
@@ -51,13 +61,14 @@ def drop_shared_lines(docs: DataFrame, *, min_sites: int = 3, min_chars: int = 2
 
     Line hashes are summed before they are shuffled. Those on one source only need no sketch; the others get a HyperLogLog
     sketch of their sources, merged by aggregation. Where the estimate is within three standard errors and 1 of
-    min_sites, distinct sources are counted exactly, so the result is exact. The last join is by doc_id.
+    min_sites, distinct sources are counted exactly. Lines with equal 64-bit hashes count as one line; among 2**32 lines of
+    one length range, that is expected for about two pairs. The last join is by doc_id and the text's hash.
 
     Defined results: null text stays null with 0 lines; a null source is a source of its own; lines end at \\n; a text of
     which all lines go is empty; repeated rows are treated alike; an empty table gives no rows; other columns are ignored.
     """
-    d, gone = docs.select(docs["doc_id"], docs["text"]), _shared_lines(docs, min_sites, min_chars, lg_k)
-    out = d.join(gone, same(d, gone, {"doc_id": "__of"}), "left").withColumn("left", _left(F.col("text"), min_chars))
+    d, gone = docs.select(docs["doc_id"], docs["text"], F.xxhash64(docs["text"]).alias("content")), _shared_lines(docs, min_sites, min_chars, lg_k)
+    out = d.join(gone, same(d, gone, {"doc_id": "__of", "content": "__text"}), "left").withColumn("left", _left(F.col("text"), min_chars))
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long"))
     n_left = F.when(F.col("left").isNull(), F.col("n_lines")).otherwise(F.size("left"))
     return out.select("doc_id", F.when(F.col("left").isNull(), F.col("text")).otherwise(F.array_join("left", "\n")).alias("text"), "n_lines", (F.col("n_lines") - n_left).cast("long").alias("n_removed"))
@@ -65,9 +76,10 @@ def drop_shared_lines(docs: DataFrame, *, min_sites: int = 3, min_chars: int = 2
 
 def without_shared_lines(docs: DataFrame, *, min_sites: int = 3, min_chars: int = 20, lg_k: int = 10) -> DataFrame:
     """The rows of docs with all their columns, text without the lines that drop_shared_lines removes, n_chars (if there is
-    such a column) its length. Documents of which no line but blank ones is left go."""
+    such a column) its length. Documents of which no line but blank ones is left go, if they lost any. Nulls, repeated rows
+    and empty tables are treated as there."""
     gone = _shared_lines(docs, min_sites, min_chars, lg_k)
-    out = docs.join(gone, same(docs, gone, {"doc_id": "__of"}), "left").withColumn("__left", _left(F.col("text"), min_chars))
+    out = docs.join(gone, docs["doc_id"].eqNullSafe(gone["__of"]) & (F.xxhash64(docs["text"]) == gone["__text"]), "left").withColumn("__left", _left(F.col("text"), min_chars))
     out = out.where(F.col("__left").isNull() | F.exists("__left", lambda x: F.trim(x) != ""))
     out = out.withColumn("text", F.when(F.col("__left").isNull(), F.col("text")).otherwise(F.array_join("__left", "\n")))
     if "n_chars" in docs.columns:

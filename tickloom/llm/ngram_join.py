@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: groups of documents whose shingle sets are similar, found exactly.
+"""N-gram Jaccard join: groups of documents whose shingle sets, as 64-bit hashes, are similar; no link is lost.
 
 Candidates share one of few hashed shingles, rare ones first, within a tile of neighbouring size bands; bitmaps of hashed
 shingles bound their overlap from above by bit counts; what is left is checked by intersecting sorted arrays.
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, same
+from .common import Scratch, map_texts, salts_of, same, with_salt
 
 EXTRA = 32
 _WORDS = 16  # of 64 bits in a bitmap
@@ -109,6 +109,8 @@ def bound_pairs(n: np.ndarray, bits: np.ndarray, labels: np.ndarray, own: np.nda
 def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text, ...).
 
+    Shingles with equal 64-bit hashes count as one, which a set of a million shingles has with a chance of 3 in 10**8.
+
     Two documents link when 100 * intersection >= percent * union of their sets of shingles of `size` words; component_id is
     the smallest doc_id that links reach. No link between different texts is lost:
 
@@ -139,7 +141,8 @@ def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85) -> Data
 
     all_sets = scratch.write(map_texts(d, ["doc_id"], sketch, "n long, digest binary, candidates array<long>, bits array<long>", 512), "sets")
     member = scratch.write(all_sets.select("doc_id", "n", "digest"), "members")
-    classes = member.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node")).select(F.col("digest").alias("_digest"), "node")
+    classes = member.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count("*").alias("size"))
+    classes = scratch.write(classes.select(F.col("digest").alias("_digest"), "node", "size"), "classes")
     reps = all_sets.join(classes, (all_sets["digest"] == classes["_digest"]) & (all_sets["doc_id"] == classes["node"])).select("node", "n", "candidates", "bits")
     reps = scratch.write(reps, "reps")
     scratch.drop("sets")
@@ -151,10 +154,14 @@ def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85) -> Data
     more = verify(scratch, d, _rest(tiles, labels, needed, reps, percent), size, percent, "more")
     labels = components(scratch, first.unionByName(more), "all")
 
-    named = classes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("_digest", F.coalesce("label", "node").alias("component_id"))
-    out = member.join(named, member["digest"] == named["_digest"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    named = classes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("_digest", F.coalesce("label", "node").alias("component_id"), "size")
+    # A class may hold a large part of all rows, which then are dealt to several tasks.
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
+    rows = with_salt(member.where(~alone), classes.select(F.col("_digest").alias("digest"), "size"), "digest", F.col("doc_id"))
+    named = salts_of(named.select("_digest", "component_id", "size"), "_digest").withColumnRenamed("salt", "_salt")
+    out = rows.join(named, (rows["digest"] == named["_digest"]) & (rows["salt"] == named["_salt"]), "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.unionByName(member.where(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def _needed(reps: DataFrame, percent: int) -> DataFrame:
