@@ -90,7 +90,7 @@ def _bench_rows(bench: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return map_texts(bench.select(bench["item_id"], bench["text"]).where("item_id is not null and text is not null"), ["item_id"], rows, "item binary, seeds array<struct<hash:long,at:int>>, n_item int")
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, *, masks: tuple[str, ...] = MASKS, min_words: int = 13, share: float = 0.75, around: int = 64, filter_bits: int = 24, most_filter: int = 4_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, bench: DataFrame, *, masks: tuple[str, ...] = MASKS, min_words: int = 13, share: float = 0.75, around: int = 64, filter_bits: int = 27) -> DataFrame:
     """(doc_id, item_id, n_words, n_equal): documents (doc_id, text, ...) and benchmark items (item_id, text, ...) that overlap.
 
     An overlap is a stretch of min_words words or more with equal words at both ends, or a whole item of any length with any
@@ -98,9 +98,9 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, masks: tuple[str, ...] = MA
     some mask fits; with the default masks, a share of 0.75 or more and min_words of 10 or more, that is every overlap.
     Verified around the hit, up to `around` words to each side. Items of one or two words are found wherever they stand.
 
-    Tasks hash each document's words under each mask. While the benchmark has at most most_filter seeds, a bitmap of
-    2**filter_bits bits of their hashes, of that fixed size, is sent to the tasks and lets hits through only; for larger
-    benchmarks all seeds go to the join. A document's hits come with the words around them, each word once. Hits and seeds
+    Tasks hash each document's words under each mask. A bitmap of the benchmark's seed hashes, of 16 bits or more for each
+    seed up to 2**filter_bits bits in all (16 MB), is sent to the tasks and lets hits through only; benchmarks of more
+    seeds than half of those bits send all seeds to the join. A document's hits come with the words around them, each word once. Hits and seeds
     are joined by hash, then segments and items by their ids, and aligned word by word.
 
     Defined results: texts that are null or without words have no leaks; equal documents have equal leaks, repeated
@@ -112,24 +112,25 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, masks: tuple[str, ...] = MA
     n_seeds, *kinds = items.agg(F.sum(F.size("seeds")), *(F.max(F.col("n_item").between(a, b)) for a, b in ((1, 1), (2, 2), (3, 9), (10, 2**31 - 1)))).first()
     n_seeds = n_seeds or 0
     used = [m for n, some in zip((1, 2, 3, 10), kinds, strict=True) if some for m in masks_for(n, masks)]
-    bitmap = None
-    if n_seeds <= most_filter:
-        low = seeds.select(F.col("hash").bitwiseAND(F.lit((1 << filter_bits) - 1)).alias("low")).distinct().toPandas()  # most_filter numbers at most
-        bits = np.zeros(1 << filter_bits, bool)
-        bits[low["low"].to_numpy("int64")] = True
-        bitmap = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
-
-    opened: list[np.ndarray] = []
+    bitmap, n_bits = None, min(filter_bits, max(16, (16 * n_seeds - 1).bit_length()))
+    if n_seeds <= 1 << (filter_bits - 1):
+        low = seeds.select(F.col("hash").bitwiseAND(F.lit((1 << n_bits) - 1)).alias("low"))
+        low = low.groupBy(F.shiftright("low", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 31 as int))")).alias("bits")).toPandas()  # 2**(filter_bits - 5) rows at most
+        made = np.zeros(1 << (n_bits - 5), "uint32")
+        made[low["at"].to_numpy("int64")] = low["bits"].to_numpy("int64").astype("uint32")
+        bitmap = docs.sparkSession.sparkContext.broadcast(made)
+
+    def seen(h: np.ndarray) -> np.ndarray:
+        low = h & np.uint64((1 << n_bits) - 1)
+        return np.flatnonzero(bitmap.value[(low >> np.uint64(5)).astype("int64")] >> (low & np.uint64(31)).astype("uint32") & np.uint32(1))
 
     def hits(batch: pa.RecordBatch) -> dict:
-        if bitmap is not None and not opened:
-            opened.append(np.unpackbits(bitmap.value).view(bool))
         out = []
         for text in batch.column("text").to_pylist():
             ids, found = word_ids(text), []
             for m in used:
                 h = seed_hashes(ids, m)
-                places = np.flatnonzero(opened[0][(h & np.uint64((1 << filter_bits) - 1)).astype("int64")]) if opened else np.arange(len(h))
+                places = np.arange(len(h)) if bitmap is None else seen(h)
                 found += zip(places.tolist(), h[places].view("int64").tolist(), strict=True)
             found.sort()
             segments: list[dict] = []
