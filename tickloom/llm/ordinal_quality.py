@@ -143,18 +143,20 @@ def grade(quality: str = "quality", toxic: str = "toxic"):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, sample: int = 12000, bits: int = 24, seed: int = 11) -> OrdinalModel:
-    """Fits the model on at most about `sample` rated documents, picked by a hash of doc_id over all ratings.
+    """Fits the model on `sample` rated documents (all, if fewer), those with the smallest hashes of doc_id among all ratings.
 
-    The sample's ratings, of a bounded number, are broadcast to the scan of the texts; its features come to the driver.
+    The sample's ratings, at most `sample`, are broadcast to the scan of the texts; its features, at most one row for each
+    rating, come to the driver. Of several ratings of one doc_id the lowest counts, of several texts the one whose features
+    come first in order. Null ratings, ids and texts take no part; without ratings, or with one grade only, the model has no
+    cuts and keeps everything.
     """
     rated = labels.select(labels["doc_id"], grade().alias("grade")).where("grade is not null and doc_id is not null")
-    part = min(1.0, sample / max(1, rated.count()))
-    at = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20))
-    picked = rated.where(at < int(part * (1 << 20) + 0.5)).groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    graded = rated.groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    picked = graded.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
     texts = docs.select(docs["doc_id"], docs["text"]).where("text is not null").join(F.broadcast(picked), "doc_id")
 
     hashed = map_texts(texts, ["doc_id", "grade"], lambda b: {"ids": [np.array(features(x, bits), "int32").tobytes() for x in b.column("text").to_pylist()]}, "ids binary")
-    got = hashed.toPandas().sort_values(["doc_id", "grade"], kind="stable")
+    got = hashed.groupBy("doc_id", "grade").agg(F.min("ids").alias("ids")).toPandas().sort_values("doc_id", kind="stable")
     return fit_ordinal(got["grade"].to_numpy("int64"), [np.frombuffer(x, "int32") for x in got["ids"]], bits=bits)
 
 
