@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, same
+from .common import Scratch, map_texts
 
 # How HTML elements are treated.
 _RAW = frozenset("script style noscript template textarea title iframe object svg math select head".split())
@@ -146,7 +146,17 @@ def page_lines(page: str) -> list[tuple[str, int]]:
 
 
 def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Positions in a of a longest common subsequence of a and b (Hunt and Szymanski: by matches, not by all pairs of lines)."""
+    """Positions in a of a longest common subsequence of a and b: what both start and end with, and between them by matches,
+    not by all pairs of lines (Hunt and Szymanski)."""
+    top = 0
+    while top < min(len(a), len(b)) and a[top] == b[top]:
+        top += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - top and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    if top or tail:
+        inner = common_lines(a[top : len(a) - tail], b[top : len(b) - tail])
+        return [*range(top), *(top + x for x in inner), *range(len(a) - tail, len(a))]
     where: dict[int, list[int]] = {}
     for j, x in enumerate(b):
         where.setdefault(x, []).append(j)
@@ -168,19 +178,11 @@ def common_lines(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shared_lines(own: list[int], neighbours: list[list[int] | None]) -> list[int]:
-    """Positions of own lines that are shared with a neighbour."""
-    return sorted({k for other in neighbours if other for k in common_lines(own, other)})
-
-
-def main_text(page: str | None, shared: list[int] | None) -> str:
-    """Lines marked as main text, and unmarked lines that are not shared; shared: positions among the unmarked lines."""
-    gone, out, n = set(shared or ()), [], -1
-    for line, kind in page_lines(page or ""):
-        n += kind == 0
-        if kind == 1 or kind == 0 and n not in gone:
-            out.append(line)
-    return "\n".join(out)
+def shared_lines(own: list[int | None], neighbours: list[list[int | None] | None]) -> list[int]:
+    """Positions of own lines that are shared with a neighbour; lines that are None take no part."""
+    places = [k for k, x in enumerate(own) if x is not None]
+    a = [own[k] for k in places]
+    return sorted({places[k] for other in neighbours if other for k in common_lines(a, [x for x in other if x is not None])})
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -194,7 +196,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     main and the like stay, lines in menus, footers, forms, adverts, comments and so on go, whatever a neighbour shares.
     Classes, ids and roles count as whole names. They and form switch nothing off at html, body and main, nor at an element
     that holds an article or main; nav, footer, aside, menu, dialog, button and hidden elements are off with all they hold.
-    Only pages that lose lines to a neighbour are joined back to their html.
+    Pages are parsed once, and their lines, without those marked as off, written.
 
     Defined results: null or empty html gives the empty text; a null url is a host of its own; pages alone on their host
     have no pair; of equal rows each gets the same text; an empty table gives no rows; other columns are ignored.
@@ -202,16 +204,18 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     scratch = Scratch(pages.sparkSession)
     p = pages.select(pages["page_id"], pages["url"], pages["html"])
 
-    def hashes(batch: pa.RecordBatch) -> dict:
+    def parsed(batch: pa.RecordBatch) -> dict:
         lines = [[x for x in page_lines(page or "") if x[1] >= 0] for page in batch.column("html").to_pylist()]
         said = ["".join(f"{x}\n{k}\n" for x, k in y) if y else None for y in lines]
-        return {"lines": [[x for x, k in y if k == 0] for y in lines], "said": [x and blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in said]}
+        return {"lines": [[x for x, _ in y] for y in lines], "open": [[k == 0 for _, k in y] for y in lines], "said": [x and blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in said]}
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
     path = F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*)?([^#]*)", 1)
-    keyed = p.withColumn("host", F.when(F.col("url").isNull(), F.lit("\x00")).otherwise(host)).withColumn("path", path).withColumn("content", F.xxhash64("html"))
-    slim = map_texts(keyed, ["page_id", "url", "host", "path", "content"], hashes, "lines array<string>, said binary").filter("said is not null").withColumn("lines", F.transform("lines", lambda x: F.xxhash64(x)))
-    placed = scratch.write(slim.orderBy("host", "path", "page_id", "content").withColumn("place", F.monotonically_increasing_id()), "placed")
+    made = map_texts(p, ["page_id", "url"], parsed, "lines array<string>, open array<boolean>, said binary").withColumn("row", F.monotonically_increasing_id())
+    made = scratch.write(made, "parsed")
+    keyed = made.filter("said is not null").withColumn("host", F.when(F.col("url").isNull(), F.lit("\x00")).otherwise(host)).withColumn("path", path)
+    hashes = F.transform(F.arrays_zip("lines", "open"), lambda x: F.when(x["open"], F.xxhash64(x["lines"])))
+    placed = scratch.write(keyed.select("row", "page_id", "host", "path", "said", hashes.alias("lines")).orderBy("host", "path", "page_id", "row").withColumn("place", F.monotonically_increasing_id()), "placed")
     part = F.shiftright("place", 33)
     counts = placed.groupBy(part.alias("part")).agg(F.max("place").alias("most"))  # a row per partition of the sort
     start = counts.select(F.col("part").alias("_part"), F.coalesce(F.sum(F.col("most") - F.shiftleft(F.col("part"), 33) + 1).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
@@ -239,15 +243,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     n_ranks = ranked.agg(F.max("rank")).first()[0] or 0
     lost = lost.select(F.col("rank").alias("from"), F.coalesce("stop", F.lit(n_ranks + 1)).alias("stop"), "shared")
     lost = lost.withColumn("block", F.explode(F.sequence(F.shiftright("from", 6), F.shiftright(F.col("stop") - 1, 6))))
-    pages_of = ranked.select("page_id", "url", "content", "rank", F.shiftright("rank", 6).alias("block"))
-    lost = pages_of.join(lost, "block").filter("rank >= `from` and rank < stop")
-    lost = lost.groupBy(*(F.col(x).alias(f"_{x}") for x in ("page_id", "url", "content"))).agg(F.min("shared").alias("shared"))
+    pages_of = ranked.select("row", "rank", F.shiftright("rank", 6).alias("block"))
+    lost = pages_of.join(lost, "block").filter("rank >= `from` and rank < stop").select(F.col("row").alias("_row"), "shared")
     lost = scratch.write(lost, "lost")
-    own = p.withColumn("content", F.xxhash64("html"))
-    own = own.join(lost, same(own, lost, {"page_id": "_page_id", "url": "_url", "content": "_content"}), "left")
-
-    def texts(batch: pa.RecordBatch) -> dict:
-        got = [main_text(a, b) for a, b in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist(), strict=True)]
-        return {"text": got, "n_chars": [len(x) for x in got]}
-
-    return map_texts(own.select("page_id", "url", "html", "shared"), ["page_id", "url"], texts, "text string, n_chars long")
+    out = made.join(lost, made["row"] == lost["_row"], "left")
+    kept = F.filter("lines", lambda x, k: ~F.array_contains("shared", k))
+    text = F.array_join(F.when(F.col("shared").isNull(), F.col("lines")).otherwise(kept), "\n")
+    return out.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
