@@ -73,6 +73,47 @@ def test_quality_odd_rows(spark, odd, nothing):
     assert ordinal_quality.rate_quality(nothing, ordinal_quality.fit_quality(nothing, lab)).count() == 0
 
 
+def test_quality_sample_is_bounded(spark):
+    d = docs(spark, [(i % 30, f"word{i} again", "s") for i in range(300)])
+    lab = spark.createDataFrame([(i % 40, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    seen, fit = [], ordinal_quality.fit_ordinal
+    try:
+        ordinal_quality.fit_ordinal = lambda grades, rows, **k: seen.append(len(rows)) or fit(grades, rows, **k)
+        for sample in (7, 1000):
+            ordinal_quality.fit_quality(d, lab, sample=sample)
+    finally:
+        ordinal_quality.fit_ordinal = fit
+    assert seen[0] <= 7 and seen[1] == 30
+
+
+def brute_likelihood(grades, rows, cut, weight):
+    """Mean log likelihood of a cumulative-link model, each grade weighing the same by row."""
+    total = 0.0
+    for g, ids in zip(grades, rows):
+        score = sum(weight.get(int(i), 0.0) for i in ids)
+        tail = [1.0, *(1 / (1 + math.exp(c - score)) for c in cut), 0.0]
+        total += math.log(tail[g] - tail[g + 1])
+    return total / len(grades)
+
+
+def test_fitted_model_is_likelier_than_others_near_it():
+    r = np.random.default_rng(3)
+    rows = [np.unique(r.integers(0, 30, 8)) for _ in range(600)]
+    score = np.array([sum((x % 5 - 2) * 0.8 for x in ids) for ids in rows]) + r.logistic(size=600)
+    grades = np.digitize(score, [-1.0, 1.5])
+    m = ordinal_quality.fit_ordinal(grades, rows, bits=5, noise=0.0, ridge=0.0, steps=2000, rate=0.1)
+    best = brute_likelihood(grades, rows, m.cut, m.weight)
+    for k in list(m.weight)[:10]:
+        for by in (-0.2, 0.2):
+            assert brute_likelihood(grades, rows, m.cut, m.weight | {k: m.weight[k] + by}) < best
+    for k in range(2):
+        for by in (-0.2, 0.2):
+            assert brute_likelihood(grades, rows, [c + by * (i == k) for i, c in enumerate(m.cut)], m.weight) < best
+    # Given the words, higher grades are told from lower ones on rows of the same kind.
+    mean = [np.mean([sum(m.weight.get(int(i), 0) for i in ids) for ids, g in zip(rows, grades) if g == k]) for k in range(3)]
+    assert mean == sorted(mean)
+
+
 # --- WARC
 
 INNER = "WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
@@ -137,7 +178,7 @@ def test_token_counts(spark, odd, limits):
     t = Tokenizer.from_file(path)
     r = random.Random(5)
     texts = ["".join(r.choice(["a", "Bc", " ", "  ", "\n", "\t", "é", "\xa0", " ", "\x1c", "12", "...", "'s", "日本", "😀", "<|endoftext|>", "<|endof"]) for _ in range(r.randint(1, 400))) for _ in range(60)] + ["x" * 2000, " " * 700]
-    d = docs(spark, [(100 + i, x, "s") for i, x in enumerate(texts)]).unionByName(odd.where("doc_id is null or doc_id <> 4"))
+    d = docs(spark, [(100 + i, x, "s") for i, x in enumerate(texts)]).unionByName(odd if not limits else odd.where("doc_id is null or doc_id <> 4"))  # with the very long text
     got = token_counts.count_tokens_of(d, path, **limits).collect()
     want = {x.doc_id: x.text or "" for x in d.collect()}
     assert len(got) == d.count()
@@ -146,6 +187,17 @@ def test_token_counts(spark, odd, limits):
         assert x.n_bytes == len(want[x.doc_id].encode()) and x.over_limit == (x.n_tokens > 1024)
 
 
+def test_token_counts_of_long_texts_and_of_none(spark, nothing):
+    from tokenizers import Tokenizer
+
+    path, r = queries.tokenizer_path(), random.Random(7)
+    t = Tokenizer.from_file(path)
+    texts = {1: "x" * 60_000, 2: " " * 40_000, 3: ("ab " * 9000 + "y" * 9000) * 2, 4: "".join(r.choice("ab \n\u3000é") for _ in range(50_000)), 5: "日本" * 20_000 + " z"}
+    got = {x.doc_id: x.n_tokens for x in token_counts.count_tokens_of(docs(spark, [(i, x, "s") for i, x in texts.items()]), path).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in texts.items()}
+    assert token_counts.count_tokens_of(nothing, path).count() == 0
+
+
 def test_token_counts_of_other_tokenizers(spark, odd):
     import sentencepiece
 
@@ -171,6 +223,23 @@ def test_shared_lines(spark, odd, nothing):
     assert line_spread.drop_shared_lines(odd).count() == odd.count() and line_spread.drop_shared_lines(nothing).count() == 0
 
 
+def test_hot_lines_and_rows_without_ids(spark):
+    line, r = "a very common line, on most documents", random.Random(5)
+    rows = [(i if i % 5 else None, f"{line}\nown line of document {i}\n" + (f"line of four sites {i // 8}" if i % 2 else ""), f"s{r.randrange(9)}") for i in range(3000)]
+    got = line_spread.drop_shared_lines(docs(spark, rows)).collect()
+    sites = {}
+    for i, t, s in rows:
+        for x in t.split("\n"):
+            sites.setdefault(x, set()).add(s)
+    first = {}
+    for i, t, _ in rows:
+        for x in t.split("\n"):
+            if i is not None:
+                first[x] = min(first.get(x, i), i)
+    want = sorted((str(i), "\n".join(x for x in t.split("\n") if len(x) < 20 or len(sites[x]) < 3 or first.get(x) == i and i is not None)) for i, t, _ in rows)
+    assert sorted((str(x.doc_id), x.text) for x in got) == want
+
+
 @pytest.mark.parametrize("sites", [11, 12, 13])
 def test_near_the_threshold_counts_are_exact(spark, sites):
     rows = [(i, "the line that is looked at here", f"s{i}") for i in range(sites)]
@@ -240,8 +309,8 @@ def test_leaks_with_substitutions(spark, odd, nothing):
             want.add((i, k))
         rows.append((i, (" ".join(body).upper() if i % 2 else ", ".join(body)), "s"))
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(90, None), (None, "a b c")], "item_id long, text string")
-    for limit in (4_000_000, 0):
-        got = {(x.doc_id, x.item_id) for x in spaced_seeds.find_leaks(docs(spark, rows), bench, most_filter=limit).collect()}
+    for bits in (27, 5):
+        got = {(x.doc_id, x.item_id) for x in spaced_seeds.find_leaks(docs(spark, rows), bench, filter_bits=bits).collect()}
         assert got == want
     assert spaced_seeds.find_leaks(odd, bench).count() == 0 and spaced_seeds.find_leaks(nothing, bench).count() == 0
     assert spaced_seeds.find_leaks(odd, bench.limit(0)).count() == 0
@@ -275,8 +344,43 @@ def test_leaks_wherever_words_are_substituted(spark):
     rows = [(i, f"a{i} b{i} {t} c{i}", s) for i, t, s in rows]
     want = {(i, n, n, n - len(gone)) for i, (n, gone) in enumerate(places) if n - len(gone) >= 0.75 * n}
     bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
-    for limit in (4_000_000, 0):
-        assert {tuple(x) for x in spaced_seeds.find_leaks(docs(spark, rows), bench, most_filter=limit).collect()} == want
+    assert {tuple(x) for x in spaced_seeds.find_leaks(docs(spark, rows), bench).collect()} == want
+
+
+def brute_leaks(texts, items, min_words=13, share=0.75):
+    """The longest overlap of each text and item, over all ways to lay one along the other and all stretches."""
+    out = {}
+    for d, text in texts.items():
+        for k, item in items.items():
+            for shift in range(1 - len(item), len(text)):
+                start, stop = max(0, shift), min(len(text), shift + len(item))
+                eq = [text[x] == item[x - shift] for x in range(start, stop)]
+                if stop - start == len(item) and sum(eq) >= share * len(item):
+                    out[d, k] = max(out.get((d, k), (0, 0)), (len(eq), sum(eq)))
+                upto = [0, *itertools.accumulate(eq)]
+                for i in range(len(eq)):
+                    for j in range(i + min_words, len(eq) + 1):
+                        if eq[i] and eq[j - 1] and upto[j] - upto[i] >= share * (j - i):
+                            out[d, k] = max(out.get((d, k), (0, 0)), (j - i, upto[j] - upto[i]))
+    return out
+
+
+def test_leaks_are_as_by_brute_force(spark):
+    r = random.Random(31)
+    vocabulary = [f"w{i}" for i in range(60)]  # few words, so that there are chance hits
+    items = {k: [r.choice(vocabulary) for _ in range(r.choice([2, 4, 8, 13, 20, 45]))] for k in range(10)}
+    texts = {}
+    for d in range(60):
+        body = [r.choice(vocabulary) for _ in range(r.randint(0, 50))]
+        if d % 4:
+            item, at = items[r.randrange(10)], r.randrange(len(body) + 1)
+            a = r.randrange(len(item))
+            part = [x if r.random() > 0.2 else r.choice(vocabulary) for x in (item if d % 3 else item[a:])]
+            body[at:at] = part
+        texts[d] = body
+    got = spaced_seeds.find_leaks(docs(spark, [(d, " ".join(x), "s") for d, x in texts.items()]), spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string"))
+    want = brute_leaks(texts, items)
+    assert {(x.doc_id, x.item_id): (x.n_words, x.n_equal) for x in got.collect()} == want and len(want) > 30
 
 
 def test_best_overlap_is_the_longest():
@@ -421,12 +525,53 @@ def test_copies_side_by_side_are_compared_with_other_pages(spark):
 @pytest.mark.parametrize("around", ["body class='no-sidebar'", "body class='has-sidebar'", "body class='logged-in search-results'", "body class=sidebar", "section class='related-work'", "div class='legal social'", "div id=search", "form", "main class=widget"])
 def test_layout_classes_leave_the_article(around):
     page = f"<html><{around}><div class=ad-slot>Buy</div><article class='post tag-legal'><p>Text</p><div class=social>Share</div></article></{around.split()[0]}>"
-    assert page_diff.main_text(page, None) == "Text"
+    assert [x for x, kind in page_diff.page_lines(page) if kind >= 0] == ["Text"]
 
 
 def test_off_elements_stay_off():
     page = "<body><section class=comments><article class=comment>Hi</article></section><aside><article>Teaser</article></aside><div class=cookie-banner>Yes</div><div class=sidebar>Side</div><form>f</form><p class='related-work'>Text</p>"
-    assert page_diff.main_text(page, None) == "Text"
+    assert [x for x, kind in page_diff.page_lines(page) if kind >= 0] == ["Text"]
+
+
+def brute_pages(rows):
+    """Pages (page_id, url, parts), parts of kind 'open', 'main' or 'off': every page against the nearest other ones of its host, by plain tables."""
+
+    def lcs(a, b):
+        best = {(i, j): () for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                best[i, j] = best[i - 1, j - 1] + (a[i - 1],) if a[i - 1] == b[j - 1] else max(best[i - 1, j], best[i, j - 1], key=len)
+        return best[len(a), len(b)]
+
+    out = {}
+    for i, url, parts in rows:
+        host = sorted((u, k, p) for k, u, p in rows if u.split("/")[2] == url.split("/")[2])
+        at, said = host.index((url, i, parts)), [x for x in parts if x[0] != "off"]
+        gone = set()
+        for side in (host[:at][::-1], host[at + 1 :]):
+            other = next(([x for x in p if x[0] != "off"] for _, _, p in side if [x for x in p if x[0] != "off"] not in (said, [])), [])
+            gone |= set(lcs([x for k, x in said if k == "open"], [x for k, x in other if k == "open"]))
+        out[i] = "\n".join(x for k, x in said if k == "main" or x not in gone)
+    return out
+
+
+def test_pages_are_as_by_brute_force(spark):
+    r = random.Random(21)
+    rows = []
+    for i in range(120):
+        host, n = r.randrange(6), r.randrange(3)
+        template = [("open", f"{w} of site {host}") for w in ("Name", "Search", "About", "Terms")]
+        parts = [*template[: r.randint(1, 2)], ("off", f"Menu {i}"), *((r.choice(["open", "main"]), f"Text {host} {x} {r.randrange(3)}") for x in range(n)), *template[2:]]
+        rows.append((i, f"http://h{host}/{r.randrange(40):02}", parts if r.random() < 0.9 else []))
+    tag = {"open": "<p>{}</p>", "main": "<article><p>{}</p></article>", "off": "<nav>{}</nav>"}
+    html = [(i, u, "<body>" + "".join(tag[k].format(x) for k, x in p)) for i, u, p in rows]
+    assert page_texts(spark, html) == brute_pages(rows)
+
+
+def test_long_pages(spark):
+    lines = [f"Text {i}" for i in range(60_000)]
+    rows = [(k, f"http://h/{k}", "<p>Site</p>" + "".join(f"<p>{x} {k}</p>" for x in lines) + "<p>Bye</p>" * 3000) for k in range(2)]
+    assert page_texts(spark, rows) == {k: "\n".join(f"{x} {k}" for x in lines) for k in range(2)}
 
 
 def test_common_lines_are_a_longest_subsequence():
