@@ -48,8 +48,9 @@ def zscore(x: Column, n: int) -> Column:
 def rolling_correlation(a: Column, b: Column, n: int) -> Column:
     """Null where one of the two doesn't change."""
     both = F.when(a.isNotNull() & b.isNotNull(), a)
-    flat = (F.var_samp(a).over(last_n(n)) > 0) & (F.var_samp(b).over(last_n(n)) > 0)
-    return F.when(flat, full(both, n, F.corr(a, b)))
+    # From parts, as corr divides by 0 over a window that doesn't change.
+    spread_of = lambda x: F.stddev_samp(x).over(last_n(n))
+    return ratio(full(both, n, F.covar_samp(a, b)), spread_of(a) * spread_of(b))
 
 
 def rolling_beta(a: Column, b: Column, n: int) -> Column:

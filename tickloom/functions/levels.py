@@ -153,7 +153,7 @@ def nearest_levels(bars: DataFrame, levels: DataFrame) -> DataFrame:
 
 
 def near_price(levels: DataFrame, price: str, part: float = 0.01) -> DataFrame:
-    return levels.where(F.abs(C("price") - C(price)) / C(price) <= part)
+    return levels.where(ratio(F.abs(C("price") - C(price)), C(price)) <= part)
 
 
 def by_strength(levels: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from decimal import ROUND_HALF_EVEN, Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,12 @@ def charges(segment: str, side: str, quantity: float, price: float) -> dict[str,
         brokerage, value * (on_buy if side == "BUY" else on_sell) / 100, charge, value * SEBI / 100, (brokerage + charge) * GST / 100,
         value * stamp / 100 if side == "BUY" else 0.0, DP_CHARGE if side == "SELL" and segment == "EQUITY_DELIVERY" else 0.0,
     )
-    return {k: round(x, 2) for k, x in zip(PARTS, parts, strict=True)} | {"total": round(sum(parts), 2)}
+    return {k: _cents(x) for k, x in zip(PARTS, parts, strict=True)} | {"total": _cents(sum(parts))}
+
+
+def _cents(x: float) -> float:
+    """To two places, ties of the shortest decimal form to the even one, as bround does on columns."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.01"), ROUND_HALF_EVEN))
 
 
 def rate_table(spark: SparkSession) -> DataFrame:
@@ -83,14 +89,24 @@ def stop_limit_fill(side: str, stop: float, limit: float, triggered: bool, o: fl
     return (price if (price <= limit if side == "BUY" else price >= limit) else None), True
 
 
+STOPS = frozenset("NONE FIXED_PRICE FIXED_PCT FIXED_POINTS FIXED_TICKS ATR_MULTIPLE VOLATILITY TRAILING_PCT TRAILING_POINTS TRAILING_TICKS TRAILING_ATR CHANDELIER TIME_BASED".split())
+
+
 @dataclass(frozen=True)
 class Stop:
-    """kind: NONE, FIXED_PRICE, FIXED_PCT, FIXED_POINTS, FIXED_TICKS, ATR_MULTIPLE, VOLATILITY, SWING_LOW, TRAILING_PCT, TRAILING_POINTS, TRAILING_TICKS, TRAILING_ATR, CHANDELIER, TIME_BASED."""
+    """kind: NONE, FIXED_PRICE, FIXED_PCT, FIXED_POINTS, FIXED_TICKS, ATR_MULTIPLE, VOLATILITY, TRAILING_PCT, TRAILING_POINTS, TRAILING_TICKS, TRAILING_ATR, CHANDELIER, TIME_BASED.
+
+    A stop at a swing needs the swing's price: signals bring it as stop_loss.
+    """
 
     kind: str = "NONE"
     value: float = 0.0
     tick: float = 0.05
 
+    def __post_init__(self) -> None:
+        if self.kind not in STOPS:
+            raise ValueError(f"unknown stop {self.kind!r}")
+
     @property
     def trailing(self) -> bool:
         return self.kind.startswith("TRAILING") or self.kind == "CHANDELIER"
@@ -107,11 +123,9 @@ class Stop:
             return None if atr is None else atr * v
         return None
 
-    def first(self, side: int, price: float, atr: float | None, swing: float | None = None) -> float | None:
+    def first(self, side: int, price: float, atr: float | None) -> float | None:
         if self.kind == "FIXED_PRICE":
             return self.value
-        if self.kind == "SWING_LOW":
-            return swing
         d = self.distance(price, atr)
         return None if d is None else price - side * d
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import ratio
 from .windows import W
 
 C = F.col
@@ -63,6 +64,6 @@ def exposure(bars: DataFrame, trades: DataFrame) -> DataFrame:
 def correlation_matrix(returns: DataFrame) -> DataFrame:
     """(a, b, corr) of returns (symbol, ts, r), by an equality join on ts; 1 on the diagonal, 0 where undefined."""
     a, b = returns.select("ts", C("symbol").alias("a"), C("r").alias("ra")), returns.select("ts", C("symbol").alias("b"), C("r").alias("rb"))
-    pairs = a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.coalesce(F.nanvl(F.corr("ra", "rb"), F.lit(0.0)), F.lit(0.0)).alias("corr"))
+    pairs = a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.coalesce(ratio(F.covar_samp("ra", "rb"), F.stddev_samp("ra") * F.stddev_samp("rb")), F.lit(0.0)).alias("corr"))
     own = returns.select(C("symbol").alias("a"), C("symbol").alias("b"), F.lit(1.0).alias("corr")).distinct()
     return pairs.unionByName(pairs.select(C("b").alias("a"), C("a").alias("b"), "corr")).unionByName(own)

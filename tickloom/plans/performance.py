@@ -16,7 +16,7 @@ def or_else(a: Column, b: Column, otherwise: float) -> Column:
 def drawdowns(equity: DataFrame, *keys: str) -> DataFrame:
     """equity with its running peak and drawdown as a part of it."""
     w = Window.partitionBy(*keys).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return equity.withColumn("peak", F.max("equity").over(w)).withColumn("drawdown", (C("equity") - C("peak")) / C("peak"))
+    return equity.withColumn("peak", F.max("equity").over(w)).withColumn("drawdown", F.try_divide(C("equity") - C("peak"), C("peak")))
 
 
 def daily(equity: DataFrame, *keys: str) -> DataFrame:
@@ -53,7 +53,7 @@ def equity_metrics(equity: DataFrame, *keys: str) -> DataFrame:
     )
     years = F.greatest(F.datediff("_b", "_a") / 365.25, F.lit(1 / 365.25))
     out = bars.join(by_day, list(keys))
-    out = out.withColumn("years", years).withColumn("total_return", C("end_equity") / C("start_equity") - 1).withColumn("cagr", F.pow(C("end_equity") / C("start_equity"), 1 / C("years")) - 1)
+    out = out.withColumn("years", years).withColumn("total_return", F.try_divide(C("end_equity"), C("start_equity")) - 1).withColumn("cagr", F.pow(F.greatest(F.try_divide(C("end_equity"), C("start_equity")), F.lit(0.0)), 1 / C("years")) - 1)
     root = F.sqrt(F.lit(float(DAYS)))
     out = out.withColumn("volatility", F.coalesce(C("_sd"), F.lit(0.0)) * root).withColumn("sharpe", or_else(C("_excess"), C("_sd"), 0.0) * root).withColumn("sortino", or_else(C("_excess"), C("_down"), 0.0) * root)
     out = out.withColumn("calmar", F.abs(or_else(C("cagr"), C("max_drawdown"), 0.0)))

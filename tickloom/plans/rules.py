@@ -121,7 +121,7 @@ def _leaf(rule: dict, needs: _Needs) -> Compiled:
     elif kind in ("near_support", "near_resistance"):
         levels, tolerance = [float(x) for x in p["levels"]], p.get("tolerance", 0.02)
         nearest = F.least(*(F.abs(close - x) for x in levels)) if len(levels) > 1 else F.abs(close - levels[0])
-        passed, value, least = nearest / close <= tolerance, nearest, 1
+        passed, value, least = ratio(nearest, close) <= tolerance, nearest, 1
     elif kind == "price_range":
         low, high = p.get("min_price", 0), p.get("max_price", 0)
         passed, value, least = (close >= low if low else F.lit(True)) & (close <= high if high else F.lit(True)), close, 1

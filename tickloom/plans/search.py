@@ -1,4 +1,4 @@
-"""Searches for parameters: each set is an account column, so that all run in one pass over the cluster."""
+"""Searches for parameters: each set is an account column, so that all are simulated side by side."""
 
 from __future__ import annotations
 

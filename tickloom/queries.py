@@ -30,6 +30,8 @@ HOURLY = """bars AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS ts,
   last(value ORDER BY ts, event_id) AS close, count(*) AS volume, 0::BIGINT AS oi FROM events WHERE value IS NOT NULL GROUP BY ALL)"""
 DAILY = """bars AS (SELECT o_orderpriority AS symbol, o_orderdate::TIMESTAMP AS ts, first(o_totalprice::DOUBLE ORDER BY o_orderkey) AS open, max(o_totalprice::DOUBLE) AS high, min(o_totalprice::DOUBLE) AS low,
   last(o_totalprice::DOUBLE ORDER BY o_orderkey) AS close, count(*) AS volume, 0::BIGINT AS oi FROM orders GROUP BY ALL)"""
+WIDE = """bars AS (SELECT l_suppkey::VARCHAR AS symbol, l_shipdate::TIMESTAMP AS ts, first(p ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS open, max(p) AS high, min(p) AS low,
+  last(p ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS close, count(*) AS volume, 0::BIGINT AS oi FROM (SELECT *, l_extendedprice::DOUBLE / l_quantity::DOUBLE AS p FROM lineitem) GROUP BY ALL)"""
 NUMBERED = "b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars)"
 BENCH = "bench AS (SELECT ts, avg(close) AS benchmark_close FROM bars GROUP BY ts)"
 W = "(PARTITION BY symbol ORDER BY ts)"
@@ -78,9 +80,7 @@ def on_bars(name: str, made: Callable[[], dict[str, Column]] | Callable[[DataFra
 
 register("bars_hourly", tables.bars_hourly, f"WITH {HOURLY} SELECT * FROM bars")
 register("bars_daily", tables.bars_daily, f"WITH {DAILY} SELECT * FROM bars")
-register("bars_wide", tables.bars_wide, """
-SELECT l_suppkey::VARCHAR AS symbol, l_shipdate::TIMESTAMP AS ts, first(p ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS open, max(p) AS high, min(p) AS low, last(p ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS close, count(*) AS volume, 0::BIGINT AS oi
-FROM (SELECT *, l_extendedprice::DOUBLE / l_quantity::DOUBLE AS p FROM lineitem) GROUP BY ALL""")
+register("bars_wide", tables.bars_wide, f"WITH {WIDE} SELECT * FROM bars")
 
 
 def _resampled(label: str, source: str) -> str:
@@ -104,7 +104,7 @@ on_bars("true_range", lambda: {"tr": ind.true_range()}, {"tr": f"greatest(high -
 DAY = "(PARTITION BY symbol, ts::DATE ORDER BY ts)"
 on_bars("vwap", lambda: {"vwap": ind.vwap()}, {"vwap": f"sum((high + low + close) / 3 * volume) OVER {DAY} / nullif(sum(volume) OVER {DAY}, 0)"})
 on_bars("zscore", lambda: {"z": ind.zscore(C("close"), 20)}, {"z": f"(close - {full(20, 'avg(close)')}) / nullif({full(20, 'stddev_samp(close)')}, 0)"})
-on_bars("rolling_correlation", lambda: {"corr": ind.rolling_correlation(C("close"), C("volume").cast("double"), 20)}, {"corr": f"CASE WHEN var_samp(close) OVER {w(20)} > 0 AND var_samp(volume) OVER {w(20)} > 0 THEN {full(20, 'corr(close, volume)')} END"})
+on_bars("rolling_correlation", lambda: {"corr": ind.rolling_correlation(C("close"), C("volume").cast("double"), 20)}, {"corr": f"{full(20, 'covar_samp(close, volume)')} / nullif(stddev_samp(close) OVER {w(20)} * stddev_samp(volume) OVER {w(20)}, 0)"})
 on_bars("rolling_beta", lambda: {"beta": ind.rolling_beta(C("close"), C("open"), 20)}, {"beta": f"{full(20, 'covar_samp(close, open)')} / nullif({full(20, 'var_samp(open)')}, 0)"})
 on_bars("spread", lambda: {"spread": ind.spread(C("close"), C("open"), 1.5)}, {"spread": "close - 1.5 * open"})
 on_bars("crossovers", lambda: {
@@ -261,12 +261,12 @@ def _instruments(s: SparkSession, d: str) -> DataFrame:
 
 def _find(s: SparkSession, d: str) -> DataFrame:
     i = _instruments(s, d)
-    wanted = i.where("position % 7 = 0").select(C("position").alias("request_id"), "segment", "asset_symbol", "instrument_type", (C("expiry") - 3_600_000).alias("expiry_from"), C("strike_price").alias("strike"))
+    wanted = i.select(C("position").alias("request_id"), "segment", "asset_symbol", "instrument_type", (C("expiry") - 3_600_000).alias("expiry_from"), C("strike_price").alias("strike"))
     return joins.find_instruments(wanted, i)
 
 
 register("instrument_lookup", _find, """WITH i AS (SELECT split_part(p_type, ' ', 1) AS segment, p_brand AS asset_symbol, p_size::BIGINT * 86400000 AS expiry, p_retailprice::DOUBLE AS strike, p_partkey AS position FROM part)
-SELECT a.position AS request_id, 'K' || first(b.position ORDER BY b.position) AS instrument_key FROM i a JOIN i b ON a.segment = b.segment AND a.asset_symbol = b.asset_symbol AND b.expiry >= a.expiry - 7200000 AND b.expiry <= a.expiry - 3600000 + 86400000 AND abs(a.strike - b.strike) <= 0.01 WHERE a.position % 7 = 0 GROUP BY a.position""")
+SELECT a.position AS request_id, 'K' || first(b.position ORDER BY b.position) AS instrument_key FROM i a JOIN i b ON a.segment = b.segment AND a.asset_symbol = b.asset_symbol AND b.expiry >= a.expiry - 7200000 AND b.expiry <= a.expiry - 3600000 + 86400000 AND abs(a.strike - b.strike) <= 0.01 GROUP BY a.position""")
 _SEGMENTS = ", ".join(f"'{x}'" for x in pricing.RATES)
 
 
@@ -282,13 +282,13 @@ register("position_size", lambda s, d: tables.bars_hourly(s, d).select("symbol",
 # --- screens ---------------------------------------------------------------------------------------------------------------
 
 def screen_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last bar of each symbol whose close is above its 20-bar mean on a volume above 3."""
-    d = tables.bars_hourly(spark, sf_dir)
+    """Last bar of each symbol whose close is above its 20-bar mean on a volume of 1 or more."""
+    d = tables.bars_wide(spark, sf_dir)
     d = d.withColumn("sma", ind.sma(C("close"), 20))
-    return rounded(latest(d).where("close > sma and volume > 3").select("symbol", "ts", "close", "sma", "volume"))
+    return rounded(latest(d).where("close > sma and volume >= 1").select("symbol", "ts", "close", "sma", "volume"))
 
 
-register("screen_expression", screen_expression, f"""WITH {HOURLY}, q AS (SELECT *, {full(20, 'avg(close)')} AS sma, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars) SELECT symbol, ts, {r6('close')} AS close, {r6('sma')} AS sma, volume FROM q WHERE k = 1 AND close > sma AND volume > 3""")
+register("screen_expression", screen_expression, f"""WITH {WIDE}, q AS (SELECT *, {full(20, 'avg(close)')} AS sma, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars) SELECT symbol, ts, {r6('close')} AS close, {r6('sma')} AS sma, volume FROM q WHERE k = 1 AND close > sma AND volume >= 1""")
 
 
 def _rule(name: str, rule: dict, sql: str | None = None, before: str = "", least: int = 1, history: bool = True) -> None:
@@ -358,7 +358,7 @@ register("trades_limit", lambda s, d: rounded(backtest.trades(_simulated(s, d, o
 
 
 def _portfolio(s: SparkSession, d: str) -> DataFrame:
-    signals = EmaCrossover().signals(tables.bars_hourly(s, d)).withColumn("portfolio", F.lit("all"))
+    signals = EmaCrossover().signals(tables.bars_hourly(s, d)).withColumn("portfolio", F.when(C("symbol").isin("click", "view"), "traffic").otherwise("rest"))
     return rounded(backtest.simulate(signals, backtest.Config(max_positions=3), ["portfolio"]).select("portfolio", "symbol", "ts", "equity", "cash"), 4)
 
 

@@ -27,8 +27,10 @@ def write_bars(bars: DataFrame, path: str, timeframe: str) -> None:
     if old is not None:
         kept = old.select(*(C(c).cast("string") if c in PARTITIONS else C(c) for c in old.columns)).join(months, PARTITIONS, "left_semi")
         new = upsert(kept, new).select(*new.columns)
-        new = new.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else new.persist()
-        new.count()
+        # The partitions that are read are overwritten, so what replaces them is written elsewhere first.
+        staged = f"{path.rstrip('/')}.staged"
+        new.write.mode("overwrite").parquet(staged)
+        new = spark.read.schema(new.schema).parquet(staged)
     new.repartition(*PARTITIONS).sortWithinPartitions("symbol", "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*PARTITIONS).parquet(path)
 
 

@@ -47,7 +47,11 @@ def is_stale(received_at: Column, seconds: int = 5) -> Column:
 
 
 def volume_steps(ticks: DataFrame) -> DataFrame:
-    """Ticks with volume_step, what they add to the day's volume; a day's first tick adds nothing, a falling count neither."""
+    """Ticks with volume_step, what they add to the day's volume; a day's first tick adds nothing, a falling count neither.
+
+    For tables. On a stream, stream_candles() takes the steps from the state, and feeds that report each trade's own
+    quantity need none: candles() takes it as volume_step.
+    """
     w = Window.partitionBy("symbol", F.to_date("ltt")).orderBy("ltt", "volume")
     return ticks.withColumn("volume_step", F.greatest(C("volume") - F.coalesce(F.lag("volume").over(w), C("volume")), F.lit(0)))
 
