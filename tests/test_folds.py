@@ -1,14 +1,17 @@
 import datetime as dt
 
+import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.operators import fold as folds
 from tickloom.plans import backtest, rules, strategies
-from tickloom.functions.pricing import Stop, charges, limit_fill, quantity, stop_fill, stop_limit_fill
+from tickloom.functions.pricing import PARTS, RATES, Stop, charges, limit_fill, quantity, stop_fill, stop_limit_fill, with_charges
+from tickloom.operators import joins, pairs
 from tickloom.operators.resample import resample
 from tickloom.sources import store, tables
-from tickloom.functions import swings
+from tickloom.functions import indicators, levels, swings
 
 
 def bars(spark, closes, symbol="a", start=dt.datetime(2024, 1, 1, 9, 15), step=dt.timedelta(hours=1)):
@@ -109,3 +112,93 @@ def test_double_top(spark):
     path = rise(10, 20) + rise(20, 15) + rise(15, 20.1) + rise(20.1, 8)
     got = swings.with_charts(bars(spark, path), 5).where("double_top <> 0").collect()
     assert [r.double_top for r in got] == [-1]
+
+
+@pytest.mark.parametrize("closes", [[5.0] * 30, [0.0] * 30, [7.0], [float(i % 2) for i in range(30)]])
+def test_flat_zero_and_single_bars(spark, closes):
+    b = bars(spark, closes)
+    got = b.select(indicators.rolling_correlation(F.col("close"), F.col("volume").cast("double"), 5).alias("r")).collect()
+    assert {r.r for r in got} == {None}
+    both = b.unionByName(bars(spark, [float(i) for i in range(len(closes))], "b")).select("symbol", "ts", F.col("close").alias("r"))
+    assert {(r.a, r.b): r.corr for r in joins.correlation_matrix(both).collect()}["a", "a"] == 1.0
+    assert rules.evaluate(b, {"type": "near_support", "levels": [5.0, 0.0]}).count() == len(closes)
+    levels.near_price(b.select("close", F.lit(3.0).alias("price")), "close").collect()
+    for rule in ({"type": "rsi"}, {"type": "macd"}, {"type": "adx"}, {"type": "bollinger_squeeze"}, {"type": "vwap"}, {"type": "supertrend"}, {"type": "accumulation"}):
+        assert rules.evaluate(b, rule).count() == len(closes)
+
+
+def test_charges_are_the_same_as_columns_and_alone(spark):
+    orders = [(seg, side, float(q), p) for seg in RATES for side in ("BUY", "SELL") for q in (1, 7, 50, 333) for p in (0.05, 10.0, 99.95, 1234.5, 20.25)]
+    got = with_charges(spark.createDataFrame(orders, "segment string, side string, quantity double, price double")).collect()
+    assert len(got) == len(orders)
+    for r in got:
+        assert {k: r[k] for k in (*PARTS, "total")} == charges(r.segment, r.side, r.quantity, r.price)
+
+
+def test_unknown_stops_and_ranks_are_rejected(spark):
+    with pytest.raises(ValueError):
+        Stop("SWING_LOW")
+    with pytest.raises(ValueError):
+        rules.rank(spark.range(1), "COLOUR")
+
+
+def test_rank_by_a_rule_s_value(spark):
+    b = bars(spark, [1.0, 5.0], "a").unionByName(bars(spark, [9.0, 3.0], "b")).unionByName(bars(spark, [2.0, 4.0], "c"))
+    scan = rules.scan_eod(b, {"type": "price_range", "min_price": 1, "name": "rs_score"})
+    assert [r.symbol for r in rules.rank(scan, "RS_SCORE").collect()] == ["a", "c", "b"]
+    assert [r.symbol for r in rules.rank(scan, "SIGNAL_STRENGTH", limit=2).collect()] == ["a", "b"]
+
+
+def plain_unit_root(x):
+    """The statistic by least squares over plain tables of lags."""
+    d = np.diff(x)
+    most = min(len(x) // 2 - 2, int(np.ceil(12 * (len(x) / 100) ** 0.25)))
+
+    def fit(lags, skip):
+        rows = range(max(lags, skip), len(d))
+        z = np.array([[1.0, x[t], *(d[t - k] for k in range(1, lags + 1))] for t in rows])
+        y = np.array([d[t] for t in rows])
+        b, *_ = np.linalg.lstsq(z, y, rcond=None)
+        return z, b, float(((y - z @ b) ** 2).sum()), len(y)
+
+    score = lambda lags: (lambda z, b, rest, n: n * np.log(rest / n) + 2 * z.shape[1])(*fit(lags, most))
+    z, b, rest, n = fit(min(range(most + 1), key=score), 0)
+    return b[1] / np.sqrt(rest / (n - z.shape[1]) * np.linalg.inv(z.T @ z)[1, 1])
+
+
+def test_cointegration(spark):
+    r = np.random.default_rng(4)
+    walk = np.cumsum(r.normal(size=400)) + 50
+    noise, x = r.normal(size=400), [0.0]
+    for e in noise[1:]:
+        x.append(0.6 * x[-1] + e)
+    series = {"a": 3 + 2 * walk + np.array(x), "b": walk, "c": np.cumsum(r.normal(size=400)) + 50}
+    b = bars(spark, series["a"].tolist(), "a")
+    for k in "bc":
+        b = b.unionByName(bars(spark, series[k].tolist(), k))
+    b = b.unionByName(bars(spark, [1.0] * 10, "short"))
+    wanted = spark.createDataFrame([("a", "b"), ("c", "b"), ("a", "short"), ("a", "none")], "a string, b string")
+    aligned = pairs.align_pairs(b, wanted)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = {(x.a, x.b): x for x in pairs.cointegration(aligned).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == {("a", "b"), ("c", "b")}
+    for (p, q), g in got.items():
+        slope, cut = np.polyfit(series[q], series[p], 1)
+        assert abs(g.hedge_ratio - slope) < 1e-6 and abs(g.adf_statistic - plain_unit_root(series[p] - slope * series[q] - cut)) < 1e-4
+    assert got["a", "b"].is_cointegrated and not got["c", "b"].is_cointegrated
+    # The published critical values of the test with a constant.
+    assert abs(pairs.p_value(-2.86) - 0.05) < 0.002 and abs(pairs.p_value(-3.43) - 0.01) < 0.001 and abs(pairs.p_value(-2.57) - 0.10) < 0.002
+
+
+def test_the_store_is_cleared_by_symbol_and_timeframe(spark, tmp_path):
+    path = f"file://{tmp_path}/bars"
+    store.write_bars(bars(spark, [1.0, 2.0], "a b").unionByName(bars(spark, [3.0], "c")), path, "1h")
+    store.write_bars(bars(spark, [4.0], "c"), path, "1d")
+    store.clear(spark, path, "1h", ["a b"])
+    left = lambda t: [(r.symbol, r.close) for r in store.read_bars(spark, path, t).collect()]
+    assert left("1h") == [("c", 3.0)] and left("1d") == [("c", 4.0)]
+    store.clear(spark, path, "1h")
+    assert left("1h") == [] and left("1d") == [("c", 4.0)]

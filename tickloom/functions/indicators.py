@@ -147,3 +147,14 @@ def prior_extremes(n: int) -> tuple[Column, Column]:
     """Highest high and lowest low of the n bars before this one."""
     ok = F.count("close").over(before_n(n)) == n
     return F.when(ok, F.max("high").over(before_n(n))), F.when(ok, F.min("low").over(before_n(n)))
+
+
+def trail_increment(divisor: float = 5.0) -> Column:
+    """By how much a stop is trailed: a part of the body of the bar before; 0 at the first bar."""
+    return F.coalesce(F.abs(lag("open") - lag("close")) / divisor, F.lit(0.0))
+
+
+def relative_strength_rank(bars: DataFrame, n: int = 55) -> DataFrame:
+    """(ts, symbol, rs, place): symbols by relative strength at each time, of bars with benchmark_close; those without one are left out."""
+    d = bars.select("ts", "symbol", relative_strength(C("close"), C("benchmark_close"), n).alias("rs")).where("rs is not null")
+    return d.withColumn("place", F.row_number().over(Window.partitionBy("ts").orderBy(F.desc("rs"), "symbol")))

@@ -80,6 +80,14 @@ def auto_fibonacci(bars: DataFrame, n: int = 50, parts: tuple[float, ...] = RETR
     return d.select("symbol", F.explode(fibonacci(C("swing_high"), C("swing_low"), C("up"), parts)).alias("x")).select("symbol", "x.part", "x.price")
 
 
+def fibonacci_levels(bars: DataFrame, parts: tuple[float, ...], n: int = 50) -> DataFrame:
+    """(symbol, part, price, level_type) of the swing of the last n bars, for extensions (EXTENSIONS) and fans (FANS); symbols with fewer bars have none."""
+    whole = bars.groupBy("symbol").agg(F.count("*").alias("_n")).where(C("_n") >= n).select("symbol")
+    d = major_swing(bars.join(whole, "symbol", "left_semi"), n)
+    d = d.select("symbol", "up", F.explode(fibonacci(C("swing_high"), C("swing_low"), C("up"), parts)).alias("x"))
+    return d.select("symbol", "x.part", "x.price", F.when(C("up"), "support").otherwise("resistance").alias("level_type"))
+
+
 def swing_levels(bars: DataFrame, w: int = 5, near: float = 0.005) -> DataFrame:
     """(symbol, price, level_type, touches, strength): distinct swing prices, scored by how many closes come near.
 

@@ -67,3 +67,9 @@ def correlation_matrix(returns: DataFrame) -> DataFrame:
     pairs = a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.coalesce(ratio(F.covar_samp("ra", "rb"), F.stddev_samp("ra") * F.stddev_samp("rb")), F.lit(0.0)).alias("corr"))
     own = returns.select(C("symbol").alias("a"), C("symbol").alias("b"), F.lit(1.0).alias("corr")).distinct()
     return pairs.unionByName(pairs.select(C("b").alias("a"), C("a").alias("b"), "corr")).unionByName(own)
+
+
+def memberships(universes: DataFrame) -> DataFrame:
+    """(symbol, universes): the names of all universes (name, symbol) that hold a symbol, in order."""
+    d = universes.select("name", F.upper(F.trim("symbol")).alias("symbol")).where("symbol <> ''").distinct()
+    return d.groupBy("symbol").agg(F.array_sort(F.collect_list("name")).alias("universes"))  # a symbol's universes, not a universe's symbols

@@ -212,12 +212,28 @@ def _least(rule: dict) -> int:
     return _tree(rule, _Needs(), [])[1]
 
 
-RANKS = {"SCORE": "score", "CLOSE": "close", "VOLUME": "volume"}
+RANKS = {"SCORE": "score", "CLOSE": "close", "VOLUME": "volume", "ATR_PCT": "atr_pct", "RS_SCORE": "rs_score", "SIGNAL_STRENGTH": "signal_strength"}
+
+
+def with_atr_pct(bars: DataFrame, n: int = 14) -> DataFrame:
+    """Adds atr_pct, the simple mean range of n bars in percent of the close, for rank()."""
+    return indicators.with_atr_simple(bars, n, "_a").withColumn("atr_pct", 100 * ratio(C("_a"), C("close"))).drop("_a")
 
 
 def rank(scan: DataFrame, by: str = "SCORE", descending: bool = True, limit: int = 0) -> DataFrame:
-    """In order of a value, nulls last and ties by symbol."""
-    c = C(RANKS.get(by, by))
+    """In order of one of RANKS, nulls last and ties by symbol.
+
+    RS_SCORE and SIGNAL_STRENGTH are a column of that name, or else the value of a rule of that name, or else the score.
+    """
+    if by not in RANKS:
+        raise ValueError(f"unknown rank {by!r}: one of {', '.join(RANKS)}")
+    name = RANKS[by]
+    if name in scan.columns:
+        c = C(name)
+    elif by in ("RS_SCORE", "SIGNAL_STRENGTH"):
+        c = F.coalesce(F.try_element_at(F.filter("rules", lambda r: F.lower(r["rule"]) == name), F.lit(1))["value"], C("score"))
+    else:
+        raise ValueError(f"the scan has no column {name!r}")
     d = scan.orderBy(c.desc_nulls_last() if descending else c.asc_nulls_last(), "symbol")
     return d.limit(limit) if limit else d
 
@@ -241,6 +257,10 @@ def scan_live(history: DataFrame, ticks: DataFrame, rule: dict | str) -> DataFra
     return scan_eod(history.unionByName(as_bars, allowMissingColumns=True), rule)
 
 
-def summary(evaluated: DataFrame) -> DataFrame:
-    """(scanned, passed): symbols, and those whose last bar passes, of evaluate()."""
-    return latest(evaluated).agg(F.count("*").alias("scanned"), F.count_if(C("passed")).alias("passed"))
+def summary(evaluated: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(scanned, passed, failed, errored): symbols of evaluate(), by their last bar. Those of wanted (symbol) without bars, and those whose last close is null, count as errors."""
+    last = latest(evaluated).select("symbol", "passed", C("close").isNull().alias("bad"))
+    if wanted is not None:
+        last = wanted.select("symbol").distinct().join(last, "symbol", "left")
+    bad = F.coalesce(C("bad"), F.lit(True))
+    return last.agg(F.count("*").alias("scanned"), F.count_if(~bad & C("passed")).alias("passed"), F.count_if(~bad & ~C("passed")).alias("failed"), F.count_if(bad).alias("errored"))

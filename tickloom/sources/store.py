@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.quality import clean, upsert
 
@@ -19,13 +20,13 @@ def write_bars(bars: DataFrame, path: str, timeframe: str) -> None:
     new = clean(bars).withColumn("timeframe", F.lit(timeframe)).withColumn("month", F.date_format("ts", "yyyy-MM"))
     months = new.select(*PARTITIONS).distinct()
     try:
-        old = spark.read.parquet(path)
+        old = _stored(spark, path)
     except Exception as e:  # the first write
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = None
     if old is not None:
-        kept = old.select(*(C(c).cast("string") if c in PARTITIONS else C(c) for c in old.columns)).join(months, PARTITIONS, "left_semi")
+        kept = old.join(months, PARTITIONS, "left_semi")
         new = upsert(kept, new).select(*new.columns)
         # The partitions that are read are overwritten, so what replaces them is written elsewhere first.
         staged = f"{path.rstrip('/')}.staged"
@@ -34,15 +35,33 @@ def write_bars(bars: DataFrame, path: str, timeframe: str) -> None:
     new.repartition(*PARTITIONS).sortWithinPartitions("symbol", "ts").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "snappy").partitionBy(*PARTITIONS).parquet(path)
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The store's table, partition columns as text: Spark would take '1d' for a number."""
+    schema = spark.read.parquet(path).schema
+    return spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) if f.name in PARTITIONS else f for f in schema])).parquet(path)
+
+
 def read_bars(spark: SparkSession, path: str, timeframe: str, symbols: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Bars from the start day to the end day; partitions of other symbols, timeframes and months are not read."""
-    d = spark.read.parquet(path).where(C("timeframe") == timeframe)
-    d = d.where(C("symbol").cast("string").isin(symbols)) if symbols else d
+    d = _stored(spark, path).where(C("timeframe") == timeframe)
+    d = d.where(C("symbol").isin(symbols)) if symbols else d
     if start:
         d = d.where((C("month") >= start[:7]) & (C("ts") >= F.lit(start).cast("timestamp_ntz")))
     if end:
         d = d.where((C("month") <= end[:7]) & (C("ts") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp_ntz")))
-    return d.drop("timeframe", "month").withColumn("symbol", C("symbol").cast("string"))
+    return d.drop("timeframe", "month")
+
+
+def clear(spark: SparkSession, path: str, timeframe: str | None = None, symbols: list[str] | None = None) -> None:
+    """Deletes what the store has of a timeframe (of all, if None) and of symbols (of all, if None)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    pattern = "/".join([f"timeframe={timeframe or '*'}", *([] if symbols is None else ["symbol=*"])])
+    wanted = None if symbols is None else set(symbols)
+    for found in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(root, pattern)) or ():
+        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(found.getPath().getName())
+        if wanted is None or name.removeprefix("symbol=") in wanted:
+            files.delete(found.getPath(), True)
 
 
 def span(spark: SparkSession, path: str, timeframe: str) -> DataFrame:

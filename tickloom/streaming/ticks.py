@@ -111,6 +111,11 @@ def stream_candles(ticks: DataFrame, late: str = "drop") -> DataFrame:
     return ticks.groupBy("symbol").transformWithStateInPandas(CandleProcessor(late), CandleProcessor.SCHEMA, "Append", "ProcessingTime")
 
 
+def distinct_ticks(ticks: DataFrame, watermark: str | None = None) -> DataFrame:
+    """One tick for each symbol and time; of streams, among ticks within the watermark, so that state stays bounded."""
+    return ticks.withWatermark("ltt", watermark).dropDuplicatesWithinWatermark(["symbol", "ltt"]) if watermark else ticks.dropDuplicates(["symbol", "ltt"])
+
+
 def write_stream(d: DataFrame, path: str, checkpoint: str, kind: str = "parquet", every: str = "5 seconds"):
     """Chunks by symbol, day and hour; JSON lines with kind='json'."""
     d = d.withColumn("date", F.to_date("ts")).withColumn("hour", F.hour("ts")) if "ts" in d.columns else d.withColumn("date", F.to_date("ltt")).withColumn("hour", F.hour("ltt"))
