@@ -223,16 +223,16 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     ranked = scratch.write(ranked.withColumn("part", part).drop("place"), "ranked")
 
     before = ranked.select((F.col("rank") + 1).alias("rank"), F.col("host").alias("_host"), F.col("said").alias("_said"))
-    slim = ranked.select("rank", "part", "host", "said").join(before, "rank", "left")
+    slim = ranked.select("rank", "part", "host", "said").join(before.hint("merge"), "rank", "left")
     slim = scratch.write(slim.select("rank", "part", F.coalesce((F.col("_host") != F.col("host")) | (F.col("_said") != F.col("said")), F.lit(True)).alias("first")), "firsts")
     counts = slim.groupBy("part").agg(F.count_if("first").alias("n"))
     start = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     within = Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     runs = slim.withColumn("run", F.sum(F.col("first").cast("long")).over(within)).join(start, "part").select("rank", (F.col("start") + F.col("run")).alias("run"), "first")
-    runs = scratch.write(runs.filter("first").select("rank", "run").join(ranked.select("rank", "host", "lines"), "rank"), "runs")
+    runs = scratch.write(runs.filter("first").select("rank", "run").join(ranked.select("rank", "host", "lines").hint("merge"), "rank"), "runs")
 
     near = lambda step, name: runs.select((F.col("run") + step).alias("run"), F.col("host").alias(f"{name}_host"), F.col("lines").alias(name), F.col("rank").alias(f"{name}_rank"))
-    pairs = runs.join(near(1, "before"), "run", "left").join(near(-1, "after"), "run", "left")
+    pairs = runs.join(near(1, "before").hint("merge"), "run", "left").join(near(-1, "after").hint("merge"), "run", "left")
     pairs = pairs.select("rank", F.col("after_rank").alias("stop"), "lines", *(F.when(F.col(f"{x}_host") == F.col("host"), F.col(x)).alias(x) for x in ("before", "after")))
 
     def shared(batch: pa.RecordBatch) -> dict:
@@ -244,7 +244,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     lost = lost.select(F.col("rank").alias("from"), F.coalesce("stop", F.lit(n_ranks + 1)).alias("stop"), "shared")
     lost = lost.withColumn("block", F.explode(F.sequence(F.shiftright("from", 6), F.shiftright(F.col("stop") - 1, 6))))
     pages_of = ranked.select("row", "rank", F.shiftright("rank", 6).alias("block"))
-    lost = pages_of.join(lost, "block").filter("rank >= `from` and rank < stop").select(F.col("row").alias("_row"), "shared")
+    lost = pages_of.hint("merge").join(lost, "block").filter("rank >= `from` and rank < stop").select(F.col("row").alias("_row"), "shared")
     lost = scratch.write(lost, "lost")
     out = made.join(lost, made["row"] == lost["_row"], "left")
     kept = F.filter("lines", lambda x, k: ~F.array_contains("shared", k))
