@@ -1,8 +1,10 @@
 """Ordered folds: recursive state over a symbol's bars in time order.
 
-Bars are dealt by key and sorted within partitions once; tasks then stream through them in Arrow batches and carry the state
-from batch to batch, so that a symbol needs no more memory than its state, however long it is. All folds of a query run in
-one pass.
+Bars are dealt by key and sorted within partitions once, by the window that numbers them: where windows over the same key came
+before, their shuffle is used. Tasks then stream through the bars in Arrow batches and carry the state from batch to batch, so
+that a symbol needs no more memory than its state, however long it is. All folds of a query run in one pass. As what comes out
+of Python is dealt by nothing that Spark knows of, windows belong before folds: chain() puts what follows into the fold, and
+`lagged` gives the values of the row before.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Step = Callable[..., tuple]
@@ -27,30 +30,56 @@ class Fold:
     make: Callable[[], Step]
 
 
-def fold(df: DataFrame, *folds: Fold, key: str | list[str] = "symbol", order: str | list[str] = "ts") -> DataFrame:
+def fold(df: DataFrame, *folds: Fold, key: str | list[str] = "symbol", order: str | list[str] = "ts", number: str | None = None, lagged: tuple[str, ...] = ()) -> DataFrame:
+    """df with the folds' outputs; number: a column for the row's number; lagged: outputs whose value at the row before is added as <name>_1."""
     keys, orders = ([x] if isinstance(x, str) else list(x) for x in (key, order))
-    added = [f for x in folds for f in T.StructType.fromDDL(x.outputs)]
-    schema = T.StructType([*df.schema.fields, *added])
+    made_by = [f for x in folds for f in T.StructType.fromDDL(x.outputs)]
+    places = [k for name in lagged for k, f in enumerate(made_by) if f.name == name]
+    added = [*made_by, *(T.StructField(f"{made_by[k].name}_1", made_by[k].dataType) for k in places)]
+    counted = number or "_row"
+    numbered = df.withColumn(counted, F.row_number().over(Window.partitionBy(*keys).orderBy(*orders)))
+    schema = T.StructType([*(numbered if number else df).schema.fields, *added])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, steps = object(), []
+        current, steps, before = object(), [], [None] * len(places)
         for batch in batches:
             made: list[list] = [[] for _ in added]
             columns = {c: [None if x is None or x is pd.NaT or x != x else x for x in batch[c].tolist()] for c in {*keys, *(c for f in folds for c in f.inputs)}}
             for i in range(len(batch)):
                 at = tuple(columns[k][i] for k in keys)
                 if at != current:
-                    current, steps = at, [f.make() for f in folds]
+                    current, steps, before = at, [f.make() for f in folds], [None] * len(places)
                 n = 0
                 for f, step in zip(folds, steps, strict=True):
                     for x in step(*(columns[c][i] for c in f.inputs)):
                         made[n].append(x)
                         n += 1
+                for k, x in enumerate(before, n):
+                    made[k].append(x)
+                before = [made[k][-1] for k in places]
             for f, x in zip(added, made, strict=True):
                 batch[f.name] = pd.Series(x, index=batch.index, dtype="float64" if isinstance(f.dataType, T.DoubleType) else "object")
             yield batch[schema.names]
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *orders).mapInPandas(run, schema)
+    return numbered.mapInPandas(run, schema)
+
+
+def chain(parts: list[Fold], then: Callable[[], Step], outputs: str, extra: tuple[str, ...] = ()) -> Fold:
+    """A fold of folds: then() gets the outputs of the parts, in order, and the columns `extra`."""
+    inputs = tuple(dict.fromkeys([*(c for f in parts for c in f.inputs), *extra]))
+    places = [[inputs.index(c) for c in f.inputs] for f in parts]
+    rest = [inputs.index(c) for c in extra]
+
+    def make() -> Step:
+        steps, last = [f.make() for f in parts], then()
+
+        def step(*row):
+            values = [x for f, at in zip(steps, places, strict=True) for x in f(*(row[i] for i in at))]
+            return last(*values, *(row[i] for i in rest))
+
+        return step
+
+    return Fold(inputs, outputs, make)
 
 
 def smoother(alpha: float, least: int) -> Callable[[float | None], float | None]:

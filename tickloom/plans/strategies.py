@@ -1,50 +1,105 @@
 """Strategies: bars to signals (+1, -1, 0) with a tag, stop, target and confidence.
 
-Each is conditions for entry and exit as columns, put through a state machine; a strategy is a class of parameters, so that a
-search can vary them.
+Each is conditions for entry and exit, put through a state machine; a strategy is a class of parameters, so that a search can
+vary them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import indicators as ind
 from ..operators import fold as folds
 from ..operators.resample import opening_range, second_of_day
-from ..operators.windows import DAY, lag, row, with_run_length
+from ..operators.windows import DAY
 from ..schema import flag
 
 C = F.col
 
 
-def finish(d: DataFrame, columns: list[str], warmup: int, *, tag_long: str, tag_short: str, stop: Column | None = None, stop_pct: float = 0, target_pct: float = 0, confidence: Column | None = None) -> DataFrame:
-    """Signal columns; signals of the first `warmup` bars are cleared after the state machine has seen them."""
-    d = d.withColumn("_n", row())
-    s = F.when(C("_n") > warmup, C("signal")).otherwise(0).cast("int")
-    side = s.cast("double")
-    by_pct = lambda pct, sign: F.when(s != 0, C("close") * (1 + sign * side * pct / 100)) if pct else F.lit(None).cast("double")
+_OUT = "signal{0} int, signal_tag{0} string, stop_loss{0} double, take_profit{0} double, confidence{0} double"
+Events = Callable[[], Callable[..., tuple]]
+
+
+def finish(d: DataFrame, columns: list[str], tag_long: str, tag_short: str, stop: Column, target_pct: float = 0) -> DataFrame:
+    """Signal columns of bars with signal, for strategies that are windows alone."""
+    s, side = C("signal").cast("int"), C("signal").cast("double")
+    target = F.when(s != 0, C("close") * (1 + side * target_pct / 100)) if target_pct else F.lit(None).cast("double")
     return d.select(
         *columns, s.alias("signal"), F.when(s == 1, tag_long).when(s == -1, tag_short).otherwise("").alias("signal_tag"),
-        (F.when(s != 0, stop) if stop is not None else by_pct(stop_pct, -1)).alias("stop_loss"), by_pct(target_pct, 1).alias("take_profit"),
-        F.when(s != 0, confidence if confidence is not None else F.lit(1.0)).otherwise(0.0).cast("double").alias("confidence"),
+        F.when(s != 0, stop).alias("stop_loss"), target.alias("take_profit"), F.when(s != 0, 1.0).otherwise(0.0).alias("confidence"),
     )
 
 
-def _modes(d: DataFrame, up: Column, down: Column, mode: str) -> DataFrame:
-    """Reversal, long only or short only on two events."""
-    no = F.lit(False)
-    li, si, lo, so = {"long_short": (up, down, no, no), "long_only": (up, no, down, no), "short_only": (no, down, no, up)}[mode]
-    d = d.withColumn("_li", li).withColumn("_si", si).withColumn("_lo", lo).withColumn("_so", so)
-    return folds.fold(d, folds.long_short("_li", "_si", "_lo", "_so"))
+def signal_fold(parts: list[folds.Fold], events: Events, extra: tuple[str, ...], *, warmup: int, tags: tuple[str, str], stop_pct: float = 0, target_pct: float = 0, suffix: str = "") -> folds.Fold:
+    """A strategy as one fold: parts, then events() for entries and exits, then the position, then the signal's columns.
+
+    events() gives a function of the parts' outputs and the columns `extra`, the last of which is close, to (long entry,
+    short entry, long exit, short exit, stop or None, confidence by side). Signals of the first `warmup` bars are cleared
+    after the position has seen them.
+    """
+
+    def then() -> folds.Step:
+        event, position, n = events(), folds.long_short("a", "b", "c", "d").make(), 0
+
+        def step(*values):
+            nonlocal n
+            n += 1
+            close = values[-1]
+            *conditions, stop, confidence = event(*values)
+            (s,) = position(*conditions)
+            if n <= warmup or s == 0:
+                return 0, "", None, None, 0.0
+            if stop is None and stop_pct:
+                stop = close * (1 - s * stop_pct / 100)
+            return s, tags[0 if s > 0 else 1], stop, close * (1 + s * target_pct / 100) if target_pct else None, confidence(s)
+
+        return step
+
+    return folds.chain(parts, then, _OUT.format(suffix), extra)
+
+
+def sure(side: int) -> float:
+    return 1.0
+
+
+def by_mode(up: bool, down: bool, mode: str) -> tuple[bool, bool, bool, bool]:
+    """Entries and exits on two events: reversal, long only or short only."""
+    return {"long_short": (up, down, False, False), "long_only": (up, False, down, False), "short_only": (False, down, False, up)}[mode]
+
+
+def crossing() -> Callable[[float | None, float | None], tuple[bool, bool]]:
+    """Whether a first value crosses above, or below, a second one; never where one of the four is missing."""
+    before: tuple = (None, None)
+
+    def step(a, b):
+        nonlocal before
+        p, q = before
+        before = a, b
+        known = None not in (a, b, p, q)
+        return known and a > b and p <= q, known and a < b and p >= q
+
+    return step
 
 
 class Strategy:
-    def signals(self, bars: DataFrame) -> DataFrame:
+    """signals() is prepared(), which adds columns by windows, and then fold(), so that bars are dealt and sorted once."""
+
+    def prepared(self, bars: DataFrame) -> DataFrame:
+        return bars
+
+    def fold(self, suffix: str = "") -> folds.Fold:
         raise NotImplementedError
 
+    def signals(self, bars: DataFrame) -> DataFrame:
+        d = folds.fold(self.prepared(bars), self.fold())
+        return d.select(*bars.columns, *(f.name for f in T.StructType.fromDDL(_OUT.format(""))))
+
     @classmethod
     def schema(cls) -> dict[str, tuple[str, object]]:
         """Parameters with type and default."""
@@ -67,10 +122,13 @@ class EmaCrossover(Strategy):
     stop_pct: float = 0.0
     target_pct: float = 0.0
 
-    def signals(self, bars: DataFrame) -> DataFrame:
-        d = folds.fold(bars, folds.ema("close", self.fast, "_f"), folds.ema("close", self.slow, "_s"))
-        d = _modes(d, ind.crossover(C("_f"), C("_s")), ind.crossunder(C("_f"), C("_s")), self.mode)
-        return finish(d, bars.columns, self.slow, tag_long="EMA_UP", tag_short="EMA_DOWN", stop_pct=self.stop_pct, target_pct=self.target_pct)
+    def fold(self, suffix: str = "") -> folds.Fold:
+        def events():
+            cross = crossing()
+            return lambda a, b, close: (*by_mode(*cross(a, b), self.mode), None, sure)
+
+        parts = [folds.ema("close", self.fast, "a"), folds.ema("close", self.slow, "b")]
+        return signal_fold(parts, events, ("close",), warmup=self.slow, tags=("EMA_UP", "EMA_DOWN"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
 
 
 @dataclass(frozen=True)
@@ -82,11 +140,12 @@ class MacdCrossover(Strategy):
     stop_pct: float = 0.0
     target_pct: float = 0.0
 
-    def signals(self, bars: DataFrame) -> DataFrame:
-        d = folds.fold(bars, folds.macd("close", self.fast, self.slow, self.signal, "_m"))
-        a, b = C("_m_line"), C("_m_signal")
-        d = _modes(d, ind.crossover(a, b), ind.crossunder(a, b), self.mode)
-        return finish(d, bars.columns, self.slow + self.signal, tag_long="MACD_UP", tag_short="MACD_DOWN", stop_pct=self.stop_pct, target_pct=self.target_pct)
+    def fold(self, suffix: str = "") -> folds.Fold:
+        def events():
+            cross = crossing()
+            return lambda line, signal, histogram, close: (*by_mode(*cross(line, signal), self.mode), None, sure)
+
+        return signal_fold([folds.macd("close", self.fast, self.slow, self.signal, "m")], events, ("close",), warmup=self.slow + self.signal, tags=("MACD_UP", "MACD_DOWN"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
 
 
 @dataclass(frozen=True)
@@ -99,17 +158,19 @@ class RsiReversion(Strategy):
     stop_pct: float = 0.0
     target_pct: float = 0.0
 
-    def signals(self, bars: DataFrame) -> DataFrame:
-        d = folds.fold(bars, folds.rsi("close", self.period, "_r"))
-        r = C("_r")
-        low, high = ind.below_threshold(r, self.oversold), ind.above_threshold(r, self.overbought)
-        out_long, out_short = (ind.above_threshold(r, 50), ind.below_threshold(r, 50)) if self.exit_at_midline else (high, low)
-        no = F.lit(False)
-        both = self.mode == "long_short"
-        d = d.withColumn("_li", low if self.mode != "short_only" else no).withColumn("_si", high if both or self.mode == "short_only" else no).withColumn("_lo", out_long).withColumn("_so", out_short)
-        d = folds.fold(d, folds.long_short("_li", "_si", "_lo", "_so"))
-        far = F.when(C("signal") == 1, (self.oversold - r) / self.oversold).otherwise((r - self.overbought) / (100 - self.overbought))
-        return finish(d, bars.columns, self.period + 1, tag_long="RSI_LOW", tag_short="RSI_HIGH", stop_pct=self.stop_pct, target_pct=self.target_pct, confidence=F.least(F.greatest(far, F.lit(0.0)), F.lit(1.0)))
+    def fold(self, suffix: str = "") -> folds.Fold:
+        def events():
+            low, high, mid = crossing(), crossing(), crossing()
+
+            def step(r, close):
+                (_, sold), (bought, _), (up, down) = low(r, self.oversold), high(r, self.overbought), mid(r, 50.0)
+                far = lambda s: min(max((self.oversold - r) / self.oversold if s > 0 else (r - self.overbought) / (100 - self.overbought), 0.0), 1.0)
+                out = (up, down) if self.exit_at_midline else (bought, sold)
+                return sold and self.mode != "short_only", bought and self.mode != "long_only", *out, None, far
+
+            return step
+
+        return signal_fold([folds.rsi("close", self.period, "r")], events, ("close",), warmup=self.period + 1, tags=("RSI_LOW", "RSI_HIGH"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
 
 
 @dataclass(frozen=True)
@@ -121,15 +182,26 @@ class BollingerSqueeze(Strategy):
     stop_pct: float = 0.0
     target_pct: float = 0.0
 
-    def signals(self, bars: DataFrame) -> DataFrame:
-        d = folds.fold(bars, folds.ema("close", self.period, "_e"), folds.atr(self.atr_period, "_a"))
-        d = ind.with_keltner(ind.with_bollinger(d, self.period, self.std), "_e", "_a", self.multiplier)
-        d = with_run_length(d.withColumn("_on", ind.squeeze()).withColumnRenamed("_on", "_squeezed"), C("_squeezed"), "_length")
-        released = flag(~C("_squeezed") & lag("_squeezed"))
-        d = d.withColumn("_li", flag(released & (C("close") > C("bb_upper")))).withColumn("_si", flag(released & (C("close") < C("bb_lower"))))
-        d = d.withColumn("_lo", flag(C("close") < C("bb_mid"))).withColumn("_so", flag(C("close") > C("bb_mid"))).withColumn("_before", lag("_length"))
-        d = folds.fold(d, folds.long_short("_li", "_si", "_lo", "_so"))
-        return finish(d, bars.columns, self.period, tag_long="SQUEEZE_UP", tag_short="SQUEEZE_DOWN", stop=C("bb_mid") if not self.stop_pct else None, stop_pct=self.stop_pct, target_pct=self.target_pct, confidence=F.least(C("_before") / 10, F.lit(1.0)))
+    def prepared(self, bars: DataFrame) -> DataFrame:
+        return ind.with_bollinger(bars, self.period, self.std)
+
+    def fold(self, suffix: str = "") -> folds.Fold:
+        def events():
+            run = 0
+
+            def step(mid_line, rng, mid, upper, lower, close):
+                nonlocal run
+                known = None not in (mid_line, rng, upper, lower)
+                tight = known and upper < mid_line + self.multiplier * rng and lower > mid_line - self.multiplier * rng
+                before, run = run, run + 1 if tight else 0
+                freed = before > 0 and not tight and upper is not None
+                under, over = mid is not None and close < mid, mid is not None and close > mid
+                return freed and close > upper, freed and close < lower, under, over, None if self.stop_pct else mid, lambda s: min(before / 10, 1.0)
+
+            return step
+
+        parts = [folds.ema("close", self.period, "e"), folds.atr(self.atr_period, "a")]
+        return signal_fold(parts, events, ("bb_mid", "bb_upper", "bb_lower", "close"), warmup=self.period, tags=("SQUEEZE_UP", "SQUEEZE_DOWN"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
 
 
 @dataclass(frozen=True)
@@ -139,10 +211,11 @@ class SupertrendFlip(Strategy):
     mode: str = "long_short"
     target_pct: float = 0.0
 
-    def signals(self, bars: DataFrame) -> DataFrame:
-        d = folds.fold(bars, folds.supertrend(self.period, self.multiplier, "_t"))
-        d = _modes(d, C("_t_buy"), C("_t_sell"), self.mode)
-        return finish(d, bars.columns, self.period, tag_long="TREND_UP", tag_short="TREND_DOWN", stop=C("_t"), target_pct=self.target_pct)
+    def fold(self, suffix: str = "") -> folds.Fold:
+        def events():
+            return lambda line, side, buy, sell, close: (*by_mode(buy, sell, self.mode), line, sure)
+
+        return signal_fold([folds.supertrend(self.period, self.multiplier, "t")], events, ("close",), warmup=self.period, tags=("TREND_UP", "TREND_DOWN"), target_pct=self.target_pct, suffix=suffix)
 
 
 @dataclass(frozen=True)
@@ -159,18 +232,24 @@ class StrengthRsiTrend(Strategy):
     stop_pct: float = 0.0
     target_pct: float = 0.0
 
-    def signals(self, bars: DataFrame) -> DataFrame:
-        d = bars.withColumn("_rs", ind.relative_strength(C("close"), C("benchmark_close"), self.rs_period))
-        d = folds.fold(d, folds.rsi("close", self.rsi_period, "_r"), folds.supertrend(self.period, self.multiplier, "_t"))
-        n = sum((flag(x).cast("int") for x in (C("_rs") > 0, C("_r") > self.rsi_level, C("_t_direction") == 1)), F.lit(0))
-        d = d.withColumn("_agree", n).withColumn("_in", C("_agree") >= self.enter).withColumn("_out", C("_agree") < self.leave)
-        d = folds.fold(d, folds.long_only("_in", "_out"))
-        return finish(d, bars.columns, self.rs_period, tag_long="AGREE", tag_short="LEAVE", stop_pct=self.stop_pct, target_pct=self.target_pct, confidence=C("_agree") / 3)
+    def prepared(self, bars: DataFrame) -> DataFrame:
+        return bars.withColumn("_rs", ind.relative_strength(C("close"), C("benchmark_close"), self.rs_period))
+
+    def fold(self, suffix: str = "") -> folds.Fold:
+        def events():
+            def step(r, line, side, buy, sell, rs, close):
+                agree = (rs is not None and rs > 0) + (r is not None and r > self.rsi_level) + (side == 1)
+                return agree >= self.enter, False, agree < self.leave, False, None, lambda s: agree / 3
+
+            return step
+
+        parts = [folds.rsi("close", self.rsi_period, "r"), folds.supertrend(self.period, self.multiplier, "t")]
+        return signal_fold(parts, events, ("_rs", "close"), warmup=self.rs_period, tags=("AGREE", "LEAVE"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
 
 
 @dataclass(frozen=True)
 class OpeningRangeBreakout(Strategy):
-    """At most one long and one short entry a day, out of the opening range and on the right side of the day's mean price."""
+    """At most one long and one short entry a day, out of the opening range and on the right side of the day's mean price. Windows alone, no fold."""
 
     start: str = "09:15"
     stop: str = "09:30"
@@ -191,7 +270,7 @@ class OpeningRangeBreakout(Strategy):
         upto = DAY().rowsBetween(Window.unboundedPreceding, -1)
         first = lambda c: C(c) & (F.coalesce(F.sum(C(c).cast("int")).over(upto), F.lit(0)) == 0)
         d = d.withColumn("signal", F.when(first("_l"), 1).when(first("_s"), -1).otherwise(0))
-        return finish(d, bars.columns, 0, tag_long="ORB_LONG", tag_short="ORB_SHORT", stop=C("open"), target_pct=self.target_pct)
+        return finish(d, bars.columns, "ORB_LONG", "ORB_SHORT", C("open"), self.target_pct)
 
 
 def first_signal_per_session(d: DataFrame, column: str = "signal") -> DataFrame:
@@ -207,11 +286,11 @@ STRATEGIES: dict[str, type[Strategy]] = {
 
 
 def confluence(bars: DataFrame, strategies: list[Strategy], n: int) -> DataFrame:
-    """Bars with long_votes, short_votes and a signal where n strategies agree at the bar."""
-    d, names = bars, []
-    for i, s in enumerate(strategies):
-        d = s.signals(d).withColumnRenamed("signal", f"_sig{i}").drop("signal_tag", "stop_loss", "take_profit", "confidence")
-        names.append(f"_sig{i}")
-    votes = lambda v: sum(((C(x) == v).cast("int") for x in names), F.lit(0))
-    d = d.withColumn("long_votes", votes(1)).withColumn("short_votes", votes(-1))
-    return d.withColumn("signal", F.when(C("long_votes") >= n, 1).when(C("short_votes") >= n, -1).otherwise(0).cast("int")).drop(*names)
+    """Bars with long_votes, short_votes and a signal where n strategies (with folds) agree at the bar. All run in one pass."""
+    d = bars
+    for x in strategies:
+        d = x.prepared(d)
+    d = folds.fold(d, *(x.fold(f"_{i}") for i, x in enumerate(strategies)))
+    votes = lambda v: sum(((C(f"signal_{i}") == v).cast("int") for i in range(len(strategies))), F.lit(0))
+    d = d.select(*bars.columns, votes(1).alias("long_votes"), votes(-1).alias("short_votes"))
+    return d.withColumn("signal", F.when(C("long_votes") >= n, 1).when(C("short_votes") >= n, -1).otherwise(0).cast("int"))
