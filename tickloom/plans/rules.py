@@ -1,13 +1,15 @@
 """Screens: trees of rules as dictionaries (or JSON), compiled to columns of bars.
 
-A rule names an indicator's condition; and/or/not/at_least combine rules. What the rules of a tree need is collected first,
-so that all folds run in one pass and each indicator is added once. Every bar gets an answer: the last one is the end-of-day
-scan, all of them the historical scan.
+A rule names an indicator's condition; and/or/not/at_least combine rules. What the rules of a tree need is collected first:
+each indicator is added once, those that are windows before those that are folds, so that bars are dealt and sorted by symbol
+once. What the conditions need of the bar before is a column too. Every bar gets an answer: the last one is the end-of-day scan,
+all of them the historical scan.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import candles, indicators, swings
 from ..operators import fold as folds
-from ..operators.windows import W, before_n, lag, latest, row
+from ..operators.windows import W, before_n, lag, row
 from ..schema import flag, ratio
 
 C = F.col
@@ -33,9 +35,11 @@ class Compiled:
     weight: float = 1.0
 
 
-def _crossing(x: Column, level: Column, how: str) -> Column:
-    before, level_before = lag(x), lag(level)
-    return {"above": x > level, "below": x < level, "cross_above": (x > level) & (before <= level_before), "cross_below": (x < level) & (before >= level_before)}[how]
+Pair = tuple[Column, Column]  # at this bar and at the one before
+
+
+def _crossing(x: Pair, level: Pair, how: str) -> Column:
+    return {"above": x[0] > level[0], "below": x[0] < level[0], "cross_above": (x[0] > level[0]) & (x[1] <= level[1]), "cross_below": (x[0] < level[0]) & (x[1] >= level[1])}[how]
 
 
 class _Needs:
@@ -43,66 +47,81 @@ class _Needs:
 
     def __init__(self) -> None:
         self.folds: dict[str, folds.Fold] = {}
-        self.staged: dict[str, object] = {}
+        self.lagged: dict[str, None] = {}
+        self.windows: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
     def fold(self, name: str, f: folds.Fold) -> str:
         self.folds[name] = f
         return name
 
-    def stage(self, name: str, add) -> None:
-        self.staged[name] = add
+    def before(self, name: str) -> Column:
+        """A fold's output at the bar before."""
+        self.lagged[name] = None
+        return C(f"{name}_1")
+
+    def window(self, name: str, add: Callable[[DataFrame], DataFrame] | Column) -> Column:
+        """A column that windows give, by a function of bars or as it is."""
+        self.windows.setdefault(name, add if callable(add) else lambda d: d.withColumn(name, add))
+        return C(name)
+
+    def pair(self, name: str) -> Pair:
+        """A column of bars, or of windows asked for before, with its value at the bar before."""
+        return C(name), self.window(f"{name}_1", lag(name))
+
+    def folded(self, name: str) -> Pair:
+        return C(name), self.before(name)
 
     def apply(self, bars: DataFrame) -> DataFrame:
-        d = folds.fold(bars, *self.folds.values()) if self.folds else bars
-        for add in self.staged.values():
+        d = bars
+        for add in self.windows.values():
             d = add(d)
-        return d
+        return folds.fold(d, *self.folds.values(), number="_n", lagged=tuple(self.lagged)) if self.folds else d.withColumn("_n", row())
 
 
 def _leaf(rule: dict, needs: _Needs) -> Compiled:
     p = {k: v for k, v in rule.items() if k not in ("type", "weight", "name")}
     kind = rule["type"]
-    num = lambda x: F.lit(float(x))
+    num = lambda x: (F.lit(float(x)),) * 2
     close, volume = C("close"), C("volume")
 
-    def ema(n: int) -> Column:
-        return C(needs.fold(f"ema_{n}", folds.ema("close", n, f"ema_{n}")))
+    def ema(n: int) -> Pair:
+        return needs.folded(needs.fold(f"ema_{n}", folds.ema("close", n, f"ema_{n}")))
 
     if kind == "rsi":
         n = p.get("period", 14)
-        x = C(needs.fold(f"rsi_{n}", folds.rsi("close", n, f"rsi_{n}")))
-        passed, value, least = _crossing(x, num(p.get("threshold", 30)), p.get("direction", "below")), x, n + 1
+        x = needs.folded(needs.fold(f"rsi_{n}", folds.rsi("close", n, f"rsi_{n}")))
+        passed, value, least = _crossing(x, num(p.get("threshold", 30)), p.get("direction", "below")), x[0], n + 1
     elif kind == "macd":
         a, b, c = p.get("fast", 12), p.get("slow", 26), p.get("signal", 9)
         name = needs.fold(f"macd_{a}_{b}_{c}", folds.macd("close", a, b, c, f"macd_{a}_{b}_{c}"))
         how, hist = p.get("condition", "cross_above"), C(f"{name}_histogram")
-        passed = hist > 0 if how == "histogram_positive" else hist < 0 if how == "histogram_negative" else _crossing(C(f"{name}_line"), C(f"{name}_signal"), how)
+        passed = hist > 0 if how == "histogram_positive" else hist < 0 if how == "histogram_negative" else _crossing(needs.folded(f"{name}_line"), needs.folded(f"{name}_signal"), how)
         value, least = hist, b + c
     elif kind == "ema":
         n = p.get("period", 20)
         how = p.get("condition", "above").replace("price_", "")
-        passed, value, least = _crossing(close, ema(n), how), ema(n), n
+        passed, value, least = _crossing(needs.pair("close"), ema(n), how), ema(n)[0], n
     elif kind in ("golden_cross", "death_cross"):
         a, b = ema(p.get("fast", 50)), ema(p.get("slow", 200))
-        passed, value, least = _crossing(a, b, "cross_above" if kind == "golden_cross" else "cross_below"), a - b, p.get("slow", 200) + 1
+        passed, value, least = _crossing(a, b, "cross_above" if kind == "golden_cross" else "cross_below"), a[0] - b[0], p.get("slow", 200) + 1
     elif kind == "supertrend":
         n, m = p.get("period", 10), p.get("multiplier", 3.0)
         name = needs.fold(f"supertrend_{n}_{m:g}".replace(".", "_"), folds.supertrend(n, m, f"supertrend_{n}_{m:g}".replace(".", "_")))
         how, side = p.get("condition", "bullish"), C(f"{name}_direction")
         want = 1 if how.endswith("bullish") else -1
-        passed = (side == want) & (lag(side) == -want) if how.startswith("flip") else side == want
+        passed = (side == want) & (needs.before(f"{name}_direction") == -want) if how.startswith("flip") else side == want
         value, least = C(name), n + 1
     elif kind == "bollinger_squeeze":
         n, k, m = p.get("period", 20), p.get("std", 2.0), p.get("multiplier", 1.5)
         name, atr = f"bbsq_{n}", C(needs.fold(f"atr_{n}", folds.atr(n, f"atr_{n}")))
-        needs.stage(name, lambda d: indicators.with_bollinger(d, n, k, name=name))
-        mid = ema(n)
+        needs.window(name, lambda d: indicators.with_bollinger(d, n, k, name=name))
+        mid = ema(n)[0]
         passed, value, least = (C(f"{name}_upper") <= mid + m * atr) & (C(f"{name}_lower") >= mid - m * atr), C(f"{name}_bandwidth"), n
     elif kind == "relative_strength":
         n = p.get("period", 55)
-        needs.stage(f"mansfield_{n}", lambda d: indicators.with_mansfield(d, "benchmark_close", n, f"mansfield_{n}"))
-        x, how = C(f"mansfield_{n}"), p.get("condition", "above")
-        passed, value, least = x > lag(x) if how == "improving" else _crossing(x, num(p.get("threshold", 0)), how), x, n + 1
+        needs.window(f"mansfield_{n}", lambda d: indicators.with_mansfield(d, "benchmark_close", n, f"mansfield_{n}"))
+        x, how = needs.pair(f"mansfield_{n}"), p.get("condition", "above")
+        passed, value, least = x[0] > x[1] if how == "improving" else _crossing(x, num(p.get("threshold", 0)), how), x[0], n + 1
     elif kind == "adx":
         n = p.get("period", 14)
         name = needs.fold(f"adx_{n}", folds.adx(n, f"adx_{n}"))
@@ -111,13 +130,13 @@ def _leaf(rule: dict, needs: _Needs) -> Compiled:
         passed = {"above": strong, "di_plus_above": strong & (plus > minus), "di_minus_above": strong & (minus > plus)}[how]
         value, least = C(name), 2 * n
     elif kind == "vwap":
-        needs.stage("vwap", lambda d: d.withColumn("vwap", indicators.vwap()))
-        passed, value, least = _crossing(close, C("vwap"), p.get("condition", "above").replace("price_", "")), C("vwap"), 2
+        price = needs.pair("close")  # the window by symbol first: its shuffle serves days too
+        needs.window("vwap", indicators.vwap())
+        passed, value, least = _crossing(price, needs.pair("vwap"), p.get("condition", "above").replace("price_", "")), C("vwap"), 2
     elif kind == "price_breakout":
         n, up = p.get("lookback", 20), p.get("direction", "above") == "above"
-        needs.stage(f"prior_{n}", lambda d: d.withColumn(f"prior_high_{n}", indicators.prior_extremes(n)[0]).withColumn(f"prior_low_{n}", indicators.prior_extremes(n)[1]))
-        x = C(f"prior_high_{n}" if up else f"prior_low_{n}")
-        passed, value, least = (close > x) & (lag(close) <= x) if up else (close < x) & (lag(close) >= x), x, n + 1
+        x = needs.window(f"prior_high_{n}", indicators.prior_extremes(n)[0]) if up else needs.window(f"prior_low_{n}", indicators.prior_extremes(n)[1])
+        passed, value, least = _crossing(needs.pair("close"), (x, x), "cross_above" if up else "cross_below"), x, n + 1
     elif kind in ("near_support", "near_resistance"):
         levels, tolerance = [float(x) for x in p["levels"]], p.get("tolerance", 0.02)
         nearest = F.least(*(F.abs(close - x) for x in levels)) if len(levels) > 1 else F.abs(close - levels[0])
@@ -127,30 +146,30 @@ def _leaf(rule: dict, needs: _Needs) -> Compiled:
         passed, value, least = (close >= low if low else F.lit(True)) & (close <= high if high else F.lit(True)), close, 1
     elif kind in ("higher_high", "lower_low"):
         w, x = p.get("window", 5), "high" if kind == "higher_high" else "low"
-        needs.stage(f"structure_{w}", lambda d: swings.with_trend_structure(d, w, as_known=True))
-        told = f"higher_{x}" if x == "high" else f"lower_{x}"
-        at = F.last(F.when(C(f"swing_{x}_known").isNotNull(), C(told)), ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0))
-        passed, value, least = at, C(f"swing_{x}_known"), p.get("lookback", 20)
+        needs.window(f"structure_{w}", lambda d: _with_structure(d, w))
+        told = f"higher_{x}_{w}" if x == "high" else f"lower_{x}_{w}"
+        at = needs.window(f"last_{told}", F.last(F.when(C(f"swing_{x}_known_{w}").isNotNull(), C(told)), ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0)))
+        passed, value, least = at, C(f"swing_{x}_known_{w}"), p.get("lookback", 20)
     elif kind in ("volume_breakout", "volume_ratio", "volume_decline"):
         n, m = p.get("period", 20), p.get("multiplier", 0.5 if kind == "volume_decline" else 1.5 if kind == "volume_ratio" else 2.0)
-        mean = F.when(F.count("volume").over(before_n(n)) == n, F.avg("volume").over(before_n(n)))
+        mean = needs.window(f"volume_mean_{n}", F.when(F.count("volume").over(before_n(n)) == n, F.avg("volume").over(before_n(n))))
         passed, value, least = volume <= m * mean if kind == "volume_decline" else volume >= m * mean, ratio(volume, mean), n + 1
     elif kind in ("accumulation", "distribution"):
         n = p.get("period", 10)
-        needs.stage("obv", lambda d: indicators.with_obv(d))
-        mean = indicators.sma(C("obv"), n)
+        needs.window("obv", indicators.with_obv)
+        mean = needs.window(f"obv_mean_{n}", indicators.sma(C("obv"), n))
         passed, value, least = C("obv") > mean if kind == "accumulation" else C("obv") < mean, C("obv"), n
     elif kind == "candle":
         name, side = p["pattern"], p.get("direction", "ANY")
-        needs.stage(f"candle_{name}", lambda d: candles.with_candles(d, name, signed=True))
+        needs.window(f"candle_{name}", lambda d: candles.with_candles(d, name, signed=True))
         passed, value, least = {"BULLISH": C(name) == 1, "BEARISH": C(name) == -1, "ANY": C(name) != 0}[side], C(name), 10
     elif kind == "chart":
         name = p["pattern"]
-        needs.stage(f"chart_{name}", lambda d: _with_chart(d, name))
+        needs.window(f"chart_{name}", lambda d: _with_chart(d, name))
         passed, value, least = C(f"{name}_seen") != 0, C(f"{name}_seen"), 50
     elif kind == "trend":
-        needs.stage("structure_5", lambda d: swings.with_trend_structure(d, 5, as_known=True))
-        passed, value, least = C(p.get("direction", "uptrend")), C("trend_change"), 21
+        needs.window("structure_5", lambda d: _with_structure(d, 5))
+        passed, value, least = C(f"{p.get('direction', 'uptrend')}_5"), C("trend_change_5"), 21
     elif kind == "signal":
         passed, value, least = C(p.get("column", "signal")) == (1 if p.get("direction", "long") == "long" else -1), C(p.get("column", "signal")), 1
     elif kind == "expression":
@@ -161,6 +180,12 @@ def _leaf(rule: dict, needs: _Needs) -> Compiled:
     return Compiled(label, flag(passed), value.cast("double"), least, float(rule.get("weight", 1.0)))
 
 
+def _with_structure(d: DataFrame, w: int) -> DataFrame:
+    """The columns of the trend structure as screens know it, with _<w> at the end, so that several widths can stand side by side."""
+    made = swings.with_trend_structure(d, w, as_known=True)
+    return made.select(*d.columns, *(C(c).alias(f"{c}_{w}") for c in made.columns if c not in d.columns))
+
+
 def _with_chart(d: DataFrame, name: str) -> DataFrame:
     return swings.with_charts(d, as_known=True, only=(name,), suffix="_seen")
 
@@ -186,8 +211,7 @@ def evaluate(bars: DataFrame, rule: dict | str, weighted: bool = False) -> DataF
     rule = json.loads(rule) if isinstance(rule, str) else rule
     needs, leaves = _Needs(), []
     _tree(rule, needs, leaves)
-    d = needs.apply(bars).withColumn("_n", row())
-    # Answers first, as columns: conditions with lags are windows.
+    d = needs.apply(bars)
     for i, x in enumerate(leaves):
         d = d.withColumn(f"_p{i}", x.passed & (C("_n") >= x.least)).withColumn(f"_v{i}", x.value)
     at = iter(range(len(leaves)))
@@ -241,7 +265,12 @@ def rank(scan: DataFrame, by: str = "SCORE", descending: bool = True, limit: int
 def scan_eod(bars: DataFrame, rule: dict | str, weighted: bool = False, eligible: DataFrame | None = None) -> DataFrame:
     """The last bar of each symbol that passes. eligible (symbol): only those are looked at at all, from before the indicators on."""
     d = bars.join(eligible, "symbol", "left_semi") if eligible is not None else bars
-    return latest(evaluate(d, rule, weighted)).where("passed").drop("passed")
+    return _last(evaluate(d, rule, weighted)).where("passed").drop("passed")
+
+
+def _last(d: DataFrame) -> DataFrame:
+    """The last row of each symbol, by an aggregate: tasks send one row for each symbol on."""
+    return d.groupBy("symbol").agg(F.max_by(F.struct(*d.columns), "ts").alias("_r")).select("_r.*")
 
 
 def scan_history(bars: DataFrame, rule: dict | str, start: str, end: str, weighted: bool = False) -> DataFrame:
@@ -259,7 +288,7 @@ def scan_live(history: DataFrame, ticks: DataFrame, rule: dict | str) -> DataFra
 
 def summary(evaluated: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(scanned, passed, failed, errored): symbols of evaluate(), by their last bar. Those of wanted (symbol) without bars, and those whose last close is null, count as errors."""
-    last = latest(evaluated).select("symbol", "passed", C("close").isNull().alias("bad"))
+    last = _last(evaluated).select("symbol", "passed", C("close").isNull().alias("bad"))
     if wanted is not None:
         last = wanted.select("symbol").distinct().join(last, "symbol", "left")
     bad = F.coalesce(C("bad"), F.lit(True))

@@ -159,8 +159,8 @@ _fold("supertrend", folds.supertrend(10, 3.0, "st"), ("st", "st_direction"), {"s
 
 
 def _keltner(d: DataFrame) -> DataFrame:
-    d = ind.with_keltner(folds.fold(d, folds.ema("close", 20, "_e"), folds.atr(10, "_a")), "_e", "_a", 1.5)
-    return ind.with_bollinger(d).withColumn("squeeze", ind.squeeze())
+    d = folds.fold(ind.with_bollinger(d), folds.ema("close", 20, "_e"), folds.atr(10, "_a"))
+    return ind.with_keltner(d, "_e", "_a", 1.5).withColumn("squeeze", ind.squeeze())
 
 
 on_bars("keltner_squeeze", _keltner, {"kc_upper": "m + 1.5 * a", "kc_lower": "m - 1.5 * a", "squeeze": "coalesce(mid + 2 * sd < m + 1.5 * a AND mid - 2 * sd > m - 1.5 * a, false)"}, before=f"""{NUMBERED}, {_TR}, {ewm('e', 'b', 'close', 2 / 21)}, {ewm('f', 'tr', 'x', 1 / 10)},
