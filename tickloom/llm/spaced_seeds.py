@@ -29,7 +29,7 @@ class _Ids(dict):
     """64-bit ids of words, each hashed once."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 19:
             self.clear()
         got = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         return got
@@ -98,7 +98,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, masks: tuple[str, ...] = MA
     some mask fits; with the default masks, a share of 0.75 or more and min_words of 10 or more, that is every overlap.
     Verified around the hit, up to `around` words to each side. Items of one or two words are found wherever they stand.
 
-    Tasks hash each document's words under each mask. A bitmap of the benchmark's seed hashes, of 16 bits or more for each
+    Tasks hash each document's words under each mask. A bitmap of the benchmark's seed hashes, of 512 bits or more for each
     seed up to 2**filter_bits bits in all (16 MB), is sent to the tasks and lets hits through only; benchmarks of more
     seeds than half of those bits send all seeds to the join. A document's hits come with the words around them, each word once. Hits and seeds
     are joined by hash, then segments and items by their ids, and aligned word by word.
@@ -112,7 +112,7 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, masks: tuple[str, ...] = MA
     n_seeds, *kinds = items.agg(F.sum(F.size("seeds")), *(F.max(F.col("n_item").between(a, b)) for a, b in ((1, 1), (2, 2), (3, 9), (10, 2**31 - 1)))).first()
     n_seeds = n_seeds or 0
     used = [m for n, some in zip((1, 2, 3, 10), kinds, strict=True) if some for m in masks_for(n, masks)]
-    bitmap, n_bits = None, min(filter_bits, max(16, (16 * n_seeds - 1).bit_length()))
+    bitmap, n_bits = None, min(filter_bits, max(20, (512 * n_seeds - 1).bit_length()))
     if n_seeds <= 1 << (filter_bits - 1):
         low = seeds.select(F.col("hash").bitwiseAND(F.lit((1 << n_bits) - 1)).alias("low"))
         low = low.groupBy(F.shiftright("low", 5).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 31 as int))")).alias("bits")).toPandas()  # 2**(filter_bits - 5) rows at most
