@@ -24,7 +24,7 @@ _WORDS = 16  # of 64 bits in a bitmap
 
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 19:
             self.clear()
         got = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
         return got
@@ -178,14 +178,18 @@ def _needed(reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _tiles(needed: DataFrame, percent: int) -> DataFrame:
-    """(node, n, tile, hash): the needed candidates in the tiles of their set's size."""
+    """(node, n, tile, larger, hash): the needed candidates in the tiles of their set's size.
+
+    A set is in the tile of its own band with sets of that band and of the one below, and in the next one, where only pairs
+    with sets of the next band count: a tile without any set of its own band (larger) has nothing to compare.
+    """
     band = _band(F.col("n"), percent)
-    return needed.withColumn("tile", F.explode(F.array(band, band + 1))).select("node", "n", "tile", F.explode("few").alias("hash"))
+    return needed.select("node", "n", "few", F.posexplode(F.array(band, band + 1)).alias("up", "tile")).select("node", "n", "tile", (F.col("up") == 0).alias("larger"), F.explode("few").alias("hash"))
 
 
 def _stars(tiles: DataFrame) -> DataFrame:
     """(a, b): for each node the centre that it shares most tiles with. A tile's centre is its smallest node."""
-    centres = tiles.groupBy("hash", "tile").agg(F.min("node").alias("b"), F.max("node").alias("_last")).where("b < _last").drop("_last")
+    centres = tiles.groupBy("hash", "tile").agg(F.min("node").alias("b"), F.max("node").alias("_last"), F.max("larger").alias("_some")).where("b < _last and _some").drop("_last", "_some")
     near = tiles.join(centres, ["hash", "tile"]).where("node <> b").groupBy("node", "b").count()
     return near.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct(F.col("count"), -F.col("b"))).alias("b"))
 
@@ -202,9 +206,9 @@ def _rest(tiles: DataFrame, labels: DataFrame, needed: DataFrame, reps: DataFram
     may link leave it, each once: in the tile of the smallest hash that both need. Members bring their smaller hashes for that.
     """
     lab = labels.withColumnRenamed("node", "_node")
-    named = tiles.join(lab, tiles["node"] == lab["_node"], "left").select("hash", "tile", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("hash", "tile").agg(F.count("*").alias("members"), F.min("label").alias("_a"), F.max("label").alias("_b")).where("_a < _b").drop("_a", "_b")
-    open_tiles = named.join(mixed, ["hash", "tile"])
+    named = tiles.join(lab, tiles["node"] == lab["_node"], "left").select("hash", "tile", "node", "n", "larger", F.coalesce("label", "node").alias("label"))
+    mixed = named.groupBy("hash", "tile").agg(F.count("*").alias("members"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.max("larger").alias("_some")).where("_a < _b and _some").drop("_a", "_b", "_some")
+    open_tiles = named.drop("larger").join(mixed, ["hash", "tile"])
     few = needed.select(F.col("node").alias("_of"), F.col("n").alias("_m"), "few")
     sets = reps.join(few, (F.col("node") == F.col("_of")) & (F.col("n") == F.col("_m"))).select(F.col("node").alias("_node"), "_m", "bits", "few", _band(F.col("n"), percent).alias("band"))
     d = open_tiles.join(sets, (F.col("node") == F.col("_node")) & (F.col("n") == F.col("_m"))).drop("_node", "_m").withColumn("before", F.filter("few", lambda x: x < F.col("hash"))).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
