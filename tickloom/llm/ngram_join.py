@@ -254,11 +254,13 @@ def _rest(tiles: DataFrame, labels: DataFrame, needed: DataFrame, reps: DataFram
 def verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) of doc_ids that link, by intersection of their sorted arrays of shingle hashes."""
     pairs = scratch.write(pairs, f"{name}_pairs")
-    ids = pairs.select(F.col("a").alias("_id")).unionByName(pairs.select(F.col("b").alias("_id"))).distinct()
-    texts = docs.join(ids, docs["doc_id"] == ids["_id"], "left_semi")
-    sets = map_texts(texts, ["doc_id"], lambda b: {"set": [shingles(x, size).tobytes() for x in b.column("text").to_pylist()]}, "set binary", 512)
+    # Each set goes to the sides that it stands on only: a star has many members and few centres.
+    ids = pairs.select(F.col("a").alias("_id"), F.lit(True).alias("is_a"), F.lit(False).alias("is_b")).unionByName(pairs.select(F.col("b").alias("_id"), F.lit(False).alias("is_a"), F.lit(True).alias("is_b")))
+    ids = ids.groupBy("_id").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
+    texts = docs.join(ids, docs["doc_id"] == ids["_id"]).select("doc_id", "is_a", "is_b", "text")
+    sets = map_texts(texts, ["doc_id", "is_a", "is_b"], lambda b: {"set": [shingles(x, size).tobytes() for x in b.column("text").to_pylist()]}, "set binary", 512)
     sets = scratch.write(sets, f"{name}_sets")
-    a, b = (sets.select(F.col("doc_id").alias(f"_{x}"), F.col("set").alias(f"set_{x}")) for x in "ab")
+    a, b = (sets.where(f"is_{x}").select(F.col("doc_id").alias(f"_{x}"), F.col("set").alias(f"set_{x}")) for x in "ab")
     both = pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select("a", "b", "set_a", "set_b")
 
     def linked(batch: pa.RecordBatch) -> dict:
