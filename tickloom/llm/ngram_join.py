@@ -80,17 +80,6 @@ def _bitmap(hashes: np.ndarray) -> list[int]:
     return np.packbits(bits).view("int64").tolist()
 
 
-class _Before(dict):
-    """Sets of a list column's values by row."""
-
-    def __init__(self, lists: pa.ListArray):
-        self.lists = lists
-
-    def __missing__(self, at: int) -> frozenset[int]:
-        got = self[at] = frozenset(self.lists[at].as_py())
-        return got
-
-
 def bound_pairs(n: np.ndarray, bits: np.ndarray, labels: np.ndarray, own: np.ndarray, crossing: bool, bands: np.ndarray, tile: int, percent: int) -> list[tuple[int, int]]:
     """Pairs of positions of different labels that bit counts don't rule out. crossing: of different blocks only, else of one.
 
@@ -151,7 +140,7 @@ def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85) -> Data
     tiles = scratch.write(_tiles(needed, percent), "tiles")
     first = verify(scratch, d, _stars(tiles), size, percent, "first")
     labels = scratch.write(components(scratch, first, "first"), "labels")
-    more = verify(scratch, d, _rest(tiles, labels, needed, reps, percent), size, percent, "more")
+    more = verify(scratch, d, _rest(tiles, labels, reps, percent), size, percent, "more")
     labels = components(scratch, first.unionByName(more), "all")
 
     named = classes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("_digest", F.coalesce("label", "node").alias("component_id"), "size")
@@ -199,23 +188,23 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / (log(100 / percent) * 1.0001))
 
 
-def _rest(tiles: DataFrame, labels: DataFrame, needed: DataFrame, reps: DataFrame, percent: int, block: int = 512) -> DataFrame:
+def _rest(tiles: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, block: int = 512) -> DataFrame:
     """(a, b): pairs of different components in one tile that bit counts don't rule out.
 
     Members of a tile are dealt to blocks of about `block`, and each two blocks are compared within one task; only pairs that
-    may link leave it, each once: in the tile of the smallest hash that both need. Members bring their smaller hashes for that.
+    may link leave it, from each tile that they share. They are few, so that it costs less to drop repeated ones afterwards
+    than to bring what tells a pair's first tile.
     """
     lab = labels.withColumnRenamed("node", "_node")
     named = tiles.join(lab, tiles["node"] == lab["_node"], "left").select("hash", "tile", "node", "n", "larger", F.coalesce("label", "node").alias("label"))
     mixed = named.groupBy("hash", "tile").agg(F.count("*").alias("members"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.max("larger").alias("_some")).where("_a < _b and _some").drop("_a", "_b", "_some")
     open_tiles = named.drop("larger").join(mixed, ["hash", "tile"])
-    few = needed.select(F.col("node").alias("_of"), F.col("n").alias("_m"), "few")
-    sets = reps.join(few, (F.col("node") == F.col("_of")) & (F.col("n") == F.col("_m"))).select(F.col("node").alias("_node"), "_m", "bits", "few", _band(F.col("n"), percent).alias("band"))
-    d = open_tiles.join(sets, (F.col("node") == F.col("_node")) & (F.col("n") == F.col("_m"))).drop("_node", "_m").withColumn("before", F.filter("few", lambda x: x < F.col("hash"))).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    sets = reps.select(F.col("node").alias("_node"), F.col("n").alias("_m"), "bits", _band(F.col("n"), percent).alias("band"))
+    d = open_tiles.join(sets, (F.col("node") == F.col("_node")) & (F.col("n") == F.col("_m"))).drop("_node", "_m").withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     d = d.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     d = d.withColumn("i", F.least("own", "_j")).withColumn("j", F.greatest("own", "_j"))
     keys = ["hash", "tile", "i", "j"]
-    d = d.select(*keys, "own", "node", "label", "n", "band", "bits", "before").repartition(*keys).sortWithinPartitions(*keys)
+    d = d.select(*keys, "own", "node", "label", "n", "band", "bits").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
@@ -225,11 +214,11 @@ def _rest(tiles: DataFrame, labels: DataFrame, needed: DataFrame, reps: DataFram
             cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
             own, node, label, n, band = (t.column(c).to_numpy() for c in ("own", "node", "label", "n", "band"))
             bits = t.column("bits").combine_chunks().flatten().to_numpy().view("uint64").reshape(-1, _WORDS)
-            found, before = [], _Before(t.column("before").combine_chunks())
+            found = set()
             for x, y in zip(cut, cut[1:], strict=False):
                 pairs = bound_pairs(n[x:y], bits[x:y], label[x:y], own[x:y], key[x, 2] != key[x, 3], band[x:y], key[x, 1], percent)
-                found += [(min(node[x + p], node[x + q]), max(node[x + p], node[x + q])) for p, q in pairs if before[x + p].isdisjoint(before[x + q])]
-            found = sorted(set(found))
+                found |= {(min(node[x + p], node[x + q]), max(node[x + p], node[x + q])) for p, q in pairs}
+            found = sorted(found)
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], "int64"), pa.array([q for _, q in found], "int64")], names=["a", "b"])
 
         for batch in batches:
