@@ -75,6 +75,24 @@ def salts_of(sizes: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
     return sizes.withColumn("salt", F.explode(several)).drop("size")
 
 
+FILTER_BITS = 1 << 24
+
+
+def likely_in(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose key is in `keys` (one column), and a few others, before a join that would else shuffle all of them.
+
+    A bitmap of hashed keys is broadcast: at most FILTER_BITS / 64 rows of two numbers (4 MB), whatever the input. With many
+    more keys than bits it lets everything pass, and the join after it decides alone.
+    """
+    name = keys.columns[0]
+    hashed = lambda x: F.pmod(F.xxhash64(x), F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, cast(_bit % 64 as int))")
+    words = keys.select(hashed(F.col(name)).alias("_bit")).groupBy(F.floor(F.col("_bit") / 64).alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+    marked = rows.withColumn("_bit", hashed(F.col(key)))
+    found = marked.join(F.broadcast(words), F.floor(marked["_bit"] / 64) == words["_word"]).where(F.col("_bits").bitwiseAND(bit) != 0)
+    return found.select(*(F.col(c) for c in rows.columns))
+
+
 def same(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> Column:
     """Equality of left's and right's columns, null equal to null."""
     return reduce(lambda a, b: a & b, (left[a].eqNullSafe(right[b]) for a, b in keys.items()))

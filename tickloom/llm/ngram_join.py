@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_texts, salts_of, same, with_salt
+from .common import Scratch, likely_in, map_texts, salts_of, same, with_salt
 
 EXTRA = 32
 _WORDS = 16  # of 64 bits in a bitmap
@@ -256,8 +256,10 @@ def verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, perce
     pairs = scratch.write(pairs, f"{name}_pairs")
     # Each set goes to the sides that it stands on only: a star has many members and few centres.
     ids = pairs.select(F.col("a").alias("_id"), F.lit(True).alias("is_a"), F.lit(False).alias("is_b")).unionByName(pairs.select(F.col("b").alias("_id"), F.lit(False).alias("is_a"), F.lit(True).alias("is_b")))
-    ids = ids.groupBy("_id").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b"))
-    texts = docs.join(ids, docs["doc_id"] == ids["_id"]).select("doc_id", "is_a", "is_b", "text")
+    ids = scratch.write(ids.groupBy("_id").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b")), f"{name}_ids")
+    # Few documents stand in pairs: the others' texts are not shuffled.
+    some = likely_in(docs, "doc_id", ids.select("_id"))
+    texts = some.join(ids, some["doc_id"] == ids["_id"]).select("doc_id", "is_a", "is_b", "text")
     sets = map_texts(texts, ["doc_id", "is_a", "is_b"], lambda b: {"set": [shingles(x, size).tobytes() for x in b.column("text").to_pylist()]}, "set binary", 512)
     sets = scratch.write(sets, f"{name}_sets")
     a, b = (sets.where(f"is_{x}").select(F.col("doc_id").alias(f"_{x}"), F.col("set").alias(f"set_{x}")) for x in "ab")
