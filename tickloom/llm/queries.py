@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_digest, line_spread, ngram_join, ordinal_quality, page_diff, pivot_topk, source_mix, spaced_seeds, token_counts, warc
+from . import license_digest, line_spread, merkle, ngram_join, ordinal_quality, page_diff, pivot_topk, source_mix, spaced_seeds, spelling, token_counts, toxicity, warc
 from .common import table
 
 
@@ -57,7 +57,27 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ordinal_quality, op2_warc_chain, op3_token_counts, op4_line_spread, op5_source_mix, op6_spaced_seeds, op7_pivot_topk, op8_license_digest, op9_page_diff, op10_ngram_join)
-}
-SQL: dict[str, str] = {"op2_warc_chain": warc.SQL, "op4_line_spread": line_spread.SQL, "op5_source_mix": source_mix.SQL, "op7_pivot_topk": pivot_topk.SQL, "op8_license_digest": license_digest.sql()}
+    f.__name__: f
+    for f in (
+        op1_ordinal_quality, op2_warc_chain, op3_token_counts, op4_line_spread, op5_source_mix, op6_spaced_seeds, op7_pivot_topk, op8_license_digest, op9_page_diff, op10_ngram_join, op11_spelling_variants,
+        op12_toxicity, op13_merkle_manifest,
+    )
+}
+SQL: dict[str, str] = {
+    "op2_warc_chain": warc.SQL, "op4_line_spread": line_spread.SQL, "op5_source_mix": source_mix.SQL, "op7_pivot_topk": pivot_topk.SQL, "op8_license_digest": license_digest.sql(), "op11_spelling_variants": spelling.SQL,
+    "op13_merkle_manifest": merkle.SQL,
+}
