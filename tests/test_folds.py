@@ -21,11 +21,124 @@ def bars(spark, closes, symbol="a", start=dt.datetime(2024, 1, 1, 9, 15), step=d
 
 def test_smoothing_is_that_of_pandas_with_gaps():
     x = pd.Series([1.0, None, 3.0, 4.0, None, None, 2.0, 8.0])
-    for adjust, make in ((False, folds.smoother), (True, folds.smoother_adjusted)):
-        f = make(0.3, 2)
-        got = [f(None if v != v else v) for v in x]
-        want = x.ewm(alpha=0.3, adjust=adjust, min_periods=2).mean()
-        assert [None if v != v else round(v, 12) for v in want] == [None if v is None else round(v, 12) for v in got]
+    for adjust, node in ((False, folds.Smoother(0.3, 2)), (True, folds.AdjustedSmoother(0.3, 2))):
+        want = x.ewm(alpha=0.3, adjust=adjust, min_periods=2).mean().to_numpy()
+        for cut in range(9):
+            state, by_map = node.start, node.start
+            parts = [p for p in (x.to_numpy()[:cut], x.to_numpy()[cut:]) if len(p)]
+            got = []
+            for p in parts:
+                made, state = node.replay(state, p)
+                by_map = node.advance(by_map, node.summary(p))
+                got.append(made[""])
+                assert np.allclose(state, by_map, equal_nan=True)
+            assert np.allclose(np.concatenate(got), want, equal_nan=True)
+
+
+def _band(top, last, u=float("inf")):
+    out = []
+    for t, c in zip(top, last, strict=True):
+        u = t if t == t and (t < u or c == c and c > u) else u
+        out.append(u)
+    return out
+
+
+def test_band_and_machine_are_those_of_a_loop():
+    r = np.random.default_rng(5)
+    for trial in range(60):
+        n = int(r.integers(1, 90))
+        top = np.round(np.cumsum(r.normal(size=n)) + 3, 1)
+        last = np.round(top - 3 + r.normal(scale=3, size=n), 1)
+        top[r.random(n) < 0.1], last[r.random(n) < 0.1] = np.nan, np.nan
+        for u in (np.inf, 0.0, float(np.round(np.nanmedian(np.append(top, 1.0)), 1))):
+            made, state = folds.Band().replay(u, top, last)
+            want = _band(top, last, u)
+            assert made[""].tolist() == want and state == want[-1]
+            assert folds.Band().advance(u, folds.Band().summary(top, last)) == want[-1]
+        a, b, c, d = (r.random(n) < 0.2 for _ in range(4))
+        for side in (-1, 0, 1):
+            state, want = side, []
+            for i in range(n):
+                state = 1 if state <= 0 and a[i] else -1 if state >= 0 and b[i] else 0 if state > 0 and c[i] or state < 0 and d[i] else state
+                want.append(state)
+            table = folds.positions(a, b, c, d)
+            assert folds.Machine().replay(side, table)[0][""].tolist() == want and folds.Machine().advance(side, folds.Machine().summary(table)) == want[-1]
+
+
+def walk(spark, lengths, gaps=0.03):
+    """Bars of symbols of given lengths, some prices missing."""
+    r, rows = np.random.default_rng(9), []
+    for k, n in enumerate(lengths):
+        close = np.round(50 + np.cumsum(r.normal(size=n)), 2)
+        for i in range(n):
+            c = float(close[i]) if r.random() > gaps else None
+            rows.append((f"s{k}", dt.datetime(2024, 1, 1) + i * dt.timedelta(hours=1), c, float(close[i] + r.random()), float(close[i] - r.random()), c, None if i % 9 == 0 else 2**60 + i, 0))
+    return spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume bigint, oi bigint")
+
+
+def _same(a, b):
+    def value(x):
+        return round(x, 9) if isinstance(x, float) else x
+
+    a, b = (sorted(tuple(map(value, r)) for r in x.collect()) for x in (a, b))
+    assert a == b and a
+
+
+def test_a_long_symbol_is_cut_into_tasks_without_a_trace(spark):
+    b = walk(spark, [700, 3, 1, 40, 0, 2])
+    every = [
+        folds.ema("close", 5, "e"), folds.ema("close", 5, "ea", adjust=True), folds.dema("close", 4, "de"), folds.rsi("close", 6), folds.macd("close", 3, 7, 4), folds.atr(5), folds.atr_seeded(6), folds.adx(5),
+        folds.supertrend(5, 1.5),
+    ]
+    lagged = ("e", "macd_line", "supertrend_direction")
+    whole = folds.fold(b, *every, number="n", lagged=lagged, parts=1)
+    made = folds.fold(b, *every, number="n", lagged=lagged, parts=9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        small = folds.fold(b, *every, number="n", lagged=lagged, parts=9)
+        _same(small, whole)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    _same(made, whole)
+    tasks = made.where("symbol = 's0'").groupBy(F.spark_partition_id()).count().count()
+    assert tasks >= 5
+    assert made.agg(F.max("volume")).first()[0] > 2**60  # beside nulls, and not rounded
+    rows = made.where("symbol = 's0'").orderBy("ts").collect()
+    assert [r.n for r in rows] == list(range(1, 701)) and [r.e_1 for r in rows[1:]] == [r.e for r in rows[:-1]]
+    want = pd.Series([r.close for r in rows], dtype=float).ewm(span=5, adjust=False, min_periods=5).mean()
+    assert np.allclose([np.nan if r.e is None else r.e for r in rows], want, equal_nan=True)
+
+
+def test_strategies_don_t_see_the_cuts(spark, monkeypatch):
+    b = walk(spark, [500, 20], gaps=0).withColumn("benchmark_close", F.col("close") * 2 + F.hour("ts"))
+    made = (strategies.EmaCrossover(3, 8), strategies.MacdCrossover(3, 7, 4), strategies.RsiReversion(5), strategies.BollingerSqueeze(6, 1.0, 6, 2.0), strategies.SupertrendFlip(5, 1.0), strategies.StrengthRsiTrend(10, 5, 50.0, 5, 1.0))
+    plain = folds.fold
+    for s in made:
+        monkeypatch.setattr(folds, "fold", lambda *a, **k: plain(*a, **k, parts=1))
+        whole = s.signals(b)
+        monkeypatch.setattr(folds, "fold", lambda *a, **k: plain(*a, **k, parts=8))
+        cut = s.signals(b)
+        _same(cut, whole)
+        assert whole.where("signal <> 0").count() > 3, s
+
+
+def test_flat_prices_never_cross(spark):
+    b = bars(spark, [1.1] * 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert folds.fold(b, folds.ema("close", 7, "e"), parts=4).where("e <> 1.1").count() == 0
+        assert strategies.EmaCrossover(3, 8).signals(b).where("signal <> 0").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_folds_of_nothing_and_of_ties(spark):
+    b = walk(spark, [5])
+    assert folds.fold(b.where("false"), folds.ema("close", 2, "e"), number="n").collect() == []
+    twice = b.unionByName(b)
+    assert folds.fold(twice, folds.supertrend(2), parts=4).count() == 10
+    none = b.withColumn("symbol", F.lit(None).cast("string"))
+    assert folds.fold(none, folds.ema("close", 2, "e"), parts=3).where("e is not null").count() > 0
 
 
 def test_rsi_extremes(spark):
@@ -36,10 +149,11 @@ def test_rsi_extremes(spark):
 
 def test_state_carries_over_batches_and_not_over_symbols(spark):
     b = bars(spark, [float(i % 7) for i in range(300)], "a").unionByName(bars(spark, [float(i % 5) for i in range(300)], "b"))
-    whole = sorted(folds.fold(b, folds.ema("close", 5, "e")).collect())
+    made = folds.fold(b, folds.ema("close", 5, "e"))
+    whole = sorted(made.collect())
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
-        assert sorted(folds.fold(b, folds.ema("close", 5, "e")).collect()) == whole
+        _same(folds.fold(b, folds.ema("close", 5, "e")), made)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert all(r.e is None for r in whole if r.symbol == "b" and r.ts < dt.datetime(2024, 1, 1, 13, 15))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +24,7 @@ C = F.col
 
 
 _OUT = "signal{0} int, signal_tag{0} string, stop_loss{0} double, take_profit{0} double, confidence{0} double"
-Events = Callable[[], Callable[..., tuple]]
+Conditions = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
 def finish(d: DataFrame, columns: list[str], tag_long: str, tag_short: str, stop: Column, target_pct: float = 0) -> DataFrame:
@@ -36,55 +37,39 @@ def finish(d: DataFrame, columns: list[str], tag_long: str, tag_short: str, stop
     )
 
 
-def signal_fold(parts: list[folds.Fold], events: Events, extra: tuple[str, ...], *, warmup: int, tags: tuple[str, str], stop_pct: float = 0, target_pct: float = 0, suffix: str = "") -> folds.Fold:
-    """A strategy as one fold: parts, then events() for entries and exits, then the position, then the signal's columns.
+def signal_fold(
+    parts: list[folds.Fold], events: Callable[[folds.Columns], Conditions], extra: tuple[str, ...], *, warmup: int, tags: tuple[str, str], lagged: tuple[str, ...] = (), levels: tuple[folds.Level, ...] = (),
+    stop: str | None = None, confidence: Callable[[folds.Columns, np.ndarray], np.ndarray] | None = None, stop_pct: float = 0, target_pct: float = 0, suffix: str = "",
+) -> folds.Fold:
+    """A strategy as one fold: parts, their outputs `lagged` one row before (<name>.lag_1), `levels`, then the position and the signal's columns.
 
-    events() gives a function of the parts' outputs and the columns `extra`, the last of which is close, to (long entry,
-    short entry, long exit, short exit, stop or None, confidence by side). Signals of the first `warmup` bars are cleared
-    after the position has seen them.
+    events() gives long entry, short entry, long exit and short exit from the parts' outputs and the columns `extra`, close
+    among them. stop: the column that holds the stop, else stop_pct of the close. confidence: 1 where not given. Signals of the
+    first `warmup` bars are cleared after the position has seen them.
     """
+    before = folds.Level({f"{x}.lag": folds.Lag() for x in lagged}, lambda c: {f"{x}.lag": (c[x],) for x in lagged})
+    machine = folds.Level({"side": folds.Machine()}, lambda c: {"side": (folds.positions(*events(c)),)})
 
-    def then() -> folds.Step:
-        event, position, n = events(), folds.long_short("a", "b", "c", "d").make(), 0
+    def signal(c: folds.Columns) -> folds.Columns:
+        s = np.where(c["row"] > warmup, np.sign(c["side"] - c["side_before"]), 0)
+        at = c[stop] if stop else c["close"] * (1 - s * stop_pct / 100) if stop_pct else np.full(len(s), np.nan)
+        target = c["close"] * (1 + s * target_pct / 100) if target_pct else np.full(len(s), np.nan)
+        sure = confidence(c, s) if confidence else np.ones(len(s))
+        tag = np.where(s > 0, tags[0], np.where(s < 0, tags[1], ""))
+        return {f"signal{suffix}": s, f"signal_tag{suffix}": tag, f"stop_loss{suffix}": np.where(s != 0, at, np.nan), f"take_profit{suffix}": np.where(s != 0, target, np.nan), f"confidence{suffix}": np.where(s != 0, sure, 0.0)}
 
-        def step(*values):
-            nonlocal n
-            n += 1
-            close = values[-1]
-            *conditions, stop, confidence = event(*values)
-            (s,) = position(*conditions)
-            if n <= warmup or s == 0:
-                return 0, "", None, None, 0.0
-            if stop is None and stop_pct:
-                stop = close * (1 - s * stop_pct / 100)
-            return s, tags[0 if s > 0 else 1], stop, close * (1 + s * target_pct / 100) if target_pct else None, confidence(s)
+    return folds.chain(parts, [*([before] if lagged else []), *levels, machine], signal, _OUT.format(suffix), extra)
 
-        return step
 
-    return folds.chain(parts, then, _OUT.format(suffix), extra)
-
-
-def sure(side: int) -> float:
-    return 1.0
-
-
-def by_mode(up: bool, down: bool, mode: str) -> tuple[bool, bool, bool, bool]:
+def by_mode(up: np.ndarray, down: np.ndarray, mode: str) -> Conditions:
     """Entries and exits on two events: reversal, long only or short only."""
-    return {"long_short": (up, down, False, False), "long_only": (up, False, down, False), "short_only": (False, down, False, up)}[mode]
+    never = np.zeros(len(up), bool)
+    return {"long_short": (up, down, never, never), "long_only": (up, never, down, never), "short_only": (never, down, never, up)}[mode]
 
 
-def crossing() -> Callable[[float | None, float | None], tuple[bool, bool]]:
+def crossing(a: np.ndarray, before_a: np.ndarray, b: np.ndarray | float, before_b: np.ndarray | float) -> tuple[np.ndarray, np.ndarray]:
     """Whether a first value crosses above, or below, a second one; never where one of the four is missing."""
-    before: tuple = (None, None)
-
-    def step(a, b):
-        nonlocal before
-        p, q = before
-        before = a, b
-        known = None not in (a, b, p, q)
-        return known and a > b and p <= q, known and a < b and p >= q
-
-    return step
+    return (a > b) & (before_a <= before_b), (a < b) & (before_a >= before_b)
 
 
 class Strategy:
@@ -123,12 +108,11 @@ class EmaCrossover(Strategy):
     target_pct: float = 0.0
 
     def fold(self, suffix: str = "") -> folds.Fold:
-        def events():
-            cross = crossing()
-            return lambda a, b, close: (*by_mode(*cross(a, b), self.mode), None, sure)
+        def events(c: folds.Columns) -> Conditions:
+            return by_mode(*crossing(c["a"], c["a.lag_1"], c["b"], c["b.lag_1"]), self.mode)
 
         parts = [folds.ema("close", self.fast, "a"), folds.ema("close", self.slow, "b")]
-        return signal_fold(parts, events, ("close",), warmup=self.slow, tags=("EMA_UP", "EMA_DOWN"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
+        return signal_fold(parts, events, ("close",), lagged=("a", "b"), warmup=self.slow, tags=("EMA_UP", "EMA_DOWN"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
 
 
 @dataclass(frozen=True)
@@ -141,11 +125,11 @@ class MacdCrossover(Strategy):
     target_pct: float = 0.0
 
     def fold(self, suffix: str = "") -> folds.Fold:
-        def events():
-            cross = crossing()
-            return lambda line, signal, histogram, close: (*by_mode(*cross(line, signal), self.mode), None, sure)
+        def events(c: folds.Columns) -> Conditions:
+            return by_mode(*crossing(c["m_line"], c["m_line.lag_1"], c["m_signal"], c["m_signal.lag_1"]), self.mode)
 
-        return signal_fold([folds.macd("close", self.fast, self.slow, self.signal, "m")], events, ("close",), warmup=self.slow + self.signal, tags=("MACD_UP", "MACD_DOWN"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
+        parts = [folds.macd("close", self.fast, self.slow, self.signal, "m")]
+        return signal_fold(parts, events, ("close",), lagged=("m_line", "m_signal"), warmup=self.slow + self.signal, tags=("MACD_UP", "MACD_DOWN"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
 
 
 @dataclass(frozen=True)
@@ -159,18 +143,17 @@ class RsiReversion(Strategy):
     target_pct: float = 0.0
 
     def fold(self, suffix: str = "") -> folds.Fold:
-        def events():
-            low, high, mid = crossing(), crossing(), crossing()
+        def events(c: folds.Columns) -> Conditions:
+            cross = lambda level: crossing(c["r"], c["r.lag_1"], level, level)
+            sold, bought, never = cross(self.oversold)[1], cross(self.overbought)[0], np.zeros(len(c["r"]), bool)
+            out = cross(50.0) if self.exit_at_midline else (bought, sold)
+            return sold if self.mode != "short_only" else never, bought if self.mode != "long_only" else never, *out
 
-            def step(r, close):
-                (_, sold), (bought, _), (up, down) = low(r, self.oversold), high(r, self.overbought), mid(r, 50.0)
-                far = lambda s: min(max((self.oversold - r) / self.oversold if s > 0 else (r - self.overbought) / (100 - self.overbought), 0.0), 1.0)
-                out = (up, down) if self.exit_at_midline else (bought, sold)
-                return sold and self.mode != "short_only", bought and self.mode != "long_only", *out, None, far
+        def far(c: folds.Columns, s: np.ndarray) -> np.ndarray:
+            return np.clip(np.where(s > 0, (self.oversold - c["r"]) / self.oversold, (c["r"] - self.overbought) / (100 - self.overbought)), 0.0, 1.0)
 
-            return step
-
-        return signal_fold([folds.rsi("close", self.period, "r")], events, ("close",), warmup=self.period + 1, tags=("RSI_LOW", "RSI_HIGH"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
+        parts = [folds.rsi("close", self.period, "r")]
+        return signal_fold(parts, events, ("close",), lagged=("r",), confidence=far, warmup=self.period + 1, tags=("RSI_LOW", "RSI_HIGH"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
 
 
 @dataclass(frozen=True)
@@ -186,22 +169,22 @@ class BollingerSqueeze(Strategy):
         return ind.with_bollinger(bars, self.period, self.std)
 
     def fold(self, suffix: str = "") -> folds.Fold:
-        def events():
-            run = 0
+        def tight(c: folds.Columns) -> np.ndarray:
+            return (c["bb_upper"] < c["e"] + self.multiplier * c["a"]) & (c["bb_lower"] > c["e"] - self.multiplier * c["a"])
 
-            def step(mid_line, rng, mid, upper, lower, close):
-                nonlocal run
-                known = None not in (mid_line, rng, upper, lower)
-                tight = known and upper < mid_line + self.multiplier * rng and lower > mid_line - self.multiplier * rng
-                before, run = run, run + 1 if tight else 0
-                freed = before > 0 and not tight and upper is not None
-                under, over = mid is not None and close < mid, mid is not None and close > mid
-                return freed and close > upper, freed and close < lower, under, over, None if self.stop_pct else mid, lambda s: min(before / 10, 1.0)
+        def length(c: folds.Columns) -> dict[str, tuple]:
+            on = tight(c).astype("float64")
+            return {"run": (on, on)}  # one more while it lasts
 
-            return step
+        def events(c: folds.Columns) -> Conditions:
+            freed = (c["run_1"] > 0) & ~tight(c)
+            return freed & (c["close"] > c["bb_upper"]), freed & (c["close"] < c["bb_lower"]), c["close"] < c["bb_mid"], c["close"] > c["bb_mid"]
 
         parts = [folds.ema("close", self.period, "e"), folds.atr(self.atr_period, "a")]
-        return signal_fold(parts, events, ("bb_mid", "bb_upper", "bb_lower", "close"), warmup=self.period, tags=("SQUEEZE_UP", "SQUEEZE_DOWN"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
+        return signal_fold(
+            parts, events, ("bb_mid", "bb_upper", "bb_lower", "close"), levels=(folds.Level({"run": folds.Affine()}, length),), stop=None if self.stop_pct else "bb_mid", confidence=lambda c, s: np.minimum(c["run_1"] / 10, 1.0),
+            warmup=self.period, tags=("SQUEEZE_UP", "SQUEEZE_DOWN"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix,
+        )
 
 
 @dataclass(frozen=True)
@@ -212,10 +195,8 @@ class SupertrendFlip(Strategy):
     target_pct: float = 0.0
 
     def fold(self, suffix: str = "") -> folds.Fold:
-        def events():
-            return lambda line, side, buy, sell, close: (*by_mode(buy, sell, self.mode), line, sure)
-
-        return signal_fold([folds.supertrend(self.period, self.multiplier, "t")], events, ("close",), warmup=self.period, tags=("TREND_UP", "TREND_DOWN"), target_pct=self.target_pct, suffix=suffix)
+        parts = [folds.supertrend(self.period, self.multiplier, "t")]
+        return signal_fold(parts, lambda c: by_mode(c["t_buy"], c["t_sell"], self.mode), ("close",), stop="t", warmup=self.period, tags=("TREND_UP", "TREND_DOWN"), target_pct=self.target_pct, suffix=suffix)
 
 
 @dataclass(frozen=True)
@@ -236,15 +217,15 @@ class StrengthRsiTrend(Strategy):
         return bars.withColumn("_rs", ind.relative_strength(C("close"), C("benchmark_close"), self.rs_period))
 
     def fold(self, suffix: str = "") -> folds.Fold:
-        def events():
-            def step(r, line, side, buy, sell, rs, close):
-                agree = (rs is not None and rs > 0) + (r is not None and r > self.rsi_level) + (side == 1)
-                return agree >= self.enter, False, agree < self.leave, False, None, lambda s: agree / 3
+        def agree(c: folds.Columns) -> np.ndarray:
+            return (c["_rs"] > 0).astype("int64") + (c["r"] > self.rsi_level) + (c["t_direction"] == 1)
 
-            return step
+        def events(c: folds.Columns) -> Conditions:
+            n, never = agree(c), np.zeros(len(c["r"]), bool)
+            return n >= self.enter, never, n < self.leave, never
 
         parts = [folds.rsi("close", self.rsi_period, "r"), folds.supertrend(self.period, self.multiplier, "t")]
-        return signal_fold(parts, events, ("_rs", "close"), warmup=self.rs_period, tags=("AGREE", "LEAVE"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
+        return signal_fold(parts, events, ("_rs", "close"), confidence=lambda c, s: agree(c) / 3, warmup=self.rs_period, tags=("AGREE", "LEAVE"), stop_pct=self.stop_pct, target_pct=self.target_pct, suffix=suffix)
 
 
 @dataclass(frozen=True)
