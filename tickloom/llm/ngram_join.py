@@ -23,10 +23,14 @@ _WORDS = 16  # of 64 bits in a bitmap
 
 
 class _Ids(dict):
+    """64-bit ids of the words met last, at most 65,536 of 64 characters, as Python workers live on and keep them."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
+        if len(self) >= 1 << 16:
             self.clear()
-        got = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        got = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            self[word] = got
         return got
 
 
@@ -106,7 +110,7 @@ def bound_pairs(n: np.ndarray, bits: np.ndarray, labels: np.ndarray, own: np.nda
     return out
 
 
-def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85) -> DataFrame:
+def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, block: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text, ...).
 
     Shingles with equal 64-bit hashes count as one, which a set of a million shingles has with a chance of 3 in 10**8.
@@ -120,7 +124,7 @@ def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85) -> Data
        A document whose candidates are nearly all its own is done. Pairs also share a tile of two size bands.
     3. In each tile of a candidate, members are checked against one centre; each member takes the centre that it shares
        most tiles with. Copies by the thousand thus make as many checks, not all pairs.
-    4. In tiles that still hold several components, blocks of members are compared by bitmaps of their shingles within a
+    4. In tiles that still hold several components, blocks of about `block` members are compared by bitmaps of their shingles within a
        task: bit counts bound the overlap from above, and only pairs that may link are checked by their sets.
 
     Defined results: null and blank texts have 0 shingles and are linked with nothing; null doc_ids take no part in links
@@ -151,7 +155,8 @@ def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85) -> Data
     tiles = scratch.write(_tiles(needed, percent), "tiles")
     first = verify(scratch, d, _stars(tiles), size, percent, "first")
     labels = scratch.write(components(scratch, first, "first"), "labels")
-    more = verify(scratch, d, _rest(tiles, labels, needed, reps, percent), size, percent, "more")
+    scratch.drop("needed")
+    more = verify(scratch, d, _rest(scratch, tiles, labels, reps, percent, block), size, percent, "more")
     labels = components(scratch, first.unionByName(more), "all")
 
     named = classes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("_digest", F.coalesce("label", "node").alias("component_id"), "size")
@@ -199,17 +204,21 @@ def _band(n: Column, percent: int) -> Column:
     return F.floor(F.log(n.cast("double")) / (log(100 / percent) * 1.0001))
 
 
-def _rest(tiles: DataFrame, labels: DataFrame, needed: DataFrame, reps: DataFrame, percent: int, block: int = 512) -> DataFrame:
+def _rest(scratch: Scratch, tiles: DataFrame, labels: DataFrame, reps: DataFrame, percent: int, block: int) -> DataFrame:
     """(a, b): pairs of different components in one tile that bit counts don't rule out.
 
-    Members of a tile are dealt to blocks of about `block`, and each two blocks are compared within one task; only pairs that
-    may link leave it, each once: in the tile of the smallest hash that both need. Members bring their smaller hashes for that.
+    Near copies share many tiles with the same members, of which one is looked at. Members of a tile are dealt to blocks of
+    about `block`, and each two blocks are compared within one task; only pairs that may link leave it, each once: in the tile
+    of the smallest hash that both have. Members bring the smaller ones of their tiles' hashes for that.
     """
     lab = labels.withColumnRenamed("node", "_node")
     named = tiles.join(lab, tiles["node"] == lab["_node"], "left").select("hash", "tile", "node", "n", "larger", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("hash", "tile").agg(F.count("*").alias("members"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.max("larger").alias("_some")).where("_a < _b and _some").drop("_a", "_b", "_some")
-    open_tiles = named.drop("larger").join(mixed, ["hash", "tile"])
-    few = needed.select(F.col("node").alias("_of"), F.col("n").alias("_m"), "few")
+    # Of tiles with the same members, as two sums of hashes tell, the one with the smallest hash stands for all.
+    sums = [F.bit_xor(F.xxhash64("node")).alias("_x"), F.sum(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(1 << 31)).cast("decimal(20,0)")).alias("_y")]
+    mixed = named.groupBy("hash", "tile").agg(F.count("*").alias("members"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.max("larger").alias("_some"), *sums).where("_a < _b and _some")
+    mixed = mixed.groupBy("tile", "members", "_a", "_b", "_x", "_y").agg(F.min("hash").alias("hash")).select("hash", "tile", "members")
+    open_tiles = scratch.write(named.drop("larger").join(mixed, ["hash", "tile"]), "open")
+    few = open_tiles.groupBy(F.col("node").alias("_of"), F.col("n").alias("_m")).agg(F.array_sort(F.collect_set("hash")).alias("few"))  # at most a set's own candidates
     sets = reps.join(few, (F.col("node") == F.col("_of")) & (F.col("n") == F.col("_m"))).select(F.col("node").alias("_node"), "_m", "bits", "few", _band(F.col("n"), percent).alias("band"))
     d = open_tiles.join(sets, (F.col("node") == F.col("_node")) & (F.col("n") == F.col("_m"))).drop("_node", "_m").withColumn("before", F.filter("few", lambda x: x < F.col("hash"))).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     d = d.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

@@ -54,15 +54,17 @@ def features(text: str, bits: int) -> list[int]:
 
 
 class _Weights(dict):
-    """Weights by feature name, hashed once for each name."""
+    """Weights of the feature names met last, at most 65,536 of 64 characters."""
 
     def __init__(self, by_hash: dict[int, float], bits: int):
         self.by_hash, self.bits = by_hash, bits
 
     def __missing__(self, name: str) -> float:
-        if len(self) > 1 << 20:
+        if len(self) >= 1 << 16:
             self.clear()
-        got = self[name] = self.by_hash.get(_hashed(name, self.bits), 0.0)
+        got = self.by_hash.get(_hashed(name, self.bits), 0.0)
+        if len(name) <= 64:
+            self[name] = got
         return got
 
 

@@ -26,12 +26,14 @@ def masks_for(n: int, masks: tuple[str, ...] = MASKS) -> tuple[str, ...]:
 
 
 class _Ids(dict):
-    """64-bit ids of words, each hashed once."""
+    """64-bit ids of the words met last, at most 65,536 of 64 characters, as Python workers live on and keep them."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 19:
+        if len(self) >= 1 << 16:
             self.clear()
-        got = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        got = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            self[word] = got
         return got
 
 
