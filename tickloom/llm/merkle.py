@@ -1,24 +1,26 @@
 """Merkle manifest of a dataset: a ternary tree of digests for each source, one over the sources, and a proof for each document.
 
-The trees are built and read by Pregel-style supersteps over RDDs. Upwards, each node sends its digest to its parent; a parent
-that has heard from all its children hashes them and sends on. Downwards, each parent sends its children the path of siblings
-from there to the root. Supersteps are written to the shared folder, so that a lost executor costs one of them.
+The trees are built and read by Pregel-style supersteps over RDDs. Upwards, children send their digests to their parent, a
+vertex that stands for a subtree; when it has heard from all of them it hashes and sends on. Downwards, each vertex sends its
+children the siblings on their way to the root. Supersteps are written to the shared folder, so that a lost executor costs
+one of them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 from hashlib import sha256
 
-import pyarrow as pa
 from pyspark import RDD
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, map_texts
+from .common import Scratch
 
-#: Children of a node.
-RUN = 3
+#: Children of a node, and levels that a superstep climbs: a vertex is a subtree of RUN ** LEVELS nodes at most.
+RUN, LEVELS = 3, 5
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _DIGEST = 32
 
@@ -49,89 +51,102 @@ def width(size: int, level: int) -> int:
     return size
 
 
-def split(digests: bytes) -> list[bytes]:
-    return [digests[k : k + _DIGEST] for k in range(0, len(digests), _DIGEST)]
+Store = Callable[[RDD, str], RDD]
 
 
-Store = Callable[[RDD, str], RDD]
+def subtree(digests: list[bytes], size: int, step: int) -> list[list[bytes]]:
+    """The levels of a vertex, from its children up to the node that stands for it; the tree's root may come before LEVELS are climbed."""
+    levels = [digests]
+    for _ in range(min(LEVELS, height(size) - LEVELS * step)):
+        low = levels[-1]
+        levels.append([joined_hash(low[k : k + RUN]) for k in range(0, len(low), RUN)])
+    return levels
+
+
+def siblings(levels: list[list[bytes]], place: int) -> list[bytes]:
+    """The others of a child's run, then of its parent's, and so on within the vertex."""
+    out = []
+    for low in levels[:-1]:
+        first = place - place % RUN
+        out += low[first:place] + low[place + 1 : first + RUN]
+        place //= RUN
+    return out
 
 
 def climb(leaves: RDD, top: int, parts: int, store: Store) -> list[RDD]:
-    """Supersteps from ((tree, place), (digest, size of the tree)) upwards; for each level its runs ((tree, place of the parent), (children, size)).
+    """Supersteps from ((tree, place), (size of the tree, digest, what else a leaf has)) upwards.
 
-    A parent knows from its place how many children it has; one that doesn't hear from all of them is an error.
+    Gives each superstep's vertices ((tree, place), (size, children)), children in order with all that they sent. A vertex
+    knows from its place how many children it has; one that doesn't hear from all of them is an error. It then hashes its
+    subtree and sends on, unless it holds the root.
     """
+    many = RUN**LEVELS
 
-    def completed(item: tuple, level: int) -> tuple:
+    def completed(item: tuple, step: int) -> tuple:
         (tree, place), heard = item
-        heard = sorted(heard)
-        size = heard[0][2]
-        if [x[0] for x in heard] != list(range(min(RUN, width(size, level) - RUN * place))):
-            raise ValueError(f"node {place} of tree {tree} above level {level} has heard from {len(heard)} children")
-        return (tree, place), (b"".join(x[1] for x in heard), size)
+        heard = sorted(heard, key=lambda x: x[0])
+        size = heard[0][1]
+        if [x[0] for x in heard] != list(range(min(many, width(size, LEVELS * step) - many * place))):
+            raise ValueError(f"vertex {place} of tree {tree} in superstep {step} has heard from {len(heard)} children")
+        return (tree, place), (size, [x[2:] for x in heard])
+
+    vertices, nodes = [], leaves
+    for step in range(max(1, -(-top // LEVELS))):
+        sent = nodes.map(lambda x: ((x[0][0], x[0][1] // many), (x[0][1] % many, *x[1])))
+        vertices.append(store(sent.groupByKey(parts).map(lambda x, step=step: completed(x, step)), f"up{step}"))
+        nodes = vertices[-1].filter(lambda x, step=step: height(x[1][0]) > LEVELS * (step + 1)).map(lambda x, step=step: (x[0], (x[1][0], _top(x[1], step))))
+    return vertices
 
-    def step(nodes: RDD, level: int) -> RDD:
-        sent = nodes.filter(lambda x: width(x[1][1], level) > 1).map(lambda x: ((x[0][0], x[0][1] // RUN), (x[0][1] % RUN, *x[1])))
-        return sent.groupByKey(parts).map(lambda x: completed(x, level))
 
-    runs, nodes = [], leaves
-    for level in range(top):
-        runs.append(store(step(nodes, level), f"up{level}"))
-        nodes = runs[-1].mapValues(lambda v: (joined_hash(split(v[0])), v[1]))
-    return runs
+def _top(vertex: tuple, step: int) -> bytes:
+    size, children = vertex
+    return subtree([x[0] for x in children], size, step)[-1][0]
 
 
-def roots(leaves: RDD, runs: list[RDD]) -> RDD:
+def roots(vertices: list[RDD]) -> RDD:
     """(tree, (digest, size)) of the trees' roots, whatever their height."""
-    found = leaves.filter(lambda x: x[1][1] == 1)
-    for level, level_runs in enumerate(runs):
-        found = found.union(level_runs.filter(lambda x, level=level: height(x[1][1]) == level + 1).mapValues(lambda v: (joined_hash(split(v[0])), v[1])))
-    return found.map(lambda x: (x[0][0], x[1]))
+    last = lambda size, step: height(size) <= LEVELS * (step + 1)
+    found = [v.filter(lambda x, step=step: last(x[1][0], step)).map(lambda x, step=step: (x[0][0], (_top(x[1], step), x[1][0]))) for step, v in enumerate(vertices)]
+    return reduce(lambda a, b: a.union(b), found)
 
 
-def descend(leaves: RDD, runs: list[RDD], tops: RDD, parts: int, store: Store) -> RDD:
-    """Supersteps downwards: ((tree, place of the run), (children, path)) for every run of leaves.
+def descend(vertices: list[RDD], tops: RDD, parts: int, store: Store) -> RDD:
+    """Supersteps downwards: the vertices of leaves as (tree, place, size, children, what came down, siblings from there to the root).
 
-    tops: (tree, (size, path)) with the path of siblings above each tree's root. A path goes from the lowest level to the
-    highest. It is sent to runs, not to leaves, as leaves of a run share it. A tree of one leaf is a run of its own.
+    tops: (tree, (size, what goes down to all of the tree, path)), the path being the siblings above the tree's root. Paths go
+    from the lowest level to the highest; each vertex sends every child what it got, with the child's siblings before it.
     """
 
-    def onward(item: tuple) -> list[tuple]:
-        (tree, place), ((children, _), path) = item
-        each = split(children)
-        return [((tree, RUN * place + k), b"".join([*each[:k], *each[k + 1 :], path])) for k in range(len(each))]
+    def onward(item: tuple, step: int) -> list[tuple]:
+        (tree, place), ((size, children), (told, path)) = item
+        levels = subtree([x[0] for x in children], size, step)
+        return [((tree, RUN**LEVELS * place + k), (told, b"".join(siblings(levels, k)) + path)) for k in range(len(children))]
 
     paths = None
-    for level in reversed(range(len(runs))):
-        begun = tops.filter(lambda x, level=level: height(x[1][0]) == level + 1).map(lambda x: ((x[0], 0), x[1][1]))
-        met = runs[level].join(begun if paths is None else paths.union(begun), parts)
-        paths = store(met.flatMap(onward) if level else met.mapValues(lambda v: (v[0][0], v[1])), f"down{level}")
-    lone = leaves.filter(lambda x: x[1][1] == 1).mapValues(lambda v: v[0]).join(tops.filter(lambda x: x[1][0] == 1).map(lambda x: ((x[0], 0), x[1][1])), parts)
-    return lone if paths is None else paths.union(lone)
+    for step in reversed(range(len(vertices))):
+        ends = lambda x, step=step: step == max(0, -(-height(x[1][0]) // LEVELS) - 1)
+        begun = tops.filter(ends).map(lambda x: ((x[0], 0), x[1][1:]))
+        met = vertices[step].join(begun if paths is None else paths.union(begun), parts)
+        paths = store(met.flatMap(lambda x, step=step: onward(x, step)), f"down{step}") if step else met
+    return paths.map(lambda x: (*x[0], *x[1][0], *x[1][1]))
 
 
-def siblings(place: int, sizes: tuple[int, ...], children: list[bytes], path: bytes) -> list[tuple[int, list[bytes]]]:
-    """(position in its run, the run's others) of a leaf and of what stands above it, up to the root.
-
-    sizes: leaves of its tree, the tree's place among all trees, number of trees.
-    """
-    size, tree, trees = sizes
-    above, out = split(path), []
-    own = place % RUN
-    if size > 1:
-        out.append((own, children[:own] + children[own + 1 :]))
+def shape(place: int, size: int) -> list[tuple[int, int]]:
+    """(position in its run, others in the run) of a node and of its ancestors, up to the root of a tree of so many leaves."""
+    out = []
+    while size > 1:
+        out.append((place % RUN, min(RUN, size - (place - place % RUN)) - 1))
         place, size = place // RUN, -(-size // RUN)
-    for at, n in ((place, size), (tree, trees)):
-        while n > 1:
-            others = min(RUN, n - RUN * (at // RUN)) - 1
-            out.append((at % RUN, above[:others]))
-            above, at, n = above[others:], at // RUN, -(-n // RUN)
     return out
 
 
-def fold_root(leaf: bytes, steps: list[tuple[int, list[bytes]]]) -> bytes:
+def fold_root(leaf: bytes, steps: list[tuple[int, int]], path: bytes) -> bytes:
+    """The root that follows from a leaf and the siblings on its way."""
+    at = 0
     for own, others in steps:
-        leaf = joined_hash([*others[:own], leaf, *others[own:]])
+        low, high = at + own * _DIGEST, at + others * _DIGEST
+        leaf = sha256((path[at:low].hex() + leaf.hex() + path[low:high].hex()).encode()).digest()
+        at = high
     return leaf
 
 
@@ -172,8 +187,8 @@ def manifest(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
     the siblings on the way from the leaf to the root. To test the manifest, the text of about half of the rows loses its
     line ends; folded_root is what then follows from leaf and proof, verified whether that is root.
 
-    Runs travel as one record of at most three digests; a path of 2 digests a level is sent once for each run of leaves. So
-    supersteps up move 1.5 digests for each document in all, and the last one down two digests a level for each third document.
+    A vertex holds a subtree of five levels, so that a superstep climbs five and a tree of 10**10 leaves takes five of them.
+    Up, each document's digest is sent once; down, a path of two digests a level is sent to each vertex.
 
     Defined results: a null source is a source, the first one; null doc_ids come first within it and aren't tampered with;
     rows with one doc_id stand in order of their leaves, equal rows have interchangeable places; null fields are hashed as
@@ -191,55 +206,32 @@ def manifest(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
 
         return write
 
-    leaves = placed.select("tree", "place", F.unhex("leaf").alias("leaf"), "size").rdd.map(lambda r: ((r[0], r[1]), (bytes(r[2]), r[3])))
-    runs = climb(leaves, height(most or 0), parts, store("leaves"))
-    subroots = store("trees")(roots(leaves, runs), "roots")  # (tree, (digest, size))
-    heads = subroots.map(lambda x: ((0, x[0]), (x[1][0], trees)))
-    over = climb(heads, height(trees or 0), parts, store("trees"))
-    root = roots(heads, over).map(lambda x: x[1][0]).collect()  # one, or none of an empty table
-    whole = descend(heads, over, spark.sparkContext.parallelize([(0, (trees, b""))], 1), parts, store("trees"))
-
-    def of_trees(item: tuple) -> list[tuple]:
-        (_, run), (children, path) = item
-        each = split(children)
-        return [(RUN * run + k, (each[k], b"".join([*each[:k], *each[k + 1 :], path]))) for k in range(len(each))]
-
-    found = whole.flatMap(of_trees).join(subroots.mapValues(lambda v: v[1]), parts)  # (tree, ((subroot, path above it), size))
-    tops = found.mapValues(lambda v: (v[1], v[0][0] + v[0][1]))
-    # The subroot goes down in front of the path above it, and is told from it by its place.
-    down = descend(leaves, runs, tops, parts, store("leaves"))
-    found = spark.createDataFrame(down.map(lambda x: (x[0][0], x[0][1], x[1][0], x[1][1])), "_tree long, _run long, children binary, path binary", verifySchema=False)
-    found = scratch.write(found, "paths")
-    run = F.floor(F.col("place") / RUN)
-    rows = placed.join(found, (placed["tree"] == found["_tree"]) & (run == found["_run"]))
+    rows = placed.select("tree", "place", "size", F.unhex("leaf").alias("leaf"), F.unhex("now").alias("now"), "doc_id")
+    leaves = rows.rdd.map(lambda r: ((r[0], r[1]), (r[2], bytes(r[3]), None if r[4] is None else bytes(r[4]), r[5])))
+    vertices = climb(leaves, height(most or 0), parts, store("leaves"))
+    subroots = store("trees")(roots(vertices), "roots")  # (tree, (digest, size))
+    over = climb(subroots.map(lambda x: ((0, x[0]), (trees, *x[1]))), height(trees or 0), parts, store("trees"))
+    root = roots(over).map(lambda x: x[1][0]).collect()  # one, or none of an empty table
+
+    def of_trees(vertex: tuple) -> list[tuple]:
+        _, place, _, children, _, path = vertex
+        levels = subtree([x[0] for x in children], trees, 0)
+        return [(RUN**LEVELS * place + k, (size, digest, b"".join(siblings(levels, k)) + path)) for k, (digest, size) in enumerate(children)]
+
+    whole = descend(over, spark.sparkContext.parallelize([(0, (trees or 0, None, b""))], 1), parts, store("trees"))
+    down = descend(vertices, whole.flatMap(of_trees), parts, store("leaves"))
     top = root[0] if root else b""
 
-    def proven(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"subroot": [], "root": [], "proof_sha256": [], "folded_root": [], "verified": []}
-        for place, size, tree, trees, leaf, now, children, path in zip(*(batch.column(c).to_pylist() for c in ("place", "size", "tree", "trees", "leaf", "now", "children", "path")), strict=True):
-            # The path holds the siblings within the tree, then the subroot, then what is above it.
-            inner = _inner_digests(place, size)
-            subroot, path = path[inner * _DIGEST : (inner + 1) * _DIGEST], path[: inner * _DIGEST] + path[(inner + 1) * _DIGEST :]
-            steps = siblings(place, (size, tree, trees), split(children), path)
-            folded = fold_root(bytes.fromhex(leaf if now is None else now), steps)
-            out["subroot"].append(subroot.hex())
-            out["root"].append(top.hex())
-            out["proof_sha256"].append(joined_hash([x for _, others in steps for x in others]).hex())
-            out["folded_root"].append(folded.hex())
-            out["verified"].append(folded == top)
-        return out
-
-    out = map_texts(rows, ["doc_id", "leaf", "place", "size", "tree", "trees", "now", "children", "path"], proven, "subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
-    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
-
-
-def _inner_digests(place: int, size: int) -> int:
-    """Siblings of a leaf's ancestors within its tree, without those of the leaf itself."""
-    place, size, n = place // RUN, -(-size // RUN), 0
-    while size > 1:
-        n += min(RUN, size - RUN * (place // RUN)) - 1
-        place, size = place // RUN, -(-size // RUN)
-    return n
+    def proven(vertex: tuple) -> Iterator[tuple]:
+        tree, place, size, children, subroot, path = vertex
+        levels, above, tail = subtree([x[0] for x in children], size, 0), shape(tree, trees), path.hex()
+        for k, (leaf, now, doc_id) in enumerate(children):
+            own = b"".join(siblings(levels, k))
+            folded = fold_root(leaf if now is None else now, shape(RUN**LEVELS * place + k, size) + above, own + path)
+            yield doc_id, leaf.hex(), subroot.hex(), top.hex(), sha256((own.hex() + tail).encode()).hexdigest(), folded.hex(), folded == top
+
+    schema = T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")])
+    return spark.createDataFrame(down.flatMap(proven), schema, verifySchema=False)
 
 
 SQL = """
