@@ -70,17 +70,29 @@ def rarest(word: str, counts: dict[str, int], n: int = PREFIX) -> list[tuple[str
     return sorted(((x, k) for k, x in enumerate(grams)), key=lambda x: (counts[x[0]], x))[:n]
 
 
+def one_edit(a: str, b: str) -> bool:
+    """Whether exactly one inserted, deleted or replaced code point makes b of a. Slices are compared, so that long words cost
+    their length, not its square."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    low, high = 0, min(len(a), len(b))  # the length of what both begin with
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return a[low + (len(a) >= len(b)) :] == b[low + (len(b) >= len(a)) :]
+
+
 def near_words(scratch: Scratch, words: DataFrame) -> DataFrame:
     """(word, n, other, m): all pairs of words (word, n), both ways, that differ by one inserted, deleted or replaced code point.
 
     One edit touches two bigrams of a word at most, and moves others by one place at most. So of two such words, with bigrams
     in one order for all words, the three first of one and of the other share a bigram; its places are equal in words of
     equal length, else the longer word has it at the same place or one later. Words are joined on bigram, place and length;
-    cells that hold many words are dealt to several tasks. Levenshtein's distance, cut off at 1, decides.
+    cells that hold many words are dealt to several tasks. What is left is compared.
     """
-    bigrams = F.explode(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda k: F.substring(F.col("word"), k, F.lit(2))))
+    grams = map_texts(words, [], lambda b: {"grams": [[x[k : k + 2] for k in range(len(x) - 1)] for x in b.column("word").to_pylist()]}, "grams array<string>")
     # At most the square of the 90 letters that a word may have.
-    counts = {r[0]: r[1] for r in words.select(bigrams.alias("gram")).groupBy("gram").count().collect()}
+    counts = {r[0]: r[1] for r in grams.select(F.explode("grams").alias("gram")).groupBy("gram").count().collect()}
 
     def first(batch: pa.RecordBatch) -> dict:
         return {"grams": [[{"gram": g, "at": k} for g, k in rarest(x, counts)] for x in batch.column("word").to_pylist()]}
@@ -98,7 +110,8 @@ def near_words(scratch: Scratch, words: DataFrame) -> DataFrame:
     salts = salts_of(sizes, "cell").select(F.col("cell").alias("_of"), F.col("salt").alias("_salt"))
     gives = gives.join(salts, F.col("_cell") == F.col("_of"))
     pairs = asks.join(gives, (asks["cell"] == gives["_cell"]) & (asks["salt"] == gives["_salt"]) & ((gives["longer"] == 1) | (asks["word"] < gives["other"])))
-    pairs = pairs.where(F.levenshtein("word", "other", 1) == 1).select("word", "n", "other", "m").distinct()
+    near = lambda b: {"near": [one_edit(x, y) for x, y in zip(b.column("word").to_pylist(), b.column("other").to_pylist(), strict=True)]}
+    pairs = map_texts(pairs, ["word", "n", "other", "m"], near, "near boolean").where("near").drop("near").distinct()
     pairs = scratch.write(pairs, "pairs")
     return pairs.unionByName(pairs.select(F.col("other").alias("word"), F.col("m").alias("n"), F.col("word").alias("other"), F.col("n").alias("m")))
 
