@@ -94,11 +94,14 @@ class ToxicityModel:
         return lambda text: 1 / (1 + exp(-min(60.0, max(-60.0, self.bias + fsum(map(weight, features_of(words_of(text))))))))
 
 
-def _padded(rows: list[np.ndarray], place: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of each feature that has a place."""
-    row = np.repeat(np.arange(len(rows)), [len(x) for x in rows]) if rows else np.zeros(0, "int64")
-    col = np.array([place.get(int(i), -1) for x in rows for i in x], "int64")
-    return row[col >= 0], col[col >= 0]
+def _placed(rows: list[np.ndarray], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each feature that is in names, which are sorted."""
+    if not rows or not len(names):
+        return np.zeros(0, "int32"), np.zeros(0, "int32")
+    every = np.concatenate(rows)
+    col = np.minimum(np.searchsorted(names, every), len(names) - 1).astype("int32")
+    known = names[col] == every
+    return np.repeat(np.arange(len(rows), dtype="int32"), [len(x) for x in rows])[known], col[known]
 
 
 def fit_toxic(labels: np.ndarray, rows: list[np.ndarray], changes: list[tuple[np.ndarray, np.ndarray]], *, bits: int, min_docs: int = 20, steps: int = 120, rate: float = 0.05, noise: float = 3.5, ridge: float = 0.001, fair: float = 5.0) -> ToxicityModel:
@@ -113,21 +116,19 @@ def fit_toxic(labels: np.ndarray, rows: list[np.ndarray], changes: list[tuple[np
     if not 0 < share < 1:
         return ToxicityModel(bits, 60.0 if share else -60.0, {})
     ids, counts = np.unique(np.concatenate(rows), return_counts=True)
-    kept = {int(i) for i in ids[counts >= min_docs]}.union(int(i) for x in changes for y in x for i in y)
+    names = np.unique(np.concatenate([ids[counts >= min_docs], *(y for x in changes for y in x)]).astype("int32"))
     bias = log(share / (1 - share))
-    weight: dict[int, float] = dict.fromkeys(sorted(kept), 0.0)
+    w = np.zeros(len(names))
     for selecting in (True, False):
-        names = np.array(list(weight), "int64")
-        place = {int(i): k for k, i in enumerate(names)}
-        row, col = _padded(rows, place)
+        row, col = _placed(rows, names)
         mass = np.maximum(np.bincount(col, minlength=len(names)), 1.0)
-        gone, come = (_padded([x[k] for x in changes], place) for k in (0, 1))
+        gone, come = (_placed([x[k] for x in changes], names) for k in (0, 1))
         swap = (np.concatenate([gone[0], come[0]]), np.concatenate([gone[1], come[1]]), np.concatenate([np.ones(len(gone[0])), -np.ones(len(come[0]))]))
         touched = np.bincount(swap[1], minlength=len(names))
         # Steps are scaled by each word's curvature: of the loss, of the penalty on swaps, and of the ridge.
         scale = mass / (4 * n) + 2 * fair * touched / max(len(changes), 1) + ridge / n
         pull = noise * np.sqrt(mass * share * (1 - share)) / n if selecting else np.zeros(len(names))
-        w = before = np.array(list(weight.values()))
+        before = w
         for t in range(steps if selecting else 4 * steps):
             ahead = w + t / (t + 3) * (w - before)
             score = bias + np.bincount(row, ahead[col], minlength=n)
@@ -139,8 +140,9 @@ def fit_toxic(labels: np.ndarray, rows: list[np.ndarray], changes: list[tuple[np
             bias -= rate * 4 * float((p - labels).mean())
             before, w = w, ahead - rate * slope / scale
             w = np.sign(w) * np.maximum(np.abs(w) - rate * pull / scale, 0.0)
-        weight = {int(i): float(x) for i, x in zip(names, w, strict=True) if x or not selecting}
-    return ToxicityModel(bits, bias, weight)
+        if selecting:
+            names, w = names[w != 0], w[w != 0]
+    return ToxicityModel(bits, bias, {int(i): float(x) for i, x in zip(names, w, strict=True)})
 
 
 def held_out(doc_id: Column, parts: int = 4, part: int = 2) -> Column:
