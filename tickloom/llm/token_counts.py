@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, map_texts
 
 # The characters with Unicode's White_Space property.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: From one stable position to the next.
 _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+_STABLE = re.compile(f"(?<=[^{_SPACE}])[{_SPACE}]")
 
 
 @cache
@@ -77,13 +77,13 @@ def count_tokens(path: str, texts: list[str], keep: int = 1 << 20) -> list[int]:
     return [sum(map(known.__getitem__, x)) for x in pieces]
 
 
-def stable(text: str, at: int) -> bool:
-    """Whether a byte-level BPE's word splitting must cut before text[at], whatever stands around.
+def stable(text: str, first: int, stop: int) -> list[int]:
+    """Positions from first to before stop at which a byte-level BPE's word splitting must cut, whatever stands around.
 
     Its pattern has no alternative in which white space follows anything else than white space, so that a word ends before
     white space that follows another character; special strings hold no white space. Merges stay within words.
     """
-    return 0 < at < len(text) and text[at] in _SPACE and text[at - 1] not in _SPACE
+    return [m.start() for m in _STABLE.finditer(text, max(first, 0), max(stop, 0))]
 
 
 def cuts(path: str, text: str, first: int, last: int, offset: int) -> tuple[int, list[tuple[int, int]], list[tuple[int, int]]]:
@@ -95,16 +95,15 @@ def cuts(path: str, text: str, first: int, last: int, offset: int) -> tuple[int,
     offsets = _encoder(path).encode(text, add_special_tokens=False).offsets
     starts = [a for a, _ in offsets]
 
-    def found(places: range) -> list[tuple[int, int]]:
+    def found(places: list[int]) -> list[tuple[int, int]]:
         out = []
         for at in places:
-            if stable(text, at):
-                n = bisect_left(starts, at)
-                if n == 0 or offsets[n - 1][1] <= at:
-                    out.append((offset + at, n))
+            n = bisect_left(starts, at)
+            if n == 0 or offsets[n - 1][1] <= at:
+                out.append((offset + at, n))
         return out
 
-    return len(starts), found(range(0, min(first, len(text) - 1) + 1)), found(range(max(last, 0), len(text)))
+    return len(starts), found(stable(text, 0, min(first, len(text) - 1) + 1)), found(stable(text, last, len(text)))
 
 
 _CUT = "array<struct<at:long,n:long>>"
@@ -126,14 +125,11 @@ def count_tokens_of(docs: DataFrame, path: str, *, limit: int = 1024, huge: int
     d = docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"))
     is_huge = F.length("text") > huge if splits_at_space(path) else F.lit(False)
 
-    def whole(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            texts = p["text"].tolist()
-            n = [x for at in range(0, len(texts), 256) for x in count_tokens(path, texts[at : at + 256])]
-            yield pd.DataFrame({"doc_id": p["doc_id"], "n_bytes": p["n_bytes"], "n_tokens": n})
+    def whole(batch: pa.RecordBatch) -> dict:
+        return {"n_tokens": count_tokens(path, batch.column("text").to_pylist())}
 
-    done = "doc_id long, n_bytes long, n_tokens long"
-    small = d.filter(~is_huge).select("doc_id", "text", F.octet_length("text").cast("long").alias("n_bytes")).mapInPandas(whole, done)
+    size = F.octet_length("text").cast("long").alias("n_bytes")
+    small = map_texts(d.filter(~is_huge).select("doc_id", "text", size), ["doc_id", "n_bytes"], whole, "n_tokens long", 256)
     results, rest, wide = [small], d.filter(is_huge), overlap
     rest = scratch.write(rest.withColumn("row", F.monotonically_increasing_id()), "huge")
     most = rest.agg(F.max(F.length("text"))).first()[0] or 0
@@ -141,7 +137,7 @@ def count_tokens_of(docs: DataFrame, path: str, *, limit: int = 1024, huge: int
     while most:
         spliced = scratch.write(_splice(_encode_chunks(rest, path, max(chunk, wide), wide)), f"spliced{turn}")
         good = spliced.filter("n_tokens is not null")
-        results.append(rest.join(good, "row").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens"))
+        results.append(rest.join(good, "row").select("doc_id", size, "n_tokens"))
         if wide >= most:
             break  # the chunks were whole documents
         rest = scratch.write(rest.join(spliced.filter("n_tokens is null").select("row"), "row", "left_semi"), f"rest{turn}")
@@ -157,17 +153,17 @@ def _encode_chunks(texts: DataFrame, path: str, step: int, wide: int) -> DataFra
     k = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / step).cast("int")))
     chunks = texts.select("row", "text", k.alias("k")).select("row", "k", F.length("text").alias("all"), F.substring("text", F.col("k") * step + 1, F.lit(step + wide)).alias("text"))
 
-    def encode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = []
-            for row, k, n_chars, text in zip(p["row"], p["k"], p["all"], p["text"], strict=True):
-                at = k * step
-                last = at + step >= n_chars
-                n, head, tail = cuts(path, text, wide if k else -1, len(text) if last else step, at)
-                rows.append((row, k, n, [{"at": a, "n": b} for a, b in head], [{"at": a, "n": b} for a, b in tail]))
-            yield pd.DataFrame(rows, columns=["row", "k", "n", "head", "tail"])
-
-    return chunks.repartition("row", "k").mapInPandas(encode, f"row long, k int, n long, head {_CUT}, tail {_CUT}")
+    def encode(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"n": [], "head": [], "tail": []}
+        for k, n_chars, text in zip(*(batch.column(c).to_pylist() for c in ("k", "all", "text")), strict=True):
+            at = k * step
+            n, head, tail = cuts(path, text, wide if k else -1, len(text) if at + step >= n_chars else step, at)
+            out["n"].append(n)
+            out["head"].append([{"at": a, "n": b} for a, b in head])
+            out["tail"].append([{"at": a, "n": b} for a, b in tail])
+        return out
+
+    return map_texts(chunks.repartition("row", "k"), ["row", "k"], encode, f"n long, head {_CUT}, tail {_CUT}", 256)
 
 
 def _splice(chunks: DataFrame) -> DataFrame:
