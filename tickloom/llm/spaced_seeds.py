@@ -92,17 +92,19 @@ def _bench_rows(bench: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return map_texts(bench.select(bench["item_id"], bench["text"]).where("item_id is not null and text is not null"), ["item_id"], rows, "item binary, seeds array<struct<hash:long,at:int>>, n_item int")
 
 
-def find_leaks(docs: DataFrame, bench: DataFrame, *, masks: tuple[str, ...] = MASKS, min_words: int = 13, share: float = 0.75, around: int = 64, filter_bits: int = 27) -> DataFrame:
+def find_leaks(docs: DataFrame, bench: DataFrame, *, masks: tuple[str, ...] = MASKS, min_words: int = 13, share: float = 0.75, filter_bits: int = 27) -> DataFrame:
     """(doc_id, item_id, n_words, n_equal): documents (doc_id, text, ...) and benchmark items (item_id, text, ...) that overlap.
 
     An overlap is a stretch of min_words words or more with equal words at both ends, or a whole item of any length with any
     ends, of which a part of `share` or more is equal, word by word; n_words is the longest one's length. It is found where
     some mask fits; with the default masks, a share of 0.75 or more and min_words of 10 or more, that is every overlap.
-    Verified around the hit, up to `around` words to each side. Items of one or two words are found wherever they stand.
+    Verified around the hit, as many words to each side as the longest item has, so that no overlap is cut short. Items of one
+    or two words are found wherever they stand.
 
     Tasks hash each document's words under each mask. A bitmap of the benchmark's seed hashes, of 512 bits or more for each
     seed up to 2**filter_bits bits in all (16 MB), is sent to the tasks and lets hits through only; benchmarks of more
-    seeds than half of those bits send all seeds to the join. A document's hits come with the words around them, each word once. Hits and seeds
+    seeds than half of those bits send all seeds to the join. A document's hits come with the words
+    around them, each word once. Hits and seeds
     are joined by hash, then segments and items by their ids, and aligned word by word.
 
     Defined results: texts that are null or without words have no leaks; equal documents have equal leaks, repeated
@@ -111,8 +113,8 @@ def find_leaks(docs: DataFrame, bench: DataFrame, *, masks: tuple[str, ...] = MA
     scratch = Scratch(docs.sparkSession)
     items = scratch.write(_bench_rows(bench, masks), "items")
     seeds = items.select("item_id", F.explode("seeds").alias("seed")).select("item_id", "seed.hash", F.col("seed.at").alias("item_at"))
-    n_seeds, *kinds = items.agg(F.sum(F.size("seeds")), *(F.max(F.col("n_item").between(a, b)) for a, b in ((1, 1), (2, 2), (3, 9), (10, 2**31 - 1)))).first()
-    n_seeds = n_seeds or 0
+    n_seeds, around, *kinds = items.agg(F.sum(F.size("seeds")), F.max("n_item"), *(F.max(F.col("n_item").between(a, b)) for a, b in ((1, 1), (2, 2), (3, 9), (10, 2**31 - 1)))).first()
+    n_seeds, around = n_seeds or 0, around or 0
     used = [m for n, some in zip((1, 2, 3, 10), kinds, strict=True) if some for m in masks_for(n, masks)]
     bitmap, n_bits = None, min(filter_bits, max(20, (512 * n_seeds - 1).bit_length()))
     if n_seeds <= 1 << (filter_bits - 1):
