@@ -220,3 +220,55 @@ def test_an_incomplete_vertex_is_an_error(spark):
     leaves = sc.parallelize([((0, i), (7, bytes([i]) * 32)) for i in range(6)], 2)  # of seven
     with pytest.raises(Exception, match="has heard from 6 children"):
         merkle.climb(leaves, merkle.height(7), 2, lambda rdd, name: rdd)[0].collect()
+
+
+# --- cases that earlier rounds got wrong
+
+
+def test_token_ids_stay_whole_beside_null_ids(spark):
+    from tickloom.llm import queries, token_counts
+
+    d = docs(spark, [(2**60 + 1, "a b c", "en", "s", 0), (None, "a b c", "en", "s", 0), (2**60 + 3, "word " * 9000, "en", "s", 0), (5, None, "en", "s", 0)]).coalesce(1)
+    got = {x.doc_id: x for x in token_counts.count_tokens_of(d, queries.tokenizer_path()).collect()}
+    assert set(got) == {2**60 + 1, None, 2**60 + 3, 5}
+    assert got[None].n_tokens == got[2**60 + 1].n_tokens > 0 and got[5].n_tokens == 0 and got[2**60 + 3].over_limit
+    named = d.withColumn("doc_id", F.concat(F.lit("id"), F.col("doc_id").cast("string")))
+    assert {x.doc_id for x in token_counts.count_tokens_of(named, queries.tokenizer_path()).collect()} == {f"id{2**60 + 1}", None, f"id{2**60 + 3}", "id5"}
+
+
+def test_stable_positions_by_a_loop():
+    from tickloom.llm import token_counts
+
+    r = random.Random(3)
+    for _ in range(50):
+        text = "".join(r.choice("ab \n　.") for _ in range(r.randint(0, 60)))
+        space = lambda x: x in token_counts._SPACE
+        for first, stop in ((0, len(text)), (5, 20), (7, 8), (0, 0)):
+            assert token_counts.stable(text, first, stop) == [k for k in range(max(first, 1), min(stop, len(text))) if space(text[k]) and not space(text[k - 1])]
+
+
+def test_overlaps_are_measured_whole(spark):
+    from tickloom.llm import spaced_seeds
+
+    item = [f"w{i}" for i in range(1000)]
+    middle = item[:375] + [f"x{i}" for i in range(250)] + item[625:]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    before = [f"a{i}" for i in range(200)]
+    d = docs(spark, [(1, " ".join(middle), "en", "s", 0), (2, " ".join(before + middle + before), "en", "s", 0), (3, " ".join(before), "en", "s", 0), (4, " ".join(before + item[100:160]), "en", "s", 0)])
+    got = {(x.doc_id, x.n_words, x.n_equal) for x in spaced_seeds.find_leaks(d, bench).collect()}
+    assert got == {(1, 1000, 750), (2, 1000, 750), (4, 60, 60)}
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>x</title><body><article><p>Hello</p></article>", "Hello"), ("<html><head><meta charset=utf-8><p>One", "One"), ("<p title=don't>one</p><p title=\"a>b\">two</p>", "one\ntwo"),
+        ("<article><p>E is <math><mi>m</mi></math> here</p></article>", "E is m here"), ("<article><p class=ad>Buy<p>Text</article>", "Text"), ("<ul><li class='share'>a<li>b</ul>c", "b\nc"),
+        ("<h1 class='page-header'>Title</h1><p>Text", "Title\nText"), ("<table><tr><td class=ad>q<td>r<tr><td>s</table>", "r\ns"),
+    ],
+)
+def test_pages_of_odd_markup(spark, page, text):
+    from tickloom.llm import page_diff
+
+    got = page_diff.extract_pages(spark.createDataFrame([(1, "http://a/b", page)], "page_id long, url string, html string")).collect()
+    assert [(x.text, x.n_chars) for x in got] == [(text, len(text))]

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_texts
 
 # How HTML elements are treated.
-_RAW = frozenset("script style noscript template textarea title iframe object svg math select head".split())
+_RAW = frozenset("script style noscript template textarea title iframe object svg select".split())
 _CONTAINER = frozenset("article main nav header footer aside form section div ul ol dl table figure fieldset menu dialog body details".split())
 _BLOCK = _CONTAINER | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption thead tbody tfoot blockquote pre hr address summary figcaption legend option center html".split())
+#: What the start of an element ends, where its own end tag was left out; a p ends before any block.
+_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
+_EMPTY = frozenset("hr html".split())
 _OFF = frozenset("nav footer aside form menu dialog button".split())
 _ON = frozenset("article main".split())
 # Names in class, id and role that mark what is not, or is, the main text: whole ones, without hyphens and underscores.
@@ -33,7 +36,7 @@ _OFF_WORDS = frozenset(
 _HEAD_WORDS = frozenset("header topheader pageheader siteheader".split())
 _ON_WORDS = frozenset("article articlebody articlecontent articletext main maincontent post postcontent postbody entry entrycontent story storybody".split())
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _MARKS = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
@@ -50,7 +53,7 @@ def _kind(tag: str, attributes: str, around: int, holds: Callable[[], bool] = la
     words: set[str] = set()
     for name, value in _MARKS.findall(attributes) if attributes else ():
         words.update(re.sub(r"[-_]", "", x) for x in html.unescape(value.strip("\"'")).lower().split())
-    off = tag in _OFF or words & _OFF_WORDS or around == 0 and (tag == "header" or words & _HEAD_WORDS)
+    off = tag in _OFF or words & _OFF_WORDS or around == 0 and (tag == "header" or tag in _CONTAINER and words & _HEAD_WORDS)
     if off and tag not in _NEVER_OFF and not holds():
         return -1
     return 1 if around == 1 or tag in _ON or tag not in ("html", "body") and not off and words & _ON_WORDS else 0
@@ -119,8 +122,10 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             at = _raw_end(page, m)
         elif tag in _BLOCK:
             flush()
-            if tag not in _CONTAINER:
+            if tag in _EMPTY:
                 continue
+            while stack and not m[1] and (stack[-1][0] == "p" or stack[-1][0] in _ENDS.get(tag, ())):
+                kind = stack.pop()[1]
             if not m[1]:
                 stack.append((tag, kind))
                 kind = _kind(tag, m[3], kind, holds)
