@@ -81,6 +81,24 @@ def test_spelling_is_that_of_all_pairs(spark):
     assert sum(x[1] is not None for x in got) > 20 and any(x[1] and x[2] != x[1] for x in got) and "y" * 100_000 in {x[0] for x in got}
 
 
+def test_cells_lose_no_pair():
+    r = random.Random(6)
+    for trial in range(400):
+        letters = "ab" if trial % 2 else "abcd"
+        words = {"".join(r.choice(letters) for _ in range(r.randint(6, 9))) for _ in range(14)}
+        for w in list(words):
+            k = r.randrange(len(w))
+            words |= {w[:k] + r.choice(letters) + w[k:], w[:k] + r.choice(letters) + w[k + 1 :]} | ({w[:k] + w[k + 1 :]} if len(w) > 6 else set())
+        counts = Counter(w[k : k + 2] for w in words for k in range(len(w) - 1))
+        own = {w: spelling.cells(w, spelling.rarest(w, counts), False) for w in words}
+        longer = {w: spelling.cells(w, spelling.rarest(w, counts), True) for w in words}
+        for a in words:
+            for b in words:
+                assert spelling.one_edit(a, b) == _one_edit(a, b)
+                if _one_edit(a, b) and len(a) <= len(b):
+                    assert own[a] & (own[b] if len(a) == len(b) else longer[b]), (a, b)
+
+
 def test_spelling_of_nothing(spark):
     assert spelling.spelling_groups(docs(spark, [])).collect() == []
     assert spelling.spelling_groups(docs(spark, [(1, None, None, None, None), (2, "", None, None, None)])).collect() == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
@@ -82,34 +83,56 @@ def one_edit(a: str, b: str) -> bool:
     return a[low + (len(a) >= len(b)) :] == b[low + (len(b) >= len(a)) :]
 
 
+def _halves(first: int, stop: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    mid = (first + stop) // 2
+    return (first, mid), (mid, stop)
+
+
+def _key(size: int, first: int, text: str) -> int:
+    return int.from_bytes(blake2b(f"{size}:{first}:{text}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def cells(word: str, grams: list[tuple[str, int]], longer: bool) -> set[int]:
+    """Keys that a word shares with each word that is one edit away and has one of its grams in common.
+
+    The edit stands left or right of a common gram, and there in the first or the second half. So all of the word but a hole,
+    which is one of these four quarters, is equal in both; a key is the hash of that text, of the shorter word's length and
+    of where the hole begins. longer: keys with words that are one shorter, in which the hole is one shorter too.
+    """
+    size, out = len(word) - longer, set()
+    for _, at in grams:
+        for first, stop in (*_halves(at + 2, size), *(_halves(0, at - longer) if at >= longer else ())):
+            out.add(_key(size, first, word[:first] + word[stop + longer :]))
+    return out
+
+
 def near_words(scratch: Scratch, words: DataFrame) -> DataFrame:
     """(word, n, other, m): all pairs of words (word, n), both ways, that differ by one inserted, deleted or replaced code point.
 
     One edit touches two bigrams of a word at most, and moves others by one place at most. So of two such words, with bigrams
-    in one order for all words, the three first of one and of the other share a bigram; its places are equal in words of
-    equal length, else the longer word has it at the same place or one later. Words are joined on bigram, place and length;
-    cells that hold many words are dealt to several tasks. What is left is compared.
+    in one order for all words, the three first of one and of the other share a bigram, its places equal or one apart. Words
+    are joined on these bigrams, their places and the text around them (see cells()); cells that hold many words are dealt
+    to several tasks. What is left is compared.
     """
     grams = map_texts(words, [], lambda b: {"grams": [[x[k : k + 2] for k in range(len(x) - 1)] for x in b.column("word").to_pylist()]}, "grams array<string>")
     # At most the square of the 90 letters that a word may have.
     counts = {r[0]: r[1] for r in grams.select(F.explode("grams").alias("gram")).groupBy("gram").count().collect()}
 
-    def first(batch: pa.RecordBatch) -> dict:
-        return {"grams": [[{"gram": g, "at": k} for g, k in rarest(x, counts)] for x in batch.column("word").to_pylist()]}
-
-    each = map_texts(words, ["word", "n"], first, "grams array<struct<gram:string,at:int>>").select("word", "n", F.length("word").alias("chars"), F.explode("grams").alias("g"))
-    each = scratch.write(each.select("word", "n", "chars", "g.gram", "g.at"), "grams")
-    cell = lambda at, chars: F.xxhash64("gram", at, chars)
-    asks = each.select("word", "n", "chars", "gram", "at", cell(F.col("at"), F.col("chars")).alias("cell"))
-    # As words of the same length, and as longer ones of those that are one shorter.
-    places = F.array(F.struct(F.lit(0).alias("longer"), F.col("at").alias("place")), F.struct(F.lit(1).alias("longer"), F.col("at").alias("place")), F.struct(F.lit(1).alias("longer"), (F.col("at") - 1).alias("place")))
-    gives = each.select(F.col("word").alias("other"), F.col("n").alias("m"), "gram", F.explode(places).alias("p"), "chars")
-    gives = gives.select("other", "m", "p.longer", cell(F.col("p.place"), F.col("chars") - F.col("p.longer")).alias("_cell"))
-    sizes = scratch.write(asks.groupBy("cell").agg(F.count("*").alias("size")), "cells")
-    asks = with_salt(asks.select("word", "n", "cell"), sizes, "cell", F.col("word"))
+    def keyed(batch: pa.RecordBatch) -> dict:
+        each = [(x, rarest(x, counts)) for x in batch.column("word").to_pylist()]
+        return {"own": [sorted(cells(x, g, False)) for x, g in each], "longer": [sorted(cells(x, g, True)) for x, g in each]}
+
+    made = scratch.write(map_texts(words, ["word", "n"], keyed, "own array<long>, longer array<long>"), "cells")
+    # In a cell, words of its length are asked for, and those that are one longer are given too; most cells hold one word.
+    both = made.select("word", "n", F.lit(False).alias("more"), F.explode("own").alias("cell")).unionByName(made.select("word", "n", F.lit(True).alias("more"), F.explode("longer").alias("cell")))
+    sizes = both.groupBy("cell").agg(F.count("*").alias("size"), F.count_if(~F.col("more")).alias("own")).where("size > 1 and own > 0").select("cell", "size")
+    sizes = scratch.write(sizes, "sizes")
+    full = sizes.select(F.col("cell").alias("_cell"))
+    some = scratch.write(both.join(full, both["cell"] == full["_cell"]).drop("_cell"), "full")
+    asks = with_salt(some.where(~F.col("more")).drop("more"), sizes, "cell", F.col("word"))
     salts = salts_of(sizes, "cell").select(F.col("cell").alias("_of"), F.col("salt").alias("_salt"))
-    gives = gives.join(salts, F.col("_cell") == F.col("_of"))
-    pairs = asks.join(gives, (asks["cell"] == gives["_cell"]) & (asks["salt"] == gives["_salt"]) & ((gives["longer"] == 1) | (asks["word"] < gives["other"])))
+    gives = some.select(F.col("word").alias("other"), F.col("n").alias("m"), "more", F.col("cell").alias("_cell")).join(salts, F.col("_cell") == F.col("_of"))
+    pairs = asks.join(gives, (asks["cell"] == gives["_cell"]) & (asks["salt"] == gives["_salt"]) & (gives["more"] | (asks["word"] < gives["other"])))
     near = lambda b: {"near": [one_edit(x, y) for x, y in zip(b.column("word").to_pylist(), b.column("other").to_pylist(), strict=True)]}
     pairs = map_texts(pairs, ["word", "n", "other", "m"], near, "near boolean").where("near").drop("near").distinct()
     pairs = scratch.write(pairs, "pairs")
