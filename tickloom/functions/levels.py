@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.keep import checkpointed
 from ..operators.resample import resample
 from ..operators.windows import lag, latest
 from ..schema import ratio
@@ -109,18 +110,33 @@ def swing_levels(bars: DataFrame, w: int = 5, near: float = 0.005) -> DataFrame:
     return out.withColumn("strength", F.least(C("touches") / 10, F.lit(1.0)))
 
 
-def cluster_levels(prices: Column, part: float = 0.005) -> Column:
-    """Means of neighbouring prices: a price more than `part` above its cluster's first opens a new one."""
-    empty = F.array().cast("array<struct<first:double,total:double,n:int>>")
+def cluster_levels(levels: DataFrame, part: float = 0.005) -> DataFrame:
+    """(symbol, price, size): means of neighbouring prices of levels (symbol, price): a price more than `part` above its cluster's first
+    opens a new one.
 
-    def add(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        new = F.struct(x.alias("first"), x.alias("total"), F.lit(1).alias("n"))
-        grown = F.struct(last["first"].alias("first"), (last["total"] + x).alias("total"), (last["n"] + 1).alias("n"))
-        head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        return F.when((F.size(acc) == 0) | (x > last["first"] * (1 + part)), F.concat(acc, F.array(new))).otherwise(F.concat(head, F.array(grown)))
-
-    return F.aggregate(F.array_sort(prices), empty, add, lambda acc: F.transform(acc, lambda y: y["total"] / y["n"]))
+    The first price above 1 + part times another is that one's successor, found by a window over prices and bounds in one order.
+    The lowest price opens a cluster, and so does each price that successors lead to from there: jumps double in each turn, so
+    that a symbol's chain of any length takes few turns and no array of its levels. Prices are positive; null ones are left out.
+    """
+    price = levels.where("price is not null").groupBy("symbol", "price").agg(F.count("*").alias("count"))
+    # Bounds stand behind prices equal to them, as a successor is above the bound.
+    points = price.select("symbol", C("price").alias("at"), F.lit(0).alias("kind"), "price").unionByName(price.select("symbol", (C("price") * (1 + part)).alias("at"), F.lit(1).alias("kind"), "price"))
+    after = Window.partitionBy("symbol").orderBy("at", "kind").rowsBetween(1, Window.unboundedFollowing)
+    nxt = points.withColumn("next", F.first(F.when(C("kind") == 0, C("price")), ignorenulls=True).over(after)).where("kind = 1").select("symbol", "price", "next")
+    first = price.groupBy("symbol").agg(F.min("price").alias("price"))
+    jumps, starts, known = checkpointed(nxt.where("next is not null")), first, 0
+    while True:
+        reached = starts.join(jumps, ["symbol", "price"]).select("symbol", C("next").alias("price"))
+        starts = checkpointed(starts.unionByName(reached).distinct())
+        n = starts.count()
+        if n == known:
+            break
+        known = n
+        on = jumps.select("symbol", C("price").alias("next"), C("next").alias("_far"))
+        jumps = checkpointed(jumps.join(on, ["symbol", "next"]).select("symbol", "price", C("_far").alias("next")))
+    upto = Window.partitionBy("symbol").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+    opened = price.join(starts.withColumn("opens", C("price")), ["symbol", "price"], "left").withColumn("opens", F.last("opens", ignorenulls=True).over(upto))
+    return opened.groupBy("symbol", "opens").agg((F.sum(C("price") * C("count")) / F.sum("count")).alias("price"), F.sum("count").alias("size")).drop("opens")
 
 
 def round_numbers(bars: DataFrame, steps: int = 5) -> DataFrame:

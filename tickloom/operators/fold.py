@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 import pickle
-import tempfile
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -27,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .keep import checkpointed
+
 Columns = dict[str, np.ndarray]
 
 
@@ -323,17 +324,6 @@ def lagged_outputs(f: Fold, names: tuple[str, ...]) -> Fold:
 # --- running them ----------------------------------------------------------------------------------------------------
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """df as written below spark.checkpoint.dir, in the same partitions; without that setting, and on a local master only, in a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not base and not context.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is not set, and executors can't see the driver's temporary folder")
-        context.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="tickloom-"))
-    return df.checkpoint()
-
-
 def _numbers(column: pa.Array) -> np.ndarray:
     if pa.types.is_boolean(column.type):
         column = column.cast("int8")
@@ -376,7 +366,7 @@ def fold(df: DataFrame, *folds: Fold, key: str | list[str] = "symbol", order: st
     keys, orders = ([x] if isinstance(x, str) else list(x) for x in (key, order))
     programs = [lagged_outputs(f, lagged) for f in folds]
     cut = df.repartitionByRange(*([parts] if parts else []), *keys, *orders).sortWithinPartitions(*keys, *orders)
-    base = _checkpointed(cut)
+    base = checkpointed(cut)
     inputs = sorted({c for f in programs for c in f.inputs})
     depth = max((len(f.levels) for f in programs), default=0)
 

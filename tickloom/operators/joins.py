@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,11 +45,18 @@ def find_instruments(wanted: DataFrame, instruments: DataFrame) -> DataFrame:
     """wanted (request_id, segment, asset_symbol, instrument_type, expiry_from, strike) with the first fitting instrument_key.
 
     Equality on segment, symbol and type; an expiry from 1 hour before to 24 hours after; a strike within 0.01. Instruments
-    are tried in the order of position.
+    are tried in the order of position. Expiries are cut into days and strikes into cells of 0.01: an instrument stands in one
+    cell, a request asks the two or three days and the five cells that can hold what it wants, rounding included, so that a segment or symbol of
+    any size makes no more pairs than fit, or nearly so. Null keys, expiries and strikes find nothing.
     """
-    hour = 3_600_000
+    hour, day = 3_600_000, 86_400_000
     keys = ["segment", "asset_symbol", "instrument_type"]
-    j = wanted.join(instruments, keys).where((C("expiry") >= C("expiry_from") - hour) & (C("expiry") <= C("expiry_from") + 24 * hour) & (F.abs(C("strike_price") - C("strike")) <= 0.01))
+    cell = F.floor(C("strike_price") * 100).cast("long")
+    there = instruments.withColumn("_day", F.floor(C("expiry") / day).cast("long")).withColumn("_cell", cell)
+    days = F.sequence(F.floor((C("expiry_from") - hour) / day).cast("long"), F.floor((C("expiry_from") + 24 * hour) / day).cast("long"))
+    cells = F.sequence(F.floor(C("strike") * 100).cast("long") - 2, F.floor(C("strike") * 100).cast("long") + 2)
+    asked = wanted.where("expiry_from is not null and strike is not null and not isnan(strike)").withColumn("_day", F.explode(days)).withColumn("_cell", F.explode(cells))
+    j = asked.join(there, [*keys, "_day", "_cell"]).where((C("expiry") >= C("expiry_from") - hour) & (C("expiry") <= C("expiry_from") + 24 * hour) & (F.abs(C("strike_price") - C("strike")) <= 0.01))
     return j.groupBy("request_id").agg(F.min_by("instrument_key", F.struct("position", "instrument_key")).alias("instrument_key"))
 
 
@@ -61,10 +70,45 @@ def exposure(bars: DataFrame, trades: DataFrame) -> DataFrame:
     return points.withColumn("open", running).where("o = 1").groupBy("symbol").agg(F.count("*").alias("bars"), F.count_if(C("open") > 0).alias("exposed"))
 
 
-def correlation_matrix(returns: DataFrame) -> DataFrame:
-    """(a, b, corr) of returns (symbol, ts, r), by an equality join on ts; 1 on the diagonal, 0 where undefined."""
-    a, b = returns.select("ts", C("symbol").alias("a"), C("r").alias("ra")), returns.select("ts", C("symbol").alias("b"), C("r").alias("rb"))
-    pairs = a.join(b, "ts").where("a < b").groupBy("a", "b").agg(F.coalesce(ratio(F.covar_samp("ra", "rb"), F.stddev_samp("ra") * F.stddev_samp("rb")), F.lit(0.0)).alias("corr"))
+def correlation_matrix(returns: DataFrame, *, tile: int = 256, times: int = 1024) -> DataFrame:
+    """(a, b, corr) of returns (symbol, ts, r) over the times that both have; 1 on the diagonal, 0 where undefined.
+
+    Symbols are numbered by a hash order of their own into tiles of about `tile`, times into blocks of about `times`. A tile's
+    returns of a block are one dense matrix, null where a symbol has none; each two tiles of a block meet in one task, which
+    takes the sums of products, squares and counts by matrix products; sums of blocks are added up by pair. So a return
+    travels once for each tile of symbols, not once for each symbol.
+    """
+    n_symbols, n_times = returns.agg(F.approx_count_distinct("symbol"), F.approx_count_distinct("ts")).first()
+    n_tiles, n_blocks = max(1, -(-n_symbols // tile)), max(1, -(-n_times // times))
+    d = returns.select("symbol", "ts", C("r").cast("double").alias("r")).where("r is not null")
+    d = d.withColumn("tile", F.pmod(F.xxhash64("symbol"), F.lit(n_tiles)).cast("int")).withColumn("block", F.pmod(F.xxhash64(C("ts").cast("string")), F.lit(n_blocks)).cast("int"))
+    # A centre near each symbol's mean, so that sums of squares keep their digits.
+    centre = d.groupBy("symbol").agg(F.avg("r").alias("_mean")).withColumnRenamed("symbol", "_symbol")
+    d = d.join(centre, C("symbol") == C("_symbol")).select("tile", "block", "symbol", "ts", (C("r") - C("_mean")).alias("r"))
+    others = F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)))
+    sided = d.withColumn("_k", others).select("block", F.least("tile", "_k").alias("i"), F.greatest("tile", "_k").alias("j"), "tile", "symbol", "ts", "r")
+
+    def products(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        left, right = (rows[rows["tile"] == t].pivot_table("r", "symbol", "ts", aggfunc="last") for t in (i, j))
+        right = right.reindex(columns=left.columns.union(right.columns))
+        left = left.reindex(columns=right.columns)
+        x, y = left.to_numpy("float64"), right.to_numpy("float64")
+        p, q = (~np.isnan(z) for z in (x, y))
+        x, y, p, q = np.nan_to_num(x), np.nan_to_num(y), p.astype("float64"), q.astype("float64")
+        sums = {"n": p @ q.T, "sa": x @ q.T, "sb": p @ y.T, "saa": (x * x) @ q.T, "sbb": p @ (y * y).T, "sab": x @ y.T}
+        a, b = np.repeat(left.index.to_numpy(), len(right)), np.tile(right.index.to_numpy(), len(left))
+        out = pd.DataFrame({"a": a, "b": b, **{k: v.ravel() for k, v in sums.items()}})
+        return out[(out["a"] < out["b"]) & (out["n"] > 0)] if i == j else out[out["n"] > 0]
+
+    names = ("n", "sa", "sb", "saa", "sbb", "sab")
+    sums = sided.groupBy("block", "i", "j").applyInPandas(products, "a string, b string, " + ", ".join(f"{x} double" for x in names)).groupBy("a", "b").agg(*(F.sum(x).alias(x) for x in names))
+    both = C("sab") - C("sa") * C("sb") / C("n")
+    va, vb = (C(f"s{x}{x}") - C(f"s{x}") * C(f"s{x}") / C("n") for x in "ab")
+    # Less than rounding leaves of a sum of squares is no variance.
+    flat = (va <= C("saa") * 1e-12) | (vb <= C("sbb") * 1e-12)
+    corr = F.when(~flat, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), both / F.sqrt(F.when(~flat, va * vb)))))
+    pairs = sums.select("a", "b", F.coalesce(corr, F.lit(0.0)).alias("corr"))
     own = returns.select(C("symbol").alias("a"), C("symbol").alias("b"), F.lit(1.0).alias("corr")).distinct()
     return pairs.unionByName(pairs.select(C("b").alias("a"), C("a").alias("b"), "corr")).unionByName(own)
 

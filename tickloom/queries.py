@@ -12,7 +12,7 @@ from .functions import candles as cs
 from .functions import indicators as ind
 from .functions import levels, pricing, swings
 from .operators import fold as folds
-from .operators import joins, pairs, quality
+from .operators import joins, pairs, quality, touch
 from .operators.calendar import with_trading_days
 from .operators.resample import between_dates, opening_range, period_start, resample, within_hours
 from .operators.windows import W as ordered
@@ -253,12 +253,13 @@ register("universe_members", lambda s, d: joins.members(tables.bars_hourly(s, d)
 register("universe_changes", lambda s, d: joins.changes(_universe(s, "click", "view"), _universe(s, "view", "login")), "SELECT 'login' AS symbol, 'added' AS change UNION ALL SELECT 'click', 'removed'")
 
 
-def _returns(s: SparkSession, d: str) -> DataFrame:
-    return tables.bars_daily(s, d).select("symbol", "ts", ind.roc(C("close"), 1).alias("r")).where("r is not null")
+def _returns(s: SparkSession, d: str, source: Callable[[SparkSession, str], DataFrame] = tables.bars_daily) -> DataFrame:
+    return source(s, d).select("symbol", "ts", ind.roc(C("close"), 1).alias("r")).where("r is not null")
 
 
-register("correlation_matrix", lambda s, d: rounded(joins.correlation_matrix(_returns(s, d))), f"""WITH {DAILY}, q AS (SELECT symbol, ts, 100 * (close / nullif(lag(close) OVER {W}, 0) - 1) AS r FROM bars), n AS (SELECT * FROM q WHERE r IS NOT NULL)
-SELECT a.symbol AS a, b.symbol AS b, CASE WHEN a.symbol = b.symbol THEN 1.0::DOUBLE ELSE {r6('coalesce(corr(a.r, b.r), 0)')} END AS corr FROM n a JOIN n b USING (ts) GROUP BY a.symbol, b.symbol""")
+for _n, _source, _bars in (("correlation_matrix", tables.bars_daily, DAILY), ("correlation_wide", tables.bars_wide, WIDE)):
+    register(_n, lambda s, d, source=_source: rounded(joins.correlation_matrix(_returns(s, d, source))), f"""WITH {_bars}, q AS (SELECT symbol, ts, 100 * (close / nullif(lag(close) OVER {W}, 0) - 1) AS r FROM bars), n AS (SELECT * FROM q WHERE r IS NOT NULL)
+SELECT a.symbol AS a, b.symbol AS b, CASE WHEN a.symbol = b.symbol THEN 1.0::DOUBLE ELSE {r6('coalesce(CASE WHEN isfinite(corr(a.r, b.r)) THEN corr(a.r, b.r) END, 0)')} END AS corr FROM n a JOIN n b USING (ts) GROUP BY a.symbol, b.symbol""")
 
 
 def _instruments(s: SparkSession, d: str) -> DataFrame:
@@ -492,7 +493,7 @@ SELECT ts, symbol, {r6('x')} AS rs, row_number() OVER (PARTITION BY ts ORDER BY
 for _n, _parts in (("fibonacci_extensions", levels.EXTENSIONS), ("fibonacci_fans", levels.FANS)):
     register(_n, lambda s, d, parts=_parts: rounded(levels.fibonacci_levels(tables.bars_hourly(s, d), parts)), f"""WITH {HOURLY}, {_TAIL.format(n=50)}, g AS (SELECT symbol, max(high) AS h, min(low) AS l, first(ts ORDER BY high DESC, ts) AS ht, first(ts ORDER BY low, ts) AS lt FROM t GROUP BY symbol HAVING count(*) = 50),
 p AS (SELECT *, unnest([{", ".join(map(str, _parts))}]::DOUBLE[]) AS part FROM g) SELECT symbol, part, {r6('CASE WHEN lt < ht THEN h - (h - l) * part ELSE l + (h - l) * part END')} AS price, CASE WHEN lt < ht THEN 'support' ELSE 'resistance' END AS level_type FROM p""")
-register("level_clusters", lambda s, d: rounded(levels.swing_levels(tables.bars_hourly(s, d)).groupBy("symbol").agg(F.collect_list("price").alias("p")).select("symbol", F.explode(levels.cluster_levels(C("p"), 0.02)).alias("price"))), f"""WITH RECURSIVE lv AS (SELECT symbol, price, row_number() OVER (PARTITION BY symbol ORDER BY price) AS rn FROM ({SQL["swing_levels"]})),
+register("level_clusters", lambda s, d: rounded(levels.cluster_levels(levels.swing_levels(tables.bars_hourly(s, d)), 0.02).select("symbol", "price")), f"""WITH RECURSIVE lv AS (SELECT symbol, price, row_number() OVER (PARTITION BY symbol ORDER BY price) AS rn FROM ({SQL["swing_levels"]})),
 cl AS (SELECT symbol, rn, price, price AS first_, 1 AS c FROM lv WHERE rn = 1 UNION ALL SELECT lv.symbol, lv.rn, lv.price, CASE WHEN lv.price > first_ * 1.02 THEN lv.price ELSE first_ END, CASE WHEN lv.price > first_ * 1.02 THEN c + 1 ELSE c END FROM cl JOIN lv ON lv.symbol = cl.symbol AND lv.rn = cl.rn + 1)
 SELECT symbol, {r6('avg(price)')} AS price FROM cl GROUP BY symbol, c""")
 register("levels_near_price", lambda s, d: levels.near_price(levels.nearest_levels(tables.bars_hourly(s, d), levels.all_levels(tables.bars_hourly(s, d))).join(levels.all_levels(tables.bars_hourly(s, d)), "symbol"), "close", 0.05).select("symbol", F.round("price", 6).alias("price"), "source"), f"""WITH lv AS ({_LEVELS}), l AS (SELECT symbol, last(close ORDER BY ts) AS close FROM (WITH {HOURLY} SELECT * FROM bars) GROUP BY symbol) SELECT symbol, price, source FROM lv JOIN l USING (symbol) WHERE abs(price - close) / close <= 0.05""")
@@ -538,6 +539,30 @@ register("scan_live", lambda s, d: rules.scan_live(tables.bars_hourly(s, d), tab
 WITH t AS (SELECT event_type AS symbol, ts, value, count(*) OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id) AS v FROM events WHERE value IS NOT NULL), l AS (SELECT symbol, max(ts) + INTERVAL 1 HOUR AS ts, last(value ORDER BY ts) AS close, last(v ORDER BY ts) AS volume FROM t GROUP BY symbol) SELECT * FROM l WHERE close >= 30""")
 
 
+def _entries(s: SparkSession, d: str) -> DataFrame:
+    """An entry at every tick, long and short by turns, with levels far enough to be touched days later."""
+    side = F.when(C("event_id") % 2 == 0, "LONG").otherwise("SHORT")
+    near, far = C("ltp") * 0.02, C("ltp") * 40.0
+    return tables.ticks(s, d).select(C("event_id").alias("entry_id"), "symbol", C("ltt").alias("at"), side.alias("side"), F.when(C("event_id") % 2 == 0, near).otherwise(far).alias("stop"), F.when(C("event_id") % 2 == 0, far).otherwise(near).alias("target"))
+
+
+register("first_touch", lambda s, d: touch.first_touch(_entries(s, d), tables.ticks(s, d)), """WITH t AS (SELECT event_id, event_type AS symbol, ts, value FROM events WHERE value IS NOT NULL),
+x AS (SELECT e.event_id AS entry_id, min(t.ts) AS touched_at, arg_min(t.value, t.ts) AS price FROM t e JOIN t ON t.symbol = e.symbol AND t.ts > e.ts AND (t.value <= e.value * 0.02::DOUBLE OR t.value >= e.value * 40.0::DOUBLE) GROUP BY e.event_id)
+SELECT t.event_id AS entry_id, x.touched_at, x.price, CASE WHEN x.price IS NULL THEN NULL WHEN (x.price <= t.value * 0.02::DOUBLE) = (t.event_id % 2 = 0) THEN 'stop' ELSE 'target' END AS reason FROM t LEFT JOIN x ON x.entry_id = t.event_id""")
+
+
+def _requests(s: SparkSession, d: str) -> DataFrame:
+    """Of each symbol of the wide bars, and one that the store lacks, from before its first bar to after its last."""
+    b = tables.bars_wide(s, d)
+    own = b.groupBy("symbol").agg(F.date_sub(F.to_date(F.min("ts")), F.expr("cast(symbol as int) % 9")).alias("start"), F.date_add(F.to_date(F.max("ts")), F.expr("cast(symbol as int) % 3")).alias("stop"))
+    return own.unionByName(b.agg(F.lit("none").alias("symbol"), F.to_date(F.min("ts")).alias("start"), F.to_date(F.max("ts")).alias("stop")))
+
+
+register("fetch_holes", lambda s, d: store.holes(_requests(s, d), tables.bars_wide(s, d)), f"""WITH {WIDE}, r AS (SELECT symbol, min(ts)::DATE - (symbol::INT % 9)::INT AS start, max(ts)::DATE + (symbol::INT % 3)::INT AS stop FROM bars GROUP BY symbol UNION ALL SELECT 'none', min(ts)::DATE, max(ts)::DATE FROM bars),
+p AS (SELECT DISTINCT r.*, bars.ts::DATE AS day, 5 AS least FROM r JOIN bars USING (symbol) WHERE bars.ts::DATE BETWEEN start AND stop UNION ALL SELECT *, stop + 1, 0 FROM r),
+g AS (SELECT *, coalesce(lag(day) OVER (PARTITION BY symbol ORDER BY day), start - 1) AS before FROM p) SELECT symbol, (before + 1)::DATE AS start, (day - 1)::DATE AS stop FROM g WHERE day - before - 1 > least""")
+
+
 def _messages(s: SparkSession, d: str) -> DataFrame:
     """Feed messages of one instrument each, made of events: every third with depth and greeks."""
     t = tables.ticks(s, d)
