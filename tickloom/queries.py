@@ -21,6 +21,7 @@ from .plans import backtest, performance, rules, search
 from .plans.strategies import STRATEGIES, BollingerSqueeze, EmaCrossover, confluence
 from .sources import store, tables
 from .sql import ewm
+from .streaming import live
 from .streaming import ticks as tk
 
 C = F.col
@@ -184,7 +185,7 @@ on_bars("trend_structure", swings.with_trend_structure, {"higher_high": "coalesc
 on_bars("market_phase", swings.with_market_phase, {"market_phase": "CASE WHEN close > a AND a <= b THEN 1 WHEN close > a AND a > b THEN 2 WHEN close < a AND a >= b THEN 3 WHEN close < a AND a < b THEN 4 ELSE 0 END::INTEGER"},
         before=f"src AS (SELECT *, {full(50, 'avg(close)')} AS a, {full(200, 'avg(close)')} AS b FROM bars)", out=("market_phase",), plain=("market_phase",))
 _CHARTS = ", ".join(f"{x}::INTEGER AS {k}" for k, x in q.CHARTS.items())
-for _n, _source, _bars in (("charts_all", tables.bars_wide, WIDE), ("charts_daily", tables.bars_daily, DAILY)):
+for _n, _source, _bars in (("charts_all", tables.bars_hourly, HOURLY), ("charts_daily", tables.bars_daily, DAILY)):
     register(_n, lambda s, d, source=_source: swings.with_all_charts(source(s, d)).select("symbol", "ts", *swings.CHARTS, "pennant"), f"""WITH {_bars}, {q.charts(5, False, 'ch')}, {q.charts(3, False, 'nr')},
 wide AS (SELECT symbol, ts, {_CHARTS} FROM ch), narrow AS (SELECT symbol, ts, {q.SYMMETRICAL}::INTEGER AS pennant FROM nr) SELECT wide.*, pennant FROM wide JOIN narrow USING (symbol, ts)""")
 
@@ -250,7 +251,12 @@ def _universe(s: SparkSession, *symbols: str) -> DataFrame:
 
 
 register("universe_members", lambda s, d: joins.members(tables.bars_hourly(s, d), _universe(s, "click", "view", "other")), f"WITH {HOURLY} SELECT * FROM bars WHERE symbol IN ('click', 'view', 'other')")
-register("universe_changes", lambda s, d: joins.changes(_universe(s, "click", "view"), _universe(s, "view", "login")), "SELECT 'login' AS symbol, 'added' AS change UNION ALL SELECT 'click', 'removed'")
+def _traded(s: SparkSession, d: str, when: str) -> DataFrame:
+    return tables.bars_wide(s, d).where(when).select("symbol")
+
+
+register("universe_changes", lambda s, d: joins.changes(_traded(s, d, "ts < timestamp_ntz'1995-01-05'"), _traded(s, d, "ts >= timestamp_ntz'2001-10-31'")), f"""WITH {WIDE}, a AS (SELECT DISTINCT symbol FROM bars WHERE ts < '1995-01-05'), b AS (SELECT DISTINCT symbol FROM bars WHERE ts >= '2001-10-31')
+SELECT symbol, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT symbol, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
 
 
 def _returns(s: SparkSession, d: str, source: Callable[[SparkSession, str], DataFrame] = tables.bars_daily) -> DataFrame:
@@ -276,7 +282,6 @@ def _find(s: SparkSession, d: str) -> DataFrame:
 
 register("instrument_lookup", _find, """WITH i AS (SELECT split_part(p_type, ' ', 1) AS segment, p_brand AS asset_symbol, p_size::BIGINT * 86400000 AS expiry, p_retailprice::DOUBLE AS strike, p_partkey AS position FROM part)
 SELECT a.position AS request_id, 'K' || first(b.position ORDER BY b.position) AS instrument_key FROM i a JOIN i b ON a.segment = b.segment AND a.asset_symbol = b.asset_symbol AND b.expiry >= a.expiry - 7200000 AND b.expiry <= a.expiry - 3600000 + 86400000 AND abs(a.strike - b.strike) <= 0.01 GROUP BY a.position""")
-_SEGMENTS = ", ".join(f"'{x}'" for x in pricing.RATES)
 
 
 def _orders(s: SparkSession, d: str) -> DataFrame:
@@ -285,7 +290,21 @@ def _orders(s: SparkSession, d: str) -> DataFrame:
     return pricing.with_charges(x.withColumn("segment", seg).withColumn("side", F.when(C("l_linenumber") % 2 == 0, "SELL").otherwise("BUY")))
 
 
-register("charges", lambda s, d: _orders(s, d).groupBy("segment", "side").agg(F.count("*").alias("orders"), F.round(F.sum("total"), 1).alias("total"), F.round(F.sum("brokerage"), 1).alias("brokerage")))
+def _cents(x: str) -> str:
+    """To two places, ties of the shortest decimal form to the even one."""
+    d = f"(({x})::VARCHAR::DECIMAL(30,18) * 100::DECIMAL(3,0))"
+    return f"(floor({d})::BIGINT + CASE WHEN {d} - floor({d}) > 0.5 OR ({d} - floor({d}) = 0.5 AND floor({d})::BIGINT % 2 = 1) THEN 1 ELSE 0 END) / 100.0::DOUBLE"
+
+
+_PARTS = {
+    "brokerage": "b", "stt": "v * CASE WHEN buy THEN r_buy ELSE r_sell END / 100", "exchange_charge": "x", "sebi_fee": f"v * {pricing.SEBI}::DOUBLE / 100", "gst": f"(b + x) * {pricing.GST}::DOUBLE / 100",
+    "stamp_duty": "CASE WHEN buy THEN v * r_stamp / 100 ELSE 0.0::DOUBLE END", "dp_charge": f"CASE WHEN NOT buy AND segment = 'EQUITY_DELIVERY' THEN {pricing.DP_CHARGE}::DOUBLE ELSE 0.0::DOUBLE END",
+}
+register("charges", lambda s, d: _orders(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "segment", "side", *pricing.PARTS, "total"), f"""WITH rates(n, segment, r_broker, r_buy, r_sell, r_exchange, r_stamp) AS (VALUES {", ".join(f"({n}, '{k}', " + ", ".join(f"{x!r}::DOUBLE" for x in v) + ")" for n, (k, v) in enumerate(pricing.RATES.items()))}),
+o AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber % 2 = 1 AS buy, l_quantity::DOUBLE * (l_extendedprice::DOUBLE / l_quantity::DOUBLE) AS v, rates.* FROM lineitem JOIN rates ON l_orderkey % 8 = rates.n),
+p AS (SELECT *, CASE WHEN r_broker > 0 THEN least({pricing.BROKERAGE_CAP}::DOUBLE, v * r_broker / 100) ELSE {pricing.BROKERAGE_CAP}::DOUBLE END AS b, v * r_exchange / 100 AS x FROM o),
+q AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, segment, CASE WHEN buy THEN 'BUY' ELSE 'SELL' END AS side, {", ".join(f"{x} AS {k}" for k, x in _PARTS.items())} FROM p)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, segment, side, {", ".join(f"{_cents(k)} AS {k}" for k in _PARTS)}, {_cents(" + ".join(_PARTS))} AS total FROM q""")
 register("position_size", lambda s, d: tables.bars_hourly(s, d).select("symbol", "ts", pricing.quantity_column(F.lit(100000.0), C("close"), C("low") - 1).alias("quantity")), f"""WITH {HOURLY} SELECT symbol, ts, greatest(least(floor(100000.0::DOUBLE * 0.01::DOUBLE / abs(close - (low - 1))), floor(100000.0::DOUBLE / close)), 0)::BIGINT AS quantity FROM bars""")
 
 # --- screens ---------------------------------------------------------------------------------------------------------------
@@ -391,6 +410,9 @@ g AS (SELECT *, CASE WHEN count_if(early) OVER {_WHOLEDAY} >= 3 THEN max(high) F
 e AS (SELECT *, coalesce(ts::TIME > '04:00:00' AND ts::TIME < '23:00:00' AND close > top AND close > v, false) AS up, coalesce(ts::TIME > '04:00:00' AND ts::TIME < '23:00:00' AND close < bot AND close < v, false) AS dn FROM g),
 f AS (SELECT *, CASE WHEN up AND coalesce(count_if(up) OVER {_EARLIER}, 0) = 0 THEN 1 WHEN dn AND coalesce(count_if(dn) OVER {_EARLIER}, 0) = 0 THEN -1 ELSE 0 END::INTEGER AS signal FROM e)
 SELECT symbol, ts, signal, CASE signal WHEN 1 THEN 'ORB_LONG' WHEN -1 THEN 'ORB_SHORT' ELSE '' END AS signal_tag, CASE WHEN signal <> 0 THEN {r6('open')} END AS stop_loss, NULL::DOUBLE AS take_profit, abs(signal)::DOUBLE AS confidence FROM f"""
+_live = lambda s, d, name: live.replayed(tables.bars_hourly(s, d).withColumn("ts", C("ts").cast("timestamp")), STRATEGIES[name]().fold()).withColumn("ts", C("ts").cast("timestamp_ntz"))
+for _n in ("ema_crossover", "supertrend"):
+    register(f"live_{_n}", lambda s, d, n=_n: rounded(_live(s, d, n).select("symbol", "ts", "signal", "signal_tag", "stop_loss", "take_profit", "confidence")), SQL[f"signals_{_n}"])
 register("signals_confluence", lambda s, d: confluence(tables.bars_hourly(s, d), [EmaCrossover(), BollingerSqueeze()], 1).select("symbol", "ts", "long_votes", "short_votes", "signal"), f"""SELECT symbol, ts, (a.signal = 1)::INT + (b.signal = 1)::INT AS long_votes, (a.signal = -1)::INT + (b.signal = -1)::INT AS short_votes,
 CASE WHEN a.signal = 1 OR b.signal = 1 THEN 1 WHEN a.signal = -1 OR b.signal = -1 THEN -1 ELSE 0 END AS signal FROM ({SQL["signals_ema_crossover"]}) a JOIN ({SQL["signals_bollinger_squeeze"]}) b USING (symbol, ts)""")
 
@@ -516,12 +538,14 @@ register("clean", lambda s, d: quality.clean(_dirty(s, d)), f"""WITH {HOURLY}, u
 k AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY volume DESC) AS back FROM u WHERE close IS NOT NULL) SELECT symbol, ts, open, high, low, close, volume, 0::BIGINT AS oi FROM k WHERE back = 1""")
 register("daily_benchmark", lambda s, d: rounded(joins.with_daily_benchmark(tables.bars_hourly(s, d), tables.bars_hourly(s, d).where("dayofmonth(ts) % 3 <> 0").groupBy(F.to_date("ts").alias("ts")).agg(F.avg("close").alias("benchmark_close")), True).select("symbol", "ts", "benchmark_close")), f"""WITH {HOURLY}, dd AS (SELECT ts::DATE AS day, avg(close) AS c FROM bars WHERE day(ts) % 3 <> 0 GROUP BY ALL), j AS (SELECT symbol, ts, c FROM bars LEFT JOIN dd ON ts::DATE = day)
 SELECT symbol, ts, {r6(f"coalesce(last_value(c IGNORE NULLS) OVER {W}, first_value(c IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))")} AS benchmark_close FROM j""")
-register("aligned_pairs", lambda s, d: pairs.align_pairs(tables.bars_hourly(s, d), _pairs(s)), f"WITH {HOURLY} SELECT a.symbol AS a, b.symbol AS b, a.ts, a.close AS xa, b.close AS xb FROM bars a JOIN bars b USING (ts) WHERE (a.symbol, b.symbol) IN (('click', 'view'), ('view', 'purchase'), ('signup', 'view'), ('click', 'signup'))")
-register("cointegration", lambda s, d: rounded(pairs.cointegration(pairs.align_pairs(tables.bars_hourly(s, d), _pairs(s)))))
+register("aligned_pairs", lambda s, d: pairs.align_pairs(tables.bars_hourly(s, d), _pairs(s, d)), f"WITH {HOURLY} SELECT a.symbol AS a, b.symbol AS b, a.ts, a.close AS xa, b.close AS xb FROM bars a JOIN bars b USING (ts) WHERE a.symbol < b.symbol")
+register("cointegration", lambda s, d: rounded(pairs.cointegration(pairs.align_pairs(tables.bars_hourly(s, d), _pairs(s, d)))))
 
 
-def _pairs(s: SparkSession) -> DataFrame:
-    return s.createDataFrame([("click", "view"), ("view", "purchase"), ("signup", "view"), ("click", "signup")], "a string, b string")
+def _pairs(s: SparkSession, d: str) -> DataFrame:
+    """All pairs of symbols that have a bar at the same time: the test of pairs is asked of each."""
+    b = tables.bars_hourly(s, d)
+    return b.select("ts", C("symbol").alias("a")).join(b.select("ts", C("symbol").alias("b")), "ts").where("a < b").select("a", "b").distinct()
 
 
 register("memberships", lambda s, d: joins.memberships(tables.bars_hourly(s, d).groupBy("symbol").agg(F.max("close").alias("h"), F.sum("volume").alias("v")).select("symbol", F.explode(F.array_compact(F.array(F.when(C("h") > 99.5, "tops"), F.when(C("v") > 1990, "busy"), F.lit("all")))).alias("name"))).select("symbol", F.array_join("universes", ",").alias("universes")), f"""WITH {HOURLY}, g AS (SELECT symbol, max(close) AS h, sum(volume) AS v FROM bars GROUP BY symbol)

@@ -7,15 +7,18 @@ the same code that replays bars of tables, so that streamed signals are those of
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.fold import Fold
+from ..operators.keep import shared_dir
 
 BAR = "ts timestamp, open double, high double, low double, close double, volume long"
 _FIELDS = ("ts", "open", "high", "low", "close", "volume")
@@ -116,6 +119,29 @@ def stream_signals(candles: DataFrame, program: Fold, *, history: DataFrame | No
     return candles.select("symbol", *_FIELDS).groupBy("symbol").transformWithStateInPandas(processor, schema, "Append", mode, seed)
 
 
+def replayed(bars: DataFrame, program: Fold, *, chunks: int = 3, keep: int = 0) -> DataFrame:
+    """stream_signals() over bars of a table, as a stream of `chunks` files in order of time: what it would have said live.
+
+    Files, state and results are below the shared folder. A symbol's candles of one file meet in one micro-batch, so that
+    long tables want many chunks.
+    """
+    spark, base = bars.sparkSession, f"{shared_dir(bars.sparkSession)}/live-{uuid.uuid4().hex}"
+    us = F.unix_micros("ts")
+    cuts = bars.select(F.percentile_approx(us, [k / chunks for k in range(1, chunks)], 10_000)).first()[0] if chunks > 1 else []
+    for low, high in zip([None, *(cuts or [])], [*(cuts or []), None], strict=True):
+        part = bars.where((us > low if low is not None else F.lit(True)) & (us <= high if high is not None else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")  # streams read files in the order in which they were made
+    session = spark.newSession()
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        session.conf.set(name, spark.conf.get(name))
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = session.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    out = stream_signals(stream, program, keep=keep)
+    query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
 class SilenceProcessor(StatefulProcessor):
     """A timer for each symbol, put off by each tick; what it tells when it expires, and the next tick after that."""
 
