@@ -135,7 +135,10 @@ def count_tokens_of(docs: DataFrame, path: str, *, limit: int = 1024, huge: int
     most = rest.agg(F.max(F.length("text"))).first()[0] or 0
     turn = 0
     while most:
-        spliced = scratch.write(_splice(_encode_chunks(rest, path, max(chunk, wide), wide)), f"spliced{turn}")
+        # Both sides of the splice read the chunks, which are encoded once.
+        encoded = scratch.write(_encode_chunks(rest, path, max(chunk, wide), wide), f"encoded{turn}")
+        spliced = scratch.write(_splice(encoded), f"spliced{turn}")
+        scratch.drop(f"encoded{turn}")
         good = spliced.filter("n_tokens is not null")
         results.append(rest.join(good, "row").select("doc_id", size, "n_tokens"))
         if wide >= most:
