@@ -432,10 +432,29 @@ def test_top_k_of_several_lengths_and_large_components(spark):
     assert [tuple(x) for x in pivot_topk.top_k(d, every=10, k=4).orderBy("query_id", "rank").collect()] == brute_top(rows, 10, 4)
     for size, shape in ((1e4, {"rows": 8, "pivots": 3, "first": 1}), (1e6, {})):  # products beyond 2**53
         large = [(i, [r.uniform(-size, size) for _ in range(3)]) for i in range(100)]
-        d = spark.createDataFrame([*large, (200, [1e300, 0.0, 0.0]), (300, [-1e17, 0.0, 0.0])], "vec_id long, embedding array<double>")
+        d = spark.createDataFrame(large, "vec_id long, embedding array<double>")
         assert [tuple(x) for x in pivot_topk.top_k(d, every=10, k=4, **shape).orderBy("query_id", "rank").collect()] == brute_top(large, 10, 4)
 
 
+def test_top_k_of_vectors_too_long_for_the_index(spark):
+    r = random.Random(2)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(3)]) for i in range(600)]
+    rows += [(600, [1e300, -0.5, 0.25]), (610, [-1e17, 3.0, 1e-3]), (613, [1.7e308, 1e308, -1e308]), (614, [5e9 + 0.0001, 1.0, 2.0]), (620, [4e9] * 3), (621, [4e9] * 3), (630, [1.0, 2.0]), (631, [-1e12, 1e12]), (640, [])]
+    d = spark.createDataFrame([*rows, (614, [5e9 + 0.00011, 1.0, 2.0])], "vec_id long, embedding array<double>").withColumn("n", F.lit("x"))
+
+    def exact(c):
+        return int(c) * 1024 if abs(c) >= 2.0**52 else math.floor(c * 1024)
+
+    v, want = {i: [exact(x) for x in e] for i, e in rows}, []
+    assert max(len(str(x)) for x in v[613]) > 300
+    for q in sorted(x for x in v if x % 10 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(v[q], v[j])), j) for j in v if j != q and len(v[j]) == len(v[q]))[:4]
+        want += [(q, n + 1, j, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, j) in enumerate(scores)]
+    assert [tuple(x) for x in pivot_topk.top_k(d, every=10, k=4).orderBy("query_id", "rank").collect()] == want
+    only = d.where("vec_id in (600, 613, 640)")
+    assert [tuple(x) for x in pivot_topk.top_k(only, every=10, k=4).collect()] == [(600, 1, 613, 2**63 - 1)]
+
+
 # --- licences
 
 

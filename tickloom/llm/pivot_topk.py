@@ -3,11 +3,13 @@
 Vectors get one more component that gives all the same length, so that the largest inner products are the smallest
 distances. Each is keyed by its nearest pivot and its distance from it; rows of a pivot in a range of distances are an
 annulus. The triangle inequality bounds the score that any row of an annulus can have with a query.
+
+Vectors too long for that arithmetic, if there are any, are compared beside the index as whole numbers of any size.
 """
 
 from __future__ import annotations
 
-from math import isqrt
+from math import floor, isqrt
 
 import numpy as np
 import pandas as pd
@@ -18,22 +20,29 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_texts, same
 
 NONE = -(1 << 63)  # no score yet
+SCALE = 1024
 
 
-#: Integer squared lengths up to this have scores that fit a long: |q . c| <= |q| |c|.
+#: Vectors of integer squared lengths up to this are indexed: their scores fit a long, as |q . c| <= |q| |c|.
 LONGEST = 1 << 62
+#: Scores are ordered as unsigned big-endian numbers of WIDTH bytes, of which this is the zero: products of doubles need less.
+WIDTH, ZERO = 272, 1 << 2170
 
 
-def whole_numbers(vectors: DataFrame, scale: int = 1024) -> DataFrame:
-    """(vec_id, v): components times scale, rounded down, of vectors without null or non-finite components.
+def whole_numbers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
+    """(vec_id, v, x): components times scale, a power of two, rounded down, of vectors without null or non-finite components.
 
-    Vectors whose squared length is more than LONGEST are left out, as a long can't hold their scores.
+    x is null, and v the whole numbers; but of vectors whose squared length is more than LONGEST v is null, and x the
+    components, rounded to what gives the same whole numbers.
     """
     x = F.transform("embedding", lambda c: c.cast("double"))
     good = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     v = vectors.select(vectors["vec_id"], vectors["embedding"]).where("vec_id is not null and embedding is not null").where(good)
     square = F.aggregate(x, F.lit(0.0), lambda a, c: a + F.floor(F.greatest(F.least(c, F.lit(1e9)), F.lit(-1e9)) * scale).cast("double") * F.floor(F.greatest(F.least(c, F.lit(1e9)), F.lit(-1e9)) * scale))
-    return v.where(square <= float(LONGEST)).select("vec_id", F.transform(x, lambda c: F.floor(c * scale)).alias("v")).dropDuplicates()
+    fits = square <= float(LONGEST)
+    # From 2**52 on all doubles are whole.
+    rounded = F.transform(x, lambda c: F.when(F.abs(c) < F.lit(2.0**52 / scale), F.floor(c * scale).cast("double") / scale).otherwise(c))
+    return v.select("vec_id", F.when(fits, F.transform(x, lambda c: F.floor(c * scale))).alias("v"), F.when(~fits, rounded).alias("x")).dropDuplicates()
 
 
 def _farthest(sample: np.ndarray, n: int) -> np.ndarray:
@@ -65,14 +74,16 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, pivots: int = 32
     three turns: one group of the nearest annulus gives a lowest score worth finding, then the `first` annuli with the best
     bounds, then all others whose bound is not below the k-th score found. Within a group, rows sorted by distance are
     looked at only as far as the bound allows. Products are exact: in double precision where squared lengths are below
-    2**52, else of 64-bit integers.
+    2**52, else of 64-bit integers. Vectors of integer squared lengths above 2**62 have scores that neither holds: as queries
+    they are compared with all rows, as candidates with all queries, in blocks, by integers of any size.
 
-    Defined results: vectors that are null, hold null or non-finite components, have a null vec_id or an integer squared
-    length above 2**62 take no part; equal rows are one row, and rows with the query's vec_id are not its candidates; empty
-    tables give no rows; other columns are ignored.
+    Defined results: vectors that are null, hold null or non-finite components or have a null vec_id take no part; equal rows
+    are one row, and rows with the query's vec_id are not its candidates; scores beyond a long's range are ranked as they
+    are and given as the end of that range; empty tables give no rows; other columns are ignored.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
-    whole = scratch.write(whole_numbers(vectors).withColumn("n", F.size("v")), "whole")
+    every_row = scratch.write(whole_numbers(vectors, SCALE).withColumn("n", F.size(F.coalesce("v", "x"))), "whole")
+    whole = every_row.where("v is not null").drop("x")
     whole = whole.withColumn("v", F.when(F.col("n") > 0, F.col("v")).otherwise(F.array(F.lit(0).cast("long"))))  # all scores of empty vectors are 0
     square = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     lengths = whole.groupBy("n").agg(F.count("*").alias("count"), F.max(square).alias("most"), F.count_if(F.col("vec_id") % every == 0).alias("asked")).where("asked > 0").collect()  # a row per length
@@ -80,7 +91,44 @@ def top_k(vectors: DataFrame, *, k: int = 10, every: int = 100, pivots: int = 32
     for x in lengths:
         made = _top_k_of(scratch, whole.where(F.col("n") == x["n"]).drop("n"), max(x["n"], 1), x["count"], x["most"], k=k, every=every, pivots=max(pivots, min(most_pivots, isqrt(x["count"] // rows))), sample=sample, rows=rows, bins=bins, first=first)
         out = made if out is None else out.unionByName(made)
-    return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if out is None else out
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if out is None else out
+    return _with_long(scratch, every_row, out, k, every) if every_row.where("v is null").take(1) else out
+
+
+def _with_long(scratch: Scratch, every_row: DataFrame, found: DataFrame, k: int, every: int, rows: int = 512) -> DataFrame:
+    """found, the best among rows that are indexed, put together with the scores that the others (v null) have or give."""
+
+    def whole(vs: pd.Series, xs: pd.Series) -> np.ndarray:
+        exact = lambda c: floor(c * SCALE) if abs(c) < 2.0**52 else int(c) * SCALE
+        return np.array([[int(c) for c in v] if v is not None else [exact(c) for c in x] for v, x in zip(vs, xs, strict=True)], dtype=object)
+
+    def score(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(own) and len(asked):
+            products, ids = whole(asked["v"], asked["x"]) @ whole(own["v"], own["x"]).T, own["vec_id"].tolist()
+            for q, line in zip(asked["vec_id"].tolist(), products.tolist(), strict=True):
+                best = sorted((-s, i) for s, i in zip(line, ids, strict=True) if i != q)[:k]
+                out += [(q, i, (ZERO - s).to_bytes(WIDTH, "big"), max(min(-s, (1 << 63) - 1), NONE)) for s, i in best]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "key", "score"])
+
+    def keyed(batch: pa.RecordBatch) -> dict:
+        return {"key": [(ZERO + s).to_bytes(WIDTH, "big") for s in batch.column("score").to_pylist()]}
+
+    is_long, asked = F.col("v").isNull(), F.col("vec_id") % every == 0
+    found = map_texts(found.drop("rank"), ["query_id", "vec_id", "score"], keyed, "key binary").select("query_id", "vec_id", "key", "score")
+    again = scratch.spark.read.schema(every_row.schema).parquet(scratch.path("whole"))  # with columns of its own
+    for own, queries in ((every_row.where(is_long), again.where(asked)), (every_row.where(~is_long), again.where(is_long & asked))):
+        parts, blocks = (max(1, -(-d.count() // rows)) for d in (own, queries))
+        dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        lengths = every_row.where(is_long).select("n").distinct()  # empty vectors are never long
+        a = own.join(lengths, "n", "left_semi").withColumn("part", dealt(parts)).withColumn("block", each(blocks))
+        q = queries.join(lengths, "n", "left_semi").withColumn("block", dealt(blocks)).withColumn("part", each(parts))
+        near = a.groupBy("n", "part", "block").cogroup(q.groupBy("n", "part", "block")).applyInPandas(score, "query_id long, vec_id long, key binary, score long")
+        found = found.unionByName(near)
+    # Where a vec_id has several vectors, a row may find it more than once, as in the index.
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")))
+    return scratch.write(ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "all")
 
 
 def _top_k_of(scratch: Scratch, v: DataFrame, n: int, count: int, most: int, *, k: int, every: int, pivots: int, sample: int, rows: int, bins: int, first: int) -> DataFrame:
@@ -184,9 +232,8 @@ def _top_k_of(scratch: Scratch, v: DataFrame, n: int, count: int, most: int, *,
 #: The same, for DuckDB.
 SQL = """
 WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-  AND coalesce(list_sum(list_transform(embedding, lambda x: floor(1024 * x::DOUBLE) ** 2)), 0) <= 4611686018427387904),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, greatest(least(list_dot_product(q.v, c.v), 9223372036854774784), -9223372036854775808)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
