@@ -49,6 +49,22 @@ def reject_look_ahead(df: DataFrame) -> None:
         raise ValueError(f"columns look ahead: {sorted(found)}")
 
 
+def frame_checks(bars: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(symbol, bars, is_valid, reason) for each of symbols (symbol): whether there are bars to work with.
+
+    reason is null, or the first that holds of: empty, no time (a bar without ts), blank bar (one without any price and volume;
+    NaN counts as null). A missing column is an error.
+    """
+    missing = {"symbol", "ts", *PRICES, "volume"} - set(bars.columns)
+    if missing:
+        raise ValueError(f"missing columns: {sorted(missing)}")
+    blank = F.coalesce(*(C(c).cast("double") for c in (*PRICES, "volume"))).isNull()
+    found = no_nan(bars).groupBy("symbol").agg(F.count("*").alias("_bars"), F.count_if(C("ts").isNull()).alias("_timeless"), F.count_if(blank).alias("_blank"))
+    d = symbols.select("symbol").distinct().join(found, "symbol", "left")
+    reason = F.when(C("_bars").isNull(), "empty").when(C("_timeless") > 0, "no time").when(C("_blank") > 0, "blank bar")
+    return d.select("symbol", F.coalesce("_bars", F.lit(0)).cast("bigint").alias("bars"), reason.isNull().alias("is_valid"), reason.alias("reason"))
+
+
 def quality_report(bars: DataFrame, spike: float = 10.0) -> DataFrame:
     """Per symbol: bars and how many break each rule. Gaps are counted within a day, over 2 minutes, and between days in weekdays."""
     o, h, lo, c = (C(x) for x in PRICES)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,12 +15,13 @@ from .functions import levels, pricing, swings
 from .operators import fold as folds
 from .operators import joins, pairs, quality, touch
 from .operators.calendar import with_trading_days
+from .operators.keep import shared_dir
 from .operators.resample import between_dates, opening_range, period_start, resample, within_hours
 from .operators.windows import W as ordered
 from .operators.windows import latest, with_run_length
 from .plans import backtest, performance, rules, search
 from .plans.strategies import STRATEGIES, BollingerSqueeze, EmaCrossover, confluence
-from .sources import store, tables
+from .sources import journal, store, tables
 from .sql import ewm
 from .streaming import live
 from .streaming import ticks as tk
@@ -604,3 +606,37 @@ register("rest_ticks", lambda s, d: tk.parse_rest(tables.ticks(s, d).select(F.to
 SELECT event_type AS instrument_key, value AS ltp, ts AS ltt, value - 2 AS close_price, count(*) OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id) AS volume FROM events WHERE value IS NOT NULL QUALIFY value > 0""")
 register("decoded_candles", lambda s, d: store.decode_candles(tables.bars_hourly(s, d).select("symbol", F.to_json(F.array(F.array(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")), *(C(c).cast("string") for c in ("open", "high", "low", "close", "volume"))))).alias("payload"))), f"WITH {HOURLY} SELECT symbol, ts + INTERVAL 330 MINUTE AS ts, open, high, low, close, volume, 0::BIGINT AS oi FROM bars")
 register("distinct_ticks", lambda s, d: tk.distinct_ticks(tables.ticks(s, d).select("symbol", F.date_trunc("minute", "ltt").alias("ltt"))), "SELECT DISTINCT event_type AS symbol, date_trunc('minute', ts) AS ltt FROM events WHERE value IS NOT NULL")
+register("depth_ticks", lambda s, d: rounded(tk.with_depth(tk.parse_feed(_messages(s, d))).select("instrument_key", C("ltt").cast("timestamp_ntz").alias("ltt"), "best_bid", "best_ask", "spread", "imbalance")), f"""
+SELECT event_type AS instrument_key, date_trunc('millisecond', ts) AS ltt, {r6('value - 0.5::DOUBLE')} AS best_bid, {r6('value + 0.5::DOUBLE')} AS best_ask, 1.0::DOUBLE AS spread, {r6('-5 / 55.0::DOUBLE')} AS imbalance FROM events WHERE value > 0 AND event_id % 3 = 0 AND event_id % 9 >= 5""")
+
+
+def _frames(s: SparkSession, d: str) -> DataFrame:
+    """Bars of one event each, by user; some without a time, some blank."""
+    e, blank = tables.table(s, d, "events"), C("event_id") % 50 == 7
+    return e.select(F.concat(F.lit("u"), "user_id").alias("symbol"), F.when(C("event_id") % 500 != 0, C("ts")).alias("ts"), *(F.when(~blank, C("value")).alias(c) for c in ("open", "high", "low", "close")), F.when(~blank, 1).alias("volume"))
+
+
+register("frame_checks", lambda s, d: quality.frame_checks(_frames(s, d), _frames(s, d).select("symbol").unionByName(_universe(s, "none"))), """
+WITH f AS (SELECT 'u' || user_id AS symbol, event_id, event_id % 50 = 7 AS blank FROM events), g AS (SELECT symbol, count(*) AS bars, bool_or(event_id % 500 = 0) AS timeless, bool_or(blank) AS blank FROM f GROUP BY symbol UNION ALL SELECT 'none', 0, false, false),
+r AS (SELECT symbol, bars, CASE WHEN bars = 0 THEN 'empty' WHEN timeless THEN 'no time' WHEN blank THEN 'blank bar' END AS reason FROM g) SELECT symbol, bars, reason IS NULL AS is_valid, reason FROM r""")
+_WEIGHTED = {"type": "or", "rules": [{"type": "rsi", "period": 14, "threshold": 45, "direction": "below", "weight": 3.0}, {"type": "volume_breakout", "weight": 0.5}, {"type": "price_range", "min_price": 90, "weight": 1.5}]}
+register("scan_weighted", lambda s, d: rules.evaluate(tables.bars_hourly(s, d), _WEIGHTED, weighted=True).where("passed").select("symbol", "ts", F.round("score", 6).alias("score")), f"""WITH RECURSIVE {HOURLY}, {NUMBERED}, {q.RSI},
+a AS (SELECT *, coalesce(rn >= 15 AND r < 45, false) AS p1, coalesce(rn >= 21 AND volume >= 2 * avg(volume) OVER {_BEFORE20}, false) AS p2, close >= 90 AS p3 FROM rs)
+SELECT symbol, ts, round((3.0::DOUBLE * p1::INT + 0.5::DOUBLE * p2::INT + 1.5::DOUBLE * p3::INT) / 5.0::DOUBLE, 6) AS score FROM a WHERE p1 OR p2 OR p3""")
+
+
+def _audited(s: SparkSession, d: str) -> DataFrame:
+    """Signals and closed trades as two batches of an audit trail, one of which comes twice, and its entries of two weeks."""
+    path = f"{shared_dir(s)}/{uuid.uuid4().hex}"
+    closed = journal.closing_entries(_day_trades(s, d))
+    journal.append(journal.signal_entries(_signals("ema_crossover")(s, d), "ema_crossover"), path, "signals")
+    for _ in range(2):
+        journal.append(closed, path, "closed")
+    return rounded(journal.between(s, path, "2024-01-08 00:00:00", "2024-01-22 12:00:00"), 4)
+
+
+register("audit_trail", _audited, f"""WITH e AS (SELECT ts AS at, 'SIGNAL' AS event_type, symbol, CASE WHEN signal > 0 THEN 'LONG' ELSE 'SHORT' END AS action, 0.0::DOUBLE AS price, 'Strategy: ema_crossover, Reason: ' || signal_tag AS reason, 'GENERATED' AS result FROM ({SQL["signals_ema_crossover"]}) WHERE signal <> 0
+UNION ALL SELECT exit_time, 'POSITION_CLOSED', symbol, 'LONG', {r6('exit_price', 4)}, 'PnL: ' || round(net_pnl, 4)::DECIMAL(18,4)::VARCHAR, 'CLOSED' FROM (WITH {_TRADES} SELECT * FROM trades)) SELECT * FROM e WHERE e.at BETWEEN '2024-01-08' AND '2024-01-22 12:00:00'""")
+register("session_stats", lambda s, d: journal.session_stats(tables.ticks(s, d).select("symbol", C("ltt").cast("timestamp_ntz").alias("ltt")), tables.bars_minutely(s, d), _day_trades(s, d).withColumnRenamed("entry_time", "created_at")), f"""WITH {_TRADES},
+t AS (SELECT ts::DATE AS day, count(DISTINCT event_type) AS symbols, count(*) AS ticks_received, count(DISTINCT (event_type, date_trunc('minute', ts))) AS candles_completed, min(ts) AS started_at, max(ts) AS ended_at FROM events WHERE value IS NOT NULL GROUP BY ts::DATE),
+o AS (SELECT day, count(*) AS n FROM trades GROUP BY day) SELECT t.*, coalesce(n, 0)::BIGINT AS orders_placed FROM t LEFT JOIN o USING (day)""")

@@ -42,6 +42,19 @@ def parse_rest(payloads: DataFrame) -> DataFrame:
     return d.select("instrument_key", C("q.last_price").alias("ltp"), C("received_at").alias("ltt"), C("q.close_price").alias("close_price"), "q.volume").where("ltp > 0")
 
 
+def with_depth(ticks: DataFrame, levels: int = 5) -> DataFrame:
+    """The ticks of parse_feed() that have a positive price and at least `levels` levels with a bid, with the best bid and ask.
+
+    Adds best_bid, best_ask, spread and imbalance: of the first `levels` levels' quantities the bids' share less the asks'.
+    Also for streams, as it looks at one tick at a time.
+    """
+    top = F.slice(F.filter("depth", lambda x: x["bid_price"].isNotNull()), 1, levels)
+    total = lambda c: F.aggregate(C("_top"), F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x[c], F.lit(0)))
+    d = ticks.withColumn("_top", top).where((C("ltp") > 0) & (F.size("_top") >= levels))
+    d = d.withColumns({"best_bid": F.array_max(F.transform("_top", lambda x: x["bid_price"])), "best_ask": F.array_min(F.transform("_top", lambda x: x["ask_price"])), "_bids": total("bid_qty"), "_asks": total("ask_qty")})
+    return d.withColumns({"spread": C("best_ask") - C("best_bid"), "imbalance": F.try_divide(C("_bids") - C("_asks"), C("_bids") + C("_asks"))}).drop("_top", "_bids", "_asks")
+
+
 def is_stale(received_at: Column, seconds: int = 5) -> Column:
     return F.unix_micros(F.current_timestamp()) - F.unix_micros(received_at) > seconds * 1_000_000
 
