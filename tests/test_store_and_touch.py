@@ -63,6 +63,27 @@ def test_lookup_of_one_key_makes_few_pairs(spark):
     assert got == want and len(got) > 100
 
 
+def test_lookup_sends_nothing_through_the_driver(spark, sf):
+    from tickloom.queries import QUERIES
+
+    assert "Broadcast" not in QUERIES["instrument_lookup"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookup_of_copies_takes_the_first(spark):
+    day = 86_400_000
+    rows = [("S", "A", "OPT", k % 2 * day, 1.0 + k % 3 * 0.01, 900 - k, f"k{k}") for k in range(900)] + [(None, "A", "OPT", 0, 1.0, 0, "x"), ("S", "A", "OPT", None, 1.0, 0, "y"), ("S", "A", "OPT", 0, None, 0, "z")]
+    i = spark.createDataFrame(rows, "segment string, asset_symbol string, instrument_type string, expiry long, strike_price double, position long, instrument_key string")
+    asked = [(n, "S", "A", "OPT", at, 1.0) for n, at in enumerate([0, day, 5 * day] * 300)] + [(0, "S", "A", "OPT", day, 1.02), (5000, "S", None, "OPT", 0, 1.0), (5001, "S", "A", "OPT", 0, float("nan"))]
+    w = spark.createDataFrame(asked, "request_id long, segment string, asset_symbol string, instrument_type string, expiry_from long, strike double")
+    want = {}
+    for n, s, a, _, at, strike in asked:
+        fit = [(x[5], x[6]) for x in rows if s == x[0] and a == x[1] and x[3] is not None and x[4] is not None and at - 3_600_000 <= x[3] <= at + day and abs(x[4] - strike) <= 0.01]
+        if fit:
+            want[n] = min([want[n], *fit] if n in want else fit)
+    got = {x.request_id: x.instrument_key for x in joins.find_instruments(w, i).collect()}
+    assert got == {n: k for n, (_, k) in want.items()} and len(got) == 600
+
+
 def test_correlations_by_tiles(spark):
     r = np.random.default_rng(3)
     rows = [(f"s{k:02}", AT + dt.timedelta(days=i), float(r.normal() + 1000 * (k == 3)) if k != 5 else 2.0) for k in range(13) for i in range(60) if r.random() > 0.3 or k < 2]
