@@ -101,6 +101,38 @@ def test_correlations_by_tiles(spark):
         assert abs(c - want) < 1e-9 and abs(tiled[a, b] - want) < 1e-9
 
 
+@pytest.mark.parametrize("tile, times", [(256, 1024), (2, 3)])
+def test_correlations_keep_returns_once_and_shuffle_no_pairs(spark, tile, times):
+    r = np.random.default_rng(5)
+    rows = [(f"s{k:02}", AT + dt.timedelta(days=i), float(r.normal())) for k in range(9) for i in range(5 * k, 40) if r.random() > 0.2]
+    rows += [("odd", AT + dt.timedelta(days=39), float("inf")), *(("odd", AT + dt.timedelta(days=i), float(i % 7)) for i in range(30)), ("nan", AT, float("nan")), ("none", AT, None), ("far", dt.datetime(1999, 1, 1), 1.0)]
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for x in batches:
+            made.add(x.num_rows)
+            yield x
+
+    d = spark.createDataFrame(rows, "symbol string, ts timestamp_ntz, r double").mapInArrow(seen, "symbol string, ts timestamp_ntz, r double")
+    got = joins.correlation_matrix(d, tile=tile, times=times)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    corr = {(x.a, x.b): x["corr"] for x in got.collect()}
+    assert made.value == len(rows) and got.count() == len(corr)
+    of = {}
+    for s, t, x in rows:
+        of.setdefault(s, {}).update({t: x} if x is not None else {})
+    want = {}
+    for a in of:
+        for b in of:
+            x, y = (np.array([of[s][t] for t in sorted(set(of[a]) & set(of[b]))]) for s in (a, b))
+            if len(x) or a == b:
+                flat = len(x) < 2 or not np.isfinite([*x, *y]).all() or np.ptp(x) == 0 or np.ptp(y) == 0
+                want[a, b] = 1.0 if a == b else 0.0 if flat else float(np.corrcoef(x, y)[0, 1])
+    assert set(corr) == set(want) and all(abs(corr[k] - want[k]) < 1e-9 for k in want)
+    assert {(x.a, x.b): x["corr"] for x in joins.correlation_matrix(d, tile=tile, times=times, places=4).collect()} == {k: round(x, 4) for k, x in corr.items()}
+    assert joins.correlation_matrix(d.where("false")).collect() == []
+
+
 def test_level_clusters_are_those_of_a_loop(spark):
     r = random.Random(6)
     prices = {"a": [round(10 * 1.001**k, 6) for k in range(120)], "b": [5.0], "c": [round(r.uniform(10, 12), 3) for _ in range(60)] + [10.0, 10.0, 10.05], "d": [1.0, 1.005, 1.0050001, None]}
