@@ -7,6 +7,7 @@ import random
 import textwrap
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -647,6 +648,46 @@ def test_groups_are_exact(spark, size, percent):
     assert got == brute_groups(rows, size, percent)
 
 
+def test_words_are_hashed_in_bulk(monkeypatch):
+    digested = []
+    monkeypatch.setattr(ngram_join, "blake2b", lambda word, digest_size: digested.append(len(word)) or hashlib.blake2b(word, digest_size=digest_size))
+    assert len(ngram_join.shingles(" ".join(f"word{i}" for i in range(70_000)) + " " + "x" * 65, 4)) == 69_998
+    assert digested == [65]
+
+
+def test_sets_of_shingles_are_those_of_plain_words():
+    r = random.Random(5)
+    texts = [None, "", " \n", "a", "A b", "a b c d", "\x00 \x00\x00 a b c", "é\u00a0ü q", "x" * 64, "X" * 65, "lead " * 300_000]
+    texts += ["".join(r.choice("aAb \n\x0b\x1c") for _ in range(r.randint(0, 40))) for _ in range(500)] + [" ".join("w" * r.randint(1, 90) for _ in range(6)) for _ in range(100)]
+    for size in (1, 4, 5):
+        named = {}
+        got = ngram_join.shingle_sets(pa.array(texts), size)
+        for text, x in zip(texts, got, strict=True):
+            w = (text or "").encode().lower().split()
+            plain = frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
+            assert len(x) == len(plain) and (x[1:] > x[:-1]).all() and named.setdefault(plain, x.tobytes()) == x.tobytes()
+        assert len(set(named.values())) == len(named)
+        assert [x.tobytes() for x in ngram_join.shingle_sets(pa.array(texts).slice(3, 40), size)] == [x.tobytes() for x in got[3:43]]
+
+
+def test_bounded_pairs_are_those_of_two_loops():
+    r = np.random.default_rng(3)
+    sizes = [1, 2, 2, 3, 40, 130]  # the last is compared row by row
+    cut, rows = np.cumsum([0, *sizes]), sum(sizes)
+    n, bits = r.integers(600, 900, rows), r.integers(0, 2**63, (rows, 16)).astype("uint64") | r.integers(0, 2**63, (rows, 16)).astype("uint64")
+    labels, own, bands = r.integers(0, 5, rows), r.integers(0, 2, rows), r.integers(7, 9, rows)
+    crossing, tile = np.repeat([False, True, False, True, False, True], sizes), np.full(rows, 8)
+    got = [(int(a), int(b)) for i, j in ngram_join.bound_pairs(cut, n, bits, labels, own, crossing, bands, tile, 60) for a, b in zip(i, j, strict=True)]
+    want = []
+    for x, y in zip(cut, cut[1:], strict=False):
+        for a in range(x, y):
+            for b in range(a + 1, y):
+                most = min(n[a] - np.bitwise_count(bits[a] & ~bits[b]).sum(dtype="int64"), n[b] - np.bitwise_count(bits[b] & ~bits[a]).sum(dtype="int64"))
+                if labels[a] != labels[b] and max(bands[a], bands[b]) == 8 and (own[a] != own[b] or not crossing[x]) and most * 100 >= (n[a] + n[b] - most) * 60:
+                    want.append((a, b))
+    assert sorted(got) == want and 0 < len(want) < 4000
+
+
 def test_groups_odd_rows(spark, odd, nothing):
     got = [tuple(x) for x in ngram_join.similar_groups(odd).collect()]
     assert len(got) == odd.count() and (None, 2, None) in got and sorted(x for x in got if x[0] in (5, 6)) == [(5, 2, 5), (5, 2, 5), (6, 2, 5)]

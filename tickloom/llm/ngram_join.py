@@ -7,36 +7,19 @@ shingles bound their overlap from above by bit counts; what is left is checked b
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 from hashlib import blake2b
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, likely_in, map_texts, salts_of, same, with_salt
 
 EXTRA = 32
 _WORDS = 16  # of 64 bits in a bitmap
-
-
-class _Ids(dict):
-    """64-bit ids of the words met last, at most 65,536 of 64 characters, as Python workers live on and keep them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 16:
-            self.clear()
-        got = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(word) <= 64:
-            self[word] = got
-        return got
-
-
-@cache
-def _ids() -> _Ids:
-    return _Ids()
+_PAIRS = 1 << 14
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -46,20 +29,85 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted 64-bit hashes of a text's distinct runs of `size` words; of the whole, where it has fewer.
+_LOWER = np.arange(256, dtype="uint8")
+_LOWER[65:91] += 32
+_INSIDE = np.ones(256, bool)
+_INSIDE[[9, 10, 11, 12, 13, 32]] = False
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], "uint64")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_LONG, _AT_ONCE = 64, 1 << 20  # bytes
+
 
-    Words are runs of other than ASCII white space, with A-Z in lower case.
+def word_ids(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit ids of the words of texts that stand one after the other in `data`, cut at `cuts`, and where each text's words begin.
+
+    Eight bytes of all words are mixed in at a time; words over 64 bytes are digested one by one. No table of words is kept,
+    as large corpora have more words than caches hold.
+    """
+    inside = _INSIDE[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    inner = cuts[(cuts > 0) & (cuts < len(data))]
+    begins[inner], ends[inner - 1] = inside[inner], inside[inner - 1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    low = np.zeros(len(data) + 8, "uint8")
+    low[: len(data)] = _LOWER[data]
+    eight = np.ndarray(len(data) + 1, "<u8", low, strides=(1,))
+    left = last - first
+    ids = left.astype("uint64")
+    long = np.flatnonzero(left > _LONG)
+    rows, at = np.arange(len(ids)), first
+    while len(rows):
+        ids[rows] = _mixed(ids[rows] * _STEP + (eight[at] & _FIRST_BYTES[np.minimum(left, 8)]))
+        more = (left > 8) & (at - first[rows] < _LONG)
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for k in long:
+        ids[k] = int.from_bytes(blake2b(low[first[k] : last[k]], digest_size=8).digest(), "little")
+    return ids, np.searchsorted(first, cuts)
+
+
+def _runs(ids: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` words."""
+    n = max(0, len(ids) - size + 1)
+    out = np.full(n, size, "uint64")
+    for k in range(size):
+        out = out * _STEP + ids[k : k + n]
+    return _mixed(out)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
+    """Sorted 64-bit hashes of each text's distinct runs of `size` words; of the whole, where it has fewer.
+
+    Words are runs of other than ASCII white space, with A-Z in lower case; null texts have none.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, "uint64")
-    ids = np.fromiter(map(_ids().__getitem__, words), "uint64", len(words))
-    n = max(1, len(ids) - size + 1)
-    out = np.full(n, min(size, len(ids)), "uint64")
-    for k in range(min(size, len(ids))):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n])
-    return np.unique(out)
+    texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, "int64", len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, "int64")
+    data = np.frombuffer(data, "uint8") if data else np.zeros(0, "uint8")
+    out, at = [], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + _AT_ONCE, "right")) - 1)  # texts of about a megabyte at once
+        ids, words = word_ids(data[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
+        runs = _runs(ids, size)
+        for x, y in zip(words.tolist(), words[1:].tolist(), strict=False):
+            out.append(_distinct(runs[x : y - size + 1]) if y - x >= size else _runs(ids[x:y], y - x) if y > x else runs[:0])
+        at = to
+    return out
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """shingle_sets of one text."""
+    return shingle_sets(pa.array([(text or "").encode("utf-8", "surrogatepass")], pa.large_binary()), size)[0]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), "int32"), np.concatenate(arrays).view("int64"))
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -78,36 +126,51 @@ def shared_in_prefix(n: int, percent: int) -> int:
     return min(1 + EXTRA, least_overlap(least_overlap(n, percent), percent))
 
 
-def _bitmap(hashes: np.ndarray) -> list[int]:
-    bits = np.zeros(64 * _WORDS, "uint8")
-    bits[(hashes >> np.uint64(20)) % np.uint64(64 * _WORDS)] = 1
-    return np.packbits(bits).view("int64").tolist()
+def _bitmaps(sets: list[np.ndarray]) -> pa.ListArray:
+    bits = np.zeros((len(sets), 64 * _WORDS), "uint8")
+    bits[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), (np.concatenate(sets) >> np.uint64(20)) % np.uint64(64 * _WORDS)] = 1
+    return _lists(list(np.packbits(bits, axis=1).view("uint64")))
 
 
 class _Before(dict):
     """Sets of a list column's values by row."""
 
     def __init__(self, lists: pa.ListArray):
-        self.lists = lists
+        self.ends, self.values = lists.offsets.to_numpy(), lists.values.to_numpy()
 
     def __missing__(self, at: int) -> frozenset[int]:
-        got = self[at] = frozenset(self.lists[at].as_py())
+        got = self[at] = frozenset(self.values[self.ends[at] : self.ends[at + 1]].tolist())
         return got
 
 
-def bound_pairs(n: np.ndarray, bits: np.ndarray, labels: np.ndarray, own: np.ndarray, crossing: bool, bands: np.ndarray, tile: int, percent: int) -> list[tuple[int, int]]:
-    """Pairs of positions of different labels that bit counts don't rule out. crossing: of different blocks only, else of one.
+def bound_pairs(cut: np.ndarray, n: np.ndarray, bits: np.ndarray, labels: np.ndarray, own: np.ndarray, crossing: np.ndarray, bands: np.ndarray, tile: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions within groups (from each cut to the next) of different labels that bit counts don't rule out. crossing: of different blocks only.
 
     Each bit that only one of two sets has is an element that the other lacks. A pair is looked at in the tile of its larger
-    band only.
+    band only. Pairs of all groups of one size are looked at together, at most about _PAIRS at once; a larger group's row by row.
     """
-    out = []
-    for i in range(len(n)):
-        j = np.flatnonzero((labels != labels[i]) & (np.maximum(bands, bands[i]) == tile) & (own > own[i] if crossing else np.arange(len(n)) > i))
-        if len(j):
-            most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[j]).sum(1, dtype=np.int64), n[j] - np.bitwise_count(bits[j] & ~bits[i]).sum(1, dtype=np.int64))
-            out += [(i, int(x)) for x in j[most * 100 >= (n[i] + n[j] - most) * percent]]
-    return out
+    spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
+
+    def bounded(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = (labels[i] != labels[j]) & (np.maximum(bands[i], bands[j]) == tile[i]) & ((own[i] != own[j]) | ~crossing[i])
+        i, j = i[some], j[some]
+        most = np.bitwise_count(bits[i] & bits[j]).sum(1, dtype=np.int64) + np.minimum(spare[i], spare[j])
+        some = most * 100 >= (n[i] + n[j] - most) * percent
+        return i[some], j[some]
+
+    starts, sizes = cut[:-1], np.diff(cut)
+    for m in np.unique(sizes[sizes > 1]).tolist():
+        begin = starts[sizes == m]
+        p, q = np.triu_indices(m, 1) if m * m <= _PAIRS else (None, None)
+        if p is None:
+            for x in begin.tolist():
+                for k in range(x, x + m - 1):
+                    yield bounded(np.full(x + m - k - 1, k), np.arange(k + 1, x + m))
+        else:
+            few = max(1, _PAIRS // len(p))
+            for k in range(0, len(begin), few):
+                x = begin[k : k + few, None]
+                yield bounded((x + p).ravel(), (x + q).ravel())
 
 
 def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, block: int = 512) -> DataFrame:
@@ -135,13 +198,9 @@ def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, block:
     d = docs.select(docs["doc_id"], docs["text"])
 
     def sketch(batch: pa.RecordBatch) -> dict:
-        sets = [shingles(x, size) for x in batch.column("text").to_pylist()]
-        view = lambda x: x.view("int64")
-        digests = [blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-        return {
-            "n": [len(x) for x in sets], "digest": digests,
-            "candidates": [view(x[: prefix_length(len(x), percent)]).tolist() for x in sets], "bits": [_bitmap(x) for x in sets],
-        }
+        sets = shingle_sets(batch.column("text"), size)
+        digests = [blake2b(x, digest_size=16).digest() for x in sets]
+        return {"n": [len(x) for x in sets], "digest": digests, "candidates": _lists([x[: prefix_length(len(x), percent)] for x in sets]), "bits": _bitmaps(sets)}
 
     all_sets = scratch.write(map_texts(d, ["doc_id"], sketch, "n long, digest binary, candidates array<long>, bits array<long>", 512), "sets")
     member = scratch.write(all_sets.select("doc_id", "n", "digest"), "members")
@@ -170,16 +229,15 @@ def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, block:
 
 
 def _needed(reps: DataFrame, percent: int) -> DataFrame:
-    """(node, n, few): the candidates that are needed of each node that has any."""
+    """(node, n, hash): the candidates that are needed of each node that has any."""
     each = reps.select("node", "n", F.explode("candidates").alias("hash"))
-    counts = each.groupBy("hash").agg(F.count("*").alias("count")).where("count > 1")
-    several = each.join(counts, "hash").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("count", "hash"))).alias("several"))  # at most a set's own candidates
-    n = F.col("n")
-    least = lambda x: F.ceil(x * percent / 100)
-    spare = F.least(F.lit(1 + EXTRA), least(least(n))) - 1
     # Candidates that no other set has come first in the order, and are left out here.
-    needed = several.withColumn("few", F.expr("greatest(size(several), 0)") - spare).where("few > 0").select("node", "n", F.slice("several", 1, F.col("few").cast("int")).alias("few"))
-    return needed.select("node", "n", F.col("few.hash").alias("few"))
+    several = each.withColumn("count", F.count("*").over(Window.partitionBy("hash"))).where("count > 1")
+    least = lambda x: F.ceil(x * percent / 100)
+    spare = F.least(F.lit(1 + EXTRA), least(least(F.col("n")))) - 1
+    of_set = Window.partitionBy("node", "n")
+    ranked = several.withColumn("rank", F.row_number().over(of_set.orderBy("count", "hash"))).withColumn("all", F.count("*").over(of_set))
+    return ranked.where(F.col("rank") <= F.col("all") - spare).select("node", "n", "hash")
 
 
 def _tiles(needed: DataFrame, percent: int) -> DataFrame:
@@ -189,13 +247,14 @@ def _tiles(needed: DataFrame, percent: int) -> DataFrame:
     with sets of the next band count: a tile without any set of its own band (larger) has nothing to compare.
     """
     band = _band(F.col("n"), percent)
-    return needed.select("node", "n", "few", F.posexplode(F.array(band, band + 1)).alias("up", "tile")).select("node", "n", "tile", (F.col("up") == 0).alias("larger"), F.explode("few").alias("hash"))
+    return needed.select("node", "n", "hash", F.posexplode(F.array(band, band + 1)).alias("up", "tile")).select("node", "n", "tile", (F.col("up") == 0).alias("larger"), "hash")
 
 
 def _stars(tiles: DataFrame) -> DataFrame:
     """(a, b): for each node the centre that it shares most tiles with. A tile's centre is its smallest node."""
-    centres = tiles.groupBy("hash", "tile").agg(F.min("node").alias("b"), F.max("node").alias("_last"), F.max("larger").alias("_some")).where("b < _last and _some").drop("_last", "_some")
-    near = tiles.join(centres, ["hash", "tile"]).where("node <> b").groupBy("node", "b").count()
+    members = Window.partitionBy("hash", "tile")
+    centred = tiles.withColumn("b", F.min("node").over(members)).withColumn("_last", F.max("node").over(members)).withColumn("_some", F.max("larger").over(members))
+    near = centred.where("b < _last and _some and node <> b").groupBy("node", "b").count()
     return near.groupBy(F.col("node").alias("a")).agg(F.max_by("b", F.struct(F.col("count"), -F.col("b"))).alias("b"))
 
 
@@ -231,13 +290,12 @@ def _rest(scratch: Scratch, tiles: DataFrame, labels: DataFrame, reps: DataFrame
 
         def compared(t: pa.Table) -> pa.RecordBatch:
             key = np.stack([t.column(c).to_numpy() for c in keys], 1)
-            cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
+            cut = np.array([0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)])
             own, node, label, n, band = (t.column(c).to_numpy() for c in ("own", "node", "label", "n", "band"))
             bits = t.column("bits").combine_chunks().flatten().to_numpy().view("uint64").reshape(-1, _WORDS)
             found, before = [], _Before(t.column("before").combine_chunks())
-            for x, y in zip(cut, cut[1:], strict=False):
-                pairs = bound_pairs(n[x:y], bits[x:y], label[x:y], own[x:y], key[x, 2] != key[x, 3], band[x:y], key[x, 1], percent)
-                found += [(min(node[x + p], node[x + q]), max(node[x + p], node[x + q])) for p, q in pairs if before[x + p].isdisjoint(before[x + q])]
+            for i, j in bound_pairs(cut, n, bits, label, own, key[:, 2] != key[:, 3], band, key[:, 1], percent):
+                found += [(min(node[x], node[y]), max(node[x], node[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if before[x].isdisjoint(before[y])]
             found = sorted(set(found))
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], "int64"), pa.array([q for _, q in found], "int64")], names=["a", "b"])
 
@@ -269,7 +327,7 @@ def verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, perce
     # Few documents stand in pairs: the others' texts are not shuffled.
     some = likely_in(docs, "doc_id", ids.select("_id"))
     texts = some.join(ids, some["doc_id"] == ids["_id"]).select("doc_id", "is_a", "is_b", "text")
-    sets = map_texts(texts, ["doc_id", "is_a", "is_b"], lambda b: {"set": [shingles(x, size).tobytes() for x in b.column("text").to_pylist()]}, "set binary", 512)
+    sets = map_texts(texts, ["doc_id", "is_a", "is_b"], lambda b: {"set": [x.tobytes() for x in shingle_sets(b.column("text"), size)]}, "set binary", 512)
     sets = scratch.write(sets, f"{name}_sets")
     a, b = (sets.where(f"is_{x}").select(F.col("doc_id").alias(f"_{x}"), F.col("set").alias(f"set_{x}")) for x in "ab")
     both = pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select("a", "b", "set_a", "set_b")
