@@ -226,6 +226,27 @@ def test_manifest_is_that_of_a_loop(spark, sizes):
     assert {x[0] for x in got if not x[6]} == changed
 
 
+def test_manifest_of_several_supersteps(spark):
+    rows = [(i, f"{i}\n", "en", "a" if i < 2 * 3**merkle.LEVELS + 5 else "b", i) for i in range(2 * 3**merkle.LEVELS + 3000)]
+    assert merkle.height(2 * 3**merkle.LEVELS + 5) > merkle.LEVELS
+    assert sorted((tuple(x) for x in merkle.manifest(docs(spark, rows), parts=3).collect()), key=str) == _plain_manifest(rows)
+
+
+def test_supersteps_have_few_tasks(spark):
+    """As many as their vertices need, also where a session has many shuffle partitions."""
+    leaves = spark.sparkContext.parallelize([((0, i), (7, bytes([i]) * 32)) for i in range(7)], 2)
+    ran = []
+
+    def store(rdd, name):
+        ran.append(rdd.getNumPartitions())
+        return rdd
+
+    vertices = merkle.climb(leaves, merkle.LEVELS + 1, 211, store)
+    assert len(vertices) == 2 and ran == [211, 1]
+    made = merkle.manifest(docs(spark, [(i, f"{i}\n", "en", "a", i) for i in range(300)]), parts=211)
+    assert made.rdd.getNumPartitions() == 1 and made.count() == 300
+
+
 def test_manifest_of_odd_rows(spark):
     rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "no id\n", "en", "a", 3), (2, "", "en", "a", 0), (3, "x\n" * 100_000, "fr", "a", 5), (4, "-", "-", "-", 1), (5, "a\nb", "en", "", 3)]
     got = sorted((tuple(x) for x in merkle.manifest(docs(spark, rows)).collect()), key=str)

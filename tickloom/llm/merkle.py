@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from .common import Scratch
 
 #: Children of a node, and levels that a superstep climbs: a vertex is a subtree of RUN ** LEVELS nodes at most.
-RUN, LEVELS = 3, 5
+RUN, LEVELS = 3, 7
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _DIGEST = 32
 
@@ -54,6 +54,28 @@ def width(size: int, level: int) -> int:
 Store = Callable[[RDD, str], RDD]
 
 
+def tasks(nodes: int, parts: int) -> int:
+    """Tasks for so many nodes: of 8,192 nodes or more, at most `parts`, but none of more than 131,072."""
+    return max(1, min(parts, -(-nodes // 8192)), -(-nodes // 131_072))
+
+
+def gathered(pairs: RDD, parts: int) -> RDD:
+    """(key, values), grouped by `parts` tasks, however many partitions the shuffle has: most vertices are in few of them."""
+
+    def grouped(items: Iterator[tuple]) -> Iterator[tuple]:
+        found: dict = {}
+        for key, value in items:
+            found.setdefault(key, []).append(value)
+        return iter(found.items())
+
+    return pairs.partitionBy(parts).coalesce(parts).mapPartitions(grouped)
+
+
+def parts_of(step: int, parts: int) -> int:
+    """Tasks of a superstep: each has a message for a vertex of the one before at most."""
+    return -(-parts // RUN ** (LEVELS * step))
+
+
 def subtree(digests: list[bytes], size: int, step: int) -> list[list[bytes]]:
     """The levels of a vertex, from its children up to the node that stands for it; the tree's root may come before LEVELS are climbed."""
     levels = [digests]
@@ -93,7 +115,7 @@ def climb(leaves: RDD, top: int, parts: int, store: Store) -> list[RDD]:
     vertices, nodes = [], leaves
     for step in range(max(1, -(-top // LEVELS))):
         sent = nodes.map(lambda x: ((x[0][0], x[0][1] // many), (x[0][1] % many, *x[1])))
-        vertices.append(store(sent.groupByKey(parts).map(lambda x, step=step: completed(x, step)), f"up{step}"))
+        vertices.append(store(gathered(sent, parts_of(step, parts)).map(lambda x, step=step: completed(x, step)), f"up{step}"))
         nodes = vertices[-1].filter(lambda x, step=step: height(x[1][0]) > LEVELS * (step + 1)).map(lambda x, step=step: (x[0], (x[1][0], _top(x[1], step))))
     return vertices
 
@@ -122,11 +144,22 @@ def descend(vertices: list[RDD], tops: RDD, parts: int, store: Store) -> RDD:
         levels = subtree([x[0] for x in children], size, step)
         return [((tree, RUN**LEVELS * place + k), (told, b"".join(siblings(levels, k)) + path)) for k in range(len(children))]
 
+    def addressed(item: tuple) -> list[tuple]:
+        key, heard = item
+        heard = sorted(heard, key=lambda x: x[0])
+        if [x[0] for x in heard] == [0, 1]:
+            return [(key, (heard[0][1], heard[1][1]))]
+        if any(x[0] == 0 for x in heard):
+            raise ValueError(f"vertex {key} has heard from {len(heard) - 1} parents")
+        return []  # no vertex: the tree of an empty table
+
     paths = None
     for step in reversed(range(len(vertices))):
         ends = lambda x, step=step: step == max(0, -(-height(x[1][0]) // LEVELS) - 1)
         begun = tops.filter(ends).map(lambda x: ((x[0], 0), x[1][1:]))
-        met = vertices[step].join(begun if paths is None else paths.union(begun), parts)
+        told = begun if paths is None else paths.union(begun)
+        both = vertices[step].mapValues(lambda x: (0, x)).union(told.mapValues(lambda x: (1, x)))
+        met = gathered(both, parts_of(step, parts)).flatMap(addressed)
         paths = store(met.flatMap(lambda x, step=step: onward(x, step)), f"down{step}") if step else met
     return paths.map(lambda x: (*x[0], *x[1][0], *x[1][1]))
 
@@ -163,6 +196,7 @@ def _placed(scratch: Scratch, docs: DataFrame) -> DataFrame:
     """
     d = docs.select(*(docs[c] for c in FIELDS))
     d = d.select("doc_id", "source", leaf_hash(d).alias("leaf"), F.when(tampered(), leaf_hash(d, F.replace(d["text"], F.lit("\n"), F.lit("")))).alias("now"), F.monotonically_increasing_id().alias("row"))
+    d = scratch.write(d, "hashed")  # the sort samples its keys, which would hash the texts once more
     d = d.orderBy("source", "doc_id", "leaf", "row").drop("row").withColumn("at", F.monotonically_increasing_id())
     d = scratch.write(d.withColumn("part", F.shiftright("at", 33)), "sorted")
 
@@ -187,8 +221,9 @@ def manifest(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
     the siblings on the way from the leaf to the root. To test the manifest, the text of about half of the rows loses its
     line ends; folded_root is what then follows from leaf and proof, verified whether that is root.
 
-    A vertex holds a subtree of five levels, so that a superstep climbs five and a tree of 10**10 leaves takes five of them.
-    Up, each document's digest is sent once; down, a path of two digests a level is sent to each vertex.
+    A vertex holds a subtree of seven levels (2,187 leaves), so that a superstep climbs seven and a tree of 10**10 leaves takes
+    three of them. Up, each document's digest is sent once; down, a path of two digests a level is sent to each vertex.
+    A superstep has as many tasks as its nodes need, up to `parts` (the session's shuffle partitions).
 
     Defined results: a null source is a source, the first one; null doc_ids come first within it and aren't tampered with;
     rows with one doc_id stand in order of their leaves, equal rows have interchangeable places; null fields are hashed as
@@ -197,7 +232,8 @@ def manifest(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = _placed(scratch, docs)
-    most, trees = placed.agg(F.max("size"), F.max("trees")).first()
+    most, trees, count = placed.agg(F.max("size"), F.max("trees"), F.count("*")).first()
+    parts, tree_parts = tasks(count, parts), tasks(trees or 0, parts)
 
     def store(name: str) -> Store:
         def write(rdd: RDD, step: str) -> RDD:
@@ -209,8 +245,8 @@ def manifest(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
     rows = placed.select("tree", "place", "size", F.unhex("leaf").alias("leaf"), F.unhex("now").alias("now"), "doc_id")
     leaves = rows.rdd.map(lambda r: ((r[0], r[1]), (r[2], bytes(r[3]), None if r[4] is None else bytes(r[4]), r[5])))
     vertices = climb(leaves, height(most or 0), parts, store("leaves"))
-    subroots = store("trees")(roots(vertices), "roots")  # (tree, (digest, size))
-    over = climb(subroots.map(lambda x: ((0, x[0]), (trees, *x[1]))), height(trees or 0), parts, store("trees"))
+    subroots = store("trees")(roots(vertices).repartition(tree_parts), "roots")  # (tree, (digest, size))
+    over = climb(subroots.map(lambda x: ((0, x[0]), (trees, *x[1]))), height(trees or 0), tree_parts, store("trees"))
     root = roots(over).map(lambda x: x[1][0]).collect()  # one, or none of an empty table
 
     def of_trees(vertex: tuple) -> list[tuple]:
@@ -218,7 +254,7 @@ def manifest(docs: DataFrame, *, parts: int | None = None) -> DataFrame:
         levels = subtree([x[0] for x in children], trees, 0)
         return [(RUN**LEVELS * place + k, (size, digest, b"".join(siblings(levels, k)) + path)) for k, (digest, size) in enumerate(children)]
 
-    whole = descend(over, spark.sparkContext.parallelize([(0, (trees or 0, None, b""))], 1), parts, store("trees"))
+    whole = descend(over, spark.sparkContext.parallelize([(0, (trees or 0, None, b""))], 1), tree_parts, store("trees"))
     down = descend(vertices, whole.flatMap(of_trees), parts, store("leaves"))
     top = root[0] if root else b""
 
