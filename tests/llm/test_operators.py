@@ -700,3 +700,48 @@ def test_chains_become_one_component(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {x.node: x.label for x in ngram_join.components(Scratch(spark), links, "chain").collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_bitmaps_grow_with_sets_and_fold():
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 2**63, k).astype("uint64")) for k in (0, 1, 1024, 1025, 2048, 2049, 8000)]
+    bitmaps = ngram_join._bitmaps(sets)
+    assert [len(x) for x in bitmaps.to_pylist()] == [16, 16, 16, 32, 32, 64, 128]
+    got = {}
+    for rows, cut, bits in ngram_join.folded(bitmaps, np.array([0, 2, 4, 5, 7])):
+        assert cut[-1] == len(rows) == len(bits)
+        got |= {int(k): {64 * i + 8 * (b // 8) + 7 - b % 8 for i, x in enumerate(m.tolist()) for b in range(64) if x >> b & 1} for k, m in zip(rows, bits, strict=True)}
+        assert all(got[int(k)] == {int(x >> np.uint64(20)) % (64 * bits.shape[1]) for x in sets[k]} for k in rows)
+    assert sorted(got) == list(range(7))
+
+
+def test_dealt_pairs_link_as_two_loops_say(spark):
+    from tickloom.llm.common import Scratch
+
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(r.choice(base) if r.random() < r.choice([0, 0.02, 0.05]) else x for x in base[: r.choice([3, 100, 120])])) for i in range(70)]
+    rows += [(5, rows[9][1] + " more"), (5, rows[9][1] + " more"), (6, None), (90, None)]
+    sets = [(i, {*ngram_join.shingles(t, 2).tolist()}) for i, t in rows]
+    pairs = [(i, j) for i in [*range(70), 90] for j in range(70) if i > j and (i + j) % 3]
+    want = {(i, j) for i, j in pairs for a, x in sets if a == i for b, y in sets if b == j and x & y and 100 * len(x & y) >= 80 * len(x | y)}
+    table, near, sizes = docs(spark, [(i, t, "s") for i, t in rows]).select("doc_id", "text"), spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(i, len(x)) for i, x in sets], "node long, n long")
+    for room, groups in ((1 << 19, 3), (4000, 6)):  # groups at most and at least
+        scratch = Scratch(spark)
+        dealt = ngram_join.deal(scratch, near, sizes, "t", room)
+        n = len({(p.label, p.i, p.j) for x in dealt.collect() for p in x.places})
+        assert n <= groups if room > 4000 else n >= groups
+        assert {tuple(x) for x in ngram_join.verify(scratch, table, dealt, 2, 80, "t").collect()} == want and len(want) > 100
+
+
+def test_large_sets_that_do_not_link_make_no_pairs(spark, monkeypatch):
+    from tickloom.llm.common import Scratch
+
+    made, write = {}, Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: made.setdefault(name, write(self, df, name)))
+    r = random.Random(2)
+    word = lambda: f"{r.randrange(10**6)}"
+    base = [word() for _ in range(3600)]
+    table = docs(spark, [(i, " ".join(base + [word() for _ in range(2400)]), "s") for i in range(16)])
+    assert all(x.component_id == x.doc_id and x.n_shingles > 5900 for x in ngram_join.similar_groups(table).collect())
+    assert made["more_pairs"].count() == 0  # 120 pairs share tiles

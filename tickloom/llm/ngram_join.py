@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, likely_in, map_texts, salts_of, same, with_salt
 
 EXTRA = 32
-_WORDS = 16  # of 64 bits in a bitmap
+_WORDS, _MOST_WORDS = 16, 4096  # of 64 bits in a bitmap
+_LAST = 8
 _PAIRS = 1 << 14
+_ROOM, _ROW = 1 << 19, 256  # shingles in a block of sets, and what a set takes besides its own
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -127,9 +129,30 @@ def shared_in_prefix(n: int, percent: int) -> int:
 
 
 def _bitmaps(sets: list[np.ndarray]) -> pa.ListArray:
-    bits = np.zeros((len(sets), 64 * _WORDS), "uint8")
-    bits[np.repeat(np.arange(len(sets)), [len(x) for x in sets]), (np.concatenate(sets) >> np.uint64(20)) % np.uint64(64 * _WORDS)] = 1
-    return _lists(list(np.packbits(bits, axis=1).view("uint64")))
+    """A bit or more for each shingle, by powers of two, as bitmaps of few bits are full in large sets and rule nothing out."""
+    words = np.array([min(max(_WORDS, 1 << (-(-len(x) // 64) - 1).bit_length()), _MOST_WORDS) if len(x) else _WORDS for x in sets])
+    out: list = [None] * len(sets)
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w).tolist()
+        bits = np.zeros((len(at), 64 * w), "uint8")
+        bits[np.repeat(np.arange(len(at)), [len(sets[k]) for k in at]), (np.concatenate([sets[k] for k in at]) >> np.uint64(20)) % np.uint64(64 * w)] = 1
+        for k, x in zip(at, np.packbits(bits, axis=1).view("uint64"), strict=True):
+            out[k] = x
+    return _lists(out)
+
+
+def folded(bitmaps: pa.ListArray, cut: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, cuts, bitmaps) for the groups (from each cut to the next) whose shortest bitmap has one length; longer ones are folded to it."""
+    ends, values = bitmaps.offsets.to_numpy(), bitmaps.values.to_numpy().view("uint64")
+    words, sizes = np.diff(ends), np.diff(cut)
+    least = np.minimum.reduceat(words, cut[:-1])
+    for w in np.unique(least).tolist():
+        rows = np.flatnonzero(np.repeat(least == w, sizes))
+        bits = np.zeros((len(rows), w), "uint64")
+        for v in np.unique(words[rows]).tolist():
+            own = np.flatnonzero(words[rows] == v)
+            bits[own] = np.bitwise_or.reduce(values[ends[rows[own], None] + np.arange(v)].reshape(len(own), v // w, w), axis=1)
+        yield rows, np.cumsum([0, *sizes[least == w]]), bits
 
 
 class _Before(dict):
@@ -147,7 +170,7 @@ def bound_pairs(cut: np.ndarray, n: np.ndarray, bits: np.ndarray, labels: np.nda
     """Pairs of positions within groups (from each cut to the next) of different labels that bit counts don't rule out. crossing: of different blocks only.
 
     Each bit that only one of two sets has is an element that the other lacks. A pair is looked at in the tile of its larger
-    band only. Pairs of all groups of one size are looked at together, at most about _PAIRS at once; a larger group's row by row.
+    band only. Pairs of all groups of one size are looked at together, at most about _PAIRS (fewer with longer bitmaps) at once; a larger group's row by row.
     """
     spare = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
 
@@ -158,21 +181,45 @@ def bound_pairs(cut: np.ndarray, n: np.ndarray, bits: np.ndarray, labels: np.nda
         some = most * 100 >= (n[i] + n[j] - most) * percent
         return i[some], j[some]
 
-    starts, sizes = cut[:-1], np.diff(cut)
+    starts, sizes, most_pairs = cut[:-1], np.diff(cut), _PAIRS * _WORDS // max(_WORDS, bits.shape[1])
     for m in np.unique(sizes[sizes > 1]).tolist():
         begin = starts[sizes == m]
-        p, q = np.triu_indices(m, 1) if m * m <= _PAIRS else (None, None)
+        p, q = np.triu_indices(m, 1) if m * m <= most_pairs else (None, None)
         if p is None:
             for x in begin.tolist():
                 for k in range(x, x + m - 1):
                     yield bounded(np.full(x + m - k - 1, k), np.arange(k + 1, x + m))
         else:
-            few = max(1, _PAIRS // len(p))
+            few = max(1, most_pairs // len(p))
             for k in range(0, len(begin), few):
                 x = begin[k : k + few, None]
                 yield bounded((x + p).ravel(), (x + q).ravel())
 
 
+def _cuts(key: np.ndarray) -> np.ndarray:
+    return np.array([0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)])
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and their keys, of batches in which the rows of a group stand together."""
+    waiting: list[pa.RecordBatch] = []
+    keys_of = lambda t: np.stack([t.column(c).to_numpy() for c in keys], 1)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        waiting.append(batch)
+        t = pa.Table.from_batches(waiting)
+        key = keys_of(t)
+        other = np.flatnonzero((key != key[-1]).any(1))  # the last group may go on in the next batch
+        done = int(other[-1]) + 1 if len(other) else 0
+        if done:
+            yield t.slice(0, done), key[:done]
+        waiting = t.slice(done).to_batches()
+    if waiting:
+        t = pa.Table.from_batches(waiting)
+        yield t, keys_of(t)
+
+
 def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, block: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text, ...).
 
@@ -212,10 +259,13 @@ def similar_groups(docs: DataFrame, *, size: int = 4, percent: int = 85, block:
 
     needed = scratch.write(_needed(reps, percent), "needed")
     tiles = scratch.write(_tiles(needed, percent), "tiles")
-    first = verify(scratch, d, _stars(tiles), size, percent, "first")
+    sizes = reps.select("node", "n")
+    first = verify(scratch, d, deal(scratch, _stars(tiles), sizes, "first"), size, percent, "first")
     labels = scratch.write(components(scratch, first, "first"), "labels")
     scratch.drop("needed")
-    more = verify(scratch, d, _rest(scratch, tiles, labels, reps, percent, block), size, percent, "more")
+    dealt = deal(scratch, _rest(scratch, tiles, labels, reps, percent, block), sizes, "more")
+    scratch.drop("reps", "tiles", "open")
+    more = verify(scratch, d, dealt, size, percent, "more")
     labels = components(scratch, first.unionByName(more), "all")
 
     named = classes.join(labels.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("_digest", F.coalesce("label", "node").alias("component_id"), "size")
@@ -267,8 +317,8 @@ def _rest(scratch: Scratch, tiles: DataFrame, labels: DataFrame, reps: DataFrame
     """(a, b): pairs of different components in one tile that bit counts don't rule out.
 
     Near copies share many tiles with the same members, of which one is looked at. Members of a tile are dealt to blocks of
-    about `block`, and each two blocks are compared within one task; only pairs that may link leave it, each once: in the tile
-    of the smallest hash that both have. Members bring the smaller ones of their tiles' hashes for that.
+    about `block`, and each two blocks are compared within one task; only pairs that may link leave it, from the tile of the
+    smallest hash that both have, and seldom from others: members bring the last few smaller ones of their tiles' hashes.
     """
     lab = labels.withColumnRenamed("node", "_node")
     named = tiles.join(lab, tiles["node"] == lab["_node"], "left").select("hash", "tile", "node", "n", "larger", F.coalesce("label", "node").alias("label"))
@@ -277,72 +327,94 @@ def _rest(scratch: Scratch, tiles: DataFrame, labels: DataFrame, reps: DataFrame
     mixed = named.groupBy("hash", "tile").agg(F.count("*").alias("members"), F.min("label").alias("_a"), F.max("label").alias("_b"), F.max("larger").alias("_some"), *sums).where("_a < _b and _some")
     mixed = mixed.groupBy("tile", "members", "_a", "_b", "_x", "_y").agg(F.min("hash").alias("hash")).select("hash", "tile", "members")
     open_tiles = scratch.write(named.drop("larger").join(mixed, ["hash", "tile"]), "open")
-    few = open_tiles.groupBy(F.col("node").alias("_of"), F.col("n").alias("_m")).agg(F.array_sort(F.collect_set("hash")).alias("few"))  # at most a set's own candidates
+    few = open_tiles.groupBy(F.col("node").alias("_of"), F.col("n").alias("_m")).agg(F.sort_array(F.collect_set("hash"), asc=False).alias("few"))  # at most a set's own candidates
     sets = reps.join(few, (F.col("node") == F.col("_of")) & (F.col("n") == F.col("_m"))).select(F.col("node").alias("_node"), "_m", "bits", "few", _band(F.col("n"), percent).alias("band"))
-    d = open_tiles.join(sets, (F.col("node") == F.col("_node")) & (F.col("n") == F.col("_m"))).drop("_node", "_m").withColumn("before", F.filter("few", lambda x: x < F.col("hash"))).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
+    d = open_tiles.join(sets, (F.col("node") == F.col("_node")) & (F.col("n") == F.col("_m"))).drop("_node", "_m").withColumn("before", F.slice(F.filter("few", lambda x: x < F.col("hash")), 1, _LAST)).withColumn("blocks", F.ceil(F.col("members") / block).cast("int"))
     d = d.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     d = d.withColumn("i", F.least("own", "_j")).withColumn("j", F.greatest("own", "_j"))
     keys = ["hash", "tile", "i", "j"]
     d = d.select(*keys, "own", "node", "label", "n", "band", "bits", "before").repartition(*keys).sortWithinPartitions(*keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[pa.RecordBatch] = []
-
-        def compared(t: pa.Table) -> pa.RecordBatch:
-            key = np.stack([t.column(c).to_numpy() for c in keys], 1)
-            cut = np.array([0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)])
+        for t, key in _whole_groups(batches, keys):
             own, node, label, n, band = (t.column(c).to_numpy() for c in ("own", "node", "label", "n", "band"))
-            bits = t.column("bits").combine_chunks().flatten().to_numpy().view("uint64").reshape(-1, _WORDS)
             found, before = [], _Before(t.column("before").combine_chunks())
-            for i, j in bound_pairs(cut, n, bits, label, own, key[:, 2] != key[:, 3], band, key[:, 1], percent):
-                found += [(min(node[x], node[y]), max(node[x], node[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if before[x].isdisjoint(before[y])]
+            for at, cut, bits in folded(t.column("bits").combine_chunks(), _cuts(key)):
+                for i, j in bound_pairs(cut, n[at], bits, label[at], own[at], key[at, 2] != key[at, 3], band[at], key[at, 1], percent):
+                    found += [(min(node[x], node[y]), max(node[x], node[y])) for x, y in zip(at[i].tolist(), at[j].tolist(), strict=True) if before[x].isdisjoint(before[y])]
             found = sorted(set(found))
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], "int64"), pa.array([q for _, q in found], "int64")], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            waiting.append(batch)
-            t = pa.Table.from_batches(waiting)
-            last = np.ones(t.num_rows, bool)  # rows of the last group, which may go on in the next batch
-            for c in keys:
-                v = t.column(c).to_numpy()
-                last &= v == v[-1]
-            done = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            if done:
-                yield compared(t.slice(0, done))
-            waiting = t.slice(done).to_batches()
-        if waiting:
-            yield compared(pa.Table.from_batches(waiting))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], "int64"), pa.array([q for _, q in found], "int64")], names=["a", "b"])
 
     return d.mapInArrow(run, "a long, b long").distinct()
 
 
-def verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """The pairs (a, b) of doc_ids that link, by intersection of their sorted arrays of shingle hashes."""
+def deal(scratch: Scratch, pairs: DataFrame, sizes: DataFrame, name: str, room: int = _ROOM) -> DataFrame:
+    """(node, places): the groups (label, i, j, others) that each node of the pairs (a, b) goes to, and which it meets there as a.
+
+    Pairs that hang together are one group, so that a set is sent once, not with each of its pairs. Where the sets (node, n) of
+    a group have more than about `room` shingles, its nodes are dealt to blocks by hash, and each two blocks with pairs are one.
+    """
     pairs = scratch.write(pairs, f"{name}_pairs")
-    # Each set goes to the sides that it stands on only: a star has many members and few centres.
-    ids = pairs.select(F.col("a").alias("_id"), F.lit(True).alias("is_a"), F.lit(False).alias("is_b")).unionByName(pairs.select(F.col("b").alias("_id"), F.lit(False).alias("is_a"), F.lit(True).alias("is_b")))
-    ids = scratch.write(ids.groupBy("_id").agg(F.max("is_a").alias("is_a"), F.max("is_b").alias("is_b")), f"{name}_ids")
+    near = components(scratch, pairs, f"{name}_near").join(sizes.select(F.col("node").alias("_of"), "n"), F.col("node") == F.col("_of")).groupBy("node", "label").agg(F.sum(F.col("n") + _ROW).alias("size"))
+    near = scratch.write(near, f"{name}_sizes")
+    large = near.groupBy(F.col("label").alias("_label")).agg(F.ceil(F.sum("size") / room).alias("blocks")).where("blocks > 1")
+    near = near.join(large, F.col("label") == F.col("_label"), "left").select("node", "label", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    a, b = near.select(F.col("node").alias("_a"), "label", F.col("block").alias("_i")), near.select(F.col("node").alias("_b"), F.col("block").alias("_j"))
+    both = pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b"))
+    sides = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.when(F.lit(False), F.col("b")).alias("other")))
+    each = both.select("label", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), F.explode(sides).alias("_x")).select("label", "i", "j", "_x.node", "_x.other")
+    each = each.groupBy("node", "label", "i", "j").agg(F.collect_list("other").alias("others"))  # without nulls
+    return scratch.write(each.groupBy("node").agg(F.collect_list(F.struct("label", "i", "j", "others")).alias("places")), f"{name}_dealt")
+
+
+def linked_pairs(t: pa.Table, cut: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """The pairs that link within groups (from each cut to the next) of rows (node, others, set).
+
+    A group's shingles are numbered, so that what a set has in common with all that it meets is a sum over marks.
+    """
+    node, others, sets = t.column("node").to_numpy(), t.column("others").combine_chunks(), t.column("set").combine_chunks()
+    begins, met = others.offsets.to_numpy(), others.values.to_numpy()
+    ends = np.frombuffer(sets.buffers()[1], "int32", len(sets) + 1, 4 * sets.offset).astype("int64") // 8
+    values = np.frombuffer(sets.buffers()[2] or b"", "uint64", ends[-1])
+    out = set()
+    for lo, hi in zip(cut.tolist(), cut[1:].tolist(), strict=False):
+        rows: dict[int, dict[bytes, int]] = {}  # a node's distinct sets
+        for r in range(lo, hi):
+            if ends[r] < ends[r + 1]:
+                rows.setdefault(int(node[r]), {}).setdefault(values[ends[r] : ends[r + 1]].tobytes(), r)
+        at = ends[lo : hi + 1] - ends[lo]
+        ids = np.unique(values[ends[lo] : ends[hi]], return_inverse=True)[1]
+        marks = np.zeros(len(ids), "uint8")
+        for x, own in rows.items():
+            for r in own.values():
+                meets = [(y, q - lo) for y in met[begins[r] : begins[r + 1]].tolist() for q in rows.get(y, {}).values()]
+                if not meets:
+                    continue
+                mine = ids[at[r - lo] : at[r - lo + 1]]
+                marks[mine] = 1
+                n = np.array([at[q + 1] - at[q] for _, q in meets])
+                inner = np.add.reduceat(marks[np.concatenate([ids[at[q] : at[q + 1]] for _, q in meets])], np.cumsum(n) - n, dtype="int64")
+                marks[mine] = 0
+                some = (inner > 0) & (100 * inner >= percent * (len(mine) + n - inner))
+                out.update((x, meets[k][0]) for k in np.flatnonzero(some).tolist())
+    return sorted(out)
+
+
+def verify(scratch: Scratch, docs: DataFrame, dealt: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+    """The pairs (a, b) of doc_ids that link, of those that deal() dealt, by their sets of shingle hashes."""
     # Few documents stand in pairs: the others' texts are not shuffled.
-    some = likely_in(docs, "doc_id", ids.select("_id"))
-    texts = some.join(ids, some["doc_id"] == ids["_id"]).select("doc_id", "is_a", "is_b", "text")
-    sets = map_texts(texts, ["doc_id", "is_a", "is_b"], lambda b: {"set": [x.tobytes() for x in shingle_sets(b.column("text"), size)]}, "set binary", 512)
-    sets = scratch.write(sets, f"{name}_sets")
-    a, b = (sets.where(f"is_{x}").select(F.col("doc_id").alias(f"_{x}"), F.col("set").alias(f"set_{x}")) for x in "ab")
-    both = pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select("a", "b", "set_a", "set_b")
-
-    def linked(batch: pa.RecordBatch) -> dict:
-        out = []
-        for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-            p, q = np.frombuffer(x, "uint64"), np.frombuffer(y, "uint64")
-            inner = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(inner > 0 and 100 * inner >= percent * (len(p) + len(q) - inner))
-        return {"linked": out}
-
-    links = scratch.write(map_texts(both, ["a", "b"], linked, "linked boolean", 256).where("linked").select("a", "b").distinct(), f"{name}_links")
-    scratch.drop(f"{name}_sets")
-    return links
+    some = likely_in(docs, "doc_id", dealt.select("node"))
+    texts = some.join(dealt, some["doc_id"] == dealt["node"]).select("node", "places", "text")
+    sets = map_texts(texts, ["node", "places"], lambda b: {"set": [x.tobytes() for x in shingle_sets(b.column("text"), size)]}, "set binary", 512)
+    keys = ["label", "i", "j"]
+    d = sets.select("node", "set", F.explode("places").alias("_x")).select("_x.label", "_x.i", "_x.j", "node", "_x.others", "set").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, key in _whole_groups(batches, keys):
+            found = linked_pairs(t, _cuts(key), percent)
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], "int64"), pa.array([q for _, q in found], "int64")], names=["a", "b"])
+
+    return scratch.write(d.mapInArrow(run, "a long, b long").distinct(), f"{name}_links")
 
 
 def components(scratch: Scratch, links: DataFrame, name: str) -> DataFrame:
