@@ -129,7 +129,7 @@ def shared_in_prefix(n: int, percent: int) -> int:
 
 
 def _bitmaps(sets: list[np.ndarray]) -> pa.ListArray:
-    """A bit or more for each shingle, by powers of two, as bitmaps of few bits are full in large sets and rule nothing out."""
+    """A bit or more for each shingle (fewer beyond _MOST_WORDS), by powers of two, as bitmaps of few bits are full in large sets and rule nothing out."""
     words = np.array([min(max(_WORDS, 1 << (-(-len(x) // 64) - 1).bit_length()), _MOST_WORDS) if len(x) else _WORDS for x in sets])
     out: list = [None] * len(sets)
     for w in np.unique(words).tolist():
